@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from .op3_line_dedup import ORACLE as _SQL3
-from .op3_line_dedup import op3_line_dedup
+from . import op3_line_dedup as _3
+from . import op4_quality_rules as _4
 
 QUERIES = {
-    "op3_line_dedup": op3_line_dedup,
+    "op3_line_dedup": _3.op3_line_dedup,
+    "op4_quality_rules": _4.op4_quality_rules,
 }
 
 ORACLE_SQL = {
-    "op3_line_dedup": _SQL3,
+    "op3_line_dedup": _3.ORACLE,
+    "op4_quality_rules": _4.ORACLE,
 }
