@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from . import op3_line_dedup as _3
 from . import op4_quality_rules as _4
+from . import op8_ring_shards as _8
 from . import op10_decontaminate as _10
 
 QUERIES = {
     "op3_line_dedup": _3.op3_line_dedup,
     "op4_quality_rules": _4.op4_quality_rules,
+    "op8_ring_shards": _8.op8_ring_shards,
     "op10_decontaminate": _10.op10_decontaminate,
 }
 
