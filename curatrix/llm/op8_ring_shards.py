@@ -32,7 +32,7 @@ from .common import mix64, staged, table
 
 SHARDS = 40
 VNODES = 128
-SLACK = 0.001
+SLACK = 0.0001
 ROWS_PER_CELL = 20_000
 CELLS_PER_POINT = 8
 MAX_CELLS = 1 << 20
