@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from . import op2_warc_revisit as _2
 from . import op3_line_dedup as _3
 from . import op4_quality_rules as _4
 from . import op8_ring_shards as _8
 from . import op10_decontaminate as _10
 
 QUERIES = {
+    "op2_warc_revisit": _2.op2_warc_revisit,
     "op3_line_dedup": _3.op3_line_dedup,
     "op4_quality_rules": _4.op4_quality_rules,
     "op8_ring_shards": _8.op8_ring_shards,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc_revisit": _2.ORACLE,
     "op3_line_dedup": _3.ORACLE,
     "op4_quality_rules": _4.ORACLE,
     "op10_decontaminate": _10.ORACLE,
