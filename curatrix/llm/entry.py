@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import op1_sentencepiece as _1
 from . import op2_warc_revisit as _2
 from . import op3_line_dedup as _3
 from . import op4_quality_rules as _4
@@ -9,6 +10,7 @@ from . import op8_ring_shards as _8
 from . import op10_decontaminate as _10
 
 QUERIES = {
+    "op1_sentencepiece": _1.op1_sentencepiece,
     "op2_warc_revisit": _2.op2_warc_revisit,
     "op3_line_dedup": _3.op3_line_dedup,
     "op4_quality_rules": _4.op4_quality_rules,
