@@ -35,7 +35,7 @@ from .common import free_name, mix64, table
 
 ALPHA = 1.0
 SEED = 20240501
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 
@@ -75,6 +75,8 @@ def load_vocabulary(path: str, scores: str = "zipf", alpha: float = ALPHA) -> Vo
                 raise ValueError(f"piece {p!r} crosses a segment's border")
             pieces[text], as_bytes[i] = i, text.encode()
     used = np.array(ranks)
+    if max(map(len, pieces)) > _LONGEST:
+        raise ValueError(f"a piece has more than {_LONGEST} characters")
     if scores == "zipf":
         # Byte pieces stand for what no piece covers: they rank after all others.
         logp[byte_id] = -np.log(len(ranks) + 2.0)
@@ -83,10 +85,14 @@ def load_vocabulary(path: str, scores: str = "zipf", alpha: float = ALPHA) -> Vo
 
 
 _K = np.uint64(0x9E3779B97F4A7C15)
+_FILTER = np.uint64(64 - 17)
+#: The log weight that a character is given back, and the characters of the longest piece.
+_SCALE, _LONGEST = 4.0, 16
+_MARK, _NEVER = "\n", np.uint64(0x5851F42D4C957F2D)
 
 
 def _tables(v: Vocabulary) -> dict:
-    """For each length: sorted hashes of the pieces, their ids, and a filter over the low bits."""
+    """For each length: sorted hashes of the pieces, their ids, and a filter over the high bits."""
     if not v.tables:
         by_len: dict[int, list[tuple[str, int]]] = {}
         for p, i in v.pieces.items():
@@ -95,91 +101,108 @@ def _tables(v: Vocabulary) -> dict:
             codes = np.frombuffer("".join(p for p, _ in items).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
             h = np.zeros(len(items), np.uint64)
             for k in range(size):
-                h = h * _K + codes[:, k] + np.uint64(1)
-            h = mix64(h)
+                h = (h + codes[:, k] + np.uint64(1)) * _K
             order = np.argsort(h)
             if len(np.unique(h)) != len(h):
                 raise ValueError("two pieces of a length share a hash")
-            seen = np.zeros(1 << 18, bool)
-            seen[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+            seen = np.zeros(1 << (64 - int(_FILTER)), bool)
+            seen[h >> _FILTER] = True
             v.tables[size] = (h[order], np.array([i for _, i in items], np.int32)[order], seen)
     return v.tables
 
 
 class Lattice:
-    """All lattices of some distinct segments, laid out by depth.
+    """All lattices of some distinct segments, laid out one after the other.
 
-    Segments stand in order of falling length, so the d-th characters of all segments that have one
-    are neighbours: character d of the r-th longest segment is char_at[d] + r. The node after a
-    character has its number plus the number of segments; the first nodes are the segments' starts.
+    Longer segments come first. Each takes its characters and one place more, so that place p is the
+    node before character p, and the extra place the segment's end; the mark that stands there is in
+    no piece, so windows over the whole row of characters never match across segments.
     """
 
     def __init__(self, segments: list[str], v: Vocabulary):
         n = len(segments)
         size = np.fromiter(map(len, segments), np.int64, n)
         order = np.argsort(-size, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        longest = int(size.max())
-        count = n - np.cumsum(np.bincount(size, minlength=longest + 1))[:longest]  # segments with more than d characters
-        char_at = np.concatenate(([0], np.cumsum(count)))
-        depth = np.repeat(np.arange(longest), count)
-        seg = np.arange(len(depth)) - char_at[depth]
-        first = np.cumsum(size) - size
-        code = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)[first[order][seg] + depth]
-        self.n, self.size = n, size
-        self.end = n + char_at[size - 1] + rank
-        self.offset = np.concatenate((np.zeros(n, np.int64), depth + 1))  # of a node in its segment
-        node_before = np.where(depth > 0, n + char_at[depth - 1] + seg, seg)
+        longest = int(size[order[0]])
+        base = np.cumsum(size[order] + 1) - size[order] - 1
+        text = _MARK.join([segments[i] for i in order.tolist()]) + _MARK
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = base + size[order]
+        wide = code.astype(np.uint64) + np.uint64(1)
+        wide[ends] = _NEVER
+        self.size, self.base, self.longest = size, base, longest
+        self.end = np.empty(n, np.int64)
+        self.end[order] = ends
+        self.offset = np.arange(len(code)) - np.repeat(base, size[order] + 1)
+        self.count = n - np.cumsum(np.bincount(size, minlength=longest + 1))  # segments with more than d characters
         found, single = [], np.zeros(len(code), bool)
-        tables, wide = _tables(v), code.astype(np.uint64) + np.uint64(1)
-        at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        tables = _tables(v)
+        h = wide * _K
         for length in range(1, min(max(tables), longest) + 1):
-            last = depth[at] + length - 1
-            inside = last < longest
-            inside[inside] = seg[at[inside]] < count[last[inside]]
-            at, h, last = at[inside], h[inside], last[inside]
-            if not len(at):
-                break
-            stop = char_at[last] + seg[at]
-            h = h * _K + wide[stop]
+            if length > 1:
+                h = h[:-1] + wide[length - 1 :]
+                h *= _K
             if length in tables:
                 keys, piece, seen = tables[length]
-                m = mix64(h)
-                maybe = np.flatnonzero(seen[(m & np.uint64((1 << 18) - 1)).view(np.int64)])
-                where = np.minimum(np.searchsorted(keys, m[maybe]), len(keys) - 1)
-                ok = keys[where] == m[maybe]
-                i, p = maybe[ok], piece[where[ok]]
+                at = np.flatnonzero(seen[(h >> _FILTER).view(np.int64)])
+                m = h[at]
+                where = np.minimum(np.searchsorted(keys, m), len(keys) - 1)
+                ok = keys[where] == m
+                at, p = at[ok], piece[where[ok]]
                 if length == 1:
-                    single[at[i]] = True
-                found.append((node_before[at[i]], n + stop[i], p.astype(np.int64), v.logp[p]))
+                    single[at] = True
+                found.append((at, at + length, p.astype(np.int64), v.logp[p]))
+        single[ends] = True
         rest = np.flatnonzero(~single)  # byte pieces, marked by -1 - code point
         cp = code[rest].astype(np.int64)
         n_bytes = 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
-        found.append((node_before[rest], n + rest, -1 - cp, n_bytes * v.logp[v.byte_id[0]]))
-        # Longest pieces first, so that a node's likeliest piece is mostly its first.
-        self._filter(*(np.concatenate(x) for x in zip(*reversed(found), strict=True)), char_at)
-
-    def _filter(self, start, end, ids, weight, char_at):
-        """Log weights of all paths to each node, then each edge's share of its node's."""
-        order = np.argsort(end, kind="stable")  # a merge of runs that are sorted already
-        start, end, ids, score = start[order], end[order] - self.n, ids[order], weight[order]
-        self.heads = np.flatnonzero(np.diff(end, prepend=-1))
-        cuts = np.append(self.heads, len(end))[char_at]
-        alpha = np.zeros(self.n + len(self.heads))
-        for d in range(len(char_at) - 1):
-            a, z = cuts[d], cuts[d + 1]
-            score[a:z] += alpha[start[a:z]]
-            alpha[self.n + char_at[d] : self.n + char_at[d + 1]] = np.logaddexp.reduceat(score[a:z], self.heads[char_at[d] : char_at[d + 1]] - a)
-        p = np.exp(score - alpha[self.n + end])
-        total = np.cumsum(p)
-        within = total - (total[self.heads] - p[self.heads])[end]
-        within[np.append(self.heads[1:], len(end)) - 1] = 2.0
-        self.within, self.start, self.ids = within, start, ids
+        found.append((rest, rest + 1, -1 - cp, n_bytes * v.logp[v.byte_id[0]]))
+        self._filter(found[::-1])
+
+    def _filter(self, found):
+        """Weights of all paths to each node, then each edge's share of its node's.
+
+        found: (start, end, id, log weight) by length, the longest first, so that a node's likeliest
+        piece is mostly its first. No two edges of one length share an end.
+        """
+        width = np.zeros(len(self.offset), np.int64)
+        for _, end, _, _ in found:
+            width[end] += 1
+        total = int(width.sum())
+        head = np.cumsum(width) - width
+        start, ids, weight = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        free = head.copy()
+        for s, end, i, w in found:
+            at = free[end]
+            free[end] += 1
+            start[at], ids[at], weight[at] = s, i, w
+        # A weight of about 1 for each character keeps the sums near 1; they are scaled on the way.
+        weight = np.exp(weight + _SCALE * (np.repeat(np.arange(len(width)), width) - start))
+        alpha = np.ones(len(width))
+        share = np.empty(total)
+        for d in range(1, self.longest + 1):
+            node = self.base[: self.count[d - 1]] + d
+            k = width[node]
+            first = np.cumsum(k) - k
+            edge = np.arange(int(first[-1] + k[-1])) + np.repeat(head[node] - first, k)
+            x = weight[edge] * alpha[start[edge]]
+            sums = np.add.reduceat(x, first)
+            share[edge] = x / np.repeat(sums, k)
+            alpha[node] = sums
+            if d % _LONGEST == 0 and self.count[d]:
+                node = self.base[: self.count[d]] + d
+                scale = 1.0 / alpha[node]
+                for back in range(_LONGEST):
+                    alpha[node - back] *= scale
+        share = np.cumsum(share)
+        last = (head + width)[width > 0] - 1
+        share -= np.repeat(np.concatenate(([0.0], share[last[:-1]])), width[width > 0])
+        share[last] = 2.0
+        self.within, self.start, self.ids, self.head = share, start, ids, head
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An incoming edge of each node, by its conditional probability."""
-        edge = self.heads[node - self.n]
+        edge = self.head[node]
         on = np.flatnonzero(u >= self.within[edge])
         while len(on):
             edge[on] += 1
@@ -220,7 +243,7 @@ def encode_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int =
         count[active] += 1
         n = lat.start[edge]
         node[active] = n
-        active = active[n >= lat.n]
+        active = active[lat.offset[n] > 0]
     last = np.cumsum(count) - 1
     out = np.empty(int(count.sum()), np.int64)
     for k, (a, ids) in enumerate(steps):
