@@ -7,6 +7,7 @@ from . import op2_warc_revisit as _2
 from . import op3_line_dedup as _3
 from . import op4_quality_rules as _4
 from . import op5_quote_links as _5
+from . import op6_pii_crf as _6
 from . import op8_ring_shards as _8
 from . import op9_jaccard_join as _9
 from . import op10_decontaminate as _10
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_line_dedup": _3.op3_line_dedup,
     "op4_quality_rules": _4.op4_quality_rules,
     "op5_quote_links": _5.op5_quote_links,
+    "op6_pii_crf": _6.op6_pii_crf,
     "op8_ring_shards": _8.op8_ring_shards,
     "op9_jaccard_join": _9.op9_jaccard_join,
     "op10_decontaminate": _10.op10_decontaminate,
