@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import op1_sentencepiece as _1
 from . import op2_warc_revisit as _2
 from . import op3_line_dedup as _3
 from . import op4_quality_rules as _4
 from . import op5_quote_links as _5
 from . import op6_pii_crf as _6
+from . import op7_html_main as _7
 from . import op8_ring_shards as _8
 from . import op9_jaccard_join as _9
 from . import op10_decontaminate as _10
@@ -19,9 +22,11 @@ QUERIES = {
     "op4_quality_rules": _4.op4_quality_rules,
     "op5_quote_links": _5.op5_quote_links,
     "op6_pii_crf": _6.op6_pii_crf,
+    "op7_html_main": _7.op7_html_main,
     "op8_ring_shards": _8.op8_ring_shards,
     "op9_jaccard_join": _9.op9_jaccard_join,
     "op10_decontaminate": _10.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
@@ -32,3 +37,5 @@ ORACLE_SQL = {
     "op9_jaccard_join": _9.ORACLE,
     "op10_decontaminate": _10.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
