@@ -15,8 +15,9 @@ Candidates without all pairs of a group
    give provisional components.
 3. Lists that still hold several components are gathered by hub, in blocks of bounded size, and
    shared tokens are counted for pairs across components only, as a product of incidence matrices.
-   A pair goes on if its count can still reach what its sizes, prefix ends and l demand; as its
-   shared tokens may lie under several hubs, one hub must hold its share of that number.
+   A pair goes on if its count can still reach what its sizes, prefix ends and l demand. Its shared
+   tokens may lie under several hubs: one hub must hold its share of that number, and with all that
+   the two have under other hubs the number must be reached.
 4. Those pairs are verified on whole sets. Every pair that links is then either inside a provisional
    component or among these, so the components of all links found are exact.
 
@@ -49,7 +50,7 @@ _SALTS = 64
 LEVELS = (1, 2, 4, 8, 16)
 CANDIDATE_COST = 4.0  # of one expected candidate, in postings
 STAR_SHARE = 0.25  # of the shorter prefix that a hub pair must share to be verified early
-BLOCK_DOCS = 8192
+BLOCK_DOCS = 1024
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -193,14 +194,15 @@ def _hubs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["hub", "token", "doc"])
 
 
-_MEMBER = ("hub", "b1", "b2", "token", "doc", "comp", "n", "p", "l", "hubs", "end_count", "end_token")
+_MEMBER = ("hub", "b1", "b2", "token", "doc", "comp", "n", "p", "l", "hubs", "postings", "end_count", "end_token")
 
 
 def cross_pairs(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a hub's documents in different components that may link, from its postings."""
     doc, at, inv = np.unique(g["doc"], return_index=True, return_inverse=True)
-    comp, n, p, level, hubs, end_c = (g[c][at].astype(np.int64) for c in ("comp", "n", "p", "l", "hubs", "end_count"))
+    comp, n, p, level, hubs, postings, end_c = (g[c][at].astype(np.int64) for c in ("comp", "n", "p", "l", "hubs", "postings", "end_count"))
     end_t = g["end_token"][at].astype(np.int64).view(np.uint64)
+    elsewhere = postings - np.bincount(inv, minlength=len(doc))  # a document's postings under other hubs
     tok, col = np.unique(g["token"], return_inverse=True)
     lo, hi = np.full(len(tok), 2**63 - 1), np.full(len(tok), -(2**63))
     np.minimum.at(lo, col, comp[inv])
@@ -229,7 +231,7 @@ def cross_pairs(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         # What lies beyond the prefix that ends first can't be counted here.
         need = np.maximum(need - np.where(sooner, rest[ii], rest[jj]), np.minimum(level[ii], level[jj]))
         share = -(-need // np.minimum(hubs[ii], hubs[jj]))
-        ok = k >= share
+        ok = (k >= share) & (k + np.minimum(elsewhere[ii], elsewhere[jj]) >= need)
         left.append(doc[ii[ok]])
         right.append(doc[jj[ok]])
     return np.concatenate(left), np.concatenate(right)
@@ -338,7 +340,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     first = verified(sized.where(near).select(F.col("hub").alias("a"), F.col("doc").alias("b")), classes, own, words, "jaccard-star")
     provisional = connected_components(first)
 
-    hubs = stars.groupBy("doc").agg(F.count("*").alias("hubs"))
+    hubs = stars.groupBy("doc").agg(F.count("*").alias("hubs"), F.sum("k").alias("postings"))
     sizes = stars.groupBy("hub").agg(F.count("*").alias("members"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / block_docs)).cast("int")
     member = (
@@ -351,7 +353,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         .withColumn("b1", F.least("block", "other"))
         .withColumn("b2", F.greatest("block", "other"))
     )
-    kinds = {"b1": "int", "b2": "int", "n": "int", "p": "int", "l": "int", "hubs": "int"}
+    kinds = {"b1": "int", "b2": "int", "n": "int", "p": "int", "l": "int", "hubs": "int", "postings": "int"}
     member = member.select(*(F.col(c).cast(kinds.get(c, "bigint")).alias(c) for c in _MEMBER))
     cross = member.repartition("hub", "b1", "b2").sortWithinPartitions("hub", "b1", "b2").mapInArrow(_cross, "a bigint, b bigint")
     second = verified(staged(cross.distinct(), "jaccard-cross"), classes, own, words, "jaccard-cross")
