@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import profile_queries, score_queries, select_queries
+
 
 def _modules():
-    return ()
+    return (profile_queries, select_queries, score_queries)
 
 
 def queries() -> dict:
