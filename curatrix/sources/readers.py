@@ -6,20 +6,19 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import decoded, is_binary
 
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "instruction string, context string, expected_blueprint string, "
     "metadata struct<id:string,domain:string,repo:string,provenance:struct<source:string,repo:string,skill_url:string,license:string,"
     "validation_errors:array<string>,original_name:string,name_normalized:boolean>>"
 )
-PREDICTION = T.StructType.fromDDL("id string, output string, model string, mode string, split string, loader string")
-SELECTION = T.StructType.fromDDL("id string, repo string, relpath string, skill_name string, domain string, license string")
+PREDICTION = "id string, output string, model string, mode string, split string, loader string"
+SELECTION = "id string, repo string, relpath string, skill_name string, domain string, license string"
 
 
-def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType = RECORD) -> DataFrame:
+def jsonl(spark: SparkSession, paths: str | list[str], schema: str = RECORD) -> DataFrame:
     """Records of JSON lines with `_file` and `_pos`: file order by name, line order inside.
 
     Blank lines are skipped; a line that is no record fails the query. The position is the file's
