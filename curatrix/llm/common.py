@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import remove_tree, shared_dir, staged
+
+__all__ = ["remove_tree", "shared_dir", "staged"]
+
 #: The ASCII white space of the contracts, and the letters whose case is folded.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,31 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that all executors share.
+class Kept:
+    """Tables kept on the executors' disks while an operator runs; what is lost is made again from the tables before."""
 
-    The session's spark.checkpoint.dir names it; only where that is unset (tests, a laptop) a local one is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/curatrix-shared"
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{base.rstrip('/')}/curatrix-{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_tree(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of staged rows by whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.tables[-1]
+
+    def release(self) -> None:
+        for df in self.tables:
+            df.unpersist()
 
 
 def free_name(df: DataFrame, stem: str) -> str:

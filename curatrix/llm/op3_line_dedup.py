@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, NULL_ID, ascii_lower, staged, table
+from .common import ASCII_SPACE, NULL_ID, Kept, ascii_lower, staged, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -142,11 +142,12 @@ def _stream(min_docs: int):
     return run
 
 
-def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, keep: Kept, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, row, pos) of every line that goes."""
-    lines = _lines(_keyed(docs, doc_id, text), min_chars)
+    # Kept, as the ranges are sampled from the rows before the rows are dealt to them.
+    lines = keep(_lines(_keyed(docs, doc_id, text), min_chars))
     spread = lines.repartitionByRange(F.col("h"), F.col("doc").desc()).sortWithinPartitions(F.col("h"), F.col("doc").desc(), F.col("pos"))
-    found = staged(spread.mapInArrow(_stream(min_docs), _STREAM_SCHEMA), "line-runs")
+    found = keep(spread.mapInArrow(_stream(min_docs), _STREAM_SCHEMA))
     # Two rows for each range at most, so the number of ranges bounds what is broadcast.
     border = found.where(F.col("kind") == _BORDER).groupBy("h").agg(F.sum("fresh").alias("n"), F.max("doc").alias("top")).where(F.col("n") >= min_docs)
     settled = found.where(F.col("kind") == _OPEN).join(F.broadcast(border), "h").where(F.col("doc") < F.col("top"))
@@ -190,10 +191,13 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A document that is not in the result keeps every line. (doc, row) is the id and the 64-bit hash of the text.
     """
-    drops = dropped_lines(docs, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min_docs)
+    keep = Kept()
+    drops = dropped_lines(docs, keep, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min_docs)
     lists = drops.groupBy("doc", "row").agg(F.collect_set("pos").alias("at"))
     sizes = _keyed(docs, doc_id, text).select("doc", "row", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n")).join(lists, ["doc", "row"], "left_semi").distinct()
-    return lists.join(sizes, ["doc", "row"]).select("doc", "row", F.size("at").cast("bigint").alias("n_dropped"), _bitmaps("n", "at").alias("keep_bitmap"))
+    out = staged(lists.join(sizes, ["doc", "row"]).select("doc", "row", F.size("at").cast("bigint").alias("n_dropped"), _bitmaps("n", "at").alias("keep_bitmap")), "line-bitmaps")
+    keep.release()
+    return out
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
