@@ -53,3 +53,11 @@ def compare_runs(a: DataFrame, b: DataFrame, metric: str, *, key: str = "id", po
 def accepted(score_new, score_now, n_regressions, gain: float = 2.0):
     """The gate: two points better at least, and no regression on the expert items."""
     return (score_new * 100 >= score_now * 100 + gain) & (n_regressions == 0)
+
+
+def run_drop(a: DataFrame, b: DataFrame, *, key: str = "id", answer: str = "predicted", right: str = "correct") -> DataFrame:
+    """One row for two runs over the same questions: both accuracies, the drop in points, and how many answers differ."""
+    both = a.select(key, F.col(answer).alias("x"), F.col(right).alias("ra")).join(b.select(key, F.col(answer).alias("y"), F.col(right).alias("rb")), key)
+    rate = lambda c: F.coalesce(F.avg(F.col(c).cast("int")), F.lit(0.0))
+    out = both.agg(F.count("*").alias("n"), rate("ra").alias("accuracy_a"), rate("rb").alias("accuracy_b"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("n_changed"))
+    return out.withColumn("drop_points", (F.col("accuracy_a") - F.col("accuracy_b")) * 100)

@@ -157,6 +157,21 @@ def judge_means(items: DataFrame, judge: str, criteria: tuple[str, ...]) -> Data
     return items.where(F.col(judge).isNotNull()).agg(F.count("*").alias("n"), *(F.avg(F.col(judge)[c]).alias(c) for c in criteria))
 
 
+def judge_payload(v: Column, chars: int = 6000) -> Column:
+    """What a judge is shown of a parsed value."""
+    return F.substring(F.to_json(v), 1, chars)
+
+
+def judge_reply(reply: Column, criteria: tuple[str, ...]) -> Column:
+    """The scores in a judge's reply: its outermost braces as JSON, null where there is none or a criterion is missing."""
+    v = jsonx.parsed(F.regexp_extract(reply, r"(?s)\{.*\}", 0))
+    scores = [F.try_variant_get(v, f"$.{c}", "double") for c in criteria]
+    whole = v.isNotNull()
+    for x in scores:
+        whole = whole & x.isNotNull()
+    return F.when(whole, F.create_map(*(y for c, x in zip(criteria, scores, strict=True) for y in (F.lit(c), x))))
+
+
 #: Error codes by the first pattern that an error's text matches.
 CODES = tuple(f"E{i}" for i in range(1, 11))
 RULES = (

@@ -95,3 +95,14 @@ def shortfalls(df: DataFrame, quotas: dict[str, int], domain: str = "domain") ->
     want = df.sparkSession.createDataFrame(sorted(quotas.items()), f"{domain} string, want bigint")
     have = df.groupBy(domain).agg(F.count("*").alias("have"))
     return want.join(have, domain, "left").select(domain, F.coalesce("have", F.lit(0)).alias("have"), "want").where("have < want")
+
+
+def skip_counts(df: DataFrame, *, repo: str = "repo", stub: str = "stub", licence: str = "licence", excluded: str = "excluded") -> DataFrame:
+    """(reason, n): why records leave the pool, tested in the order exclusion, stub, licence; kept ones count as `pool`."""
+    reason = (
+        F.when(F.col(excluded), F.lit("excluded"))
+        .when(F.col(stub), F.concat(F.lit("stub:"), F.col(repo)))
+        .when(F.col(licence).isNull(), F.col(repo))
+        .otherwise(F.lit("pool"))
+    )
+    return df.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))

@@ -186,11 +186,24 @@ def input_guard(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.length("text").between(1, 32000).alias("accepted"))
 
 
+def run_drop(spark, sf):
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", (F.col("label") % 4).alias("answer"))
+    side = lambda a: e.select("id", assemble.best_option(F.slice("embedding", a, 4)).alias("predicted"), (assemble.best_option(F.slice("embedding", a, 4)) == F.col("answer")).alias("correct"))
+    d = compare.run_drop(side(1), side(5))
+    return d.select("n", F.round("accuracy_a", 6).alias("accuracy_a"), F.round("accuracy_b", 6).alias("accuracy_b"), "n_changed", F.round("drop_points", 6).alias("drop_points"))
+
+
+def judge_replies(spark, sf):
+    e = t(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Scores: "), F.col("props"), F.lit(" done"))).when(F.col("event_id") % 3 == 1, F.lit("no braces")).otherwise(F.lit('{"other": 1}')).alias("reply"))
+    e = e.withColumn("l4", score.judge_reply(F.col("reply"), ("k",)))
+    return score.judge_means(e, "l4", ("k",)).select("n", F.round("k", 6).alias("k"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         json_parse_rate, schema_errors, field_scores, materialise_check, composite_score, failure_taxonomy, item_failures, blueprint_stats, files_histogram, files_mode, paired_counts, mcnemar_exact, mcnemar_table, wilson_ci,
-        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, repair_prompt, config_diff, key_difference, missing_cases, degraded_output, input_guard,
+        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, repair_prompt, config_diff, key_difference, missing_cases, degraded_output, input_guard, run_drop, judge_replies,
     )
 }
 
@@ -245,4 +258,7 @@ ORACLE_SQL = {
     "missing_cases": "SELECT 'E' || lpad(CAST(i AS VARCHAR), 3, '0') AS id FROM (SELECT unnest(range(1, 21)) AS i) WHERE i % 3 <> 0",
     "degraded_output": "SELECT doc_id, md5(left(text, 200)) AS cut_md5, md5(CASE WHEN length(text) > 1000 THEN left(text, 1000) || chr(10) || '…[truncated]' ELSE text END) AS capped_md5 FROM documents",
     "input_guard": "SELECT doc_id, length(text) BETWEEN 1 AND 32000 AS accepted FROM documents",
+    "run_drop": """WITH a AS (SELECT list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS x, list_position(embedding[5:8], list_max(embedding[5:8])) - 1 AS y, label % 4 AS t FROM embeddings)
+      SELECT count(*) AS n, round(avg((x = t)::INT), 6) AS accuracy_a, round(avg((y = t)::INT), 6) AS accuracy_b, count(*) FILTER (WHERE x <> y) AS n_changed, round((avg((x = t)::INT) - avg((y = t)::INT)) * 100, 6) AS drop_points FROM a""",
+    "judge_replies": "SELECT count(*) AS n, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS k FROM events WHERE event_id % 3 = 0 AND json_exists(props, '$.k')",
 }

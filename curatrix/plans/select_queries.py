@@ -159,11 +159,20 @@ def sequence_matcher_near_dup(spark, sf):
     return near_dup.sequence_near_dups(b.union(more), "item_id", "x")
 
 
+def skip_counters(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("source").alias("repo"), text.is_stub(F.col("text")).alias("stub"), text.effective_licence(text.licence(F.col("text")), F.when(F.col("doc_id") % 2 == 0, "mit")).alias("licence"), (F.col("doc_id") % 13 == 0).alias("excluded"))
+    return select.skip_counts(d)
+
+
+def cache_filter(spark, sf):
+    return assemble.uncached(t(spark, sf, "documents").select("doc_id", "lang"), t(spark, sf, "labels"), "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         canonical_dedup, stratified_quota_sample, quota_shortfall, exclusion_antijoin, licence_classify, document_licence, name_normalise, name_validity, path_safety, repo_slugs, domain_classify, front_matter_sections,
-        assemble_errors, near_dup_pairs, near_dup_clusters, exact_dup_collapse, majority_domain, proportional_split, capacity_deal, balanced_shards, split_manifest_hash, leakage_check, exemplar_band, sequence_matcher_near_dup,
+        assemble_errors, near_dup_pairs, near_dup_clusters, exact_dup_collapse, majority_domain, proportional_split, capacity_deal, balanced_shards, split_manifest_hash, leakage_check, exemplar_band, sequence_matcher_near_dup, skip_counters, cache_filter,
     )
 }
 
@@ -220,4 +229,7 @@ ORACLE_SQL = {
     "split_manifest_hash": "SELECT lang, count(*) AS n_records, sha256(string_agg(sha256(text), chr(10) ORDER BY sha256(text))) AS sha256 FROM documents GROUP BY lang",
     "leakage_check": "SELECT item_id AS id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 < 8) OR item_id IN (SELECT doc_id FROM documents WHERE doc_id % 10 >= 8)",
     "exemplar_band": "SELECT doc_id, n_chars BETWEEN 5000 AND 10000 AS in_band FROM documents",
+    "skip_counters": f"""WITH d AS (SELECT source, doc_id, {_LIC.format(x='text')} AS own, regexp_matches(lower(text), 'status:\\s*moved') OR contains(lower(text), 'signpost') OR contains(lower(text), 'no longer developed here') AS stub FROM documents)
+      SELECT CASE WHEN doc_id % 13 = 0 THEN 'excluded' WHEN stub THEN 'stub:' || source WHEN own NOT IN {_PERM} AND doc_id % 2 <> 0 THEN source ELSE 'pool' END AS reason, count(*) AS n FROM d GROUP BY 1""",
+    "cache_filter": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
