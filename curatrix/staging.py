@@ -13,10 +13,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/curatrix-{name}-{uuid.uuid4().hex}"
 
 
+def write_staged(df: DataFrame, name: str) -> str:
+    """Writes df to a fresh shared folder. A write that fails raises, so no marker file is needed."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    path = write_staged(df, name)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
