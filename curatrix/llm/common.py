@@ -7,9 +7,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import remove_tree, shared_dir, staged
+from ..staging import remove_tree, shared_dir, staged, write_staged
 
-__all__ = ["remove_tree", "shared_dir", "staged"]
+__all__ = ["remove_tree", "shared_dir", "staged", "write_staged"]
 
 #: The ASCII white space of the contracts, and the letters whose case is folded.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -25,18 +25,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Kept:
-    """Tables kept on the executors' disks while an operator runs; what is lost is made again from the tables before."""
+    """Tables that only live while an operator runs: on the executors' disks, or in the shared folder.
+
+    What is lost on an executor is made again from the tables before; what is staged survives and cuts
+    the lineage. release() gives both back, once the operator's result is written elsewhere.
+    """
 
     def __init__(self):
         self.tables: list[DataFrame] = []
+        self.paths: list[tuple[SparkSession, str]] = []
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.tables.append(df.persist(StorageLevel.DISK_ONLY))
         return self.tables[-1]
 
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = write_staged(df, name)
+        self.paths.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     def release(self) -> None:
         for df in self.tables:
             df.unpersist()
+        for spark, path in self.paths:
+            remove_tree(spark, path)
+        self.tables, self.paths = [], []
 
 
 def free_name(df: DataFrame, stem: str) -> str:

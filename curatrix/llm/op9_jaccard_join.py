@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE_BYTES, combine, mix64, staged, table, word_hashes
+from .common import NULL_ID, SPACE_BYTES, Kept, combine, mix64, staged, table, word_hashes
 from .components import connected_components
 
 WORDS = 5
@@ -51,6 +51,7 @@ LEVELS = (1, 2, 4, 8, 16)
 CANDIDATE_COST = 4.0  # of one expected candidate, in postings
 STAR_SHARE = 0.25  # of the shorter prefix that a hub pair must share to be verified early
 BLOCK_DOCS = 1024
+BROADCAST_IDS = 500_000  # 8 bytes each, before a join on ids moves texts
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -293,17 +294,22 @@ def _sets(words: int):
     return run
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, name: str) -> DataFrame:
+def small_side(ids: DataFrame) -> DataFrame:
+    """A table of ids as the side to broadcast, if it has been counted to be small; a shuffle joins it otherwise."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, keep: Kept) -> DataFrame:
     """Of the pairs (a, b) of class nodes, those whose whole sets link. texts: (doc, text)."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(nodes, "node", "left_semi")
-    some = texts.join(wanted.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select("text")
+    wanted = keep.stage(classes.join(nodes, "node", "left_semi"), "jaccard-wanted")
+    some = texts.join(small_side(wanted.select(F.col("rep").alias("doc")).distinct()), "doc", "left_semi").select("text")
     sets = some.mapInArrow(_sets(words), "n int, s1 bigint, s2 bigint, tokens array<bigint>")
-    sets = staged(sets.join(wanted, ["s1", "s2", "n"]).dropDuplicates(["node"]).select("node", "tokens"), f"{name}-sets")
+    sets = keep.stage(sets.join(wanted, ["s1", "s2", "n"]).dropDuplicates(["node"]).select("node", "tokens"), "jaccard-sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y")).cast("bigint")
     linked = (F.col("shared") > 0) & (100 * F.col("shared") >= THRESHOLD * (F.col("nx") + F.col("ny") - F.col("shared")))
-    return staged(both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), shared.alias("shared")).where(linked).select("a", "b"), f"{name}-links")
+    return keep.stage(both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), shared.alias("shared")).where(linked).select("a", "b"), "jaccard-links")
 
 
 # --- the join ------------------------------------------------------------------------------------
@@ -315,29 +321,29 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     doc is the id with NULL_ID for null; class_id is the smallest document with an equal set. n_links
     counts the links verified for the class, which are enough to connect its component.
     """
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, Kept()
     own = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
     counts = sketch(own, words)
     cast = spark.sparkContext.broadcast((counts, float(counts.mean())))
-    found = staged(own.mapInArrow(_documents(cast, words), _DOC), "jaccard-documents")
+    found = keep.stage(own.mapInArrow(_documents(cast, words), _DOC), "jaccard-documents")
     # A class that a third of all documents share is one row a task after partial aggregation.
     classes = found.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
     # A class is named by its smallest document, or by a hash where an id stands for several sets.
     turn = F.row_number().over(Window.partitionBy("rep").orderBy("s1", "s2", "n"))
-    classes = staged(classes.withColumn("turn", turn).withColumn("node", F.when(F.col("turn") == 1, F.col("rep")).otherwise(F.xxhash64("rep", "s1", "s2"))).drop("turn"), "jaccard-classes")
+    classes = keep.stage(classes.withColumn("turn", turn).withColumn("node", F.when(F.col("turn") == 1, F.col("rep")).otherwise(F.xxhash64("rep", "s1", "s2"))).drop("turn"), "jaccard-classes")
     whole = found.where("n > 0").join(classes, ["s1", "s2", "n"]).where("doc = rep").drop("doc").withColumnRenamed("node", "doc")
     # Rows that repeat are told apart no further: one stands for its class.
-    reps = whole.dropDuplicates(["doc"])
+    reps = whole.dropDuplicates(["s1", "s2", "n"])
     postings = reps.select("doc", "central", F.explode("prefix").alias("token"))
     spread = postings.repartition("token").sortWithinPartitions("token", "central", "doc")
-    lists = staged(spread.mapInArrow(_hubs, "hub bigint, token bigint, doc bigint"), "jaccard-lists")
-    stars = staged(lists.groupBy("hub", "doc").agg(F.count("*").alias("k")), "jaccard-stars")
-    facts = staged(whole.select("doc", "n", "p", "l", "end_count", "end_token").dropDuplicates(["doc"]), "jaccard-facts")
+    lists = keep.stage(spread.mapInArrow(_hubs, "hub bigint, token bigint, doc bigint"), "jaccard-lists")
+    stars = keep.stage(lists.groupBy("hub", "doc").agg(F.count("*").alias("k")), "jaccard-stars")
+    facts = keep.stage(reps.select("doc", "n", "p", "l", "end_count", "end_token"), "jaccard-facts")
     texts = own.dropDuplicates(["doc"]) if False else own
 
     sized = stars.where("hub <> doc").join(facts.select("doc", "n", "p"), "doc").join(facts.select(F.col("doc").alias("hub"), F.col("n").alias("hn"), F.col("p").alias("hp")), "hub")
     near = (100 * F.least("n", "hn") >= THRESHOLD * F.greatest("n", "hn")) & (F.col("k") >= F.greatest(F.lit(1), STAR_SHARE * F.least("p", "hp")))
-    first = verified(sized.where(near).select(F.col("hub").alias("a"), F.col("doc").alias("b")), classes, own, words, "jaccard-star")
+    first = verified(sized.where(near).select(F.col("hub").alias("a"), F.col("doc").alias("b")), classes, own, words, keep)
     provisional = connected_components(first)
 
     hubs = stars.groupBy("doc").agg(F.count("*").alias("hubs"), F.sum("k").alias("postings"))
@@ -356,26 +362,30 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     kinds = {"b1": "int", "b2": "int", "n": "int", "p": "int", "l": "int", "hubs": "int", "postings": "int"}
     member = member.select(*(F.col(c).cast(kinds.get(c, "bigint")).alias(c) for c in _MEMBER))
     cross = member.repartition("hub", "b1", "b2").sortWithinPartitions("hub", "b1", "b2").mapInArrow(_cross, "a bigint, b bigint")
-    second = verified(staged(cross.distinct(), "jaccard-cross"), classes, own, words, "jaccard-cross")
+    second = verified(keep.stage(cross.distinct(), "jaccard-cross"), classes, own, words, keep)
     all_links = first.union(second)
     components = connected_components(all_links)
     degree = all_links.select(F.col("a").alias("node")).union(all_links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.join(components, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("component", "node"))
     roots = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = staged(named.join(roots, "root").select("s1", "s2", "n", F.col("rep").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-labels")
-    return found.select("doc", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left").select(
+    labels = named.join(roots, "root").select("s1", "s2", "n", F.col("rep").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = found.select("doc", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left").select(
         "doc",
         F.col("n").cast("bigint").alias("n_shingles"),
         F.coalesce("class_id", "doc").alias("class_id"),
         F.coalesce("component_id", "doc").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
     )
+    out = staged(rows, "jaccard-components")
+    keep.release()
+    return out
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are the smallest of their component, with their columns as they were."""
-    kept = jaccard_components(docs, doc_id=doc_id, text=text).where("doc = component_id").select(F.col("doc").alias("_kept_doc")).distinct()
-    return docs.join(kept, F.coalesce(docs[doc_id].cast("bigint"), F.lit(NULL_ID)) == F.col("_kept_doc"), "left_semi")
+    # Most documents stay, so those that go are the smaller side.
+    gone = jaccard_components(docs, doc_id=doc_id, text=text).groupBy("doc").agg(F.max(F.col("doc") == F.col("component_id")).alias("first")).where("NOT first")
+    return docs.join(small_side(gone.select(F.col("doc").alias("_gone"))), F.coalesce(docs[doc_id].cast("bigint"), F.lit(NULL_ID)) == F.col("_gone"), "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
