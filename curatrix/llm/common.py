@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,18 @@ class Kept:
         self.tables, self.paths = [], []
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Smaller Arrow batches for the actions inside: texts are long, so the default number of rows is a lot of memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, whatever case rules apply."""
     taken = {c.lower() for c in df.columns}

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE_BYTES, Kept, combine, mix64, staged, table, word_hashes
+from .common import NULL_ID, SPACE_BYTES, Kept, arrow_rows, combine, mix64, staged, table, word_hashes
 from .components import connected_components
 
 WORDS = 5
@@ -51,6 +51,7 @@ LEVELS = (1, 2, 4, 8, 16)
 CANDIDATE_COST = 4.0  # of one expected candidate, in postings
 STAR_SHARE = 0.25  # of the shorter prefix that a hub pair must share to be verified early
 BLOCK_DOCS = 1024
+BATCH_ROWS = 1000
 BROADCAST_IDS = 500_000  # 8 bytes each, before a join on ids moves texts
 
 
@@ -321,11 +322,17 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     doc is the id with NULL_ID for null; class_id is the smallest document with an equal set. n_links
     counts the links verified for the class, which are enough to connect its component.
     """
+    # Every job runs before this returns, so the setting holds for them and for nothing else.
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, doc_id, text, words, block_docs)
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, words: int, block_docs: int) -> DataFrame:
     spark, keep = docs.sparkSession, Kept()
     own = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
     counts = sketch(own, words)
     cast = spark.sparkContext.broadcast((counts, float(counts.mean())))
-    found = keep.stage(own.mapInArrow(_documents(cast, words), _DOC), "jaccard-documents")
+    found = keep(own.mapInArrow(_documents(cast, words), _DOC))
     # A class that a third of all documents share is one row a task after partial aggregation.
     classes = found.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
     # A class is named by its smallest document, or by a hash where an id stands for several sets.
