@@ -35,7 +35,7 @@ from .common import free_name, mix64, table
 
 ALPHA = 1.0
 SEED = 20240501
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 700_000
 
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 
@@ -148,44 +148,45 @@ class Lattice:
                 m = h[at]
                 where = np.minimum(np.searchsorted(keys, m), len(keys) - 1)
                 ok = keys[where] == m
-                at, p = at[ok], piece[where[ok]]
+                at, p = at[ok].astype(np.int32), piece[where[ok]]
                 if length == 1:
                     single[at] = True
-                found.append((at, at + length, p.astype(np.int64), v.logp[p]))
+                found.append((at, length, p, v.logp[p]))
         single[ends] = True
-        rest = np.flatnonzero(~single)  # byte pieces, marked by -1 - code point
-        cp = code[rest].astype(np.int64)
+        rest = np.flatnonzero(~single).astype(np.int32)  # byte pieces, marked by -1 - code point
+        cp = code[rest].astype(np.int32)
         n_bytes = 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
-        found.append((rest, rest + 1, -1 - cp, n_bytes * v.logp[v.byte_id[0]]))
+        found.append((rest, 1, -1 - cp, n_bytes * v.logp[v.byte_id[0]]))
         self._filter(found[::-1])
 
     def _filter(self, found):
         """Weights of all paths to each node, then each edge's share of its node's.
 
-        found: (start, end, id, log weight) by length, the longest first, so that a node's likeliest
-        piece is mostly its first. No two edges of one length share an end.
+        found: (starts, length, ids, log weights) by length, the longest first, so that a node's
+        likeliest piece is mostly its first. No two edges of one length share an end.
         """
-        width = np.zeros(len(self.offset), np.int64)
-        for _, end, _, _ in found:
-            width[end] += 1
+        width = np.zeros(len(self.offset), np.int32)
+        for start, length, _, _ in found:
+            width[start + length] += 1
+        head = np.cumsum(width, dtype=np.int32) - width
         total = int(width.sum())
-        head = np.cumsum(width) - width
-        start, ids, weight = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        starts, ids, weight = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
         free = head.copy()
-        for s, end, i, w in found:
+        for start, length, i, w in found:
+            end = start + length
             at = free[end]
-            free[end] += 1
-            start[at], ids[at], weight[at] = s, i, w
-        # A weight of about 1 for each character keeps the sums near 1; they are scaled on the way.
-        weight = np.exp(weight + _SCALE * (np.repeat(np.arange(len(width)), width) - start))
+            free[end] = at + 1
+            # A weight of about 1 for each character keeps the sums near 1; they are scaled on the way.
+            starts[at], ids[at], weight[at] = start, i, np.exp(w + _SCALE * length)
         alpha = np.ones(len(width))
         share = np.empty(total)
+        ramp = np.arange(total, dtype=np.int32)
         for d in range(1, self.longest + 1):
             node = self.base[: self.count[d - 1]] + d
             k = width[node]
-            first = np.cumsum(k) - k
-            edge = np.arange(int(first[-1] + k[-1])) + np.repeat(head[node] - first, k)
-            x = weight[edge] * alpha[start[edge]]
+            first = np.cumsum(k, dtype=np.int32) - k
+            edge = ramp[: int(first[-1] + k[-1])] + np.repeat(head[node] - first, k)
+            x = weight[edge] * alpha[starts[edge]]
             sums = np.add.reduceat(x, first)
             share[edge] = x / np.repeat(sums, k)
             alpha[node] = sums
@@ -198,7 +199,7 @@ class Lattice:
         last = (head + width)[width > 0] - 1
         share -= np.repeat(np.concatenate(([0.0], share[last[:-1]])), width[width > 0])
         share[last] = 2.0
-        self.within, self.start, self.ids, self.head = share, start, ids, head
+        self.within, self.start, self.ids, self.head = share, starts, ids, head
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An incoming edge of each node, by its conditional probability."""
