@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx
 from ..functions.stats import composite
 from ..functions.text import strip_fences, token_set, unsafe_path, valid_name
+from ..staging import staged
 
 #: Required fields in the order they are checked, and their types.
 STRINGS = ("blueprint_version", "name", "description", "purpose")
@@ -193,7 +194,11 @@ def error_code(text: Column) -> Column:
 
 
 def item_codes(items: DataFrame, out: str = "codes") -> DataFrame:
-    """The codes of each item, by number; empty if it passes."""
+    """The codes of each item, by number; empty if it passes.
+
+    The items are written first: the optimiser would otherwise put the whole validation into every use of its errors.
+    """
+    items = staged(items, "items")
     l1 = F.coalesce("l1_parse", F.lit(False))
     l2 = F.coalesce("l2_valid", F.lit(False))
     more = F.array_compact(F.array(F.when(l2 & ~F.coalesce("l5_materialize", F.lit(False)), "E8"), F.when(l2 & (F.coalesce("name_em", F.lit(0.0)) == 0), "E9")))
