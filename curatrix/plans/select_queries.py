@@ -154,8 +154,8 @@ def exemplar_band(spark, sf):
 
 
 def sequence_matcher_near_dup(spark, sf):
-    b = t(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 120).alias("x"))
-    more = b.select((F.col("item_id") + 100000).alias("item_id"), F.concat(F.substring("x", 4, 200), F.lit("zz")).alias("x"))
+    b = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("x"))
+    more = b.select((F.col("item_id") + 100000).alias("item_id"), F.concat(F.expr("substring(x, 4)"), F.lit("zz")).alias("x"))
     return near_dup.sequence_near_dups(b.union(more), "item_id", "x")
 
 

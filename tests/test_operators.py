@@ -1,5 +1,6 @@
 """Operators against hand-computed cases and brute force in plain Python."""
 
+import itertools
 import json
 import random
 import re
@@ -148,6 +149,46 @@ def test_sequence_ratio_pairs(spark):
     assert {(r["a"], r["b"]) for r in near_dup.sequence_near_dups(df, "id", "t").collect()} == want
 
 
+def test_sequence_ratio_of_long_texts(spark):
+    import difflib
+
+    from curatrix.plans import registry
+
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    start = " ".join(r.choice(vocabulary) for _ in range(30))[:130]
+    made = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    base = made(60)
+    # Alike at the start only; alike as wholes only; letters so common that autojunk drops them; half copies.
+    texts = [start + made(40), start + made(40), "Another start of " + base, base, base[40:] + " tail", "ab" * 150, "ba" * 150, "ab" * 150 + "c", base[:200] + made(20), made(60)]
+    texts += [" ".join(w if r.random() > 0.06 else r.choice(vocabulary) for w in base.split()) for _ in range(6)]
+    assert sum(len(x) > 200 for x in texts) > 12
+    brute = lambda rows, **k: {(i, j, round(x, 9)) for i, a in rows for j, b in rows if i < j and (x := difflib.SequenceMatcher(None, a, b, **k).ratio()) > 0.8}
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    # Without autojunk the second pair would match too.
+    assert {p[:2] for p in brute(rows, autojunk=False)} - {p[:2] for p in want} >= {(2, 3)} and (0, 1) not in {p[:2] for p in want}
+    found = lambda df: {(x["a"], x["b"], round(x["ratio"], 9)) for x in df.collect()}
+    assert found(near_dup.sequence_near_dups(spark.createDataFrame(rows, "id bigint, t string"), "id", "t")) == want
+    items = [(x["item_id"], x["text"]) for x in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    items += [(i + 100000, x[3:] + "zz") for i, x in items]
+    assert any(len(x) > 200 for _, x in items)
+    assert found(registry.queries()["sequence_matcher_near_dup"](spark, "/root/testdata/sf0.001")) == brute(items)
+
+
+def test_common_subsequence():
+    def slow(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row = list(itertools.accumulate(range(len(y)), lambda left, j, old=row, a=a: old[j] + 1 if a == y[j] else max(old[j + 1], left), initial=0))
+        return row[-1]
+
+    r = random.Random(2)
+    for _ in range(200):
+        x, y = ("".join(r.choice("abc漢") for _ in range(r.randrange(12))) for _ in range(2))
+        assert near_dup.common_subsequence(x, y) == slow(x, y), (x, y)
+
+
 def test_deals(spark):
     sizes = {"train": 8, "val": 1, "test": 1}
     assert splits.pattern({"train": 800, "val": 100, "test": 100}) == ["train"] * 8 + ["val", "test"]
