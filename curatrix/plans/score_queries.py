@@ -155,6 +155,12 @@ def repair_loop_status(spark, sf):
     return assemble.attempt_status(e)
 
 
+def repair_loop_requests(spark, sf):
+    """As repair_loop_status over all events: four attempts a request, so requests grow with the table and every fourth attempt is over the limit."""
+    e = t(spark, sf, "events").select(F.floor(F.col("event_id") / 4).cast("bigint").alias("request_id"), (F.col("event_id") % 4 + 1).alias("attempt"), F.col("props").alias("output"), (F.col("event_type") == "purchase").alias("valid"), (F.col("event_type") == "error").alias("failed"))
+    return assemble.attempt_status(e)
+
+
 def repair_prompt(spark, sf):
     e = t(spark, sf, "events").select("event_id", assemble.repair_text(F.col("event_type"), F.col("props"), F.array(F.lit("first"), F.col("event_type"))).alias("x"))
     return e.select("event_id", F.md5("x").alias("prompt_md5"))
@@ -203,7 +209,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_parse_rate, schema_errors, field_scores, materialise_check, composite_score, failure_taxonomy, item_failures, blueprint_stats, files_histogram, files_mode, paired_counts, mcnemar_exact, mcnemar_table, wilson_ci,
-        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, repair_prompt, config_diff, key_difference, missing_cases, degraded_output, input_guard, run_drop, judge_replies,
+        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, repair_loop_requests, repair_prompt, config_diff, key_difference, missing_cases, degraded_output, input_guard, run_drop, judge_replies,
     )
 }
 
@@ -252,6 +258,12 @@ ORACLE_SQL = {
       f AS (SELECT *, CASE WHEN g IS NOT NULL AND (b IS NULL OR g < b) THEN 200 WHEN b IS NOT NULL THEN 502 ELSE 422 END AS status FROM g)
       SELECT f.r AS request_id, status, CAST(CASE status WHEN 200 THEN g WHEN 502 THEN b ELSE n END AS BIGINT) AS n_attempts, CASE status WHEN 502 THEN NULL ELSE left(s.props, 2000) END AS output
       FROM f JOIN s ON s.r = f.r AND s.a = CASE status WHEN 200 THEN g ELSE n END""",
+    "repair_loop_requests": """
+      WITH e AS (SELECT event_id // 4 AS r, event_id % 4 + 1 AS a, props, event_type FROM events), s AS (SELECT * FROM e WHERE a <= 3),
+      g AS (SELECT r, min(CASE WHEN event_type = 'purchase' THEN a END) AS g, min(CASE WHEN event_type = 'error' THEN a END) AS b, max(a) AS n FROM s GROUP BY r),
+      f AS (SELECT *, CASE WHEN g IS NOT NULL AND (b IS NULL OR g < b) THEN 200 WHEN b IS NOT NULL THEN 502 ELSE 422 END AS status FROM g)
+      SELECT f.r AS request_id, status, CAST(CASE status WHEN 200 THEN g WHEN 502 THEN b ELSE n END AS BIGINT) AS n_attempts, CASE status WHEN 200 THEN s.props WHEN 422 THEN left(s.props, 2000) END AS output
+      FROM f JOIN s ON s.r = f.r AND s.a = CASE status WHEN 200 THEN g ELSE n END""",
     "repair_prompt": "SELECT event_id, md5(event_type || chr(10) || chr(10) || 'Your previous output was rejected by the Skill Blueprint validator. Previous output:' || chr(10) || props || chr(10) || chr(10) || 'Validation errors:' || chr(10) || '- first' || chr(10) || '- ' || event_type || chr(10) || chr(10) || 'Fix ALL of these errors and output ONLY a valid JSON Skill Blueprint. No explanations, no markdown fences.') AS prompt_md5 FROM events",
     "config_diff": "SELECT 'train.lr' AS key, '0.1' AS value_a, '0.2' AS value_b",
     "key_difference": "SELECT event_id, CASE WHEN json_exists(props, '$.k') THEN 'missing' ELSE 'k,missing' END AS missing_keys FROM events",

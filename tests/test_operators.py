@@ -255,6 +255,29 @@ def test_attempts(spark):
     assert [r[0] for r in fake.collect()] == ["x", "y", "y"]
 
 
+def test_attempts_of_all_events(spark):
+    from curatrix.plans import registry
+
+    folder = "/root/testdata/sf0.01"
+    requests = {}
+    for e in spark.read.parquet(f"{folder}/events.parquet").collect():
+        requests.setdefault(e["event_id"] // 4, {})[e["event_id"] % 4 + 1] = e
+    want = {}
+    for k, tries in requests.items():
+        for a in sorted(tries):
+            if a > 3:
+                break
+            if tries[a]["event_type"] == "error":
+                want[k] = (502, a, None)
+                break
+            if tries[a]["event_type"] == "purchase":
+                want[k] = (200, a, tries[a]["props"])
+                break
+            want[k] = (422, a, tries[a]["props"] and tries[a]["props"][:2000])
+    assert len(want) == 2500
+    assert {r["request_id"]: (r["status"], r["n_attempts"], r["output"]) for r in registry.queries()["repair_loop_requests"](spark, folder).collect()} == want
+
+
 def test_masking(spark):
     df = spark.createDataFrame([("p", "p a\n<|im_end|>\n"), ("q", "p a<|im_end|>"), ("p", "p a")], "pr string, full string")
     ids, labels = prep.example(prep.regex_tokens(F.col("full")), prep.regex_tokens(F.col("pr")))
