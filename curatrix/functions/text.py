@@ -122,16 +122,20 @@ def first_paragraph(col: Column) -> Column:
 
 def section_items(col: Column, patterns: tuple[str, ...]) -> Column:
     """Items and plain lines under the first heading that matches, up to the next heading."""
-    lines = F.transform(F.split(col, "\n"), strip)
-    heads = F.transform(lines, lambda x: x.startswith("#"))
+    # A transform over one element computes its value once, however often it is used.
+    once = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+    none = F.array().cast("array<string>")
     title = lambda x: F.lower(strip(F.regexp_replace(x, "^#+", "")))
-    hits = F.transform(lines, lambda x: x.startswith("#") & title(x).rlike("|".join(patterns)))
-    at = F.array_position(hits, True).cast("int")
-    rest = F.slice(lines, at + 1, F.size(lines))
-    stop = F.array_position(F.slice(heads, at + 1, F.size(lines)), True).cast("int")
-    inside = F.when(stop > 0, F.slice(rest, 1, stop - 1)).otherwise(rest)
-    item = F.transform(inside, lambda x: strip(F.regexp_replace(x, r"^(?:[-*]\s+|\d+[.)]\s+)", "")))
-    return F.when(at > 0, F.filter(item, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+
+    def inside(lines, at):
+        rest = F.slice(lines, at + 1, F.size(lines))
+        stop = F.array_position(F.transform(rest, lambda x: x.startswith("#")), True).cast("int")
+        kept = once(stop, lambda n: F.when(n > 0, F.slice(rest, 1, n - 1)).otherwise(rest))
+        item = F.transform(kept, lambda x: strip(F.regexp_replace(x, r"^(?:[-*]\s+|\d+[.)]\s+)", "")))
+        return F.when(at > 0, F.filter(item, lambda x: x != "")).otherwise(none)
+
+    head = lambda x: F.when(x.startswith("#"), title(x).rlike("|".join(patterns))).otherwise(False)
+    return once(F.transform(F.split(col, "\n"), strip), lambda lines: once(F.array_position(F.transform(lines, head), True).cast("int"), lambda at: inside(lines, at)))
 
 
 def file_purpose(path: Column) -> Column:

@@ -112,14 +112,23 @@ def few_shot_messages(spark, sf):
     return b.select("item_id", F.size(m).cast("bigint").alias("n_messages"), F.md5(text.chatml(m)).alias("prompt_md5"))
 
 
-def training_messages(spark, sf):
+def _training_messages(spark, sf, instruction):
     d = t(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("context"))
-    m = prep.messages(F.substring("text", 1, 100), F.col("context"), F.concat(F.lit('{"n":'), F.col("doc_id"), F.lit("}")), system="be brief")
+    m = prep.messages(instruction, F.col("context"), F.concat(F.lit('{"n":'), F.col("doc_id"), F.lit("}")), system="be brief")
     return d.select("doc_id", F.md5(text.chatml(m)).alias("messages_md5"))
 
 
-def assistant_mask(spark, sf):
-    d = t(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("ask"), F.substring("text", 30, 90).alias("answer"))
+def training_messages(spark, sf):
+    return _training_messages(spark, sf, F.substring("text", 1, 100))
+
+
+def training_messages_whole(spark, sf):
+    """As training_messages, the whole text as instruction."""
+    return _training_messages(spark, sf, F.col("text"))
+
+
+def _assistant_mask(spark, sf, ask, answer):
+    d = t(spark, sf, "benchmark").select("item_id", ask.alias("ask"), answer.alias("answer"))
     m = [text.message("system", F.lit("be brief")), text.message("user", F.col("ask"))]
     p = F.concat(text.chatml(F.array(*m)), F.lit("<|im_start|>assistant\n"))
     ids, labels = prep.example(prep.regex_tokens(text.chatml(F.array(*m, text.message("assistant", F.col("answer"))))), prep.regex_tokens(p))
@@ -128,6 +137,15 @@ def assistant_mask(spark, sf):
     return d.select("item_id", n("ids").alias("n_tokens"), n(F.filter("labels", lambda x: x != "-100")).alias("n_trained"), (prep.unmasked(F.col("ids"), F.col("labels")) == F.concat("answer", F.lit("<|im_end|>"))).alias("verified"))
 
 
+def assistant_mask(spark, sf):
+    return _assistant_mask(spark, sf, F.substring("text", 1, 60), F.substring("text", 30, 90))
+
+
+def assistant_mask_whole(spark, sf):
+    """As assistant_mask, the whole text as question and as answer."""
+    return _assistant_mask(spark, sf, F.col("text"), F.col("text"))
+
+
 def adapter_parameters(spark, sf):
     p = t(spark, sf, "part").select("p_partkey", F.col("p_size").alias("d_in"), (F.col("p_size") * 2).alias("d_out"))
     return prep.parameter_count(p, 16, 28).select("p_partkey", "adapter_params")
@@ -141,7 +159,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         length_profile, length_stats_total, length_nearest_index, truncation_report, length_report, domain_counts, domain_split_pivot, top10_longest, top10_of_splits, length_histogram, length_filter,
-        prepare_stats, select_shortest, select_first, char_vocabulary, context_windows, chatml_render, token_lengths, few_shot_messages, training_messages, assistant_mask, adapter_parameters, length_recommendation,
+        prepare_stats, select_shortest, select_first, char_vocabulary, context_windows, chatml_render, token_lengths, few_shot_messages, training_messages, training_messages_whole, assistant_mask, assistant_mask_whole, adapter_parameters, length_recommendation,
     )
 }
 
@@ -188,3 +206,6 @@ ORACLE_SQL = {
     "adapter_parameters": "SELECT p_partkey, CAST(16 * (p_size + p_size * 2) * 28 AS BIGINT) AS adapter_params FROM part",
     "length_recommendation": "SELECT p_partkey, CAST(CASE WHEN p_size < 16 OR p_size % 10 < 7 THEN 2048 ELSE 8192 END AS BIGINT) AS max_seq_length FROM part",
 }
+# The same over whole texts.
+ORACLE_SQL["training_messages_whole"] = ORACLE_SQL["training_messages"].replace("substr(text, 1, 100)", "text")
+ORACLE_SQL["assistant_mask_whole"] = ORACLE_SQL["assistant_mask"].replace("substr(text, 30, 90)", "text").replace("substr(text, 1, 60)", "text")

@@ -87,20 +87,38 @@ def domain_classify(spark, sf):
     return p.select("p_partkey", select.domain(F.col("repo"), F.col("rel"), name, repo_domains={"Brand#21": "sales", "Brand#3": "sales"}, category_repos=brands).alias("domain"))
 
 
-def front_matter_sections(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("x"))
-    main = F.concat(F.lit("---\nname: doc-"), F.col("doc_id"), F.lit("\ndescription: one two\n---\n# Title\n\n"), F.regexp_replace("x", "[\\s#*-]+", " "), F.lit("\n\n## When to use\n- first\n* second\n1. third\nplain\n\n## When not to use\n- never\n"))
+def _front_matter_sections(spark, sf, content):
+    d = t(spark, sf, "documents").select("doc_id", content.alias("x"))
+    main = F.concat(F.lit("---\nname: doc-"), F.col("doc_id"), F.lit("\ndescription: one two\n---\n# Title\n\n"), F.col("x"), F.lit("\n\n## When to use\n- first\n* second\n1. third\nplain\n\n## When not to use\n- never\n"))
     d = d.withColumn("main", main).withColumn("b", text.body(main))
     return d.select("doc_id", text.front_matter_field(F.col("main"), "name").alias("name"), F.array_join(text.section_items(F.col("b"), text.WHEN_USE), "|").alias("use"), F.array_join(text.section_items(F.col("b"), text.WHEN_NOT), "|").alias("not_use"), F.md5(text.first_paragraph(F.col("b"))).alias("paragraph_md5"))
 
 
-def assemble_errors(spark, sf):
+def front_matter_sections(spark, sf):
+    return _front_matter_sections(spark, sf, F.regexp_replace(F.substring("text", 1, 200), "[\\s#*-]+", " "))
+
+
+def front_matter_sections_whole(spark, sf):
+    """As front_matter_sections, the whole text with its own lines as the body."""
+    return _front_matter_sections(spark, sf, F.col("text"))
+
+
+def _assemble_errors(spark, sf, instruction, description):
     d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("_pos"), F.col("lang").alias("domain"), F.col("source").alias("repo"), "text")
-    ins = d.where("id % 11 <> 0").select("id", F.substring("text", 1, 60).alias("instruction"))
-    bps = d.where("id % 7 <> 0").select("id", F.substring("text", 5, 25).alias("description"), F.lit("{}").alias("blueprint"))
+    ins = d.where("id % 11 <> 0").select("id", instruction.alias("instruction"))
+    bps = d.where("id % 7 <> 0").select("id", description.alias("description"), F.lit("{}").alias("blueprint"))
     return assemble.assemble(d.drop("text"), ins, bps)[1].select("id", "error")
 
 
+def assemble_errors(spark, sf):
+    return _assemble_errors(spark, sf, F.substring("text", 1, 60), F.substring("text", 5, 25))
+
+
+def assemble_errors_whole(spark, sf):
+    """As assemble_errors, the whole text as instruction and all of it from the fifth character on as description."""
+    return _assemble_errors(spark, sf, F.col("text"), F.expr("substring(text, 5)"))
+
+
 def near_dup_pairs(spark, sf):
     return near_dup.near_dup_pairs(t(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -171,8 +189,8 @@ def cache_filter(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_dedup, stratified_quota_sample, quota_shortfall, exclusion_antijoin, licence_classify, document_licence, name_normalise, name_validity, path_safety, repo_slugs, domain_classify, front_matter_sections,
-        assemble_errors, near_dup_pairs, near_dup_clusters, exact_dup_collapse, majority_domain, proportional_split, capacity_deal, balanced_shards, split_manifest_hash, leakage_check, exemplar_band, sequence_matcher_near_dup, skip_counters, cache_filter,
+        canonical_dedup, stratified_quota_sample, quota_shortfall, exclusion_antijoin, licence_classify, document_licence, name_normalise, name_validity, path_safety, repo_slugs, domain_classify, front_matter_sections, front_matter_sections_whole,
+        assemble_errors, assemble_errors_whole, near_dup_pairs, near_dup_clusters, exact_dup_collapse, majority_domain, proportional_split, capacity_deal, balanced_shards, split_manifest_hash, leakage_check, exemplar_band, sequence_matcher_near_dup, skip_counters, cache_filter,
     )
 }
 
@@ -233,3 +251,5 @@ ORACLE_SQL = {
       SELECT CASE WHEN doc_id % 13 = 0 THEN 'excluded' WHEN stub THEN 'stub:' || source WHEN own NOT IN {_PERM} AND doc_id % 2 <> 0 THEN source ELSE 'pool' END AS reason, count(*) AS n FROM d GROUP BY 1""",
     "cache_filter": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
+# The same over whole texts.
+ORACLE_SQL["assemble_errors_whole"] = ORACLE_SQL["assemble_errors"].replace("substr(text, 1, 60)", "text").replace("substr(text, 5, 25)", "substr(text, 5)")

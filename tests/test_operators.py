@@ -224,6 +224,47 @@ def test_assembly(spark):
     assert assemble.gate(records, errors.limit(0)).count() == 4
 
 
+def test_sections_of_whole_documents(spark):
+    import hashlib
+
+    from curatrix.plans import registry
+
+    folder = "/root/testdata/sf0.01"
+
+    def paragraph(body):
+        for chunk in re.split(r"\n\s*\n", body):
+            chunk = chunk.strip()
+            if chunk and not chunk.startswith(("#", "---")):
+                return re.sub(r"\s+", " ", chunk)[:500]
+        return ""
+
+    def items(body, patterns):
+        inside, out = False, []
+        for line in map(str.strip, body.splitlines()):
+            if line.startswith("#"):
+                if inside:
+                    break
+                inside = any(re.search(p, line.lstrip("#").strip().lower()) for p in patterns)
+            elif inside and line:
+                out.append(re.sub(r"^(?:[-*]\s+|\d+[.)]\s+)", "", line).strip())
+        return "|".join(filter(None, out))
+
+    want, long = {}, 0
+    for d in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        body = f"# Title\n\n{d['text']}\n\n## When to use\n- first\n* second\n1. third\nplain\n\n## When not to use\n- never\n"
+        long += len(paragraph(body)) == 500
+        want[d["doc_id"]] = (f"doc-{d['doc_id']}", items(body, ("when to use", "use cases?", "triggers?", "activat")), items(body, ("when not to use", "don'?t use", "limitations?", "out of scope", "not suitable", "avoid when")), hashlib.md5(paragraph(body).encode()).hexdigest())
+    assert long > 0
+    assert {r["doc_id"]: (r["name"], r["use"], r["not_use"], r["paragraph_md5"]) for r in registry.queries()["front_matter_sections_whole"](spark, folder).collect()} == want
+
+
+def test_whole_texts_are_instructions(spark):
+    from curatrix.plans import registry
+
+    texts = [r["text"].strip() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").where("doc_id % 11 <> 0 and doc_id % 7 <> 0").collect()]
+    assert registry.queries()["assemble_errors_whole"](spark, "/root/testdata/sf0.01").where("error = 'duplicate instruction'").count() == len(texts) - len(set(texts))
+
+
 def test_conversion_and_repair(spark):
     main = "---\nname: Wrong_Name\ndescription: short\n---\n# T\n\nDoes things.\n\n## When to use\n- now\n"
     rows = [("own_repo", "my_dir", main, [("SKILL.md", main), ("assets/x.png", None)])]
