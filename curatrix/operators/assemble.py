@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, text
+from . import near_dup
 
 
 def assemble(selection: DataFrame, instructions: DataFrame, blueprints: DataFrame, *, min_chars: int = 40, verbatim_over: int = 20) -> tuple[DataFrame, DataFrame]:
     """(records, errors) from selection (id, _pos, domain, repo), instructions (id, instruction), blueprints (id, description, blueprint).
 
     Rows without a blueprint or an instruction give one error and are checked no further; the others
-    are tested for length, for an equal earlier instruction and for copying the description.
+    are tested for length, for an equal earlier instruction and for copying the description. These are
+    the tests of texts; build() has all that a dataset must pass.
     """
     j = selection.join(blueprints, "id", "left").join(instructions.select("id", text.strip(F.col("instruction")).alias("instruction")), "id", "left")
     whole = F.col("blueprint").isNotNull() & F.col("instruction").isNotNull()
@@ -30,8 +32,34 @@ def assemble(selection: DataFrame, instructions: DataFrame, blueprints: DataFram
     return records, checked.select("id", "_pos", F.explode("errors").alias("error"))
 
 
+def build(selection: DataFrame, instructions: DataFrame, blueprints: DataFrame, *, threshold: float = 0.8, **limits) -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of a dataset: those of assemble(), with the checks of blueprints and of near-duplicate instructions.
+
+    blueprints also has provenance; it and blueprint are JSON text or structs. A blueprint that is no JSON has
+    neither name nor files. All pairs of records are compared, in their order; a pair is an error of its first.
+    """
+    kinds = dict(blueprints.dtypes)
+    b = blueprints.withColumns({c: F.to_json(c) for c in ("blueprint", "provenance") if kinds[c].startswith("struct")})
+    records, errors = assemble(selection, instructions, b, **limits)
+    bp, prov = jsonx.parsed(F.col("expected_blueprint")), jsonx.parsed(F.col("provenance"))
+    r = records.withColumn("id", F.col("metadata.id")).join(b.select("id", "provenance"), "id").withColumns({"_bp": bp, "_prov": prov})
+    name = F.coalesce(jsonx.string(F.col("_bp"), "$.name"), F.lit(""))
+    tests = F.array(
+        F.when(~jsonx.is_object(F.col("_prov")), "missing provenance"),
+        F.when(F.size(jsonx.elements(F.col("_prov"), "$.validation_errors")) > 0, "blueprint validation errors"),
+        F.when(~text.valid_name(name), F.concat(F.lit("invalid name '"), name, F.lit("'"))),
+        F.when(F.size(jsonx.elements(F.col("_bp"), "$.files")) == 0, "no files"),
+    )
+    faults = r.select("id", "_pos", F.explode(F.array_compact(tests)).alias("error"))
+    at = lambda i, pos: records.select(F.col("_pos").alias(pos), F.col("metadata.id").alias(i))
+    pairs = near_dup.sequence_near_dups(records, "_pos", "instruction", threshold).join(at("id", "a"), "a").join(at("other", "b"), "b")
+    near = pairs.select("id", F.col("a").alias("_pos"), F.concat(F.lit("near-dup: "), F.col("id"), F.lit(" <-> "), F.col("other")).alias("error"))
+    whole = r.select("_pos", "instruction", "expected_blueprint", F.col("metadata").withField("provenance", F.col("provenance")).alias("metadata"))
+    return whole, errors.unionByName(faults).unionByName(near)
+
+
 def gate(records: DataFrame, errors: DataFrame, show: int = 30) -> DataFrame:
-    """The records, or a failure with the first errors: all or nothing."""
+    """The records, or a failure with the first errors: all or nothing. A dataset passes with both as of build()."""
     first = [f"{r['id']}: {r['error']}" for r in errors.orderBy("_pos", "error").limit(show).collect()]
     if first:
         raise ValueError("\n".join(first))

@@ -119,6 +119,17 @@ def assemble_errors_whole(spark, sf):
     return _assemble_errors(spark, sf, F.col("text"), F.expr("substring(text, 5)"))
 
 
+def dataset_errors(spark, sf):
+    """All checks of a dataset over whole benchmark texts and shifted copies of them, with faults in blueprints by id."""
+    b = t(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    d = b.union(b.select(F.col("id") + 100000, F.concat(F.expr("substring(text, 4)"), F.lit("zz")))).withColumn("_pos", F.col("id"))
+    when = lambda k, bad, good: F.when(F.col("id") % 5 == k, bad).otherwise(F.lit(good))
+    blueprint = F.concat(F.lit('{"name":"'), when(1, "Item_", "item-"), F.col("id"), F.lit('","description":"d","files":'), when(2, "[]", '[{"path":"SKILL.md"}]'), F.lit("}"))
+    bps = d.select("id", F.lit("d").alias("description"), blueprint.alias("blueprint"), F.concat(F.lit('{"validation_errors":'), when(3, '["x"]', "[]"), F.lit("}")).alias("provenance"))
+    sel = d.select("id", "_pos", F.lit("d").alias("domain"), F.lit("r").alias("repo"))
+    return assemble.build(sel, d.select("id", F.col("text").alias("instruction")), bps)[1].select("id", "error")
+
+
 def near_dup_pairs(spark, sf):
     return near_dup.near_dup_pairs(t(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -190,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_dedup, stratified_quota_sample, quota_shortfall, exclusion_antijoin, licence_classify, document_licence, name_normalise, name_validity, path_safety, repo_slugs, domain_classify, front_matter_sections, front_matter_sections_whole,
-        assemble_errors, assemble_errors_whole, near_dup_pairs, near_dup_clusters, exact_dup_collapse, majority_domain, proportional_split, capacity_deal, balanced_shards, split_manifest_hash, leakage_check, exemplar_band, sequence_matcher_near_dup, skip_counters, cache_filter,
+        assemble_errors, assemble_errors_whole, dataset_errors, near_dup_pairs, near_dup_clusters, exact_dup_collapse, majority_domain, proportional_split, capacity_deal, balanced_shards, split_manifest_hash, leakage_check, exemplar_band, sequence_matcher_near_dup, skip_counters, cache_filter,
     )
 }
 

@@ -224,6 +224,38 @@ def test_assembly(spark):
     assert assemble.gate(records, errors.limit(0)).count() == 4
 
 
+def test_dataset_checks(spark):
+    import difflib
+
+    from curatrix.plans import registry
+
+    words = ("please build a report of weekly sales figures for the finance team", "translate customer letters into plain English and keep their tone", "summarise long meeting notes into decisions and open questions")
+    texts = [words[0], words[1], words[2], words[0] + " now", words[1].upper()]
+    sel = spark.createDataFrame([(k, i, "d", "r") for i, k in enumerate("edcba")], "id string, _pos bigint, domain string, repo string")
+    ins = spark.createDataFrame(list(zip("edcba", texts, strict=True)), "id string, instruction string")
+    good, files = {"name": "my-skill", "files": [{"path": "SKILL.md"}]}, [{"path": "SKILL.md"}]
+    faults = [(good, {}), (good, {"validation_errors": ["x"]}), ({"name": "a--b", "files": files}, {"validation_errors": []}), (good | {"files": []}, {}), (good, {})]
+    bps = spark.createDataFrame([(k, "x", json.dumps(b), json.dumps(p)) for k, (b, p) in zip("edcba", faults, strict=True)], "id string, description string, blueprint string, provenance string")
+    records, errors = assemble.build(sel, ins, bps)
+    assert sorted(tuple(r) for r in errors.collect()) == [("b", 3, "no files"), ("c", 2, "invalid name 'a--b'"), ("d", 1, "blueprint validation errors"), ("e", 0, "near-dup: e <-> b")]
+    with pytest.raises(ValueError, match="near-dup: e <-> b"):
+        assemble.gate(records, errors)
+    only = lambda *ids: assemble.build(sel.where(F.col("id").isin(*ids)), ins, bps)
+    assert [r["metadata"]["id"] for r in assemble.gate(*only("e", "a")).orderBy("_pos").collect()] == ["e", "a"]
+    assert [r["error"] for r in assemble.build(sel.where("id = 'a'"), ins, bps.withColumn("blueprint", F.lit("{")))[1].orderBy("error").collect()] == ["invalid name ''", "no files"]
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    items += [(i + 100000, x[3:] + "zz") for i, x in items]
+    want, seen = [], set()
+    for i, x in items:
+        x = x.strip()
+        want += [(i, "instruction too short")] * (len(x) < 40) + [(i, "duplicate instruction")] * (x in seen)
+        seen.add(x)
+        want += [[], [(i, f"invalid name 'Item_{i}'")], [(i, "no files")], [(i, "blueprint validation errors")], []][i % 5]
+        want += [(i, f"near-dup: {i} <-> {j}") for j, y in items if i < j and difflib.SequenceMatcher(None, x, y.strip()).ratio() > 0.8]
+    assert sorted(tuple(r) for r in registry.queries()["dataset_errors"](spark, "/root/testdata/sf0.001").collect()) == sorted(want)
+
+
 def test_sections_of_whole_documents(spark):
     import hashlib
 
