@@ -9,6 +9,9 @@ other. The trees are trained here on made pages whose layout is known.
 Defined results
 - a null or empty page, and one without an article, has the empty text; rows that repeat repeat;
 - `br` is white space; unclosed and misnested elements are closed as browsers do for blocks;
+- script, style, textarea, iframe and title are read raw and skipped, to the end of the page if never
+  closed (an unclosed title holds nothing); all else, math, svg, object, canvas, noscript, template and
+  select included, is parsed, and the trees alone judge it;
 - very deep or long pages are parsed in full, without recursion; an empty table gives an empty result;
 - columns of the input are carried along.
 """
@@ -31,15 +34,15 @@ _ATTR = re.compile(r"""\b(id|class|role|aria-label|data-y)\s*=\s*(?:"([^"]*)"|'(
 _WORD = re.compile(r"[a-z]+")
 
 #: HTML elements by how they are parsed.
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas select head title".split())
+RAW = frozenset("script style textarea iframe title".split())
 BLOCK = frozenset(
     "html body div p article main section aside header footer nav form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption "
-    "h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr dialog menu center button label".split()
+    "h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr dialog menu center button label select optgroup option".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-SCOPE = frozenset("ul ol dl table body html".split())
-LEAFY = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address summary button label".split())
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
+SCOPE = frozenset("ul ol dl table body html select".split())
+LEAFY = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address summary button label option".split())
 
 #: Attribute tokens by what they announce.
 TOKENS = {
@@ -114,9 +117,9 @@ class Page:
                 continue
             self.tags[stack[-1]] += 1
             if name in RAW:
-                end = re.compile(f"</{name}[^>]*>", re.I).search(source, at) if not m[3].endswith("/") else None
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at) if not m[3].endswith("/") else None
                 at = end.end() if end else (at if m[3].endswith("/") else n)
-                if name in ("head", "title") and not end:
+                if name == "title" and not end:
                     at = m.end()
             elif name == "a":
                 in_link = 1
@@ -139,7 +142,7 @@ class Page:
                 if name in ("html", "body"):
                     self.groups[0] |= groups
                     continue
-                if self.tag[stack[-1]] == "p" and name not in ("button", "label") or self.tag[stack[-1]][0] == "h" and self.tag[stack[-1]] in LEAFY and name in LEAFY:
+                if self.tag[stack[-1]] == "p" and name not in ("button", "label", "select") or self.tag[stack[-1]][0] == "h" and self.tag[stack[-1]] in LEAFY and name in LEAFY:
                     stack.pop()
                 if name in CLOSES:
                     for k in range(len(stack) - 1, 0, -1):

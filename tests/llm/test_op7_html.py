@@ -69,6 +69,25 @@ def test_odd_pages(trees):
     assert got[4] == "" and isinstance(got[5], str) and got[6] == ""
 
 
+def test_nothing_is_skipped_but_raw_text(trees):
+    prose = "Some words of an article, long enough to be one. More of them follow here, and again."
+    body = lambda x: f"<html><head><title>no</title></head><body><article><h1>Title</h1><p>{prose}</p>{x}<p>{prose} Last.</p></article></body></html>"
+    for name in ("math", "object", "canvas", "svg", "noscript", "template"):
+        for end in (f"</{name}>", ""):
+            [got] = main(trees, body(f"<p>Before it, <{name}><b>inner</b>{end} and after it.</p>"))
+            assert "Before it, inner and after it." in got and got.count(prose) == 2, (name, end, got)
+    # Each option is a node, and an unclosed select ends with what holds it.
+    page = op.Page(body("<div><select><option>One<option>Two</div>"))
+    assert [s for _, s in page.runs] == ["Title", prose, "One", "Two", f"{prose} Last."]
+    assert [page.tag[n] for n, s in page.runs if s in ("One", "Two")] == ["option", "option"]
+    # No </head>, and a header further down; names that only begin like a raw element's.
+    [got] = main(trees, f"<html><head><title>no</title><body><article><p>{prose} First.</p><header><h1>Title</h1></header><p>{prose}</p></article>")
+    assert "First." in got and "no" not in got.split("\n")
+    [got] = main(trees, body("<script>var a = '</scripts>'; secret()</script>"))
+    assert "secret" not in got and got.count(prose) == 2
+    assert "hidden" not in main(trees, body("<style>hidden"))[0]
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "a"), (2, None, None, "b"), (1, "u", PAGE, "c")], "page_id bigint, url string, html string, text string")
     rows = op.main_text(df).collect()
