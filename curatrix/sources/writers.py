@@ -36,16 +36,54 @@ def blueprints(df: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table; reports hold aggregates, so rows are few."""
+    """A small result of aggregates as a Markdown table; lists of items are for failure_lines()."""
     rows = df.limit(most).collect()
     cells = [df.columns, ["---"] * len(df.columns), *([f"{x:.4f}" if isinstance(x, float) else str(x) for x in r] for r in rows)]
     return "\n".join("| " + " | ".join(c) + " |" for c in cells)
 
 
-def failures_report(counts: DataFrame, worst: DataFrame, regressions: DataFrame, new_failures: DataFrame) -> str:
-    """The failure report: counts by code, worst items, regressions, new failures."""
-    parts = (("Counts", counts), ("Worst", worst), ("Regressions", regressions), ("New failures", new_failures))
-    return "\n\n".join(f"## {title}\n\n{markdown_table(df)}" for title, df in parts) + "\n"
+def failure_lines(counts: DataFrame, worst: DataFrame, regressions: DataFrame | None = None, new_failures: DataFrame | None = None, best: DataFrame | None = None) -> DataFrame:
+    """(section, place, key, value): the failure report by line, with a count and every item of each section.
+
+    counts is a small table of aggregates. Of the others the first column is the id, the rest is told behind
+    it; a section that is None was not compared. Lines in the order of section, place, key and value are the report.
+    """
+    spark = counts.sparkSession
+    schema = "section int, place int, key string, value string"
+    heads, out = [], None
+    parts = (("Best", best), ("Worst", worst), ("Regressions", regressions), ("New failures", new_failures))
+    table = ["## Counts", "", *markdown_table(counts).split("\n")]
+    # One row for each line of the table and head of a section.
+    heads += [(0, i, "", x) for i, x in enumerate(table)]
+    for k, (title, df) in enumerate(parts, 1):
+        heads += [(k, 0, "", ""), (k, 1, "", f"## {title}"), (k, 2, "", "")]
+        if df is None:
+            heads.append((k, 3, "", "No comparison run provided."))
+            continue
+        told = lambda c, kind: F.array_join(F.col(c).cast("array<string>"), ", ") if kind.startswith("array") else F.format_string("%.4f", c) if kind in ("float", "double") else F.col(c).cast("string")
+        first, *rest = (F.coalesce(told(*x), F.lit("None")) for x in df.dtypes)
+        line = F.concat(F.lit("- `"), first, F.lit("`"), *([F.lit(" — "), F.concat_ws(", ", *rest)] if rest else []))
+        rows = df.select(F.lit(k).alias("section"), F.lit(5).alias("place"), first.alias("key"), line.alias("value"))
+        count = df.agg(F.count("*").alias("n")).select(F.lit(k).alias("section"), F.lit(3).alias("place"), F.lit("").alias("key"), F.concat(F.lit("Count: "), "n").alias("value"))
+        heads.append((k, 4, "", ""))
+        both = rows.unionByName(count)
+        out = both if out is None else out.unionByName(both)
+    return spark.createDataFrame(heads, schema).unionByName(out)
+
+
+_REPORT_ORDER = ("section", "place", "key", "value")
+
+
+def failures_report(counts: DataFrame, worst: DataFrame, regressions: DataFrame | None = None, new_failures: DataFrame | None = None, best: DataFrame | None = None) -> str:
+    """The failure report as one text, whole: it is as long as its items are many; write_failures() takes any number."""
+    lines = failure_lines(counts, worst, regressions, new_failures, best).orderBy(*_REPORT_ORDER)
+    return "\n".join(r["value"] for r in lines.select("value").toLocalIterator()) + "\n"
+
+
+def write_failures(path: str, counts: DataFrame, worst: DataFrame, regressions: DataFrame | None = None, new_failures: DataFrame | None = None, best: DataFrame | None = None) -> None:
+    """The failure report as text files in a folder, whose order is that of the report."""
+    lines = failure_lines(counts, worst, regressions, new_failures, best)
+    lines.repartitionByRange(*_REPORT_ORDER).sortWithinPartitions(*_REPORT_ORDER).select("value").write.mode("errorifexists").text(path)
 
 
 def comparison_report(result: DataFrame) -> str:

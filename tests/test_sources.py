@@ -119,6 +119,20 @@ def test_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 1
 
 
+def test_failures_are_listed_whole(spark, tmp_path):
+    counts = spark.createDataFrame([("E1", 300), ("E2", 0)], "code string, n bigint")
+    ids = lambda n: spark.range(n).select(F.format_string("i%04d", F.col("id")).alias("id"))
+    worst = ids(450).withColumn("codes", F.array(F.lit("E1"), F.lit("E2"))).orderBy(F.desc("id"))
+    table = ["## Counts", "", "| code | n |", "| --- | --- |", "| E1 | 300 |", "| E2 | 0 |"]
+    section = lambda title, n, more="": ["", f"## {title}", "", f"Count: {n}", "", *(f"- `i{i:04d}`{more}" for i in range(n))]
+    want = [*table, *section("Best", 250), *section("Worst", 450, " — E1, E2"), *section("Regressions", 300), *section("New failures", 0)]
+    got = writers.failures_report(counts, worst, ids(300), ids(0), ids(250))
+    assert got == "\n".join(want) + "\n"
+    writers.write_failures(str(tmp_path / "f"), counts, worst, ids(300), ids(0), ids(250))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "f").glob("part-*"))) == got
+    assert "Count" not in writers.failures_report(counts, worst).split("## Regressions")[1] and "No comparison run provided." in writers.failures_report(counts, worst)
+
+
 def test_streams(spark, tmp_path):
     good = json.dumps({"name": "a"})
     spark.createDataFrame([("1", good), ("2", "no")], "id string, output string").write.parquet(str(tmp_path / "in"))
