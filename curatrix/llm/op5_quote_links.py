@@ -3,7 +3,8 @@
 Lines that begin with `>` marks are quotes; the number of marks is their level. A passage is a run of
 lines of one level. Normalised passages are hashed and joined to the first message of the same
 conversation that said them: as its whole text, a paragraph or a line. A passage that nobody said as
-a whole is looked up line by line. The message that a reply's outermost quotes come from is what it
+a whole is looked up line by line: a line of 20 characters or more links by itself, shorter ones
+link where all lines of the passage were first said by one message. The message that a reply's outermost quotes come from is what it
 replies to; chains of replies are followed by pointer doubling to the message that opened the thread.
 Conversations then read thread by thread, replies after what they answer, without the quotes.
 
@@ -78,9 +79,13 @@ def reply_links(messages: DataFrame) -> DataFrame:
         return q.withColumn("h", _hash("unit")).join(origin, ["conv", "h"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
 
     whole = staged(found(quoted), "quote-links")
-    lines = whole.where("source IS NULL").select("conv", "turn", "i", "level", F.explode(F.transform(F.split("text", "\n"), normalised)).alias("unit")).where(F.length("unit") >= MIN_LINE_CHARS)
+    # Messages may share conversation and turn, so a passage is told by its text too.
+    lines = whole.where("source IS NULL").select("conv", "turn", "i", "level", F.col("h").alias("passage"), F.explode(F.transform(F.split("text", "\n"), normalised)).alias("unit")).where("unit <> ''")
+    lines = staged(found(lines).withColumn("chars", F.length("unit")), "line-links")
     hits = whole.where("source IS NOT NULL").select("conv", "turn", "i", "level", "source", F.length("unit").alias("chars"))
-    hits = hits.union(found(lines).where("source IS NOT NULL").select("conv", "turn", "i", "level", "source", F.length("unit").alias("chars")))
+    hits = hits.union(lines.where(F.col("source").isNotNull() & (F.col("chars") >= MIN_LINE_CHARS)).select("conv", "turn", "i", "level", "source", "chars"))
+    short = lines.groupBy("conv", "turn", "i", "level", "passage").agg(F.sum(F.when(F.col("chars") < MIN_LINE_CHARS, F.col("chars"))).alias("chars"), F.min("source").alias("source"), F.max("source").alias("last"), F.bool_and(F.col("source").isNotNull()).alias("all"))
+    hits = hits.union(short.where("all AND source = last AND chars IS NOT NULL").select("conv", "turn", "i", "level", "source", "chars"))
     by_source = hits.groupBy("conv", "turn", "source").agg(F.min("level").alias("level"), F.sum("chars").alias("chars"))
     best = F.min(F.struct("level", (-F.col("chars")).alias("chars"), (-F.col("source")).alias("source")))
     linked = hits.groupBy("conv", "turn").agg(F.countDistinct("i").alias("n_linked"))

@@ -37,6 +37,22 @@ def test_long_chain_of_replies(spark):
     assert all(got[i]["depth"] == i and got[i]["thread"] == 0 and got[i]["position"] == i for i in range(40))
 
 
+def test_short_lines_of_one_source(spark):
+    rows = [
+        (1, 0, "u", "Sounds good.\nI will bring tea.\nSee you at 5."), (1, 1, "u", "Fine.\nAnd a line that is long enough to link."),
+        (1, 2, "u", "> Sounds good.\n> See you at 5.\nyes"), (1, 3, "u", "> Sounds good.\n> Fine.\ntwo sources"), (1, 4, "u", "> Sounds good.\n> Nobody said so.\nno"),
+        (1, 5, "u", "> See you at 5.\n\n> Sounds good.\n> And a line that is long enough to link.\nmixed"), (1, 6, "u", ">> Sounds good.\n>>\n>> See you at 5.\ndeeper"),
+        (2, 0, "u", "> Later one.\n> Later two."), (2, 1, "u", "Later one.\nBetween.\nLater two."),
+        # Two messages of one turn, of which only one quotes what was said.
+        (3, 0, "u", "One.\nTwo.\nThree."), (3, 1, "a", "> One.\n> Three."), (3, 1, "b", "> One.\n> Four."),
+    ]
+    got = {}
+    for r in op.link_quotes(frame(spark, rows)).collect():
+        got.setdefault((r["conv_id"], r["turn"]), []).append((r["reply_to"], r["n_linked"]))
+    assert got[1, 2] == [(0, 1)] and got[1, 3] == [(None, 0)] and got[1, 4] == [(None, 0)] and got[1, 6] == [(0, 1)] and got[2, 0] == [(None, 0)]
+    assert got[1, 5] == [(1, 2)] and got[3, 1] == [(0, 1)] * 2
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, None, None, "> q"), (None, 1, "u", "q"), (None, 1, "u", "q")]
     got = op.link_quotes(frame(spark, rows)).collect()
