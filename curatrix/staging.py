@@ -1,22 +1,47 @@
-"""Tables written to the folder that all executors share, to cut lineage and survive lost executors."""
+"""Tables written to the folder that all executors share, to cut lineage and survive lost executors.
+
+Scratch tables are lazily read by what is built on them, so they outlive the call that writes them. They
+go when the application ends, when a `scratch` block they were made in ends, or by remove_tree().
+"""
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL = "file:///tmp/curatrix-shared"
+#: Scratch folders made so far inside open scratch blocks, the innermost block last.
+_OPEN: list[list[str]] = []
+
+
+def shared_base(checkpoint_dir: str | None, master: str) -> str:
+    """The folder that driver and executors share; a folder of this machine only where all of Spark runs on it."""
+    if checkpoint_dir:
+        return checkpoint_dir.rstrip("/")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return _LOCAL
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset (tests, a laptop) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/curatrix-shared"
-    return f"{base.rstrip('/')}/curatrix-{name}-{uuid.uuid4().hex}"
+    """A fresh folder below spark.checkpoint.dir."""
+    path = f"{shared_base(spark.conf.get('spark.checkpoint.dir', None), spark.sparkContext.master)}/curatrix-{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def write_staged(df: DataFrame, name: str) -> str:
-    """Writes df to a fresh shared folder. A write that fails raises, so no marker file is needed."""
-    path = shared_dir(df.sparkSession, name)
+    """Writes df to a fresh shared folder. A write that fails raises, and so does one that the driver can't see."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    fs, p = _file_system(spark, path)
+    if not any(s.getPath().getName().startswith("part-") for s in fs.listStatus(p)):
+        raise RuntimeError(f"no part of {path} is visible to the driver: spark.checkpoint.dir is not a shared folder")
+    fs.deleteOnExit(p)
     return path
 
 
@@ -26,7 +51,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def remove_tree(spark: SparkSession, path: str) -> None:
     """Deletes a folder by whatever file system holds it."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the scratch tables made inside the block at its end: results must be written or collected before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove_tree(spark, path)
