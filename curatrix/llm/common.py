@@ -75,6 +75,22 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ... by place, and the new name of each: names may clash, repeat or hold dots."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {c: n for c, n in reversed(list(zip(df.columns, names, strict=True)))}
+
+
+def small_side(df: DataFrame, most_bytes: int = 32 << 20, size: str | None = None) -> DataFrame:
+    """df as the side to broadcast if it has been measured to be small, as it is otherwise: a shuffle then joins it.
+
+    The measure is 16 bytes a row and what size, an SQL expression, says of each. df should be cheap to
+    read, as it is counted first.
+    """
+    n = df.agg(F.coalesce(F.sum(F.expr(f"16 + {size or 0}").cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most_bytes else df
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

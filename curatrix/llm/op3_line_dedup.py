@@ -10,7 +10,9 @@ Defined results
 - a null or empty text is one empty line; an empty table gives an empty result;
 - a null document id counts as the smallest id;
 - rows that share an id count as one document, each keeping or losing its own lines;
-- other columns, whatever their names, play no part.
+- a text of any length is cut into its lines by Spark, and only their hashes move;
+- other columns are carried along by place, whatever their names; the findings come in one struct,
+  named `_line_dedup` or with underscores before that if the name is taken.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, NULL_ID, Kept, ascii_lower, staged, table
+from .common import ASCII_SPACE, NULL_ID, Kept, ascii_lower, by_place, free_name, small_side, staged, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -34,10 +36,11 @@ _STREAM_SCHEMA = "kind int, h binary, doc bigint, row bigint, pos int, fresh int
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, row, text): row tells apart rows that share an id."""
-    return docs.select(
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("doc"),
-        F.xxhash64(text).alias("row"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+    flat, at = by_place(docs)
+    return flat.select(
+        F.coalesce(F.col(at[doc_id]).cast("bigint"), F.lit(NULL_ID)).alias("doc"),
+        F.xxhash64(at[text]).alias("row"),
+        F.coalesce(F.col(at[text]), F.lit("")).alias("text"),
     )
 
 
@@ -200,20 +203,24 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return out
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with an added struct `_line_dedup` of n_lines, n_dropped, keep_bitmap and the kept text."""
-    bm = bitmaps.select(F.col("doc").alias("_b_doc"), F.col("row").alias("_b_row"), F.col("n_dropped").alias("_b_n"), F.col("keep_bitmap").alias("_b_keep"))
-    left = docs.withColumn("_l_doc", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID))).withColumn("_l_row", F.xxhash64(text))
-    body = F.coalesce(F.col(text), F.lit(""))
-    cut = _kept_text(F.when(F.col("_b_keep").isNotNull(), body), F.col("_b_keep"))
-    out = left.join(bm, (F.col("_l_doc") == F.col("_b_doc")) & (F.col("_l_row") == F.col("_b_row")), "left").withColumn("_cut", cut)
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text", out: str = "_line_dedup") -> DataFrame:
+    """docs with an added struct (named out, or with underscores before it) of n_lines, n_dropped, keep_bitmap and the kept text.
+
+    Bitmaps that have been measured to be small are broadcast, so that no text moves; others are joined by a shuffle.
+    """
+    flat, at = by_place(docs)
+    bm = small_side(bitmaps.select(F.col("doc").alias("b_doc"), F.col("row").alias("b_row"), F.col("n_dropped").alias("b_n"), F.col("keep_bitmap").alias("b_keep")), size="24 + length(b_keep)")
+    left = flat.withColumn("l_doc", F.coalesce(F.col(at[doc_id]).cast("bigint"), F.lit(NULL_ID))).withColumn("l_row", F.xxhash64(at[text]))
+    body = F.coalesce(F.col(at[text]), F.lit(""))
+    cut = _kept_text(F.when(F.col("b_keep").isNotNull(), body), F.col("b_keep"))
+    done = left.join(bm, (F.col("l_doc") == F.col("b_doc")) & (F.col("l_row") == F.col("b_row")), "left").withColumn("cut", cut)
     facts = F.struct(
         F.size(F.split(body, "\n", -1)).cast("bigint").alias("n_lines"),
-        F.coalesce("_b_n", F.lit(0)).cast("bigint").alias("n_dropped"),
-        F.col("_b_keep").alias("keep_bitmap"),
-        F.coalesce("_cut", body).alias("kept"),
+        F.coalesce("b_n", F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.col("b_keep").alias("keep_bitmap"),
+        F.coalesce("cut", body).alias("kept"),
     )
-    return out.select(*(F.col(c) for c in docs.columns), facts.alias("_line_dedup"))
+    return done.select(*flat.columns, facts.alias("facts")).toDF(*docs.columns, free_name(docs, out))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

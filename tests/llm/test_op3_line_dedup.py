@@ -74,3 +74,14 @@ def test_bitmaps_and_empty_table(docs):
     packed = op.pack_bitmap(11, [0, 3, 10])
     assert op.unpack_bitmap(packed, 11).tolist() == [i not in (0, 3, 10) for i in range(11)]
     assert run(docs([]).limit(0)) == []
+
+
+def test_clashing_columns_and_names_with_dots(spark):
+    hot = "a line that all of these documents hold"
+    rows = [(i, f"{hot}\nown {i}", i, i, i, i) for i in range(4)]
+    df = spark.createDataFrame(rows, "`k.id` int, `x.text` string, _b_doc int, _line_dedup int, doc int, c1 int")
+    bm = op.keep_bitmaps(df, doc_id="k.id", text="x.text")
+    done = op.apply_bitmaps(df, bm, doc_id="k.id", text="x.text")
+    assert done.columns == [*df.columns, "__line_dedup"]
+    got = sorted((*r[:-1], r["__line_dedup"]["kept"]) for r in done.collect())
+    assert got == [(*r, r[1] if r[0] == 3 else f"own {r[0]}") for r in rows]
