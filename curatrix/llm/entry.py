@@ -20,6 +20,7 @@ QUERIES = {
     "op2_warc_revisit": _2.op2_warc_revisit,
     "op3_line_dedup": _3.op3_line_dedup,
     "op4_quality_rules": _4.op4_quality_rules,
+    "quality_ablations": _4.quality_ablations,
     "op5_quote_links": _5.op5_quote_links,
     "op6_pii_crf": _6.op6_pii_crf,
     "op7_html_main": _7.op7_html_main,
@@ -33,6 +34,7 @@ ORACLE_SQL = {
     "op2_warc_revisit": _2.ORACLE,
     "op3_line_dedup": _3.ORACLE,
     "op4_quality_rules": _4.ORACLE,
+    "quality_ablations": _4.ABLATIONS,
     "op5_quote_links": _5.ORACLE,
     "op9_jaccard_join": _9.ORACLE,
     "op10_decontaminate": _10.ORACLE,

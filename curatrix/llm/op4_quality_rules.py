@@ -8,12 +8,14 @@ second look at any text.
 Defined results
 - a null or empty text has no words and no lines with a word, and fails `few_words` alone;
 - rows that repeat are measured one by one; an empty table gives an empty ledger;
-- columns of the input are carried along, and those that clash with the ledger's are told apart by
-  the struct the ledger comes in.
+- a text of any length is measured whole, its cost linear in its words;
+- columns of the input are carried along by place, whatever their names; the ledger comes in one
+  struct, named `_ledger` or with underscores before that if the name is taken.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import by_place, free_name, staged, table
 
 #: Fixed values of the contract: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -99,26 +101,31 @@ def _measures(text):
     return pd.DataFrame([measure_text(t) for t in text], columns=list(MEASURES), dtype="int64")
 
 
-def fail_bits(measures: Column) -> Column:
-    """The failure bits of every rule over a struct of measurements."""
+def fail_bits(struct: str) -> Column:
+    """The failure bits of every rule over a struct column of measurements, by its name."""
     bits = F.lit(0).cast("bigint")
     for rule in RULES:
-        failed = F.expr(_over(rule.fails))
+        failed = F.expr(re.sub(r"[a-z]\w*", rf"{struct}.\g<0>", rule.fails))
         bits = bits.bitwiseOR(F.when(failed, F.lit(BIT[rule.name]).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return bits
 
 
-def _over(sql: str) -> str:
-    for m in sorted(MEASURES, key=len, reverse=True):
-        sql = sql.replace(m, f"_ledger.{m}")
-    return sql
+def ledger(docs: DataFrame, *, text: str = "text", out: str = "_ledger") -> DataFrame:
+    """docs with a struct (named out, or with underscores before it) of all measurements and fail_bits."""
+    flat, at = by_place(docs)
+    # The Python step runs once: its struct is read by name from then on.
+    measured = flat.withColumn("m", _measures(F.col(at[text])))
+    named = F.col("m").withField("fail_bits", fail_bits("m"))
+    return measured.select(*flat.columns, named.alias("m")).toDF(*docs.columns, free_name(docs, out))
 
 
-def ledger(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with a struct `_ledger` of all measurements and fail_bits."""
-    # The Python step runs once: its struct is read by name from then on.
-    measured = docs.withColumn("_ledger", _measures(F.col(text)))
-    return measured.withColumn("_ledger", F.col("_ledger").withField("fail_bits", fail_bits(F.col("_ledger"))))
+def store(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
+    """The ledger as a table of its own, (key, measurements..., fail_bits), written to the shared folder.
+
+    Policies are applied, changed and ablated on this table; no text is read again.
+    """
+    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return staged(ledger(slim).select(F.col("key").alias(key), "_ledger.*"), "quality-ledger")
 
 
 def passes(bits: Column, policy: str = PRODUCTION) -> Column:
@@ -127,7 +134,9 @@ def passes(bits: Column, policy: str = PRODUCTION) -> Column:
 
 def apply_policy(docs: DataFrame, policy: str = PRODUCTION, *, text: str = "text") -> DataFrame:
     """The documents that the policy keeps, with their columns as they were."""
-    return ledger(docs, text=text).where(passes(F.col("_ledger.fail_bits"), policy)).select(*(F.col(c) for c in docs.columns))
+    flat, at = by_place(docs)
+    led = ledger(flat, text=at[text])
+    return led.where(passes(F.col("_ledger.fail_bits"), policy)).select(*flat.columns).toDF(*docs.columns)
 
 
 def ablations(led: DataFrame, policy: str = PRODUCTION, *, bits: str = "_ledger.fail_bits") -> DataFrame:
@@ -148,18 +157,24 @@ def ablations(led: DataFrame, policy: str = PRODUCTION, *, bits: str = "_ledger.
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the measurements of every document, whether it fails the base rules, and the verdict."""
-    led = ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_ledger").alias("m"))
-    base = ~passes(F.col("m.fail_bits"), "base")
+    led = store(table(spark, sf_dir, "documents"), "doc_id")
+    base = ~passes(F.col("fail_bits"), "base")
     return led.select(
-        "doc_id",
-        *(F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-        base.alias("base_failed"),
-        (~base & passes(F.col("m.fail_bits"), PRODUCTION)).alias("kept"),
-        F.col("m.fail_bits").alias("fail_bits"),
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base.alias("base_failed"), (~base & passes(F.col("fail_bits"), PRODUCTION)).alias("kept"), "fail_bits",
+    )
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every policy and each of its rules: what the rule fails, what it alone rejects, and what the policy keeps."""
+    led, out = store(table(spark, sf_dir, "documents"), "doc_id"), None
+    for policy in POLICIES:
+        one = ablations(led, policy, bits="fail_bits").select(F.lit(policy).alias("policy"), "rule", "n_failed", "n_only_here", "n_kept")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-ORACLE = r"""
+_BITS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
 win AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM p),
@@ -181,5 +196,9 @@ m AS (
     + CASE WHEN 2 * n_upper > n_letters THEN 32 ELSE 0 END + CASE WHEN 5 * n_bangs > n_words THEN 64 ELSE 0 END AS BIGINT) AS fail_bits
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits % 4) <> 0 AS base_failed, (fail_bits & 119) = 0 AS kept, fail_bits FROM b
 """
+ORACLE = _BITS + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits % 4) <> 0 AS base_failed, (fail_bits & 119) = 0 AS kept, fail_bits FROM b"
+ABLATIONS = _BITS + """, p AS (SELECT * FROM (VALUES ('base', 3), ('prose-1', 127), ('prose-2', 119)) p(policy, mask)),
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('many_symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32), ('exclamations', 64)) r(rule, bit))
+SELECT policy, rule, count(*) FILTER (WHERE (fail_bits & bit) <> 0) AS n_failed, count(*) FILTER (WHERE (fail_bits & mask) = bit) AS n_only_here, count(*) FILTER (WHERE (fail_bits & mask) = 0) AS n_kept
+FROM p JOIN r ON (bit & mask) <> 0 CROSS JOIN b GROUP BY policy, rule"""

@@ -57,3 +57,19 @@ def test_clean_prose_stays(spark):
     assert good.where("NOT kept").count() <= 0.01 * good.count()
     bad = j.where("quality = 0")
     assert bad.where(~F.col("kept")).count() >= 0.95 * bad.count()
+
+
+def test_clashing_columns_and_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "w " * 60, 7, 8, 9, 10)], "doc_id int, text string, _ledger int, m int, `a.b` int, c0 int")
+    led = op.ledger(df)
+    assert led.columns == [*df.columns, "__ledger"] and led.first()["__ledger"]["n_words"] == 60
+    df = df.union(spark.createDataFrame([(2, " ".join(f"word{i}" for i in range(60)), 7, 8, 9, 10)], df.schema))
+    kept = op.apply_policy(df)
+    assert kept.columns == df.columns and [tuple(r)[2:] for r in kept.collect()] == [(7, 8, 9, 10)]
+    dotted = df.select("_ledger", "text", "doc_id").toDF("a.b", "x.text", "k.id")
+    assert op.apply_policy(dotted, text="x.text").count() == 1 and op.store(dotted, "k.id", text="x.text").count() == 2
+
+
+def test_ablation_query(spark):
+    rows = {(r["policy"], r["rule"]): r for r in op.quality_ablations(spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == 2 + 7 + 6 and rows["prose-1", "repeated_lines"]["n_failed"] >= rows["prose-1", "repeated_lines"]["n_only_here"]
