@@ -11,33 +11,75 @@ Every span must hold a digit, an `@`, or `at` with a dot inside a word or spelle
 holds no digit, no `@`, no `.` before a letter and not the letters `dot` can't hold one that stays,
 so it is not decoded; all other lines of the whole text are.
 
+Long texts cost linear time and bounded memory: the patterns of the contract are matched without
+looking at any place more than a few times, and a line of more than PIECE tokens is decoded in pieces
+of that many, each with CONTEXT tokens more on both sides, whose labels come from the pieces they
+belong to. What the model remembers of tokens is bounded, too.
+
 Defined results
 - a null or empty text has no spans; rows that repeat get the same spans; an empty table gives none;
-- offsets count code points, ends are exclusive; columns of the input are carried along.
+- offsets count code points, ends are exclusive; an added address has 320 characters at most;
+- columns of the input are carried along by place, whatever their names; the findings come in one
+  struct, named `_pii` or with underscores before that if the name is taken.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import by_place, free_name, table
 
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
-#: The patterns of the contract.
+#: The patterns of the contract. As they are written they try a run of digits or letters again
+#: from each of its places; in the forms that follow each run is tried once, with the same matches.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
+_PHONE = re.compile(PATTERNS["phone"])
+
+
+def _emails(text: str):
+    """Matches of the email pattern: from each @ outwards, as no part of an address but its @ is one."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        local = text[end:at]
+        start = end + len(local.rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+            end = m.end()
+        else:
+            end = at + 1
+        at = text.find("@", end)
+
+
+def matches(kind: str, text: str):
+    """(start, end) of every match of a kind's pattern, leftmost and non-overlapping."""
+    if kind == "email":
+        yield from _emails(text)
+    else:
+        for m in {"ip": _IP, "card": _CARD, "phone": _PHONE}[kind].finditer(text):
+            yield m.span()
+
+
 #: What a text must hold for a pattern to be tried.
 _NEEDS = {"email": "@", "phone": "+"}
 
@@ -56,7 +98,7 @@ def _digits(s: str) -> str:
 
 def valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in s.split(".")))
     if kind == "card":
         return 14 <= len(d := _digits(s)) <= 19 and luhn(d)
     if kind == "phone":
@@ -68,9 +110,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), leftmost and non-overlapping for each kind; failing matches go, without another try."""
     out = []
     digits = _DIGIT.search(text) is not None
-    for kind, pattern in PATTERNS.items():
+    for kind in KINDS:
         if _NEEDS[kind] in text if kind in _NEEDS else digits:
-            out += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if valid(kind, m[0])]
+            out += [(a, z, kind) for a, z in matches(kind, text) if valid(kind, text[a:z])]
     return sorted(out, key=lambda s: (s[0], _RANK[s[2]], s[1]))
 
 
@@ -90,8 +132,8 @@ CUES = ("mail", "email", "e-mail", "contact", "write", "at", "dot", "com", "org"
 
 def shape(token: str) -> str:
     """Runs of letters, digits and signs: `ann.7@x1.org` gives `a.0@a0.a`."""
-    s = re.sub(r"[^\W\d_]", "a", token)
-    s = re.sub(r"[0-9]", "0", s)
+    s = re.sub(r"[^\W\d_]+", "a", token)
+    s = re.sub(r"[0-9]+", "0", s)
     return re.sub(r"(.)\1+", r"\1", s)[:12]
 
 
@@ -212,7 +254,9 @@ class Crf:
         def known(store, token, make):
             got = store.get(token)
             if got is None:
-                got = store[token] = [j for f in make(token) if (j := get(f)) is not None]
+                got = [j for f in make(token) if (j := get(f)) is not None]
+                if token is None or len(token) <= 64:
+                    store[token] = got
                 if len(store) > 100_000:
                     store.clear()
             return got
@@ -325,7 +369,9 @@ def default_model() -> Crf:
 
 # --- spans ---------------------------------------------------------------------------------------
 
-_SPELLED = re.compile(r"[^\s@]+(?:\s*@\s*|\s+at\s+|\s*[(\[]at[)\]]\s*)[^\s@]+?(?:(?:\.|\s+dot\s+|\s*[(\[]dot[)\]]\s*)[^\s@]+)+", re.I)
+_SPELLED = re.compile(r"[^\s@]+(?:\s*@\s*|\s+at\s+|\s*[(\[]at[)\]]\s*)[^\s@.()\[\]]+(?:(?:\.|\s+dot\s+|\s*[(\[]dot[)\]]\s*)[^\s@.()\[\]]+)+", re.I)
+_ADDRESS = 320
+PIECE, CONTEXT, BATCH_TOKENS = 4096, 32, 1 << 16
 
 
 def sign_lines(text: str):
@@ -341,46 +387,99 @@ def sign_lines(text: str):
 def _holds(kind: str, s: str) -> bool:
     """What an added span must hold."""
     if kind == "email":
-        return _SPELLED.fullmatch(s) is not None
+        return len(s) <= _ADDRESS and _SPELLED.fullmatch(s) is not None
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
-        return len(parts) == 4 and all(int(p) <= 255 for p in parts if len(p) < 5) and max(map(len, parts)) <= 3 and not re.search(r"[^\W\d_]", s)
+        return len(parts) == 4 and max(map(len, parts)) <= 3 and all(int(p) <= 255 for p in parts) and not re.search(r"[^\W\d_]", s)
     if re.search(r"[^\W\d_]", s):
         return False
     return valid(kind, s)
 
 
+def line_pieces(text: str, a: int, z: int):
+    """(tokens, starts, lo, hi, last) of a line's pieces: lo to hi are the tokens whose labels the piece gives."""
+    found = _TOKEN.finditer(text, a, z)
+    held = [(m[0], m.start()) for m in islice(found, PIECE + CONTEXT)]
+    lo = 0
+    while held:
+        hi = min(lo + PIECE, len(held))
+        more = [(m[0], m.start()) for m in islice(found, PIECE)] if hi < len(held) or len(held) == lo + PIECE + CONTEXT else []
+        last = hi == len(held) and not more
+        yield [t for t, _ in held], [s for _, s in held], lo, hi, last
+        if last:
+            return
+        held = held[max(0, hi - CONTEXT) :] + more
+        lo = min(hi, CONTEXT)
+
+
+def free_of(spans: list[tuple[int, int, str]]):
+    """Whether a stretch overlaps none of the spans."""
+    starts, ends = [], []
+    for a, z, _ in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], z)
+        else:
+            starts.append(a)
+            ends.append(z)
+
+    def free(a: int, z: int) -> bool:
+        i = bisect_left(ends, a + 1)
+        return i == len(ends) or starts[i] >= z
+
+    return free
+
+
 def added_spans(crf: Crf, texts: list[str], base: list[list], cache: dict) -> list[list[tuple[int, int, str]]]:
     """Spans of the CRF for each text, clear of its base spans."""
-    sentences, place = [], []
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        for a, z in sign_lines(t):
-            tokens = list(_TOKEN.finditer(t, a, z))
-            if tokens:
-                sentences.append([m[0] for m in tokens])
-                place.append((i, [m.start() for m in tokens]))
     out: list[list] = [[] for _ in texts]
-    for (i, starts), tokens, path in zip(place, sentences, crf.decode(sentences, cache), strict=True):
-        if not path.any():
-            continue
-        k = 0
-        while k < len(path):
-            if path[k] == 0:
-                k += 1
-                continue
-            kind, j = KINDS[(path[k] - 1) // 2], k + 1
-            while j < len(path) and path[j] and path[j] % 2 == 0 and KINDS[(path[j] - 1) // 2] == kind:
+    free: dict[int, object] = {}
+    held: list[tuple] = []
+    line: list[tuple] = []  # labelled tokens of the line that is open, from its first token that begins or continues a span
+
+    def take(i: int, spans: list[tuple]):
+        """Adds the spans of labelled tokens (start, end, label) in a row."""
+        text, k = texts[i], 0
+        while k < len(spans):
+            kind, j = KINDS[(spans[k][2] - 1) // 2], k + 1
+            while j < len(spans) and spans[j][2] % 2 == 0 and KINDS[(spans[j][2] - 1) // 2] == kind:
                 j += 1
-            a, z = starts[k], starts[j - 1] + len(tokens[j - 1])
-            while a < z and texts[i][a] in _EDGE and texts[i][a] != "(":
+            a, z = spans[k][0], spans[j - 1][1]
+            while a < z and text[a] in _EDGE and text[a] != "(":
                 a += 1
-            while z > a and texts[i][z - 1] in _EDGE:
+            while z > a and text[z - 1] in _EDGE:
                 z -= 1
-            if a < z and _holds(kind, texts[i][a:z]) and not any(a < e and s < z for s, e, _ in base[i]):
-                out[i].append((a, z, kind))
+            if a < z and _holds(kind, text[a:z]):
+                if i not in free:
+                    free[i] = free_of(base[i])
+                if free[i](a, z):
+                    out[i].append((a, z, kind))
             k = j
+
+    def flush():
+        for (i, tokens, starts, lo, hi, last), path in zip(held, crf.decode([h[1] for h in held], cache), strict=True):
+            at = lo
+            for k in np.flatnonzero(path[lo:hi]).tolist():
+                k += lo
+                if k > at and line:  # tokens outside any span lie between
+                    take(i, line)
+                    line.clear()
+                line.append((starts[k], starts[k] + len(tokens[k]), int(path[k])))
+                at = k + 1
+            if line and (last or at < hi):
+                take(i, line)
+                line.clear()
+        held.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        for a, z in sign_lines(t) if t else ():
+            for piece in line_pieces(t, a, z):
+                held.append((i, *piece))
+                size += len(piece[0])
+                if size >= BATCH_TOKENS:
+                    flush()
+                    size = 0
+    flush()
     return out
 
 
@@ -392,7 +491,7 @@ _FOUND = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS),
 
 
 def find_pii(docs: DataFrame, *, text: str = "text", out: str = "_pii", model: Crf | None = None) -> DataFrame:
-    """docs with a struct: base spans counted by kind, base spans and all spans as `kind:start:end` lists."""
+    """docs with a struct (named out, or with underscores before it): base spans counted by kind, base spans and all spans as `kind:start:end` lists."""
     # A few hundred features by nine labels, whatever the data.
     cast = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
@@ -409,7 +508,8 @@ def find_pii(docs: DataFrame, *, text: str = "text", out: str = "_pii", model: C
                 rows.append((*n, _joined(b), _joined(sorted(b + a, key=lambda s: (s[0], _RANK[s[2]], s[1])) if a else b)))
         return pd.DataFrame(rows, columns=_FOUND.names)
 
-    return docs.withColumn(out, scan(F.col(text)))
+    flat, at = by_place(docs)
+    return flat.select("*", scan(F.col(at[text]))).toDF(*docs.columns, free_name(docs, out))
 
 
 def redact_text(text: str, spans: str) -> str:
@@ -426,4 +526,6 @@ def redact_text(text: str, spans: str) -> str:
 def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: base counts, the digest of the base spans, and all spans of every document."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_pii").alias("p"))
-    return found.select("doc_id", *(F.col(f"p.n_{k}").alias(f"n_{k}") for k in KINDS), F.sha2(F.encode("p.base", "UTF-8"), 256).alias("base_sha256"), F.col("p.spans").alias("spans"))
+    n_spans = F.when(F.col("p.spans") != "", F.size(F.split("p.spans", ","))).otherwise(0).cast("bigint")
+    counts = (F.col(f"p.n_{k}").alias(f"n_{k}") for k in KINDS)
+    return found.select("doc_id", *counts, F.sha2(F.encode("p.base", "UTF-8"), 256).alias("base_sha256"), F.col("p.spans").alias("spans"), n_spans.alias("n_spans"))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -79,3 +81,62 @@ def test_query_digest(spark):
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and r["n_ip"] == sum(k == "ip" for *_, k in base)
         assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
         assert all(re.fullmatch(r"(email|ip|card|phone):\d+:\d+", s) for s in filter(None, r["spans"].split(",")))
+
+
+def plain_spans(text):
+    """The patterns of the contract as they are written."""
+    out = []
+    for kind, pattern in op.PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(d) <= 19 and op.luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+            if good:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], op.KINDS.index(s[2]), s[1]))
+
+
+def test_base_spans_against_the_written_patterns():
+    r = random.Random(7)
+    parts = ["a", "Zq", "@", "@", ".", ".", "-", "+", "1", "25", "256", "007", " ", "(", ")", "_", "%", "4111 1111 1111 1111", "4111111111111111", "+1 (407) 555-7710", "10.0.0.1", "a.b@c-d.org", "\n", "é", ","]
+    for _ in range(6000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(30)))
+        assert op.base_spans(t) == plain_spans(t), t
+
+
+def test_long_runs_take_linear_time(crf):
+    n = 1_000_000
+    texts = ["1" * n, "a" * n + " b@c.de", "a" * n + "@", "1." * (n // 2), "@" * n, "+1(" * (n // 3), "a@" * (n // 2), "1 " * (n // 2), "a." * (n // 2) + "@" + "b." * 1000]
+    began = time.time()
+    base = [op.base_spans(t) for t in texts]
+    got = op.added_spans(crf, texts, base, {})
+    assert base[1] == [(n + 1, n + 7, "email")] and len(got) == len(texts)
+    assert time.time() - began < 90
+
+
+def test_pieces_of_a_line_give_what_the_whole_line_gives(crf, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = op.labelled_table(60, 77)
+    text = " ".join(t for tokens, _ in rows for t in tokens)
+    whole = op.added_spans(crf, [text], [[]], {})
+    for size, context in ((16, 8), (50, 20), (1000, 32)):
+        monkeypatch.setattr(op, "PIECE", size)
+        monkeypatch.setattr(op, "CONTEXT", context)
+        monkeypatch.setattr(op, "BATCH_TOKENS", int(r.integers(1, 400)))
+        tokens = [(t, s) for p in op.line_pieces(text, 0, len(text)) for t, s in list(zip(p[0], p[1], strict=True))[p[2] : p[3]]]
+        assert tokens == [(m[0], m.start()) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text)]
+        assert op.added_spans(crf, [text], [[]], {}) == whole
+
+
+def test_stretches_free_of_spans():
+    spans = [(5, 9, "ip"), (7, 12, "card"), (20, 21, "ip"), (12, 14, "phone")]
+    free = op.free_of(spans)
+    for a in range(25):
+        for z in range(a + 1, 26):
+            assert free(a, z) == (not any(a < e and s < z for s, e, _ in spans))
+
+
+def test_clashing_columns_and_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "a@b.co", 7, 8)], "`k.id` int, `x.text` string, _pii int, c1 int")
+    out = op.find_pii(df, text="x.text")
+    r = out.first()
+    assert out.columns == [*df.columns, "__pii"] and tuple(r)[:4] == (1, "a@b.co", 7, 8) and r["__pii"]["n_email"] == 1
