@@ -12,8 +12,10 @@ Defined results
 - script, style, textarea, iframe and title are read raw and skipped, to the end of the page if never
   closed (an unclosed title holds nothing); all else, math, svg, object, canvas, noscript, template and
   select included, is parsed, and the trees alone judge it;
-- very deep or long pages are parsed in full, without recursion; an empty table gives an empty result;
-- columns of the input are carried along.
+- very deep or long pages are parsed in full, without recursion and in linear time, whatever quotes,
+  tags and comments are left open; a tag that never ends is text;
+- an empty table gives an empty result; columns of the input are carried along by place, whatever their
+  names; the text comes in one column, named `_main_text` or with underscores before that if the name is taken.
 """
 
 from __future__ import annotations
@@ -27,9 +29,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import by_place, free_name, table
+
+#: A whole tag without another `<` before its end, which all but a few are.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_MARK = re.compile(r"[>\"']")
+
+
+class Markup:
+    """The tags of a page in order, each place looked at a bounded number of times.
+
+    A tag ends at the first `>` outside quotes. Where none follows, the quotes seen on the way are
+    remembered: another search that comes to one of them outside quotes would fail as well.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.hopeless: set[int] = set()  # quotes from which no tag ends
+        self.mark = (0, 0)  # no `>` or quote lies in this stretch before its end
+        self.quote = {'"': (0, 0), "'": (0, 0)}
+
+    def tag(self, at: int):
+        """(start, end, slash, name, attributes) of the next tag, declaration or comment from at on; name is None for these two."""
+        s = self.source
+        while (at := s.find("<", at)) >= 0:
+            m = _PLAIN.match(s, at)
+            if m:
+                return at, m.end(), m[1], m[2], m[3]
+            if s.startswith("<!--", at):
+                end = s.find("-->", at + 4)
+                return at, len(s) if end < 0 else end + 3, "", None, ""
+            m = _NAME.match(s, at)
+            if m:
+                end = self._end(m.end())
+                if end >= 0:
+                    return at, end + 1, m[1], m[2], s[m.end() : end]
+            if s[at + 1 : at + 2] in ("!", "?", "/"):
+                end = s.find(">", at)
+                return at, len(s) if end < 0 else end + 1, "", None, ""
+            at += 1
+        return None
+
+    def _next_mark(self, at: int) -> int:
+        a, z = self.mark
+        if not a <= at <= z or (at == z and z < len(self.source)):
+            m = _MARK.search(self.source, at)
+            z = m.start() if m else len(self.source)
+            self.mark = (at, z)
+        return z
+
+    def _close(self, quote: str, at: int) -> int:
+        a, z = self.quote[quote]
+        if not a <= at <= z:
+            z = self.source.find(quote, at)
+            z = len(self.source) if z < 0 else z
+            self.quote[quote] = (at, z)
+        return z
+
+    def _end(self, at: int) -> int:
+        seen, n = [], len(self.source)
+        while (k := self._next_mark(at)) < n:
+            c = self.source[k]
+            if c == ">":
+                return k
+            if k in self.hopeless:
+                break
+            seen.append(k)
+            at = self._close(c, k + 1) + 1
+            if at > n:
+                break
+        self.hopeless.update(seen)
+        return -1
+
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""\b(id|class|role|aria-label|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -67,7 +140,8 @@ _POSITIVE_TAGS = frozenset(("article", "main"))
 class Page:
     """Nodes in page order: tag, parent, attribute groups, label, text runs; node 0 is the body."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = False):
+        """labelled: a data-y attribute is the label of a made page and not one of the page's own."""
         self.tag, self.parent, self.groups, self.label = ["body"], [-1], [0], [None]
         self.runs: list[tuple[int, str]] = []
         self.chars, self.link_chars, self.tags, self.links, self.stops = [0], [0], [0], [0], [0]
@@ -89,23 +163,23 @@ class Page:
                     self.stops[node] += s.count(".") + s.count(",") + s.count("!") + s.count("?")
                 links = 0
 
-        in_link, link_from = 0, 0
+        in_link, markup, unclosed = 0, Markup(source), set()
         while at < n:
-            m = _TAG.search(source, at)
+            m = markup.tag(at)
             if m is None:
                 text.append(source[at:])
                 break
-            if m.start() > at:
-                piece = source[at : m.start()]
+            start, end, slash, name, attrs = m
+            if start > at:
+                piece = source[at:start]
                 text.append(piece)
                 if in_link:
                     links += len(piece)
-            at = m.end()
-            name = m[2]
+            at = end
             if name is None:
                 continue
             name = name.lower()
-            if m[1]:
+            if slash:
                 if name == "a":
                     in_link = 0
                 elif name in BLOCK:
@@ -117,10 +191,14 @@ class Page:
                 continue
             self.tags[stack[-1]] += 1
             if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at) if not m[3].endswith("/") else None
-                at = end.end() if end else (at if m[3].endswith("/") else n)
-                if name == "title" and not end:
-                    at = m.end()
+                if attrs.endswith("/"):
+                    continue
+                close = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(source, at) if name not in unclosed else None
+                if close:
+                    at = close.end()
+                else:
+                    unclosed.add(name)
+                    at = at if name == "title" else n
             elif name == "a":
                 in_link = 1
                 self.links[stack[-1]] += 1
@@ -129,13 +207,12 @@ class Page:
             elif name in BLOCK:
                 flush()
                 in_link = 0
-                attrs = m[3]
                 groups, label = 0, None
                 if "=" in attrs:
                     for a in _ATTR.finditer(attrs):
                         value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4]
                         if a[1].lower() == "data-y":
-                            label = int(value)
+                            label = int(value) if labelled else None
                         else:
                             for w in _WORD.findall(value.lower()):
                                 groups |= _GROUP.get(w, 0)
@@ -404,7 +481,7 @@ def labels(page: Page) -> np.ndarray:
 
 def train(pages: int = 260, seed: int = 11, **how) -> Trees:
     r = np.random.default_rng(seed)
-    made = [Page(made_page(r)) for _ in range(pages)]
+    made = [Page(made_page(r), labelled=True) for _ in range(pages)]
     x, y = np.concatenate([features(p) for p in made]), np.concatenate([labels(p) for p in made])
     # A node counts by its text, as what is at stake is text.
     weight = np.concatenate([0.3 + np.log1p(np.array(p.chars)) / 5 for p in made])
@@ -442,7 +519,7 @@ def extract_batch(sources: list[str | None], trees: Trees) -> list[str]:
 
 
 def main_text(pages: DataFrame, *, html: str = "html", out: str = "_main_text", model: Trees | None = None) -> DataFrame:
-    """pages with a column of the main text."""
+    """pages with a column (named out, or with underscores before it) of the main text."""
     # A few dozen small trees, whatever the data.
     cast = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
@@ -455,7 +532,8 @@ def main_text(pages: DataFrame, *, html: str = "html", out: str = "_main_text",
             rows += extract_batch(list(col.iloc[at : at + 256]), cast.value)
         return pd.Series(rows, dtype=object)
 
-    return pages.withColumn(out, text(F.col(html)))
+    flat, at = by_place(pages)
+    return flat.select("*", text(F.col(at[html]))).toDF(*pages.columns, free_name(pages, out))
 
 
 def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:

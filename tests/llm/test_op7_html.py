@@ -1,5 +1,7 @@
 import itertools
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -32,7 +34,7 @@ def test_held_out_pages(trees):
     r = np.random.default_rng(123)
     same = total = 0
     for _ in range(120):
-        p = op.Page(op.made_page(r))
+        p = op.Page(op.made_page(r), labelled=True)
         y, k = op.labels(p), op.decode(trees.score(op.features(p)), p.parent)
         same += sum(len(s) for n, s in p.runs if bool(y[n]) == bool(k[n]))
         total += sum(len(s) for _, s in p.runs)
@@ -65,7 +67,7 @@ def test_page(trees):
 def test_odd_pages(trees):
     deep = "<div>" * 20000 + "<p>x</p>"
     got = main(trees, None, "", "<", "<!-- open", "<script>never closed", deep, "</p></div>", "<p>" * 3000 + "<article><p>" + "word " * 40000)
-    assert got[:4] == [""] * 4 or got[:2] == ["", ""]
+    assert got[:2] == ["", ""] and got[3] == "" and got[2] in ("", "<")
     assert got[4] == "" and isinstance(got[5], str) and got[6] == ""
 
 
@@ -100,3 +102,38 @@ def test_articles_of_the_tables(spark):
     rows = out.collect()
     assert len(rows) == 50 and all(r["n_chars"] == len(r["text"]) and r["text"] for r in rows)
     assert not any("©" in r["text"] or "track(" in r["text"] for r in rows)
+
+
+WRITTEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|[!?/][^>]*(?:>|\Z))""", re.S)
+
+
+def test_tags_against_one_pattern():
+    r = random.Random(3)
+    parts = ["<", "<a", "<p", "</p", "<!", "<!--", "-->", "<?", ">", ">", '"', "'", "=", "x", " ", "/", "<b>", '<a href="u">', "\n", "é"]
+    for _ in range(20000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(25)))
+        want = [(m.start(), m.end(), m[1] or "", m[2], m[3] or "") for m in WRITTEN.finditer(t)]
+        got, markup, at = [], op.Markup(t), 0
+        while m := markup.tag(at):
+            got.append(m)
+            at = m[1]
+        assert got == want, t
+
+
+def test_open_ends_take_linear_time(trees):
+    n = 100_000
+    began = time.time()
+    for part in ('<a "', "<a '", "<a \"x'", "<a", "<", "<title>", "<p x='\"", '<a "\'', "<!--", "<a href=x "):
+        assert isinstance(main(trees, part * n)[0], str)
+    assert time.time() - began < 60
+
+
+def test_attributes_named_like_labels(trees):
+    [got] = main(trees, PAGE.replace("<article>", "<article data-y='none'>"))
+    assert got == main(trees, PAGE)[0]
+
+
+def test_clashing_columns_and_names_with_dots(spark):
+    df = spark.createDataFrame([(1, PAGE, 7, 8)], "`k.id` int, `x.html` string, _main_text int, c1 int")
+    r = op.main_text(df, html="x.html")
+    assert r.columns == [*df.columns, "__main_text"] and r.first()["_main_text"] == 7 and r.first()["__main_text"].startswith("Title")
