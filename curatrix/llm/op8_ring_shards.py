@@ -5,37 +5,38 @@ hash of its id. Shards take at most (1 + SLACK) times the mean bytes; what overf
 goes on clockwise to the next point whose shard has room. Adding a shard moves the arcs of its own
 points and the overflow that follows from them, and little else.
 
-The ring is cut into equal cells, a power of two of at least CELLS_PER_POINT for each point, so that
-a cell goes by its first position. One aggregation gives the bytes of each cell; walking the cells
-clockwise settles, on a table whose size is the number of cells and not of rows, at which byte of
-which cell one shard ends and the next begins. Rows then find their place from a running sum inside
-their own cell. Cells hold about ROWS_PER_CELL rows until MAX_CELLS are made, so what the driver
-sees is bounded whatever the number of rows.
+The ring is cut at all points, and into equal parts between them, so every cell belongs to one point.
+One aggregation gives the bytes of each cell; walking the cells clockwise settles, on a table whose size
+is the number of cells and not of rows, at which byte of which cell one shard ends and the next begins.
+Rows then find their place from a running sum inside their own cell. How finely the ring is cut follows
+the number of rows (about ROWS_PER_CELL a cell, until MAX_CELLS are made, so what the driver sees is
+bounded), and changes no row's shard: bytes are dealt in ring order whatever the cells.
 
 Defined results
-- a null or empty text has size 16; a null id has a hash of its own;
-- rows that share an id keep together in a cell, ordered by size and checksum; rows equal in all
-  three are interchangeable;
+- a null or empty text has size 16; a null id stands where the hash of its size and checksum is, so
+  that many of them spread over the ring;
+- rows that share an id keep together, ordered by size and checksum; rows equal in all three are
+  interchangeable; a text of any length is one row of that size, and a shard may exceed the bound by its last row;
 - equal texts under different ids are spread like any other rows;
-- an empty table gives an empty result; other columns play no part.
+- an empty table gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, staged, table
+from .common import by_place, mix64, staged, table
 
 SHARDS = 40
 VNODES = 128
 SLACK = 0.0001
 ROWS_PER_CELL = 20_000
-CELLS_PER_POINT = 8
+MIN_CELLS = 1 << 12
 MAX_CELLS = 1 << 20
+#: A cell's number is its equal part of the ring, shifted by this, and how many points of the part lie before it.
+_WITHIN = 20
 OVERHEAD = 16
 
 #: Ring positions are whole numbers below this.
@@ -61,18 +62,18 @@ def flow(cells: list[tuple[int, int]], cell_bits: int, shards: int, vnodes: int,
     bound = -(-total // shards) if not slack else int(total / shards * (1 + slack)) + 1
     room = [bound] * shards
     points, owner = ring_points(shards, vnodes)
-    plist, olist = points.tolist(), owner.tolist()
+    first = np.searchsorted(points, np.arange(1 << cell_bits) << (_RING_BITS - cell_bits)).tolist()
+    olist = owner.tolist()
     out, over = [], []
-    width = 1 << (_RING_BITS - cell_bits)
     for cell, size in sorted(cells):
-        i = bisect.bisect_left(plist, cell * width)
-        own = olist[i % len(olist)]
+        i = (first[cell >> _WITHIN] + (cell & ((1 << _WITHIN) - 1))) % len(olist)
+        own = olist[i]
         fits = min(size, room[own])
         if fits:
             out.append((cell, 0, own))
             room[own] -= fits
         if fits < size:
-            over.append((cell, fits, size, i % len(olist)))
+            over.append((cell, fits, size, i))
     following = list(range(len(olist)))  # the next point that may have room, with path halving
 
     def next_free(i: int) -> int:
@@ -94,22 +95,37 @@ def flow(cells: list[tuple[int, int]], cell_bits: int, shards: int, vnodes: int,
     return sorted(out)
 
 
+def place(row_id, size, crc):
+    """A row's place on the ring."""
+    h = F.when(row_id.isNotNull(), F.xxhash64(row_id)).otherwise(F.xxhash64(size, crc))
+    return F.shiftrightunsigned(h, 64 - _RING_BITS)
+
+
+def _cell(rows: DataFrame, bits: int, shards: int, vnodes: int) -> DataFrame:
+    """rows with the cell of each: its equal part of the ring, and how many of that part's points lie before the row."""
+    points, shift = ring_points(shards, vnodes)[0], _RING_BITS - bits
+    parts, starts = np.unique(points >> shift, return_index=True)
+    inside = [(int(p), x.tolist()) for p, x in zip(parts, np.split(points, starts[1:]), strict=True)]
+    # One number for each virtual node.
+    known = F.broadcast(rows.sparkSession.createDataFrame(inside, "part bigint, points array<bigint>"))
+    before = F.coalesce(F.size(F.filter("points", lambda p: p < F.col("at"))), F.lit(0))
+    found = rows.withColumn("part", F.shiftright("at", shift)).join(known, "part", "left")
+    return found.withColumn("cell", F.shiftleft("part", _WITHIN) + before).drop("part", "points")
+
+
 def assign(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, vnodes: int = VNODES, slack: float = SLACK,
     rows_per_cell: int = ROWS_PER_CELL, max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot), one row for each row of docs."""
-    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    position = F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 64 - _RING_BITS)
-    rows = staged(
-        docs.select(F.col(doc_id).alias("id"), (F.length(body) + OVERHEAD).cast("bigint").alias("size"), F.crc32(body).alias("crc"), position.alias("at")),
-        "shard-rows",
-    )
+    flat, name = by_place(docs)
+    body = F.encode(F.coalesce(F.col(name[text]), F.lit("")), "UTF-8")
+    facts = flat.select(F.col(name[doc_id]).alias("id"), (F.length(body) + OVERHEAD).cast("bigint").alias("size"), F.crc32(body).alias("crc"))
+    rows = staged(facts.withColumn("at", place(F.col("id"), F.col("size"), F.col("crc"))), "shard-rows")
     spark = docs.sparkSession
     n = rows.count()
-    least = (CELLS_PER_POINT * shards * vnodes - 1).bit_length()
-    bits = max(least, min((n // rows_per_cell).bit_length(), max_cells.bit_length() - 1))
-    rows = rows.withColumn("cell", F.shiftright("at", _RING_BITS - bits))
+    bits = max(MIN_CELLS.bit_length() - 1, min((n // rows_per_cell).bit_length(), max_cells.bit_length() - 1))
+    rows = _cell(rows, bits, shards, vnodes)
     sizes = [(r[0], r[1]) for r in rows.groupBy("cell").agg(F.sum("size")).toLocalIterator()]
     cuts = flow(sizes, bits, shards, vnodes, slack)
     by_cell: dict[int, list] = {}

@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from curatrix.llm import op8_ring_shards as op
 
 
@@ -27,18 +29,67 @@ def test_balance_slots_and_facts(spark, docs):
     assert got and sorted(got) == sorted(rows(spark, docs(data).repartition(7), shards=10, vnodes=32))
 
 
+def brute(spark, df, shards, vnodes, slack):
+    """{(id, size, crc): sorted shards} by a walk over rows and points, without cells."""
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    facts = df.select("doc_id", (F.length(body) + 16).cast("bigint").alias("size"), F.crc32(body).alias("crc"))
+    data = [tuple(r) for r in facts.select("*", op.place(F.col("doc_id"), F.col("size"), F.col("crc"))).collect()]
+    data.sort(key=lambda r: (r[3], -(2**63) if r[0] is None else r[0], r[1], r[2]))
+    points, owner = (x.tolist() for x in op.ring_points(shards, vnodes))
+    total = sum(r[1] for r in data)
+    room = [int(total / shards * (1 + slack)) + 1] * shards
+    at = [next((i for i, p in enumerate(points) if p >= r[3]), 0) for r in data]
+    shard, left = [None] * len(data), []
+    for k, (r, i) in enumerate(zip(data, at, strict=True)):
+        take = min(r[1], room[owner[i]])
+        room[owner[i]] -= take
+        shard[k] = owner[i] if take else None
+        left.append(r[1] - take)
+    for k, i in enumerate(at):
+        while left[k]:
+            while not room[owner[i]]:
+                i = (i + 1) % len(owner)
+            take = min(left[k], room[owner[i]])
+            room[owner[i]] -= take
+            left[k] -= take
+            shard[k] = owner[i] if shard[k] is None else shard[k]
+    out = defaultdict(list)
+    for r, s in zip(data, shard, strict=True):
+        out[r[:3]].append(s)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_against_a_walk_over_rows(spark, docs):
+    data = [(i * 7 % 501, "x" * (i * 37 % 400)) for i in range(600)] + [(None, "n" * (i % 9)) for i in range(40)] + [(3, "same")] * 5
+    for shards, vnodes, slack in ((10, 32, op.SLACK), (7, 3, 0.05)):
+        want = brute(spark, docs(data), shards, vnodes, slack)
+        got = defaultdict(list)
+        for i, size, crc, shard, _ in rows(spark, docs(data), shards=shards, vnodes=vnodes, slack=slack):
+            got[i, size, crc].append(shard)
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_a_row_stays_where_it_is_however_many_cells_there_are(spark, docs):
+    df = docs([(i, "x" * (i * 37 % 400)) for i in range(20000)])
+    few, many = (sorted(rows(spark, df, shards=10, vnodes=32, rows_per_cell=n)) for n in (20_000, 1))
+    assert [r[:4] for r in few] == [r[:4] for r in many] and few == many
+
+
 def test_limited_movement(spark, docs):
     df = docs([(i, "y" * 50) for i in range(6000)])
-    a = {i: s for i, _, _, s, _ in rows(spark, df, shards=10, vnodes=64, slack=0.25)}
-    b = {i: s for i, _, _, s, _ in rows(spark, df, shards=11, vnodes=64, slack=0.25)}
-    moved = sum(a[i] != b[i] for i in a)
-    assert moved < 0.25 * len(a) and sum(b[i] == 10 for i in a) > 0
+    for slack, vnodes in ((0.25, 64), (op.SLACK, op.VNODES)):
+        a = {i: s for i, _, _, s, _ in rows(spark, df, shards=10, vnodes=vnodes, slack=slack)}
+        b = {i: s for i, _, _, s, _ in rows(spark, df, shards=11, vnodes=vnodes, slack=slack)}
+        moved = sum(a[i] != b[i] for i in a)
+        assert moved < 0.25 * len(a) and sum(b[i] == 10 for i in a) > 0
 
 
 def test_flow_against_a_walk():
-    cells = [(c, (c * 7919) % 50 + 1) for c in range(256)]
-    total, shards = sum(b for _, b in cells), 5
-    cuts = op.flow(cells, 8, shards, 16, 0.01)
+    shards, vnodes, bits = 5, 16, 8
+    points = op.ring_points(shards, vnodes)[0] >> (op._RING_BITS - bits)
+    cells = [((c << op._WITHIN) + k, (c * 7919 + k) % 50 + 1) for c in range(1 << bits) for k in range(int((points == c).sum()) + 1)]
+    total = sum(b for _, b in cells)
+    cuts = op.flow(cells, bits, shards, vnodes, 0.01)
     starts = defaultdict(list)
     for cell, at, shard in cuts:
         starts[cell].append((at, shard))
