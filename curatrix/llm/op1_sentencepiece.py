@@ -7,7 +7,11 @@ pieces' probabilities to the power ALPHA. The random number of a draw is a hash
 row's key and the position in the text: results don't depend on partitions, batches or retries.
 
 No piece crosses from a non-space to a space or over a line break, so the lattice falls apart there;
-equal segments share one lattice in a batch, and all draws of a batch take a few numpy passes.
+equal segments share one lattice in a batch, and all draws of a batch take a few numpy passes. A text
+of more than CHUNK_CHARS is taken in parts that end where segments do, and a segment of more than
+LONG_CHARS (a run without spaces) is filtered block by block, keeping only the weights at the borders
+of blocks, and sampled backwards over blocks that are filtered again. So memory is bounded for a text
+of any length, and draws stay what they are, as they depend on key and position alone.
 The given vocabulary is a merge list whose scores are ranks; its pieces get Zipf weights, the
 probability 1 / (rank + 2) normalised. A model with log probabilities can use them as they are.
 
@@ -31,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, mix64, table
+from .common import by_place, free_name, mix64, table
 
 ALPHA = 1.0
 SEED = 20240501
 CHUNK_CHARS = 700_000
+LONG_CHARS, BLOCK = 100_000, 1 << 16
 
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 
@@ -111,6 +116,36 @@ def _tables(v: Vocabulary) -> dict:
     return v.tables
 
 
+def _edges(code: np.ndarray, wide: np.ndarray, ends, longest: int, v: Vocabulary) -> list[tuple]:
+    """(starts, length, ids, log weights) of the pieces found in a row of characters: bytes, then by falling length.
+
+    ends are places that are no characters; ids of characters that take byte pieces are -1 - code point.
+    """
+    found, single = [], np.zeros(len(code), bool)
+    tables = _tables(v)
+    h = wide * _K
+    for length in range(1, min(max(tables), longest) + 1):
+        if length > 1:
+            h = h[:-1] + wide[length - 1 :]
+            h *= _K
+        if length in tables:
+            keys, piece, seen = tables[length]
+            at = np.flatnonzero(seen[(h >> _FILTER).view(np.int64)])
+            m = h[at]
+            where = np.minimum(np.searchsorted(keys, m), len(keys) - 1)
+            ok = keys[where] == m
+            at, p = at[ok].astype(np.int32), piece[where[ok]]
+            if length == 1:
+                single[at] = True
+            found.append((at, length, p, v.logp[p]))
+    single[ends] = True
+    rest = np.flatnonzero(~single).astype(np.int32)
+    cp = code[rest].astype(np.int32)
+    n_bytes = 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
+    found.append((rest, 1, -1 - cp, n_bytes * v.logp[v.byte_id[0]]))
+    return found[::-1]
+
+
 class Lattice:
     """All lattices of some distinct segments, laid out one after the other.
 
@@ -135,29 +170,7 @@ class Lattice:
         self.end[order] = ends
         self.offset = np.arange(len(code)) - np.repeat(base, size[order] + 1)
         self.count = n - np.cumsum(np.bincount(size, minlength=longest + 1))  # segments with more than d characters
-        found, single = [], np.zeros(len(code), bool)
-        tables = _tables(v)
-        h = wide * _K
-        for length in range(1, min(max(tables), longest) + 1):
-            if length > 1:
-                h = h[:-1] + wide[length - 1 :]
-                h *= _K
-            if length in tables:
-                keys, piece, seen = tables[length]
-                at = np.flatnonzero(seen[(h >> _FILTER).view(np.int64)])
-                m = h[at]
-                where = np.minimum(np.searchsorted(keys, m), len(keys) - 1)
-                ok = keys[where] == m
-                at, p = at[ok].astype(np.int32), piece[where[ok]]
-                if length == 1:
-                    single[at] = True
-                found.append((at, length, p, v.logp[p]))
-        single[ends] = True
-        rest = np.flatnonzero(~single).astype(np.int32)  # byte pieces, marked by -1 - code point
-        cp = code[rest].astype(np.int32)
-        n_bytes = 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
-        found.append((rest, 1, -1 - cp, n_bytes * v.logp[v.byte_id[0]]))
-        self._filter(found[::-1])
+        self._filter(_edges(code, wide, ends, longest, v))
 
     def _filter(self, found):
         """Weights of all paths to each node, then each edge's share of its node's.
@@ -216,25 +229,135 @@ def _uniform(key: np.ndarray, position: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+class LongSegment:
+    """The lattice of one long segment, a block of nodes at a time."""
+
+    def __init__(self, text: str, v: Vocabulary, block: int):
+        self.text, self.v, self.block = text, v, max(block, _LONGEST)
+        self.borders: list[list[float]] = [[1.0]]  # weights of the last nodes up to each block's first border
+        for b in range(-(-len(text) // self.block)):
+            weights = self._filtered(b)[0]
+            self.borders.append(weights[-_LONGEST:])
+
+    def _filtered(self, b: int):
+        """(weights of the nodes from the carried ones on, first node, head, starts, ids, path weights of edges) of a block."""
+        a, z = b * self.block, min((b + 1) * self.block, len(self.text))
+        alpha = list(self.borders[b])
+        lo = a + 1 - len(alpha)
+        code = np.frombuffer(self.text[lo:z].encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = _edges(code, code.astype(np.uint64) + np.uint64(1), np.empty(0, np.int64), len(code), self.v)
+        end = np.concatenate([s + n for s, n, _, _ in found])
+        use = np.flatnonzero(end > a - lo)
+        use = use[np.argsort(end[use], kind="stable")]
+        starts = np.concatenate([s for s, *_ in found])[use].tolist()
+        ids = np.concatenate([i for _, _, i, _ in found])[use].tolist()
+        weight = np.exp(np.concatenate([w + _SCALE * n for _, n, _, w in found])[use]).tolist()
+        head = np.searchsorted(end[use], np.arange(a + 1 - lo, z + 2 - lo)).tolist()
+        for k in range(len(head) - 1):
+            total = 0.0
+            for e in range(head[k], head[k + 1]):
+                # From here on the weight of all paths that end with this piece, in the scale of its node.
+                weight[e] *= alpha[starts[e]]
+                total += weight[e]
+            alpha.append(total)
+            if not 1e-100 < total < 1e100:
+                scale = 1.0 / total
+                alpha[-_LONGEST:] = [x * scale for x in alpha[-_LONGEST:]]
+        return alpha, lo, head, starts, ids, weight
+
+    def draw(self, key: np.uint64, before: int) -> list[int]:
+        """Sampled ids; before is the segment's place in the text."""
+        node, out = len(self.text), []
+        for b in reversed(range(len(self.borders) - 1)):
+            a = b * self.block
+            if node <= a:
+                continue
+            _, lo, head, starts, ids, weight = self._filtered(b)
+            u = _uniform(np.full(node - a, key), np.arange(a + 1, node + 1) + before).tolist()
+            while node > a:
+                k = node - a - 1
+                left = u[k] * sum(weight[head[k] : head[k + 1]])
+                for e in range(head[k], head[k + 1]):
+                    left -= weight[e]
+                    if left < 0:
+                        break
+                out.append(ids[e])
+                node = starts[e] + lo
+        return out[::-1]
+
+
+def parts(text: str, most: int = CHUNK_CHARS, long: int = LONG_CHARS):
+    """(place, part) of a text, space included: parts end where segments do, and hold one long segment or none."""
+    if len(text) <= most and len(text) <= long:
+        yield 0, text
+        return
+    a = z = 0
+    for m in _SEGMENT.finditer(text):
+        if m.end() - m.start() > long:
+            if m.start() > a:
+                yield a, text[a : m.start()]
+            yield m.start(), m[0]
+            a = m.end()
+        elif m.end() - a >= most:
+            yield a, text[a : m.end()]
+            a = m.end()
+        z = m.end()
+    if z > a:
+        yield a, text[a:z]
+
+
 def encode_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Sampled piece ids of all texts in a row, and how many each text has."""
+    key = mix64(keys.view(np.uint64) + np.uint64(seed))
+    ids, owners, held, size = [], [], [], 0
+
+    def flush():
+        nonlocal size
+        if held:
+            of, base, some = zip(*held, strict=True)
+            of = np.array(of)
+            got, n = _encode_parts(list(some), key[of], np.array(base, np.int64), v)
+            ids.append(got)
+            owners.append(np.repeat(of, n))
+        held.clear()
+        size = 0
+
+    for i, t in enumerate(texts):
+        for at, part in parts(" " + t) if t else ():
+            if len(part) > LONG_CHARS and _SEGMENT.fullmatch(part):
+                flush()
+                drawn = np.array(LongSegment(part, v, BLOCK).draw(key[i], at), np.int64)
+                got, owner = _bytes(drawn, np.full(len(drawn), i), v)
+                ids.append(got.astype(np.int32))
+                owners.append(owner)
+                continue
+            held.append((i, at, part))
+            size += len(part)
+            if size >= CHUNK_CHARS:
+                flush()
+    flush()
+    if not ids:
+        return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+    return np.concatenate(ids), np.bincount(np.concatenate(owners), minlength=len(texts))
+
+
+def _encode_parts(texts: list[str], keys: np.ndarray, base: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled piece ids of parts that stand at base in texts with those mixed keys."""
     names: dict[str, int] = {}
     occ, per_doc = [], []
     for t in texts:
-        found = _SEGMENT.findall(" " + t) if t else []
+        found = _SEGMENT.findall(t)
         per_doc.append(len(found))
         occ.extend([names.setdefault(s, len(names)) for s in found])
     per_doc = np.array(per_doc, np.int64)
-    if not occ:
-        return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
     occ = np.array(occ, np.int64)
     lat = Lattice(list(names), v)
     length = lat.size[occ]
     doc = np.repeat(np.arange(len(texts)), per_doc)
     before = np.cumsum(length) - length
     doc_first = np.concatenate(([0], np.cumsum(per_doc)))[:-1]
-    before -= before[np.minimum(doc_first, len(before) - 1)][doc]
-    key = mix64(keys.view(np.uint64) + np.uint64(seed))[doc]
+    before += (base - before[doc_first])[doc]
+    key = keys[doc]
     node, active, steps = lat.end[occ], np.arange(len(occ)), []
     count = np.zeros(len(occ), np.int64)
     while len(active):
@@ -272,7 +395,11 @@ def _bytes(out: np.ndarray, owner: np.ndarray, v: Vocabulary) -> tuple[np.ndarra
 
 
 def decode_ids(ids, v: Vocabulary) -> str:
-    return b"".join(map(v.as_bytes.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+    """The text of piece ids, a list or an array of any length."""
+    ids = np.asarray(ids, np.int64)
+    # In stretches, as a list takes ten times the memory of an array.
+    stretch = lambda i: b"".join(map(v.as_bytes.__getitem__, ids[i : i + (1 << 16)].tolist()))
+    return b"".join(map(stretch, range(0, len(ids), 1 << 16)))[1:].decode("utf-8", "surrogatepass")
 
 
 def _encoder(cast, text: str, key: str, seed: int):
@@ -306,38 +433,40 @@ def encode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     # The vocabulary is a fixed file of some 100 kB, whatever the data.
     cast = spark.sparkContext.broadcast(load_vocabulary(model_path, scores, alpha))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    flat = docs.toDF(*names)
-    at = names[docs.columns.index(text)]
-    keyed = flat.withColumn("_key", F.xxhash64(names[docs.columns.index(key)]))
+    flat, names = by_place(docs)
+    at = names[text]
+    keyed = flat.withColumn("_key", F.xxhash64(names[key]))
     schema = T.StructType([*flat.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))])
     return keyed.mapInArrow(_encoder(cast, at, "_key", seed), schema).toDF(*docs.columns, free_name(docs, out))
 
 
 def decode(pieces: DataFrame, model_path: str, *, column: str = "pieces", out: str = "decoded") -> DataFrame:
-    """pieces with a column of the decoded texts."""
+    """pieces with a column of the decoded texts (named out, or with underscores before it)."""
     cast = pieces.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
+    flat, at = by_place(pieces)
 
     @F.pandas_udf(T.StringType())
     def text(ids):
         import pandas as pd
 
         v = cast.value
-        return pd.Series([None if x is None else decode_ids(x.tolist(), v) for x in ids], dtype=object)
-
-    return pieces.withColumn(free_name(pieces, out), text(F.col(column)))
+        return pd.Series([None if x is None else decode_ids(x, v) for x in ids], dtype=object)
 
+    return flat.select("*", text(F.col(at[column]))).toDF(*pieces.columns, free_name(pieces, out))
 
-def default_model() -> str:
-    """The installed public merge vocabulary with byte fallback."""
-    import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+def default_model(name: str = "piece_bpe_32k.model") -> str:
+    """The path of an installed public vocabulary; any other model's path can be given to encode() instead."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError as e:
+        raise ModuleNotFoundError("no vocabulary files are installed: give encode() and decode() the path of a SentencePiece model", name=e.name) from e
+    return public_tokenizers.path(name)
 
 
-def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """Sampled pieces of every document, and whether they decode to the text."""
-    model = default_model()
+    model = model_path or default_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = decode(encode(docs, model), model)
     return done.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))

@@ -71,3 +71,33 @@ def test_frame(spark, docs):
 def test_query(spark):
     rows = op.op1_sentencepiece(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and all(r["lossless"] and r["n_pieces"] == len(r["pieces"]) for r in rows)
+
+
+def test_parts_of_a_long_text_give_what_the_whole_gives(monkeypatch):
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("abcxolo the  \n▁é漢😀")) for _ in range(n)) for n in (0, 1, 50, 700, 3000)] + ["xolotl" * 300 + " end", "    " * 100 + "x\n\n  y" * 40]
+    want = encode(texts, range(len(texts)))
+    for most, long, block in ((1, 10_000, 64), (37, 40, 16), (5, 1, 16), (100, 20, 33)):
+        monkeypatch.setattr(op, "CHUNK_CHARS", most)
+        monkeypatch.setattr(op, "LONG_CHARS", long)
+        monkeypatch.setattr(op, "BLOCK", block)
+        monkeypatch.setattr(op.parts, "__defaults__", (most, long))
+        for t in texts[1:]:
+            cut = list(op.parts(" " + t))
+            assert "".join(p for _, p in cut) == " " + t and all((" " + t).startswith(p, a) for a, p in cut)
+        assert encode(texts, range(len(texts))) == want
+
+
+def test_a_run_without_spaces_is_sampled_by_blocks():
+    text = "internationalisation" * 20_000  # 400,000 characters, four times a long segment
+    [ids] = encode([text])
+    assert op.decode_ids(ids, V) == text
+    assert encode([text, "x"], [0, 1])[0] == ids
+
+
+def test_clashing_columns_and_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "the cat", 7, 8)], "`k.id` int, `x.text` string, _key int, pieces int")
+    out = op.encode(df, op.default_model(), key="k.id", text="x.text")
+    back = op.decode(out.withColumnRenamed("pieces", "decoded"), op.default_model(), column="_pieces")
+    r = back.first()
+    assert back.columns == ["k.id", "x.text", "_key", "decoded", "_pieces", "_decoded"] and r["_decoded"] == "the cat" and tuple(r)[:4] == (1, "the cat", 7, 8)
