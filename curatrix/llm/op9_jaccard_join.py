@@ -13,11 +13,11 @@ Candidates without all pairs of a group
    sketch) is the hub; every other member is paired with it, which is linear in the postings.
 2. Hub pairs that share a fair part of their prefixes are verified on whole sets; the links found
    give provisional components.
-3. Lists that still hold several components are gathered by hub, in blocks of bounded size, and
-   shared tokens are counted for pairs across components only, as a product of incidence matrices.
-   A pair goes on if its count can still reach what its sizes, prefix ends and l demand. Its shared
-   tokens may lie under several hubs: one hub must hold its share of that number, and with all that
-   the two have under other hubs the number must be reached.
+3. Of the lists only tokens that several components hold go on, gathered by hub and document, in blocks
+   bounded by documents and by tokens. Shared tokens are counted for pairs across components only, as a
+   product of incidence matrices taken in slices of tokens. A pair goes on if its count can still reach
+   what its sizes, prefix ends and l demand. Its shared tokens may lie under several hubs: one hub must
+   hold its share of that number, and with all that the two have under other hubs the number must be reached.
 4. Those pairs are verified on whole sets. Every pair that links is then either inside a provisional
    component or among these, so the components of all links found are exact.
 
@@ -26,6 +26,9 @@ Defined results
   shingle are one shingle, their whole sequence;
 - rows that share an id but not a set are joined on their own, and rows that share both are copies;
   a null id counts as the smallest id inside and comes out as null; an empty table gives an empty result;
+- a text of any length is one set of hashes, and what a task holds of a family of texts is bounded;
+- keep_one keeps rows by id, and of rows that share id and text one; other columns are carried along by place,
+  whatever their names;
 - sets are compared by 64-bit hashes: two shingles of a pair are confused with probability 2^-64.
 """
 
@@ -39,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE_BYTES, Kept, arrow_rows, combine, mix64, staged, table, word_hashes
+from .common import NULL_ID, SPACE_BYTES, Kept, arrow_rows, by_place, combine, mix64, small_side, staged, table, word_hashes
 from .components import connected_components
 
 WORDS = 5
@@ -50,9 +53,11 @@ _SALTS = 64
 LEVELS = (1, 2, 4, 8, 16)
 CANDIDATE_COST = 4.0  # of one expected candidate, in postings
 STAR_SHARE = 0.25  # of the shorter prefix that a hub pair must share to be verified early
-BLOCK_DOCS = 1024
+BLOCK_DOCS = 512
+BLOCK_TOKENS = 1 << 20
+SLICE_CELLS = 1 << 22  # of an incidence matrix at a time
 BATCH_ROWS = 1000
-BROADCAST_IDS = 500_000  # 8 bytes each, before a join on ids moves texts
+BROADCAST_BYTES = 8 << 20  # of ids, before a join on them moves texts
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -196,66 +201,90 @@ def _hubs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["hub", "token", "doc"])
 
 
-_MEMBER = ("hub", "b1", "b2", "token", "doc", "comp", "n", "p", "l", "hubs", "postings", "end_count", "end_token")
+_MEMBER = {"hub": "bigint", "b1": "int", "b2": "int", "block": "int", "doc": "bigint", "comp": "bigint", "n": "int", "p": "int", "l": "int", "hubs": "int", "elsewhere": "int", "end_count": "bigint", "end_token": "bigint"}
+_FACTS = tuple(_MEMBER)[4:]
 
 
-def cross_pairs(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a hub's documents in different components that may link, from its postings."""
-    doc, at, inv = np.unique(g["doc"], return_index=True, return_inverse=True)
-    comp, n, p, level, hubs, postings, end_c = (g[c][at].astype(np.int64) for c in ("comp", "n", "p", "l", "hubs", "postings", "end_count"))
-    end_t = g["end_token"][at].astype(np.int64).view(np.uint64)
-    elsewhere = postings - np.bincount(inv, minlength=len(doc))  # a document's postings under other hubs
-    tok, col = np.unique(g["token"], return_inverse=True)
-    lo, hi = np.full(len(tok), 2**63 - 1), np.full(len(tok), -(2**63))
-    np.minimum.at(lo, col, comp[inv])
-    np.maximum.at(hi, col, comp[inv])
-    mixed = lo != hi
-    use = mixed[col]
-    if not use.any():
+def shared_counts(doc: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each of the left documents shares with each of the right, from (document, token) rows.
+
+    left and right are numbers of documents; the incidence matrix is made for a slice of tokens at a time.
+    """
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(token, kind="stable")
+    doc, col = doc[order], np.unique(token[order], return_inverse=True)[1]
+    step = max(1, SLICE_CELLS // (len(left) + len(right)))
+    n = int(col[-1]) + 1 if len(col) else 0
+    where = np.full(int(doc.max(initial=-1)) + 1, -1)
+    for a in range(0, n, step):
+        i, z = np.searchsorted(col, [a, a + step])
+        part = []
+        for side in (left, right):
+            where[:] = -1
+            where[side] = np.arange(len(side))
+            row = where[doc[i:z]]
+            x = np.zeros((len(side), min(step, n - a)), np.float32)
+            x[row[row >= 0], col[i:z][row >= 0] - a] = 1
+            part.append(x)
+        out += part[0] @ part[1].T
+    return out
+
+
+def cross_pairs(g: dict[str, np.ndarray], size: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a hub's documents in different components that may link: of one block, or of two with a document from each.
+
+    g holds facts of the documents, size how many tokens each has, tokens these in a row.
+    """
+    comp, n, p, level, hubs, elsewhere, end_c = (g[c].astype(np.int64) for c in ("comp", "n", "p", "l", "hubs", "elsewhere", "end_count"))
+    doc, end_t = g["doc"], g["end_token"].astype(np.int64).view(np.uint64)
+    one = g["b1"][0] == g["b2"][0]
+    left, right = np.flatnonzero(g["block"] == g["b1"][0]), np.flatnonzero(g["block"] == g["b2"][0])
+    of, (_, col) = np.repeat(np.arange(len(doc)), size), np.unique(tokens, return_inverse=True)
+    lo, hi = np.full(int(col.max(initial=-1)) + 1, 2**63 - 1), np.full(int(col.max(initial=-1)) + 1, -(2**63))
+    np.minimum.at(lo, col, comp[of])
+    np.maximum.at(hi, col, comp[of])
+    use = (lo != hi)[col]
+    if not use.any() or not len(left) or not len(right):
         return doc[:0], doc[:0]
-    inv, (_, col) = inv[use], np.unique(col[use], return_inverse=True)
-    x = np.zeros((len(doc), int(col.max()) + 1), np.float32)
-    x[inv, col] = 1
-    rest = n - p
-    left, right = [], []
-    step = max(1, (1 << 22) // len(doc))
-    for a in range(0, len(doc), step):
-        i = np.arange(a, min(a + step, len(doc)))
-        count = np.rint(x[i] @ x.T).astype(np.int64)
-        ii, jj = np.nonzero(count)
-        k = count[ii, jj]
-        ii = i[ii]
-        ok = (ii < jj) & (comp[ii] != comp[jj]) & (100 * np.minimum(n[ii], n[jj]) >= THRESHOLD * np.maximum(n[ii], n[jj]))
-        ii, jj, k = ii[ok], jj[ok], k[ok]
-        both = n[ii] + n[jj]
-        need = -(-THRESHOLD * both // (100 + THRESHOLD))  # shared tokens that a link takes
-        sooner = (end_c[ii] < end_c[jj]) | ((end_c[ii] == end_c[jj]) & (end_t[ii] < end_t[jj]))
-        # What lies beyond the prefix that ends first can't be counted here.
-        need = np.maximum(need - np.where(sooner, rest[ii], rest[jj]), np.minimum(level[ii], level[jj]))
-        share = -(-need // np.minimum(hubs[ii], hubs[jj]))
-        ok = (k >= share) & (k + np.minimum(elsewhere[ii], elsewhere[jj]) >= need)
-        left.append(doc[ii[ok]])
-        right.append(doc[jj[ok]])
-    return np.concatenate(left), np.concatenate(right)
+    count = shared_counts(of[use], col[use], left, right)
+    ii, jj = np.nonzero(count)
+    k = np.rint(count[ii, jj]).astype(np.int64)
+    ii, jj = left[ii], right[jj]
+    ok = (comp[ii] != comp[jj]) & (100 * np.minimum(n[ii], n[jj]) >= THRESHOLD * np.maximum(n[ii], n[jj]))
+    if one:
+        ok &= ii < jj
+    ii, jj, k = ii[ok], jj[ok], k[ok]
+    need = -(-THRESHOLD * (n[ii] + n[jj]) // (100 + THRESHOLD))  # shared tokens that a link takes
+    sooner = (end_c[ii] < end_c[jj]) | ((end_c[ii] == end_c[jj]) & (end_t[ii] < end_t[jj]))
+    # What lies beyond the prefix that ends first can't be counted here.
+    need = np.maximum(need - np.where(sooner, n[ii] - p[ii], n[jj] - p[jj]), np.minimum(level[ii], level[jj]))
+    share = -(-need // np.minimum(hubs[ii], hubs[jj]))
+    ok = (k >= share) & (k + np.minimum(elsewhere[ii], elsewhere[jj]) >= need)
+    a, b = doc[ii[ok]], doc[jj[ok]]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _cross(batches):
     """cross_pairs for each (hub, b1, b2) of a sorted partition."""
     held: list[pa.RecordBatch] = []
+    group = tuple(_MEMBER)[:3]
 
     def flush(t: pa.Table):
         cols = {c: t.column(c).to_numpy() for c in _MEMBER}
-        key = np.flatnonzero((np.diff(cols["hub"], prepend=0) != 0) | (np.diff(cols["b1"], prepend=0) != 0) | (np.diff(cols["b2"], prepend=0) != 0))
-        key = np.unique(np.concatenate(([0], key, [t.num_rows])))
-        lo, hi = (f.reduceat(cols["comp"], key[:-1]) for f in (np.minimum, np.maximum))
-        found = [cross_pairs({c: v[key[i] : key[i + 1]] for c, v in cols.items()}) for i in np.flatnonzero(lo != hi)]
-        if found:
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        lists = t.column("tokens").combine_chunks()
+        size, tokens = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        at = np.concatenate(([0], np.cumsum(size)))
+        edge = np.flatnonzero(np.any([np.diff(cols[c], prepend=cols[c][0]) != 0 for c in group], axis=0))
+        edge = np.unique(np.concatenate(([0], edge, [t.num_rows])))
+        lo, hi = (f.reduceat(cols["comp"], edge[:-1]) for f in (np.minimum, np.maximum))
+        for i in np.flatnonzero(lo != hi):
+            x, y = edge[i], edge[i + 1]
+            a, b = cross_pairs({c: v[x:y] for c, v in cols.items()}, size[x:y], tokens[at[x] : at[y]])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def same(x: pa.RecordBatch, y: pa.RecordBatch) -> bool:
-        return all(x.column(c)[x.num_rows - 1].as_py() == y.column(c)[0].as_py() for c in _MEMBER[:3])
+        return all(x.column(c)[x.num_rows - 1].as_py() == y.column(c)[0].as_py() for c in group)
 
     for b in batches:
         if not b.num_rows:
@@ -264,7 +293,7 @@ def _cross(batches):
             yield from flush(pa.Table.from_batches(held))
             held = []
         # All but the last group of the batch are whole.
-        key = [b.column(c).to_numpy() for c in _MEMBER[:3]]
+        key = [b.column(c).to_numpy() for c in group]
         cut = int(np.flatnonzero(np.any([k != k[-1] for k in key], axis=0)).max(initial=-1)) + 1
         if cut:
             yield from flush(pa.Table.from_batches([*held, b.slice(0, cut)]))
@@ -295,16 +324,11 @@ def _sets(words: int):
     return run
 
 
-def small_side(ids: DataFrame) -> DataFrame:
-    """A table of ids as the side to broadcast, if it has been counted to be small; a shuffle joins it otherwise."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, keep: Kept) -> DataFrame:
     """Of the pairs (a, b) of class nodes, those whose whole sets link. texts: (doc, text)."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = keep.stage(classes.join(nodes, "node", "left_semi"), "jaccard-wanted")
-    some = texts.join(small_side(wanted.select(F.col("rep").alias("doc")).distinct()), "doc", "left_semi").select("text")
+    some = texts.join(small_side(wanted.select(F.col("rep").alias("doc")).distinct(), BROADCAST_BYTES), "doc", "left_semi").select("text")
     sets = some.mapInArrow(_sets(words), "n int, s1 bigint, s2 bigint, tokens array<bigint>")
     sets = keep.stage(sets.join(wanted, ["s1", "s2", "n"]).dropDuplicates(["node"]).select("node", "tokens"), "jaccard-sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
@@ -329,7 +353,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 def _components(docs: DataFrame, doc_id: str, text: str, words: int, block_docs: int) -> DataFrame:
     spark, keep = docs.sparkSession, Kept()
-    own = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
+    flat, at = by_place(docs)
+    own = flat.select(F.coalesce(F.col(at[doc_id]).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.col(at[text]).alias("text"))
     counts = sketch(own, words)
     cast = spark.sparkContext.broadcast((counts, float(counts.mean())))
     found = keep(own.mapInArrow(_documents(cast, words), _DOC))
@@ -346,28 +371,34 @@ def _components(docs: DataFrame, doc_id: str, text: str, words: int, block_docs:
     lists = keep.stage(spread.mapInArrow(_hubs, "hub bigint, token bigint, doc bigint"), "jaccard-lists")
     stars = keep.stage(lists.groupBy("hub", "doc").agg(F.count("*").alias("k")), "jaccard-stars")
     facts = keep.stage(reps.select("doc", "n", "p", "l", "end_count", "end_token"), "jaccard-facts")
-    texts = own.dropDuplicates(["doc"]) if False else own
 
     sized = stars.where("hub <> doc").join(facts.select("doc", "n", "p"), "doc").join(facts.select(F.col("doc").alias("hub"), F.col("n").alias("hn"), F.col("p").alias("hp")), "hub")
     near = (100 * F.least("n", "hn") >= THRESHOLD * F.greatest("n", "hn")) & (F.col("k") >= F.greatest(F.lit(1), STAR_SHARE * F.least("p", "hp")))
     first = verified(sized.where(near).select(F.col("hub").alias("a"), F.col("doc").alias("b")), classes, own, words, keep)
     provisional = connected_components(first)
 
+    # Hubs under which several components meet, then the tokens that several of them hold: all else is settled.
+    star = stars.join(provisional.select(F.col("node").alias("doc"), "component"), "doc", "left").select("hub", "doc", "k", F.coalesce("component", "doc").alias("comp"))
+    star = keep.stage(star, "jaccard-components-met")
+    several = lambda df, by: df.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(by)
+    met = keep.stage(star.join(small_side(several(star, "hub"), BROADCAST_BYTES), "hub", "left_semi"), "jaccard-met")
+    mixed = keep.stage(lists.join(met.select("hub", "doc", "comp"), ["hub", "doc"]), "jaccard-mixed")
+    mixed = mixed.join(small_side(several(mixed, "token"), BROADCAST_BYTES), "token", "left_semi")
+    # An array is as long as a document's prefix at most.
+    held = keep.stage(mixed.groupBy("hub", "doc").agg(F.collect_list("token").alias("tokens")), "jaccard-held")
+    sizes = held.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int").alias("blocks"))
     hubs = stars.groupBy("doc").agg(F.count("*").alias("hubs"), F.sum("k").alias("postings"))
-    sizes = stars.groupBy("hub").agg(F.count("*").alias("members"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / block_docs)).cast("int")
     member = (
-        lists.join(sizes.select("hub", blocks.alias("blocks")), "hub")
+        held.join(met, ["hub", "doc"])
+        .join(sizes, "hub")
         .join(facts.join(hubs, "doc"), "doc")
-        .join(provisional.select(F.col("node").alias("doc"), "component"), "doc", "left")
-        .withColumn("comp", F.coalesce("component", "doc"))
+        .withColumn("elsewhere", F.col("postings") - F.col("k"))
         .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("b1", F.least("block", "other"))
         .withColumn("b2", F.greatest("block", "other"))
     )
-    kinds = {"b1": "int", "b2": "int", "n": "int", "p": "int", "l": "int", "hubs": "int", "postings": "int"}
-    member = member.select(*(F.col(c).cast(kinds.get(c, "bigint")).alias(c) for c in _MEMBER))
+    member = member.select(*(F.col(c).cast(kind).alias(c) for c, kind in _MEMBER.items()), "tokens")
     cross = member.repartition("hub", "b1", "b2").sortWithinPartitions("hub", "b1", "b2").mapInArrow(_cross, "a bigint, b bigint")
     second = verified(keep.stage(cross.distinct(), "jaccard-cross"), classes, own, words, keep)
     all_links = first.union(second)
@@ -389,10 +420,19 @@ def _components(docs: DataFrame, doc_id: str, text: str, words: int, block_docs:
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the smallest of their component, with their columns as they were."""
+    """The documents that are the smallest of their component, with their columns as they were; of rows that share id and text one."""
+    flat, at = by_place(docs)
+    seen = jaccard_components(docs, doc_id=doc_id, text=text).groupBy("doc").agg(F.max(F.col("doc") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
+    flat = flat.withColumn("key", F.coalesce(F.col(at[doc_id]).cast("bigint"), F.lit(NULL_ID)))
     # Most documents stay, so those that go are the smaller side.
-    gone = jaccard_components(docs, doc_id=doc_id, text=text).groupBy("doc").agg(F.max(F.col("doc") == F.col("component_id")).alias("first")).where("NOT first")
-    return docs.join(small_side(gone.select(F.col("doc").alias("_gone"))), F.coalesce(docs[doc_id].cast("bigint"), F.lit(NULL_ID)) == F.col("_gone"), "left_anti")
+    gone = seen.where("NOT first").select(F.col("doc").alias("key"))
+    kept = flat.join(small_side(gone, BROADCAST_BYTES), "key", "left_anti")
+    again = staged(seen.where("first AND rows > 1").select(F.col("doc").alias("key")), "jaccard-repeated")
+    if not again.isEmpty():
+        side = small_side(again, BROADCAST_BYTES)
+        once = kept.join(side, "key", "left_semi").dropDuplicates(["key", at[text]])
+        kept = kept.join(side, "key", "left_anti").unionByName(once)
+    return kept.select(*(c for c in flat.columns if c != "key")).toDF(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,12 @@ def test_near_copies_of_one_text_in_small_blocks(spark, docs):
     assert run(docs(rows)) == want and run(docs(rows), block_docs=16) == want
 
 
+def test_blocks_bounded_by_tokens(spark, docs, monkeypatch):
+    rows = corpus(11, n=120, vocabulary=150)
+    monkeypatch.setattr(op, "BLOCK_TOKENS", 50)
+    assert run(docs(rows)) == brute(rows)
+
+
 def test_chain_and_threshold(spark, docs):
     w = [f"x{i}" for i in range(60)]
     chain = [(i, " ".join(w[i * 3 : i * 3 + 40])) for i in range(6)]
@@ -96,6 +102,25 @@ def test_shared_ids_nulls_repeats(spark, docs):
     assert run(docs(rows).limit(0)) == []
     kept = op.keep_one(docs([(4, a), (2, a + " x"), (3, None), (6, b)]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 6] and kept.columns == ["doc_id", "text", "pieces"]
+    kept = op.keep_one(docs([(4, a), (4, a), (4, b), (None, None), (None, None), (3, None), (6, b)]))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(4, a), (4, b), (0, ""), (3, "")])
+
+
+def test_clashing_columns_and_names_with_dots(spark):
+    a = " ".join(f"a{i}" for i in range(30))
+    df = spark.createDataFrame([(4, a, 1, 2, 3), (2, a, 4, 5, 6), (3, None, 7, 8, 9)], "`k.id` int, `x.text` string, _gone int, key int, doc int")
+    kept = op.keep_one(df, doc_id="k.id", text="x.text")
+    assert kept.columns == df.columns and sorted(tuple(r)[2:] for r in kept.collect()) == [(4, 5, 6), (7, 8, 9)]
+
+
+def test_shared_counts_in_slices(monkeypatch):
+    r = np.random.default_rng(5)
+    doc, token = (x[:, 0] for x in np.split(np.unique(np.stack([r.integers(0, 40, 900), r.integers(0, 200, 900)], 1), axis=0), 2, axis=1))
+    sets = [set(token[doc == d].tolist()) for d in range(40)]
+    left, right = np.arange(0, 25), np.arange(10, 40)
+    for cells in (1, 60, 700, 1 << 22):
+        monkeypatch.setattr(op, "SLICE_CELLS", cells)
+        assert op.shared_counts(doc, token, left, right).tolist() == [[len(sets[i] & sets[j]) for j in right] for i in left]
 
 
 def test_hubs_over_batches():
