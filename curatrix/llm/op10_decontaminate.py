@@ -7,8 +7,10 @@ doubling), the Burrows-Wheeler transform, a wavelet matrix for ranks, and suffix
 at run starts and at every SAMPLE-th word. All windows are searched backwards at once, occurrences
 are located by walking to sampled positions, and overlapping ones are merged to removal spans.
 
-The benchmark is searched in blocks of BLOCK_WORDS words, each block broadcast, so what one pass
-holds is bounded however large the benchmark grows; each pass adds to the spans of the one before.
+The benchmark is searched in blocks of BLOCK_WORDS words, read and broadcast one at a time; each pass
+adds to the spans of the one before, and is written before the next block is read, so what the driver
+and a task hold is bounded however large the benchmark grows. Ranks are taken on bit vectors, a bit a
+place with a count every 64 places, and positions are kept for sampled suffixes alone.
 
 Defined results
 - null and empty texts have no words, no hits and are not contaminated; an item without words occurs nowhere;
@@ -28,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_set, free_name, table
+from .common import by_place, byte_set, free_name, staged, table
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 SAMPLE = 16
 
 _WORD_BYTES = byte_set(lambda i: i >= 0x80 or chr(i).isalnum())
@@ -75,17 +77,38 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
             return np.argsort(rank, kind="stable")
 
 
+class Bits:
+    """A bit vector with ranks: 64 places a word, and the ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        data = np.packbits(bits.astype(bool), bitorder="little")
+        self.words = np.zeros(self.n // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(data)] = data
+        ones = np.bitwise_count(self.words)
+        self.before = (np.cumsum(ones, dtype=np.int64) - ones).astype(np.int32)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        w = i >> 6
+        low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[w] + np.bitwise_count(self.words[w] & low).astype(np.int64)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence, level by level from the highest bit."""
 
     def __init__(self, seq: np.ndarray, sigma: int):
         self.bits = max(1, int(sigma - 1).bit_length())
-        self.ones: list[np.ndarray] = []
+        self.ones: list[Bits] = []
         self.zeros: list[int] = []
         s = seq
         for level in reversed(range(self.bits)):
             bit = (s >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
+            self.ones.append(Bits(bit))
             self.zeros.append(int(len(s) - bit.sum()))
             s = np.concatenate((s[bit == 0], s[bit == 1]))
 
@@ -95,8 +118,9 @@ class WaveletMatrix:
         i = i.astype(np.int64)
         for level, ones, zeros in zip(reversed(range(self.bits)), self.ones, self.zeros, strict=True):
             bit = ((symbol >> level) & 1).astype(bool)
-            i = np.where(bit, zeros + ones[i], i - ones[i])
-            lo = np.where(bit, zeros + ones[lo], lo - ones[lo])
+            x, y = ones.rank(i), ones.rank(lo)
+            i = np.where(bit, zeros + x, i - x)
+            lo = np.where(bit, zeros + y, lo - y)
         return i - lo
 
 
@@ -105,13 +129,13 @@ class FMIndex:
         """seq: symbols 1..sigma-1 with a zero after every run."""
         self.n = len(seq)
         sa = suffix_array(seq)
-        self.bwt = seq[sa - 1]
+        self.bwt = seq[sa - 1].astype(np.int32)
         self.tree = WaveletMatrix(self.bwt, sigma)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=sigma))))[:-1]
         starts = np.concatenate(([True], seq[:-1] == 0))
         sampled = starts[sa] | (sa % SAMPLE == 0)
-        self.sampled = sampled
-        self.position = np.where(sampled, sa, -1)
+        self.sampled = Bits(sampled)
+        self.positions = sa[sampled].astype(np.int32)
 
     def search(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of all windows (rows, filled from the left) at once: their suffix ranges."""
@@ -129,13 +153,13 @@ class FMIndex:
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Positions of suffixes, by walking back to a sampled one."""
         at, steps = rows.copy(), np.zeros(len(rows), np.int64)
-        open_ = np.flatnonzero(~self.sampled[at])
+        open_ = np.flatnonzero(~self.sampled.get(at))
         while len(open_):
             c = self.bwt[at[open_]]
             at[open_] = self.before[c] + self.tree.rank(c, at[open_])
             steps[open_] += 1
-            open_ = open_[~self.sampled[at[open_]]]
-        return self.position[at] + steps
+            open_ = open_[~self.sampled.get(at[open_])]
+        return self.positions[self.sampled.rank(at)] + steps
 
 
 # --- windows of a benchmark block ----------------------------------------------------------------
@@ -144,33 +168,37 @@ class FMIndex:
 class Block:
     """Distinct windows of some items over their own vocabulary, and which items hold each."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.vocab: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], list[str]] = {}
-        for item, ws in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws]
-            for i in range(max(1, len(ids) - window + 1)):
-                holders = found.setdefault(tuple(ids[i : i + window]), [])
-                if not holders or holders[-1] != item:
-                    holders.append(item)
-        self.items = list(found.values())
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.windows = np.zeros((len(found), window), np.int64)
-        for i, w in enumerate(found):
-            self.windows[i, : len(w)] = w
-        self.shortest = int(self.lengths.min()) if len(found) else 0
-
-
-def blocks(benchmark: DataFrame, *, item_id: str, text: str, window: int, block_words: int) -> list[Block]:
-    out, items, size = [], [], 0
-    for r in benchmark.select(F.col(item_id).cast("string"), F.col(text)).orderBy(F.col(item_id), F.col(text)).toLocalIterator():
+    def __init__(self, items: list[tuple[str, np.ndarray]], vocab: dict[bytes, int], window: int):
+        """items: (id, word numbers from 1 on); windows shorter than window are filled up with zeros."""
+        self.vocab, self.names = vocab, [name for name, _ in items]
+        rows = [np.lib.stride_tricks.sliding_window_view(x, window) if len(x) >= window else np.pad(x, (0, window - len(x)))[None] for _, x in items]
+        every = np.concatenate(rows) if rows else np.zeros((0, window), np.int32)
+        self.windows, which = np.unique(every, axis=0, return_inverse=True)
+        self.lengths = (self.windows != 0).sum(1).astype(np.int64)
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+        item = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        held = np.unique(np.stack([which.reshape(-1), item], 1), axis=0)
+        self.first, self.holders = np.searchsorted(held[:, 0], np.arange(len(self.windows) + 1)), held[:, 1].astype(np.int32)
+
+    def items(self, w: int) -> list[str]:
+        """The items that hold window w."""
+        return [self.names[i] for i in self.holders[self.first[w] : self.first[w + 1]]]
+
+
+def blocks(benchmark: DataFrame, *, item_id: str, text: str, window: int, block_words: int):
+    """The blocks of the benchmark, one at a time; there is one at least. An item is held whole."""
+    items, vocab, size, none = [], {}, 0, True
+    flat, at = by_place(benchmark)
+    order = flat.select(F.col(at[item_id]).cast("string").alias("item"), F.col(at[text]).alias("text")).orderBy("item", "text")
+    for r in order.toLocalIterator():
         if ws := words(r[1]):
-            items.append((r[0] if r[0] is not None else "null", ws))
+            items.append((r[0] if r[0] is not None else "null", np.array([vocab.setdefault(w, len(vocab) + 1) for w in ws], np.int32)))
             size += len(ws)
         if size >= block_words:
-            out.append(Block(items, window))
-            items, size = [], 0
-    return [*out, Block(items, window)] if items or not out else out
+            yield Block(items, vocab, window)
+            items, vocab, size, none = [], {}, 0, False
+    if items or none:
+        yield Block(items, vocab, window)
 
 
 # --- shards --------------------------------------------------------------------------------------
@@ -211,7 +239,7 @@ def search_shard(texts: list, earlier: list | None, block: Block) -> list[dict]:
         np.add.at(depth, start + block.lengths[which], -1)
         doc = np.searchsorted(base, start, side="right") - 1
         for d, w in np.unique(np.stack([doc, which], 1), axis=0) if len(doc) else ():
-            named.setdefault(int(d), set()).update(block.items[w])
+            named.setdefault(int(d), set()).update(block.items(w))
     for i, e in enumerate(earlier or ()):
         if e and e["starts"]:
             np.add.at(depth, base[i] + np.array(e["starts"], np.int64), 1)
@@ -259,12 +287,16 @@ def find_leaks(
 ) -> tuple[DataFrame, str]:
     """docs with a struct of n_words, span starts and ends (in words, ends exclusive) and items; and the struct's name."""
     found = free_name(docs, "_leaks")
-    names = [f"c{i}" for i in range(len(docs.columns))]  # names may clash or hold dots
-    out, at = docs.toDF(*names), names[docs.columns.index(text)]
-    spark = docs.sparkSession
-    for k, block in enumerate(blocks(benchmark, item_id=item_id, text=item_text, window=window, block_words=block_words)):
+    out, at = by_place(docs)
+    spark, last = docs.sparkSession, None
+    for block in blocks(benchmark, item_id=item_id, text=item_text, window=window, block_words=block_words):
+        if last is not None:
+            # Only a benchmark of several blocks comes here: what the last one found is written, and the block let go.
+            out = staged(out, "leaks")
+            last.unpersist()
         schema = T.StructType([*(f for f in out.schema.fields if f.name != found), T.StructField(found, FINDINGS)])
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), at, found, k == 0, shard_words), schema)
+        add, last = last is None, spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(_pass(last, at[text], found, add, shard_words), schema)
     return out.toDF(*docs.columns, found), found
 
 

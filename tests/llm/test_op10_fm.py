@@ -73,3 +73,31 @@ def test_empty_tables_and_decisions(spark, docs):
     leak = " ".join(f"q{i}" for i in range(13))
     kept = op.decontaminate(docs([(1, long), (2, f"{long} {leak}"), (3, f"some {leak}"), (4, None)]), spark.createDataFrame([(1, leak)], "item_id bigint, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
+
+
+def test_bits_and_located_positions():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 63, 64, 65, 1000):
+        bits = r.integers(0, 2, n)
+        b, at = op.Bits(bits), np.arange(n + 1)
+        assert b.rank(at).tolist() == [int(bits[:i].sum()) for i in at] and b.get(at[:-1]).tolist() == bits.astype(bool).tolist()
+    seq = np.concatenate([np.append(r.integers(1, 4, 40), 0) for _ in range(9)]).astype(np.int64)
+    index = op.FMIndex(seq, 4)
+    assert len(index.positions) < len(seq) / 4 and index.locate(np.arange(len(seq))).tolist() == op.suffix_array(seq).tolist()
+
+
+def test_blocks_are_made_one_at_a_time(spark):
+    bench = spark.createDataFrame([(i, f"a{i} b{i} c") for i in range(6)], "`i.d` int, `t.t` string")
+    made = op.blocks(bench, item_id="i.d", text="t.t", window=2, block_words=6)
+    assert not isinstance(made, list)
+    got = [(b.names, [b.items(w) for w in range(len(b.windows))]) for b in made]
+    assert [n for n, _ in got] == [["0", "1"], ["2", "3"], ["4", "5"]] and all(len(x) == 4 for _, x in got)
+
+
+def test_clashing_columns_and_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "q1 q2 q3", 7, 8), (2, "other words", 9, 10)], "`k.id` int, `x.text` string, _leaks int, c1 int")
+    bench = spark.createDataFrame([(1, "q1 q2 q3")], "item_id int, text string")
+    out, found = op.find_leaks(df, bench, text="x.text", block_words=1)
+    assert out.columns == [*df.columns, "__leaks"] and [r[found]["items"] for r in out.collect()] == [["1"], []]
+    kept = op.decontaminate(df, bench, text="x.text")
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(2, "other words", 9, 10)]
