@@ -198,7 +198,7 @@ m AS (
 )
 """
 ORACLE = _BITS + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits % 4) <> 0 AS base_failed, (fail_bits & 119) = 0 AS kept, fail_bits FROM b"
-ABLATIONS = _BITS + """, p AS (SELECT * FROM (VALUES ('base', 3), ('prose-1', 127), ('prose-2', 119)) p(policy, mask)),
+ABLATIONS = _BITS + """, pol AS (SELECT * FROM (VALUES ('base', 3), ('prose-1', 127), ('prose-2', 119)) v(policy, mask)),
 r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('many_symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32), ('exclamations', 64)) r(rule, bit))
 SELECT policy, rule, count(*) FILTER (WHERE (fail_bits & bit) <> 0) AS n_failed, count(*) FILTER (WHERE (fail_bits & mask) = bit) AS n_only_here, count(*) FILTER (WHERE (fail_bits & mask) = 0) AS n_kept
-FROM p JOIN r ON (bit & mask) <> 0 CROSS JOIN b GROUP BY policy, rule"""
+FROM pol JOIN r ON (bit & mask) <> 0 CROSS JOIN b GROUP BY policy, rule"""
