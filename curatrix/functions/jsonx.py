@@ -40,19 +40,43 @@ def elements(v: Column, path: str) -> Column:
     return F.coalesce(F.when(is_array(v, path), F.try_variant_get(v, path, "array<variant>")), F.array().cast("array<variant>"))
 
 
-def exactly_parsed(col: Column) -> Column:
-    """Whether Python's own reader takes the text: it allows NaN and keys that repeat. Arrow batches."""
-    @F.pandas_udf(T.BooleanType())
-    def ok(s):
-        import json
-
-        def one(x):
-            try:
-                json.loads(x)
-            except (TypeError, ValueError):
-                return False
-            return True
-
-        return s.map(one)
-
-    return ok(col)
+@F.pandas_udf(T.StringType())
+def _strict(s):
+    """JSON text without NaN and repeated keys, of what Python's own reader takes; null of what it refuses."""
+    import json
+
+    def one(x):
+        if x is None:
+            return None
+        try:
+            # NaN and the infinities stay numbers, as their type is all that is asked of them; of repeated keys the last counts.
+            return json.dumps(json.loads(x, parse_constant=lambda _: 1.0))
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return s.map(one)
+
+
+def exactly(col: Column) -> Column:
+    """As parsed(), and also what only Python's own reader takes: NaN, infinities, repeated keys. Only what parsed() refuses goes to Python."""
+    v = parsed(col)
+    return F.coalesce(v, F.try_parse_json(_strict(F.when(v.isNull(), col))))
+
+
+def none(v: Column, path: str) -> Column:
+    """Whether nothing, or JSON null, is at a path."""
+    k = kind(v, path)
+    return k.isNull() | (k == "VOID")
+
+
+def comparable(v: Column, path: str) -> Column:
+    """The value at a path as text that is equal for equal values: whole and broken numbers and booleans by their number; null for none()."""
+    k = kind(v, path)
+    number = k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
+    return (
+        F.when(none(v, path), None)
+        .when(k == "STRING", F.concat(F.lit("s:"), F.try_variant_get(v, path, "string")))
+        .when(number, F.concat(F.lit("n:"), F.try_variant_get(v, path, "double").cast("string")))
+        .when(k == "BOOLEAN", F.when(F.try_variant_get(v, path, "boolean"), "n:1.0").otherwise("n:0.0"))
+        .otherwise(F.concat(F.lit("j:"), F.to_json(F.try_variant_get(v, path, "variant"))))
+    )

@@ -36,6 +36,31 @@ def token_set(col: Column) -> Column:
     return F.array_distinct(tokens(col))
 
 
+def once(col: Column, use) -> Column:
+    """use(col), with col computed once however often use takes it: a transform over one element binds it."""
+    return F.get(F.transform(F.array(col), use), 0)
+
+
+_CONTROLS = "[\\x00-\\x1F\\x7F-\\xA0\\xAD]"
+
+
+def quoted(col: Column) -> Column:
+    """Text in quotes as Python shows it: single ones unless only they occur inside, controls and backslashes escaped."""
+    out = F.replace(col, F.lit("\\"), F.lit("\\\\"))
+    for c, name in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+        out = F.replace(out, F.lit(c), F.lit("\\" + name))
+
+    def plain(x):
+        each = F.transform(F.regexp_extract_all(x, F.lit("(?s)."), 0), lambda c: F.when(c.rlike(_CONTROLS), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).otherwise(c))
+        return F.when(x.rlike(_CONTROLS), F.array_join(each, "")).otherwise(x)
+
+    def in_quotes(x):
+        double = x.contains("'") & ~x.contains('"')
+        return F.when(double, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return once(once(out, plain), in_quotes)
+
+
 def strip_fences(col: Column) -> Column:
     """Code fences off, wherever a line begins or ends with one, then white space off the ends."""
     return strip(F.regexp_replace(col, f"(?md)^```(?:json)?{SPACE}*|{SPACE}*```$", ""))
@@ -122,8 +147,6 @@ def first_paragraph(col: Column) -> Column:
 
 def section_items(col: Column, patterns: tuple[str, ...]) -> Column:
     """Items and plain lines under the first heading that matches, up to the next heading."""
-    # A transform over one element computes its value once, however often it is used.
-    once = lambda x, f: F.get(F.transform(F.array(x), f), 0)
     none = F.array().cast("array<string>")
     title = lambda x: F.lower(strip(F.regexp_replace(x, "^#+", "")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions.stats import composite
-from ..functions.text import strip_fences, token_set, unsafe_path, valid_name
+from ..functions.text import once, quoted, strip_fences, token_set, unsafe_path, valid_name
 from ..staging import staged
 
 #: Required fields in the order they are checked, and their types.
@@ -73,18 +73,17 @@ def schema_errors(v: Column) -> Column:
 
 def error_text(e: Column) -> Column:
     """An error struct in words."""
-    quoted = F.concat(F.lit("'"), e["value"], F.lit("'"))
     at = F.concat(F.lit("files["), e["idx"].cast("string"), F.lit("]"))
     return (
         F.when(e["code"] == "not_object", "blueprint is not an object")
         .when(e["code"] == "missing", F.concat(F.lit("missing field: "), e["field"]))
         .when(e["code"] == "type", F.concat(F.lit("field "), e["field"], F.lit(" has wrong type")))
-        .when(e["code"] == "name", F.concat(F.lit("invalid name: "), quoted))
+        .when(e["code"] == "name", F.concat(F.lit("invalid name: "), quoted(e["value"])))
         .when(e["code"] == "description", "empty description")
         .when(e["code"] == "no_files", "files is empty")
         .when(e["code"] == "file_type", F.concat(at, F.lit(" not an object")))
         .when(e["code"] == "file_field", F.concat(at, F.lit("."), e["field"], F.lit(" missing/empty")))
-        .when(e["code"] == "file_path", F.concat(at, F.lit(".path unsafe: "), quoted))
+        .when(e["code"] == "file_path", F.concat(at, F.lit(".path unsafe: "), quoted(e["value"])))
         .when(e["code"] == "no_main", "files missing SKILL.md")
         .otherwise(F.concat(e["field"], F.lit(" must be list[str]")))
     )
@@ -98,40 +97,74 @@ def f1(a: Column, b: Column) -> Column:
 
 
 def paths(v: Column) -> Column:
-    return F.array_distinct(F.array_compact(F.transform(F.filter(jsonx.elements(v, "$.files"), jsonx.is_object), lambda f: jsonx.string(f, "$.path"))))
+    """The distinct paths of a value's file entries; an entry without one counts as one more."""
+    entries = F.filter(jsonx.elements(v, "$.files"), jsonx.is_object)
+    return F.array_distinct(F.transform(entries, lambda f: F.coalesce(jsonx.comparable(f, "$.path"), F.lit(""))))
 
 
 def field_scores(pred: Column, ref: Column) -> tuple[Column, Column, Column]:
-    """Exact name match, F1 of file paths, F1 of description tokens."""
-    name = lambda v: jsonx.string(v, "$.name")
+    """Exact name match (of any type; nothing equals null), F1 of file paths, F1 of description tokens."""
     words = lambda v: token_set(F.coalesce(jsonx.string(v, "$.description"), F.lit("")))
-    return F.when(name(pred).eqNullSafe(name(ref)), 1.0).otherwise(0.0), f1(paths(pred), paths(ref)), f1(words(pred), words(ref))
+    same = jsonx.comparable(pred, "$.name").eqNullSafe(jsonx.comparable(ref, "$.name"))
+    return F.when(same, 1.0).otherwise(0.0), f1(paths(pred), paths(ref)), f1(words(pred), words(ref))
+
+
+_HEAD = r"(?sU)\A---\s*\n(.*?)\n---\s*\n"
+_FAILED = "materialize error"
 
 
 def file_errors(v: Column) -> Column:
-    """Why a bundle's files can't be laid out, in order; empty if they can."""
-    files = F.transform(jsonx.elements(v, "$.files"), lambda f: F.struct(jsonx.string(f, "$.path").alias("path"), jsonx.string(f, "$.content").alias("content")))
-    unsafe = F.get(F.filter(files, lambda f: unsafe_path(f["path"])), 0)["path"]
-    nul = F.exists(files, lambda f: f["path"].isNull() | f["content"].isNull() | F.coalesce(f["path"].contains("\x00") | (f["path"] == ""), F.lit(True)))
-    # A path that is also a folder of another can't be both.
-    clash = F.exists(files, lambda f: F.exists(files, lambda g: g["path"].startswith(F.concat(f["path"], F.lit("/")))))
-    main = F.get(F.filter(F.reverse(files), lambda f: f["path"] == "SKILL.md"), 0)["content"]
-    head = F.when(main.rlike(r"(?s)\A---\s*\n(.*?)\n---\s*\n"), F.regexp_extract(main, r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1))
+    """Why a bundle's files can't be laid out, in order; empty if they can.
+
+    Files are laid out in turn, and the first that can't be decides: an unsafe path, or an entry that is
+    no object, has no text as path, has something else than text as content, or needs a place that a
+    file or folder before it took. Content that is absent is empty; of files of one path the last counts.
+    """
+    # "." and empty parts of a path name no folder.
+    plain = lambda p: F.array_join(F.filter(F.split(p, "/"), lambda x: (x != "") & (x != ".")), "/")
+    good = lambda f: jsonx.is_object(f) & jsonx.is_string(f, "$.path") & (jsonx.kind(f, "$.content").isNull() | jsonx.is_string(f, "$.content"))
+
+    def entry(f):
+        return once(F.struct(jsonx.string(f, "$.path").alias("p"), plain(jsonx.string(f, "$.path")).alias("n")), lambda x: laid(f, x["p"], x["n"]))
+
+    def laid(f, path, name):
+        broken = ~good(f) | (name == "") | path.contains("\x00") | F.exists(F.split(name, "/"), lambda x: F.octet_length(x) > 255)
+        return F.struct(F.when(unsafe_path(path), path).alias("unsafe"), F.coalesce(broken, F.lit(True)).alias("broken"), name.alias("name"), F.coalesce(jsonx.string(f, "$.content"), F.lit("")).alias("content"))
+
+    return once(F.transform(jsonx.elements(v, "$.files"), entry), lambda files: _layout(v, files))
+
+
+def _layout(v: Column, files: Column) -> Column:
+    under = lambda x, y: x["name"].startswith(F.concat(y["name"], F.lit("/")))
+    taken = lambda f, i: F.exists(F.slice(files, 1, i), lambda g: under(f, g) | under(g, f))
+    faults = F.transform(files, lambda f, i: F.when(f["unsafe"].isNotNull(), F.concat(F.lit("unsafe path: "), f["unsafe"])).when(f["broken"] | taken(f, i), _FAILED))
+    first = F.get(F.array_compact(faults), 0)
+    kind = jsonx.kind(v, "$.files")
+    no_list = kind.isNotNull() & ~kind.startswith("ARRAY") & ~kind.isin("OBJECT<>") & ~((kind == "STRING") & (F.try_variant_get(v, "$.files", "string") == ""))
+    main = F.get(F.filter(F.reverse(files), lambda f: f["name"] == "SKILL.md"), 0)["content"]
+    folder = F.exists(files, lambda f: f["name"].startswith("SKILL.md/"))
+    read = F.regexp_replace(main, "\r\n?", "\n")
+    head = F.when(read.rlike(_HEAD), F.regexp_extract(read, _HEAD, 1))
     text = lambda s: F.array(F.lit(s))
-    fields = F.array_compact(F.array(F.when(~head.rlike(r"(?m)^name:\s*\S"), "frontmatter missing name"), F.when(~head.rlike(r"(?m)^description:\s*\S"), "frontmatter missing description")))
+    fields = F.array_compact(F.array(*(F.when(~head.rlike(rf"(?mdU)^{k}:\s*\S"), f"frontmatter missing {k}:") for k in ("name", "description"))))
     return (
-        F.when(unsafe.isNotNull(), F.array(F.concat(F.lit("unsafe path: "), unsafe)))
-        .when(F.coalesce(nul, F.lit(True)) | F.coalesce(clash, F.lit(False)), text("materialize error"))
-        .when(main.isNull(), text("SKILL.md missing"))
-        .when(head.isNull(), text("SKILL.md missing frontmatter"))
+        F.when(F.coalesce(no_list, F.lit(False)), text(_FAILED))
+        .when(first.isNotNull(), F.array(first))
+        .when(main.isNull() & folder, text(_FAILED))
+        .when(main.isNull(), text("SKILL.md not materialized"))
+        .when(head.isNull(), text("SKILL.md frontmatter missing"))
         .otherwise(fields)
     )
 
 
-def score_items(preds: DataFrame, refs: DataFrame, *, key: str = "id", output: str = "output", ref: str = "ref", pos: str = "_pos") -> DataFrame:
-    """One row for each prediction with the layers it reached; of references that share a key the last counts."""
+def score_items(preds: DataFrame, refs: DataFrame, *, key: str = "id", output: str = "output", ref: str = "ref", pos: str = "_pos", exact: bool = True) -> DataFrame:
+    """One row for each prediction with the layers it reached; of references that share a key the last counts.
+
+    exact: outputs that only Python's own JSON reader takes (NaN, repeated keys) parse, too; without it no row leaves the JVM.
+    """
+    parse = jsonx.exactly if exact else jsonx.parsed
     last = refs.groupBy(key).agg(F.max_by(ref, pos).alias("_ref"))
-    df = preds.join(last, key, "left").withColumn("_v", jsonx.parsed(strip_fences(F.col(output)))).withColumn("_r", jsonx.parsed(F.col("_ref")))
+    df = preds.join(last, key, "left").withColumn("_v", parse(strip_fences(F.col(output)))).withColumn("_r", parse(F.col("_ref")))
     known = F.col("_ref").isNotNull()
     ok = known & F.col("_v").isNotNull()
     em, pf, df1 = field_scores(F.col("_v"), F.col("_r"))

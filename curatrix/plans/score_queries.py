@@ -8,7 +8,7 @@ from ..functions import jsonx, stats, text
 from ..operators import assemble, compare, profile, score
 from .profile_queries import t
 
-# Outputs are JSON text made from ids, with one fault for each remainder of 12, in either engine's SQL.
+# Outputs are JSON text made from ids, with one fault for each remainder of 18, in either engine's SQL.
 _GOOD = """concat('{"blueprint_version":"1.0","name":"doc-', CAST({id} AS {s}), '","description":"handles ', lang, ' text of ', source, '","purpose":"p","when_to_use":["a"],"when_not_to_use":["b"],"files":[{"path":"SKILL.md","purpose":"m","content":"---\\\\nname: x\\\\ndescription: y\\\\n---\\\\nbody"},{"path":"scripts/', source, '.py","purpose":"s","content":"c"}]}')"""
 _FAULTS = (
     "{g}",
@@ -23,7 +23,15 @@ _FAULTS = (
     "'[]'",
     "replace({g}, 'handles ', '')",
     "replace({g}, 'name: x', 'title: x')",
+    "regexp_replace({g}, '\"name\":\"doc-[0-9]+\"', '\"name\":1')",
+    "replace({g}, ',\"content\":\"c\"', '')",
+    "regexp_replace({g}, '\"path\":\"scripts/[^\"]*\",', '')",
+    "replace({g}, '\"purpose\":\"p\"', '\"purpose\":NaN')",
+    "replace({g}, '{\"blueprint_version\"', '{\"name\":\"first\",\"blueprint_version\"')",
+    "replace({g}, '\"name\":\"doc-', {odd})",
 )
+# A name with both kinds of quotes, a backslash and a line break, as JSON text.
+_ODD = ("""concat('"name":"it', chr(39), 's ', chr(92), '"q', chr(92), '" ', chr(92), chr(92), chr(92), 'n')""")
 
 
 def _sql(spark_side: bool) -> tuple[str, str]:
@@ -32,8 +40,8 @@ def _sql(spark_side: bool) -> tuple[str, str]:
     if not spark_side:
         g = g.replace("\\\\", "\\")
     nl = "chr(10)"
-    cases = " ".join(f"WHEN {i} THEN {f.replace('{g}', 'ref').replace('{nl}', nl)}" for i, f in enumerate(_FAULTS))
-    return g, f"CASE doc_id % 12 {cases} END"
+    cases = " ".join(f"WHEN {i} THEN {f.replace('{g}', 'ref').replace('{nl}', nl).replace('{odd}', _ODD)}" for i, f in enumerate(_FAULTS))
+    return g, f"CASE doc_id % 18 {cases} END"
 
 
 def _runs(spark, sf):
@@ -49,7 +57,7 @@ def _items(spark, sf):
 
 def json_parse_rate(spark, sf):
     p = _runs(spark, sf)[0]
-    ok = jsonx.parsed(text.strip_fences(F.col("output"))).isNotNull()
+    ok = jsonx.exactly(text.strip_fences(F.col("output"))).isNotNull()
     return p.select("id", ok.alias("l1_parse"))
 
 
@@ -214,19 +222,20 @@ QUERIES = {
 }
 
 _REF, _OUT = _sql(False)
-_D = f"d AS (SELECT doc_id AS id, doc_id, lang, source, ref, {_OUT} AS output, doc_id % 12 AS k, doc_id % 17 <> 0 AS has_ref FROM (SELECT doc_id, lang, source, {_REF} AS ref FROM documents))"
+_D = f"d AS (SELECT doc_id AS id, doc_id, lang, source, ref, {_OUT} AS output, doc_id % 18 AS k, doc_id % 17 <> 0 AS has_ref FROM (SELECT doc_id, lang, source, {_REF} AS ref FROM documents))"
 # What each fault leads to, by hand: the oracle knows the faults, not the validator.
 _L1 = "k NOT IN (1, 8)"
 _L2 = """CASE k WHEN 2 THEN 'missing field: purpose' WHEN 3 THEN 'invalid name: ''Doc_' || id || '''' WHEN 5 THEN 'files[1].path unsafe: ''../' || source || '.py''' WHEN 6 THEN 'when_to_use must be list[str]'
-  WHEN 7 THEN 'files missing SKILL.md' WHEN 9 THEN 'blueprint is not an object' ELSE '' END"""
-_L5 = "CASE k WHEN 5 THEN 'unsafe path: ../' || source || '.py' WHEN 7 THEN 'SKILL.md missing' WHEN 9 THEN 'materialize error' WHEN 11 THEN 'frontmatter missing name' ELSE '' END"
+  WHEN 7 THEN 'files missing SKILL.md' WHEN 9 THEN 'blueprint is not an object' WHEN 12 THEN 'field name has wrong type' WHEN 13 THEN 'files[1].content missing/empty' WHEN 14 THEN 'files[1].path missing/empty'
+  WHEN 15 THEN 'field purpose has wrong type' WHEN 17 THEN 'invalid name: ' || chr(39) || 'it' || chr(92) || chr(39) || 's "q" ' || chr(92) || chr(92) || chr(92) || 'n' || id || chr(39) ELSE '' END"""
+_L5 = "CASE k WHEN 5 THEN 'unsafe path: ../' || source || '.py' WHEN 7 THEN 'SKILL.md not materialized' WHEN 9 THEN 'materialize error' WHEN 11 THEN 'frontmatter missing name:' WHEN 14 THEN 'materialize error' ELSE '' END"
 _OK = f"has_ref AND {_L1}"
 # Description tokens: handles, lang, text, of, source; fault 10 loses `handles`; lang and source never repeat the others.
-_EM = "CASE WHEN k IN (3, 9) THEN 0.0 ELSE 1.0 END"
-_PF = "CASE k WHEN 5 THEN 0.5 WHEN 7 THEN 0.5 WHEN 9 THEN 0.0 ELSE 1.0 END"
+_EM = "CASE WHEN k IN (3, 9, 12, 17) THEN 0.0 ELSE 1.0 END"
+_PF = "CASE k WHEN 5 THEN 0.5 WHEN 7 THEN 0.5 WHEN 14 THEN 0.5 WHEN 9 THEN 0.0 ELSE 1.0 END"
 _DF = "CASE k WHEN 9 THEN 0.0 WHEN 10 THEN round(2 * 1.0 * CAST(0.8 AS DOUBLE) / 1.8, 6) ELSE 1.0 END"
 _I = f"{_D}, i AS (SELECT *, {_OK} AS ok, {_L2} AS l2, {_L5} AS l5, {_EM} AS em, {_PF} AS pf, CAST({_DF} AS DOUBLE) AS df FROM d)"
-_CODES = "CASE WHEN NOT ok THEN 'E10' WHEN k = 2 THEN 'E2' WHEN k = 3 THEN 'E4' WHEN k IN (5, 7) THEN 'E5' WHEN k = 6 THEN 'E3' WHEN k = 9 THEN 'E1' WHEN k = 11 THEN 'E8' ELSE '' END"
+_CODES = "CASE WHEN NOT ok THEN 'E10' WHEN k = 2 THEN 'E2' WHEN k IN (3, 17) THEN 'E4' WHEN k IN (5, 7, 13, 14) THEN 'E5' WHEN k IN (6, 12, 15) THEN 'E3' WHEN k = 9 THEN 'E1' WHEN k = 11 THEN 'E8' ELSE '' END"
 _P = "p AS (SELECT doc_id AS id, quality = 1 AS a, toxic = 0 AS b FROM labels)"
 _MC = "CASE WHEN n = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0))) FROM (SELECT unnest(range(0, CAST(kk + 1 AS BIGINT))) AS i))), 9) END AS p_value"
 ORACLE_SQL = {

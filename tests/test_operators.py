@@ -67,10 +67,73 @@ def test_layers(spark):
     assert r["1"]["l1_parse"] is False and r["1"]["l2_valid"] is None
     assert r["2"]["l1_parse"] and r["2"]["l2_valid"]
     assert r["3"]["name_em"] == 0.0 and 0 < r["3"]["file_path_f1"] < 1
-    assert r["4"]["l5_errors"] == ["SKILL.md missing"]
+    assert r["4"]["l5_errors"] == ["SKILL.md not materialized"]
     assert r["5"]["l5_errors"] == ["materialize error"]
 
 
+def brute_files(files):
+    """Why files can't be laid out, by laying them out."""
+    import tempfile
+    from pathlib import Path
+
+    with tempfile.TemporaryDirectory() as d:
+        try:
+            for f in files:
+                p = Path(d) / f["path"]
+                if ".." in f["path"] or f["path"].startswith("/"):
+                    return [f"unsafe path: {f['path']}"]
+                p.parent.mkdir(parents=True, exist_ok=True)
+                p.write_text(f.get("content", ""))
+            if not (Path(d) / "SKILL.md").exists():
+                return ["SKILL.md not materialized"]
+            head = re.match(r"---\s*\n(.*?)\n---\s*\n", (Path(d) / "SKILL.md").read_text(), re.DOTALL)
+            if not head:
+                return ["SKILL.md frontmatter missing"]
+            return [f"frontmatter missing {k}:" for k in ("name", "description") if not re.search(rf"^{k}:\s*\S", head[1], re.M)]
+        except (OSError, KeyError, TypeError, ValueError):
+            return ["materialize error"]
+
+
+def test_files_and_fields_of_any_type(spark):
+    main = {"path": "SKILL.md", "purpose": "m", "content": "---\nname: x\ndescription: y\n---\nb"}
+    f = lambda path, **x: {"path": path, "purpose": "p", "content": "c"} | x
+    lists = [
+        [main], [], [{}], [main, {}], [main, {"path": "a"}], [main, f(None)], [main, f(3)], [main, f("")], [main, f(".")], [main, f("a", content=None)], [main, f("a", content=1)], [3, f("/x")], [f("/x"), {}], [{}, f("/x")],
+        [main, f("a"), f("a/b")], [main, f("a/b"), f("a")], [main, f("a"), f("../a"), f("a/b")], [f("./SKILL.md", content=main["content"])], [f("SKILL.md/x")], [main, f("SKILL.md", content="none")], [f("SKILL.md", content="old"), main],
+        [f("SKILL.md", content=main["content"].replace("\n", "\r\n"))], [f("SKILL.md", content="---\nname:\ndescription: y\n---\n")], [f("SKILL.md", content="---\nother: 1\n---\n")], [main, f("x" * 300)], [main, f("a\x00b")], [main, f("a//b"), f("a/./b")],
+    ]
+    outs = [json.dumps({"files": x}) for x in lists]
+    rows = {int(r["id"]): r for r in scored(spark, outs).collect()}
+    for i, x in enumerate(lists):
+        assert rows[i]["l5_errors"] == brute_files(x), x
+    pairs = [({"name": 1}, {}), ({"name": None}, {}), ({"name": 1}, {"name": 1.0}), ({"name": True}, {"name": 1}), ({"name": "1"}, {"name": 1}), ({"name": {"b": 1, "a": 2}}, {"name": {"a": 2, "b": 1}}), ({"files": [{}]}, {"files": []}), ({"files": [{}]}, {"files": [{"path": None}]}), ({"files": [{"path": 1}, {"path": "1"}]}, {"files": [{"path": "1"}]})]
+    refs = [(str(i), json.dumps(b), 0) for i, (_, b) in enumerate(pairs)]
+    got = {int(r["id"]): (r["name_em"], round(r["file_path_f1"], 6)) for r in scored(spark, [json.dumps(a) for a, _ in pairs], refs).collect()}
+    key = lambda v: {x.get("path") for x in v.get("files", [])}
+    for i, (a, b) in enumerate(pairs):
+        x, y = key(a), key(b)
+        both = len(x & y)
+        f1 = 1.0 if not x and not y else 0.0 if not both else 2 * both / (len(x) + len(y))
+        assert got[i] == (float(a.get("name") == b.get("name")), round(f1, 6)), (a, b)
+
+
+def test_what_only_the_exact_reader_takes(spark):
+    outs = ['{"name": NaN}', '{"name": "a", "name": "b"}', "{'a': 1}", '{"a": Infinity, "b": [-Infinity]}', '{"a": 1} x']
+    preds = spark.createDataFrame([(str(i), o) for i, o in enumerate(outs)], "id string, output string")
+    refs = spark.createDataFrame([(str(i), '{"name": "b"}', 0) for i in range(len(outs))], "id string, ref string, _pos bigint")
+    exact, plain = ({r["id"]: r for r in score.score_items(preds, refs, exact=x).collect()} for x in (True, False))
+    assert [exact[str(i)]["l1_parse"] for i in range(5)] == [True, True, False, True, False] and exact["1"]["name_em"] == 1.0
+    assert not any(plain[str(i)]["l1_parse"] for i in range(5)) and "field name has wrong type" in exact["0"]["l2_errors"]
+
+
+def test_quoted_as_python_does(spark):
+    from curatrix.functions.text import quoted
+
+    texts = ["", "plain", "it's", 'say "x"', "it's \"x\"", "a\nb\tc\r", "back\\slash", "\x00\x1f\x7f\x85\xa0\xad", "é漢"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", quoted(F.col("t")).alias("q")).collect()
+    assert [r["q"] for r in sorted(got)] == [repr(t) for t in texts]
+
+
 def test_missing_and_repeated_references(spark):
     items = scored(spark, [json.dumps(GOOD), json.dumps(GOOD)], [("0", variant(name="old"), 0), ("0", json.dumps(GOOD), 1)])
     r = {x["id"]: x for x in items.collect()}
