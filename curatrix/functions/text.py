@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as white space at the ends of a text (the ASCII part and the separators of Unicode).
 SPACE = "[\\s\\x1C-\\x1F\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
@@ -125,11 +126,37 @@ def body(col: Column) -> Column:
 
 
 def front_matter_field(col: Column, name: str) -> Column:
-    """A plain `name: value` line of the front matter, quotes off, null if absent."""
+    """A plain `name: value` line of the front matter, quotes off, null if absent; front_matter_values() reads YAML."""
     line = F.regexp_extract(front_matter(col), rf"(?m)^{name}:[ \t]*(.*)$", 1)
     return F.nullif(F.regexp_replace(strip(line), "^(['\"])(.*)\\1$", "$2"), F.lit(""))
 
 
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType())]))
+def _yaml_values(block):
+    import pandas as pd
+
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading front matter takes the yaml library") from e
+
+    def one(text):
+        try:
+            found = yaml.safe_load(text or "")
+        except (yaml.YAMLError, ValueError):
+            found = None
+        found = found if isinstance(found, dict) else {}
+        return tuple(str(found.get(k, "")).strip() for k in ("name", "description"))
+
+    return pd.DataFrame([one(x) for x in block], columns=["name", "description"])
+
+
+def front_matter_values(col: Column) -> Column:
+    """A struct of name and description as YAML has them, as text without white space around; empty where the block,
+    the mapping or the key is absent. A block that is no YAML counts as absent."""
+    return _yaml_values(front_matter(col))
+
+
 def is_stub(col: Column) -> Column:
     """No text, or one that says the bundle has moved."""
     low = F.lower(col)
@@ -161,15 +188,26 @@ def section_items(col: Column, patterns: tuple[str, ...]) -> Column:
     return once(F.transform(F.split(col, "\n"), strip), lambda lines: once(F.array_position(F.transform(lines, head), True).cast("int"), lambda at: inside(lines, at)))
 
 
+#: What the files of a bundle are for, and what is said of one that isn't text.
+PURPOSES = {
+    "SKILL.md": "Main skill definition: YAML frontmatter plus Markdown instructions.",
+    "scripts": "Executable helper script used by the skill.",
+    "references": "Reference documentation loaded on demand.",
+    "assets": "Static asset or template bundled with the skill.",
+    "": "Supporting file bundled with the skill.",
+}
+BINARY = " (binary — content omitted)"
+
+
 def file_purpose(path: Column) -> Column:
     """What a file of a bundle is for, by its name and top folder."""
     top = F.get(F.split(path, "/"), 0)
     return (
-        F.when(F.element_at(F.split(path, "/"), -1) == "SKILL.md", "Main skill definition: YAML frontmatter plus Markdown instructions.")
-        .when(top == "scripts", "Executable helper script used by the skill.")
-        .when(top == "references", "Reference documentation loaded on demand.")
-        .when(top == "assets", "Static asset or template bundled with the skill.")
-        .otherwise("Supporting file bundled with the skill.")
+        F.when(F.element_at(F.split(path, "/"), -1) == "SKILL.md", PURPOSES["SKILL.md"])
+        .when(top == "scripts", PURPOSES["scripts"])
+        .when(top == "references", PURPOSES["references"])
+        .when(top == "assets", PURPOSES["assets"])
+        .otherwise(PURPOSES[""])
     )
 
 

@@ -68,31 +68,50 @@ def gate(records: DataFrame, errors: DataFrame, show: int = 30) -> DataFrame:
 
 def validation_errors(name: Column, description: Column, directory: Column) -> Column:
     """What is wrong with a bundle's name and description."""
+    name = F.coalesce(name, F.lit(""))
+    shown = text.quoted(name)
     return F.array_compact(
         F.array(
-            F.when(~text.valid_name(F.coalesce(name, F.lit(""))), F.concat(F.lit("invalid name: '"), F.coalesce(name, F.lit("")), F.lit("'"))),
-            F.when(name.isin(*text.RESERVED_NAMES), F.concat(F.lit("reserved name: '"), name, F.lit("'"))),
-            F.when(~name.eqNullSafe(directory), F.concat(F.lit("name '"), F.coalesce(name, F.lit("")), F.lit("' != directory '"), directory, F.lit("'"))),
+            F.when(~text.valid_name(name), F.concat(F.lit("invalid name: "), shown)),
+            F.when(name.isin(*text.RESERVED_NAMES), F.concat(F.lit("reserved name: "), shown)),
+            F.when(~name.eqNullSafe(directory), F.concat(F.lit("name "), shown, F.lit(" != directory "), text.quoted(directory))),
             F.when(~F.coalesce(F.length(description).between(1, 1024), F.lit(False)), "description must be 1-1024 chars"),
         )
     )
 
 
-def convert(bundles: DataFrame, licences: DataFrame | None = None, *, url_prefix: str = "https://github.com/") -> DataFrame:
-    """(id, blueprint, provenance) from bundles of (repo, name, main, files: array of (path, content)).
+#: Where bundles are listed.
+SOURCE, URL = "skills.sh", "https://skills.sh/"
 
-    main is the text of SKILL.md; files are in path order, their content null for binaries.
+
+def convert(bundles: DataFrame, licences: DataFrame | None = None, *, source: str = SOURCE, url_prefix: str = URL) -> DataFrame:
+    """(id, blueprint, provenance) from bundles of (repo, relpath, name, main, files: array of (path, content)).
+
+    main is the text of SKILL.md; files are in path order, their content null for binaries. licences are
+    (repo, relpath, text) of licence files: the bundle's own decides, else that of its repository, where
+    relpath is empty. Name and description are what the YAML of the front matter has.
     """
-    b = bundles.withColumn("_name", text.front_matter_field(F.col("main"), "name")).withColumn("_desc", F.coalesce(text.front_matter_field(F.col("main"), "description"), F.lit("")))
+    b = bundles.withColumn("_yaml", text.front_matter_values(F.col("main"))).withColumn("_name", F.col("_yaml.name")).withColumn("_desc", F.col("_yaml.description"))
+    if licences is None:
+        b = b.withColumn("_licence", F.lit("unknown"))
+    else:
+        own = licences.select("repo", "relpath", text.licence(F.col("text")).alias("_own"))
+        top = licences.where("relpath = ''").select("repo", text.licence(F.col("text")).alias("_top"))
+        b = b.join(own, ["repo", "relpath"], "left").join(top, "repo", "left").withColumn("_licence", text.first_found_licence(F.col("_own"), F.col("_top")))
     b = b.withColumn("_body", text.body(F.col("main")))
     use, not_use = text.section_items(F.col("_body"), text.WHEN_USE), text.section_items(F.col("_body"), text.WHEN_NOT)
     first = text.first_paragraph(F.col("_body"))
-    files = F.transform("files", lambda f: F.struct(f["path"].alias("path"), F.concat(text.file_purpose(f["path"]), F.when(f["content"].isNull(), " (binary)").otherwise("")).alias("purpose"), F.coalesce(text.capped(f["content"]), F.lit("")).alias("content")))
+    files = F.transform("files", lambda f: F.struct(f["path"].alias("path"), F.concat(text.file_purpose(f["path"]), F.when(f["content"].isNull(), text.BINARY).otherwise("")).alias("purpose"), F.coalesce(text.capped(f["content"]), F.lit("")).alias("content")))
     blueprint = F.struct(
-        F.lit("1.0").alias("blueprint_version"), F.coalesce("_name", F.lit("")).alias("name"), F.col("_desc").alias("description"), F.coalesce(F.nullif(first, F.lit("")), F.col("_desc")).alias("purpose"),
+        F.lit("1.0").alias("blueprint_version"), F.col("_name").alias("name"), F.col("_desc").alias("description"), F.coalesce(F.nullif(first, F.lit("")), F.col("_desc")).alias("purpose"),
         F.when(F.size(use) == 0, F.array("_desc")).otherwise(use).alias("when_to_use"), not_use.alias("when_not_to_use"), files.alias("files"),
     )
-    provenance = F.struct(F.col("repo").alias("repo"), F.concat(F.lit(url_prefix), text.repo_slug(F.col("repo")), F.lit("/"), F.col("name")).alias("skill_url"), validation_errors(F.col("_name"), F.col("_desc"), F.col("name")).alias("validation_errors"))
+    slug = text.repo_slug(F.coalesce("repo", F.lit("")))
+    url = F.when(slug == "", "").otherwise(F.concat(F.lit(url_prefix), slug, F.lit("/"), F.col("_name")))
+    provenance = F.struct(
+        F.lit(source).alias("source"), slug.alias("repo"), url.alias("skill_url"), F.col("_licence").alias("license"),
+        validation_errors(F.col("_name"), F.col("_desc"), F.col("name")).alias("validation_errors"),
+    )
     return b.select(text.record_id(F.col("repo"), F.col("name")).alias("id"), blueprint.alias("blueprint"), provenance.alias("provenance"))
 
 
@@ -108,6 +127,12 @@ def repair_names(converted: DataFrame) -> DataFrame:
     return converted.select("id", F.when(bad, fixed).otherwise(F.col("blueprint")).alias("blueprint"), prov.alias("provenance"))
 
 
+def batch_counts(batch: DataFrame, *, status: str = "status", licence: str = "license") -> DataFrame:
+    """(kind, value, n): how many of a batch have each status and each licence; an absent one counts as unknown."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(c), F.lit("unknown")).alias("value")) for k, c in (("status", status), ("license", licence))))
+    return batch.select(F.explode(pairs).alias("p")).groupBy("p.kind", "p.value").agg(F.count("*").alias("n"))
+
+
 def uncached(candidates: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """What has no output yet."""
     return candidates.join(done.select(key), key, "left_anti")
@@ -143,13 +168,18 @@ def missing_cases(ids: DataFrame, n: int = 20, key: str = "id") -> DataFrame:
     return want.join(ids.select(key), key, "left_anti")
 
 
-def repair_text(request: Column, output: Column, errors: Column) -> Column:
+#: How another attempt is asked for.
+REPAIR = (
+    "\n\nYour previous output was rejected by the Skill Blueprint validator. Previous output:\n",
+    "\n\nValidation errors:\n",
+    "\n\nFix ALL of these errors and output ONLY a valid JSON Skill Blueprint. No explanations, no markdown fences.",
+)
+
+
+def repair_text(request: Column, output: Column, errors: Column, wording: tuple[str, str, str] = REPAIR) -> Column:
     """The request for another attempt, with the output and what was wrong with it."""
-    return F.concat(
-        request, F.lit("\n\nYour previous output was rejected by the Skill Blueprint validator. Previous output:\n"), output, F.lit("\n\nValidation errors:\n"),
-        F.array_join(F.transform(errors, lambda e: F.concat(F.lit("- "), e)), "\n"),
-        F.lit("\n\nFix ALL of these errors and output ONLY a valid JSON Skill Blueprint. No explanations, no markdown fences."),
-    )
+    before, between, after = map(F.lit, wording)
+    return F.concat(request, before, output, between, F.array_join(F.transform(errors, lambda e: F.concat(F.lit("- "), e)), "\n"), after)
 
 
 def attempt_status(attempts: DataFrame, *, key: str = "request_id", most: int = 3) -> DataFrame:

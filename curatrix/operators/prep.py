@@ -61,5 +61,30 @@ def parameter_count(layers: DataFrame, rank: int = 16, depth: int = 28) -> DataF
     return layers.withColumn("adapter_params", (F.lit(rank) * (F.col("d_in") + F.col("d_out")) * depth).cast("bigint"))
 
 
+def memory_bytes(layers: DataFrame, params: str, rank: int = 16, depth: int = 28) -> DataFrame:
+    """Bytes that training takes: all parameters at 12 bytes, or half a byte each and 4 for every parameter of the adapters."""
+    out = parameter_count(layers, rank, depth)
+    return out.withColumn("full_bytes", F.col(params).cast("double") * 12).withColumn("adapter_bytes", F.col(params).cast("double") * 0.5 + F.col("adapter_params") * 4.0)
+
+
+def resolved(argument: str | None, environment: str | None, default: str, allowed: tuple[str, ...] = ()) -> str:
+    """A setting by argument, then environment, then default; one that isn't allowed is refused."""
+    value = argument or environment or default
+    if allowed and value not in allowed:
+        raise ValueError(f"{value!r} is none of {', '.join(allowed)}")
+    return value
+
+
+def tokens_by(text: Column, tokenizer) -> Column:
+    """Tokens by a function of the caller's, text to list of strings, over Arrow batches; regex_tokens() is the default stand-in."""
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts):
+        return texts.map(lambda t: None if t is None else list(tokenizer(t)))
+
+    return run(text)
+
+
 def recommended_length(vram_gb: Column, capability: Column) -> Column:
     return F.when((vram_gb < 16) | (capability < 7), 2048).otherwise(8192)

@@ -50,9 +50,19 @@ def filter_lengths(df: DataFrame, length: str, most: int) -> DataFrame:
     return df.withColumn("kept", F.col(length) <= most)
 
 
-def kept_report(df: DataFrame, key: str) -> DataFrame:
-    """total, kept, dropped and the dropped keys in order."""
-    return df.agg(F.count("*").alias("total"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col(key)))).alias("dropped_ids"))
+def kept_report(df: DataFrame) -> DataFrame:
+    """total, kept and dropped; the dropped keys, of which there may be any number, are dropped_keys()."""
+    return df.agg(F.count("*").alias("total"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+
+
+def dropped_keys(df: DataFrame, key: str) -> DataFrame:
+    return df.where("NOT kept").select(key)
+
+
+def prepare_stats(df: DataFrame, split: str, limit: int | None = None) -> DataFrame:
+    """(split, total, excluded, kept) of filtered records; kept is counted after a limit on the records of a split."""
+    kept = F.count_if("kept") if limit is None else F.least(F.count_if("kept"), F.lit(limit))
+    return df.groupBy(split).agg(F.count("*").alias("total"), F.count_if(~F.col("kept")).alias("excluded"), kept.cast("bigint").alias("kept"))
 
 
 def blueprint_stats(df: DataFrame, blueprint: str) -> tuple[DataFrame, DataFrame]:
@@ -81,3 +91,16 @@ def context_windows(df: DataFrame, text: str, width: int = 32) -> DataFrame:
     starts = F.when(F.length(text) > width, F.sequence(F.lit(1), F.length(text) - width)).otherwise(F.array().cast("array<int>"))
     at = df.withColumn("_i", F.explode(starts))
     return at.withColumn("window", F.substring(F.col(text), F.col("_i"), F.lit(width))).withColumn("next", F.substring(F.col(text), F.col("_i") + width, F.lit(1))).withColumnRenamed("_i", "start")
+
+
+def char_codes(df: DataFrame, text: str, vocabulary: DataFrame, out: str = "codes") -> DataFrame:
+    """df with the indexes of a text's characters. A vocabulary has as many rows as characters are in use, a few thousand."""
+    table = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("char", "idx"))).alias("_chars"))
+    codes = F.transform(F.filter(F.split(F.col(text), ""), lambda c: c != ""), lambda c: F.col("_chars")[c])
+    return df.crossJoin(F.broadcast(table)).withColumn(out, codes).drop("_chars")
+
+
+def char_text(df: DataFrame, codes: str, vocabulary: DataFrame, out: str = "decoded") -> DataFrame:
+    """df with the text of character indexes."""
+    table = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("idx", "char"))).alias("_chars"))
+    return df.crossJoin(F.broadcast(table)).withColumn(out, F.array_join(F.transform(codes, lambda i: F.col("_chars")[i]), "")).drop("_chars")

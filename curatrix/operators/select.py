@@ -42,16 +42,6 @@ NAME_HINTS = (
     (r"writ|copy|editor|author|blog|postmortem|runbook|poem|story|novel", "writing"),
 )
 
-#: How many records each domain is to give, for the full set and for the pilot.
-QUOTAS = {
-    "software": 138, "marketing": 112, "productivity": 109, "finance": 91, "sales": 83, "writing": 75,
-    "research": 75, "support": 65, "analytics": 65, "operations": 56, "business": 58,
-}
-PILOT_QUOTAS = {
-    "marketing": 12, "finance": 9, "sales": 7, "support": 6, "operations": 5, "research": 5,
-    "analytics": 7, "business": 10, "writing": 6, "productivity": 8, "software": 5,
-}
-
 
 def path_score(relpath: Column) -> Column:
     """Lower is more canonical: skills, .agents/skills, elsewhere, docs."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import cycle
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded
+from ..staging import staged
+
+#: Clusters that one task deals; a wave takes as many.
+WAVE = 1_000_000
 
 
 def collapse_exact(df: DataFrame, cluster: str, text: str, pos: str) -> DataFrame:
@@ -23,87 +27,138 @@ def majority_domain(df: DataFrame, cluster: str, domain: str, pos: str) -> DataF
     return counts.groupBy(cluster).agg(best.alias("domain"), F.sum("n").alias("size"))
 
 
-def pattern(sizes: dict[str, int]) -> list[str]:
-    """Each split as often as its size holds the smallest: 800/100/100 gives eight, one, one."""
-    unit = min(sizes.values())
-    return [s for s, n in sizes.items() for _ in range(n // unit)]
+def seats(sizes: dict[str, int]) -> np.ndarray:
+    """The round in which splits take clusters, by split number: each as often as its size holds the smallest."""
+    each = np.array(list(sizes.values()), np.int64)
+    return np.repeat(np.arange(len(each)), each // each.min())
+
+
+def _ranked(df: DataFrame, order: list) -> DataFrame:
+    """df with `rank` from 0 in a global order, from places inside sorted ranges and the sizes of the ranges before."""
+    spread = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranks")
+    base, starts = 0, []
+    for part, n in sorted((r[0], r[1]) for r in spread.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()):
+        starts.append((part, base))
+        base += n
+    offsets = df.sparkSession.createDataFrame(starts, "_p bigint, _base bigint")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base")
+    return spread.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_p").withColumn("rank", place).drop("_at", "_p", "_base")
 
 
 def deal_simple(df: DataFrame, sizes: dict[str, int], *, domain: str, key: str, seed: int = 7) -> DataFrame:
-    """Splits for single-record clusters while no split fills up: the rank in (domain, seeded order) by the pattern.
+    """Splits for single-record clusters while no split fills up: the rank in (domain, seeded order) by the round of seats.
 
-    The rank is global. It comes from ranks inside domains and the sizes of the domains before, so no
-    task holds more than one domain.
+    The rank is global; it comes from a sort by ranges, so no task holds more than a range of a domain.
     """
-    p = pattern(sizes)
-    inside = F.row_number().over(Window.partitionBy(domain).orderBy(seeded(seed, F.col(key)), key))
-    counts = df.groupBy(domain).agg(F.count("*").alias("n"))
-    before = counts.select(domain, F.coalesce(F.sum("n").over(Window.orderBy(domain).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = df.withColumn("_r", inside).join(F.broadcast(before), domain).withColumn("rank", (F.col("before") + F.col("_r") - 1).cast("bigint"))
-    split = F.get(F.array(*map(F.lit, p)), (F.col("rank") % len(p)).cast("int"))
-    return ranked.withColumn("split", split).drop("_r", "before")
-
-
-def deal_clusters(clusters: list[tuple], sizes: dict[str, int]) -> dict:
-    """{cluster: split} for (cluster, size) in order: the pattern goes round, splits without room are passed over,
-    and after four rounds the roomiest takes the cluster, so what exceeds all sizes overflows."""
-    room, turn, p = dict(sizes), cycle(pattern(sizes)), pattern(sizes)
-    out = {}
-    for cluster, size in clusters:
-        for _ in range(4 * len(p)):
-            split = next(turn)
-            if room[split] >= size:
-                break
-        else:
-            split = max(room, key=room.get)
-        room[split] -= size
-        out[cluster] = split
-    return out
+    round_, names = seats(sizes), list(sizes)
+    ranked = _ranked(df.withColumn("_s", seeded(seed, F.col(key))), [F.col(domain), F.col("_s"), F.col(key)]).drop("_s")
+    split = F.get(F.array(*(F.lit(names[i]) for i in round_)), (F.col("rank") % len(round_)).cast("int"))
+    return ranked.withColumn("split", split)
+
 
+def deal_wave(size: np.ndarray, round_: np.ndarray, room: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(split of each cluster, room left, next seat) of clusters in order.
 
-def deal(df: DataFrame, sizes: dict[str, int], *, cluster: str, domain: str, pos: str, seed: int = 7) -> DataFrame:
-    """Splits for clusters of any size. The deal is sequential by definition, so it folds over one row a cluster on the driver."""
-    rows = majority_domain(df, cluster, domain, pos).orderBy("domain", seeded(seed, F.col(cluster)), cluster).select(cluster, "size")
-    dealt = deal_clusters([(r[0], r[1]) for r in rows.toLocalIterator()], sizes)
-    kind = df.schema[cluster].dataType.simpleString()
-    splits = df.sparkSession.createDataFrame(list(dealt.items()), f"{cluster} {kind}, split string")
-    return df.join(splits, cluster)
+    A cluster goes to the next seat of the round whose split has room for it; where none has, to the split
+    with most room, and the round stands still. While nobody is refused, seats are taken in turn, which is
+    settled for many clusters at once: a refusal is where what a split has taken exceeds its room.
+    """
+    out, room, k, step = np.empty(len(size), np.int32), room.copy(), 0, 64
+    while k < len(size):
+        some = size[k : k + step]
+        turn = round_[(at + np.arange(len(some))) % len(round_)]
+        load = np.zeros((len(some), len(room)), np.int64)
+        load[np.arange(len(some)), turn] = some
+        over = np.flatnonzero((load.cumsum(0) > room).any(1))
+        good = int(over[0]) if len(over) else len(some)
+        out[k : k + good] = turn[:good]
+        room -= load[:good].sum(0)
+        at, k, step = (at + good) % len(round_), k + good, min(4 * step, 1 << 14)
+        if len(over):
+            ahead = np.roll(round_, -at)
+            fits = np.flatnonzero(room[ahead] >= size[k])
+            out[k] = ahead[fits[0]] if len(fits) else room.argmax()
+            at = (at + int(fits[0]) + 1) % len(round_) if len(fits) else at
+            room[out[k]] -= size[k]
+            k, step = k + 1, 64
+    return out, room, at
+
+
+def deal(df: DataFrame, sizes: dict[str, int], *, cluster: str, domain: str, pos: str, seed: int = 7, wave: int = WAVE) -> DataFrame:
+    """Splits for clusters of any size, in the order of majority domain and seeded cluster.
+
+    The deal is sequential by definition, so it goes in waves of bounded size: one task deals a range of
+    ranks, and only the room left in each split and the next seat go on to the next wave.
+    """
+    spark, round_, names = df.sparkSession, seats(sizes), list(sizes)
+    some = majority_domain(df, cluster, domain, pos).select(F.col(cluster).alias("c"), "domain", "size").withColumn("s", seeded(seed, F.col("c")))
+    ranked = _ranked(some, [F.col("domain"), F.col("s"), F.col("c")]).select("c", F.col("size").cast("bigint").alias("size"), "rank", F.floor(F.col("rank") / wave).alias("wave"))
+    ranked = staged(ranked.sortWithinPartitions("rank"), "deal-order")
+    waves = -(-ranked.count() // wave)
+    room, at, done = np.array(list(sizes.values()), np.int64), 0, None
+    kind = ranked.schema["c"].dataType.simpleString()
+
+    def dealt(room, at):
+        def run(batches):
+            free, seat = room, at
+            for b in batches:
+                out, free, seat = deal_wave(b.column("size").to_numpy(), round_, free, seat)
+                yield pa.RecordBatch.from_arrays([b.column("c"), b.column("size"), b.column("rank"), pa.array(out, pa.int32()), pa.array(np.full(len(out), seat), pa.int32())], names=["c", "size", "rank", "split", "seat"])
+
+        return run
+
+    for w in range(waves):
+        one = ranked.where(F.col("wave") == w).coalesce(1).sortWithinPartitions("rank")
+        one = staged(one.mapInArrow(dealt(room, at), f"c {kind}, size bigint, rank bigint, split int, seat int"), "deal")
+        done = one if done is None else done.unionByName(one)
+        if w + 1 < waves:
+            taken = {r[0]: r[1] for r in one.groupBy("split").agg(F.sum("size")).collect()}
+            room = room - np.array([taken.get(i, 0) for i in range(len(names))], np.int64)
+            at = one.agg(F.max_by("seat", "rank")).first()[0]
+    if done is None:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    named = F.get(F.array(*map(F.lit, names)), F.col("split"))
+    return df.join(done.select(F.col("c").alias(cluster), named.alias("split")), cluster)
 
 
 def shards(df: DataFrame, record: str, pos: str, size: int = 100) -> DataFrame:
     """A shard for each record: by falling length, dealt round, ceil(n / size) of them where there are more than size."""
     n = df.count()
     k = -(-n // size) if n > size else 1
-    # Ranks come from a sort by range, as in zipWithIndex, so no task sees all rows.
-    order = df.withColumn("_len", F.length(record)).repartitionByRange(F.col("_len").desc(), pos).sortWithinPartitions(F.col("_len").desc(), pos)
-    order = order.withColumn("_at", F.monotonically_increasing_id()).persist()
-    base, starts = 0, []
-    for part, count in sorted((r[0], r[1]) for r in order.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()):
-        starts.append((part, base))
-        base += count
-    offsets = df.sparkSession.createDataFrame(starts, "_p bigint, _base bigint")
-    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base")
-    return order.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_p").withColumn("shard", (at % k).cast("bigint")).drop("_len", "_at", "_p", "_base")
+    ranked = _ranked(df.withColumn("_len", F.length(record)), [F.col("_len").desc(), F.col(pos)])
+    return ranked.withColumn("shard", (F.col("rank") % k).cast("bigint")).drop("_len", "rank")
 
 
-def content_hash(df: DataFrame, by: str, record: str) -> DataFrame:
-    """(by, n_records, sha256) of the sorted hashes of each group's records, whatever their order."""
-    return df.groupBy(by).agg(F.count("*").alias("n_records"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.col(record), 256))), "\n"), 256).alias("sha256"))
+def content_hash(df: DataFrame, by: str, record: str, digits: int = 4) -> DataFrame:
+    """(by, n_records, sha256) of each group's records, whatever their order: a tree of two levels.
 
-
-def manifest(spark: SparkSession, folder: str, **facts) -> DataFrame:
-    """(file, sha256, n_lines) of the files below a folder, with the run's facts as columns."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
+    A leaf hashes the sorted hashes that share their first hexadecimal digits, the root the leaves in
+    order, so no array holds more than a leaf's share of a group, or 16^digits leaves.
+    """
+    each = df.select(by, F.sha2(F.col(record), 256).alias("h"))
+    rolled = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    leaves = each.groupBy(by, F.substring("h", 1, digits).alias("d")).agg(F.count("*").alias("n"), rolled("h").alias("h"))
+    root = rolled(F.concat("d", F.lit(":"), "h"))
+    return leaves.groupBy(by).agg(F.sum("n").alias("n_records"), root.alias("sha256"))
+
+
+def manifest(spark: SparkSession, folder: str, *, pattern: str = "*.json*", **facts) -> DataFrame:
+    """(file, sha256, n_lines) of the files below a folder, by their paths from there, with the run's facts as columns."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
+    name = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*', '/'), {len(base) + 2})")
     out = files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), F.size(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x) != "")).cast("bigint").alias("n_lines"))
     for k, v in facts.items():
         out = out.withColumn(k, F.lit(v))
     return out
 
 
-def verify(spark: SparkSession, folder: str, expected: DataFrame) -> bool:
-    """Whether every file of the manifest is there with the same hash and number of lines, and no other."""
-    now = manifest(spark, folder).select("file", F.col("sha256").alias("_h"), F.col("n_lines").alias("_n"))
+def verify(spark: SparkSession, folder: str, expected: DataFrame, *, pattern: str = "*.json*") -> bool:
+    """Whether every file of the manifest is there with the same hash and number of lines, and no other.
+
+    expected is a table that was written; a manifest() of the same folder that isn't is the folder as it is now.
+    """
+    now = manifest(spark, folder, pattern=pattern).select("file", F.col("sha256").alias("_h"), F.col("n_lines").alias("_n"))
     both = expected.join(now, "file", "full_outer")
     return both.where(~(F.col("sha256").eqNullSafe(F.col("_h")) & F.col("n_lines").eqNullSafe(F.col("_n")))).isEmpty()
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decoded, is_binary
+from ..operators.splits import _ranked
 
 RECORD = (
     "instruction string, context string, expected_blueprint string, "
@@ -22,24 +23,17 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: str = RECORD) ->
     """Records of JSON lines with `_file` and `_pos`: file order by name, line order inside.
 
     Blank lines are skipped; a line that is no record fails the query. The position is the file's
-    name and the record's place in the scan, which Spark keeps in file order inside a partition.
+    path and the record's place in the scan, which Spark keeps in file order inside a partition.
     """
     paths = [paths] if isinstance(paths, str) else paths
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
-    at = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_row", F.monotonically_increasing_id())
-    return at.withColumn("_pos", F.struct("_file", "_block", "_row")).drop("_block", "_row")
+    at = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_row", F.monotonically_increasing_id())
+    return at.withColumn("_pos", F.struct("_path", "_block", "_row")).drop("_path", "_block", "_row")
 
 
 def numbered(df: DataFrame, order: str = "_pos") -> DataFrame:
-    """`_pos` as one number from 0, without gathering rows in one task: places inside sorted ranges plus the sizes before."""
-    spread = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()).persist()
-    base, starts = 0, []
-    for part, n in sorted((r[0], r[1]) for r in spread.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()):
-        starts.append((part, base))
-        base += n
-    offsets = df.sparkSession.createDataFrame(starts, "_p bigint, _base bigint")
-    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base")
-    return spread.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_p").withColumn(order, place).drop("_at", "_p", "_base")
+    """`_pos` as one number from 0, without gathering rows in one task."""
+    return _ranked(df, [F.col(order)]).withColumn(order, F.col("rank")).drop("rank")
 
 
 SPLITS = ("train", "val", "test")
@@ -58,7 +52,7 @@ def manifest_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """A split by the manifest's file list; test is refused here."""
     if split == "test":
         raise PermissionError("the test split is read by final_test alone")
-    text = spark.read.option("wholetext", "true").text(f"{folder}/manifest.json").first()[0]
+    text = spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0]
     files = json.loads(text)["files"][split]
     return numbered(jsonl(spark, [f"{folder}/{x}" for x in ([files] if isinstance(files, str) else files)]))
 
@@ -81,7 +75,7 @@ def json_map(spark: SparkSession, paths: list[str], key: str = "id", value: str
     """(key, value) of JSON objects in files; for keys in several files the last file counts."""
     out = None
     for i, p in enumerate(paths):
-        text = spark.read.option("wholetext", "true").text(p)
+        text = spark.read.text(p, wholetext=True)
         df = text.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value)).withColumn("_file", F.lit(i))
         out = df if out is None else out.unionByName(df)
     return out.groupBy(key).agg(F.max_by(value, "_file").alias(value))
@@ -89,7 +83,7 @@ def json_map(spark: SparkSession, paths: list[str], key: str = "id", value: str
 
 def items(spark: SparkSession, path: str) -> DataFrame:
     """Items of a report, as VARIANT: a list at the top, or an object's `items`."""
-    v = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("v"))
+    v = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     listed = F.coalesce(F.try_variant_get("v", "$.items", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
     return v.select(F.posexplode(listed).alias("_pos", "item"))
 
@@ -116,12 +110,16 @@ def bundles(spark: SparkSession, root: str, marker: str = "SKILL.md") -> DataFra
 
 
 def licences(spark: SparkSession, root: str, names: tuple[str, ...]) -> DataFrame:
-    """(dir, text) of the first licence file of each folder, by the order of names."""
+    """(dir, repo, relpath, text) of the first licence file of each folder, by the order of names; relpath is empty for root/repo itself."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.element_at(F.split("path", "/"), -1)
     rank = F.array_position(F.array(*map(F.lit, names)), name)
     found = raw.where(name.isin(*names)).select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), decoded(F.col("content")).alias("text"), rank.alias("rank"))
-    return found.withColumn("rn", F.row_number().over(Window.partitionBy("dir").orderBy("rank"))).where("rn = 1").select("dir", "text")
+    first = found.withColumn("rn", F.row_number().over(Window.partitionBy("dir").orderBy("rank"))).where("rn = 1")
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    rel = F.expr(f"substring(regexp_replace(dir, '^[a-z]+:/*', '/'), {len(base) + 2})")
+    p = F.split(rel, "/")
+    return first.select("dir", F.get(p, 0).alias("repo"), F.array_join(F.slice(p, 2, F.size(p)), "/").alias("relpath"), "text")
 
 
 def expert_cases(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +128,7 @@ def expert_cases(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("stem"), decoded(F.col("content")).alias("case"))
 
 
-def questions(spark: SparkSession, path: str | None, local: DataFrame, limit: int = 50) -> DataFrame:
+def questions(spark: SparkSession, path: str | None, local: DataFrame, limit: int | None = 50) -> DataFrame:
     """Multiple-choice questions from a public source, or the local ones where that is absent or empty.
 
     Source rows are (question, labels, options, key); those whose key isn't a label, or with fewer than two options, are passed over.
@@ -139,7 +137,8 @@ def questions(spark: SparkSession, path: str | None, local: DataFrame, limit: in
         try:
             raw = spark.read.schema("question string, labels array<string>, options array<string>, key string, topic string").json(path)
             good = raw.where(F.array_contains("labels", F.col("key")) & (F.size("options") >= 2))
-            good = good.select("question", "options", (F.array_position("labels", F.col("key")) - 1).cast("int").alias("answer"), "topic").limit(limit)
+            good = good.select("question", "options", (F.array_position("labels", F.col("key")) - 1).cast("int").alias("answer"), "topic")
+            good = good if limit is None else good.limit(limit)
             if not good.isEmpty():
                 return good
         except Exception as e:  # noqa: BLE001 - any failure of the source means the local set

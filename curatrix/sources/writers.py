@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import splits as _splits
@@ -36,8 +36,10 @@ def blueprints(df: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small result of aggregates as a Markdown table; lists of items are for failure_lines()."""
-    rows = df.limit(most).collect()
+    """A small result of aggregates as a Markdown table; one of more rows is refused, as lists of items are for failure_lines()."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows is no report of aggregates")
     cells = [df.columns, ["---"] * len(df.columns), *([f"{x:.4f}" if isinstance(x, float) else str(x) for x in r] for r in rows)]
     return "\n".join("| " + " | ".join(c) + " |" for c in cells)
 
@@ -86,6 +88,32 @@ def write_failures(path: str, counts: DataFrame, worst: DataFrame, regressions:
     lines.repartitionByRange(*_REPORT_ORDER).sortWithinPartitions(*_REPORT_ORDER).select("value").write.mode("errorifexists").text(path)
 
 
+def eda_report(lengths: DataFrame, limits: DataFrame, domains: DataFrame, longest: DataFrame, stats: DataFrame, files: DataFrame) -> tuple[str, dict]:
+    """The profile of a record set as Markdown and as a dictionary for JSON: length statistics, records over limits,
+    domains by split, the longest records, blueprint statistics and the histogram of their files. All are small aggregates."""
+    parts = {"Lengths": lengths, "Over the limit": limits, "Domains": domains, "Longest": longest, "Blueprints": stats, "Files a blueprint": files}
+    text = "# Profile\n\n" + "\n\n".join(f"## {title}\n\n{markdown_table(df)}" for title, df in parts.items()) + "\n"
+    return text, {title: [r.asDict(True) for r in df.collect()] for title, df in parts.items()}
+
+
+def run_readme(summary: DataFrame, *, model: str, default: str, split: str, mode: str, limit: int | None, full: int) -> tuple[str, dict]:
+    """The page of a run and its scores: what was run, whether it is only a smoke test, and the score's layers."""
+    scores = summary.first().asDict()
+    smoke = is_smoke(model, default, limit, full)
+    head = [f"# Run of {model}{' (SMOKE TEST)' if smoke else ''}", "", f"- split: {split}", f"- mode: {mode}", f"- records: {scores['n']} of {full}", ""]
+    return "\n".join([*head, markdown_table(summary)]) + "\n", scores | {"model": model, "split": split, "mode": mode, "smoke": smoke}
+
+
+def put_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file by whatever file system holds it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def comparison_report(result: DataFrame) -> str:
     """The comparison of two runs as a list of its figures."""
     row = result.first().asDict()

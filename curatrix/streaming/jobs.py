@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.assemble import attempt_status
 from ..operators.score import score_items
 
 
@@ -21,13 +21,54 @@ def score_stream(predictions: DataFrame, refs: DataFrame, sink: str, checkpoint:
     return predictions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def status_stream(attempts: DataFrame, sink: str, checkpoint: str, key: str = "request_id") -> StreamingQuery:
-    """The state of every request as its attempts arrive; each micro-batch overwrites the statuses of the attempts so far."""
+_STATE = "good int, broken int, most int, good_output string, last_output string"
+_STATUS = "status int, n_attempts bigint, output string"
+
+
+def status_stream(attempts: DataFrame, sink: str, checkpoint: str, key: str = "request_id", most: int = 3) -> StreamingQuery:
+    """The status of every request as its attempts arrive; statuses(sink) has the last one of each.
+
+    What a request needs of its attempts (the first valid and the first broken one, the last output) is
+    state of the stream, so no attempt is read again. Each micro-batch writes the requests that it changed
+    to a folder of its own; one that runs again after a failure replaces its folder.
+    """
+    import pandas as pd
+
+    def update(name, frames, state):
+        good, broken, last, good_output, last_output = state.get if state.exists else (None, None, None, None, None)
+        for pdf in frames:
+            for a, output, valid, failed in zip(pdf["attempt"], pdf["output"], pdf["valid"], pdf["failed"], strict=True):
+                a = int(a)
+                if a > most:
+                    continue
+                if valid and (good is None or a < good):
+                    good, good_output = a, output
+                if failed and (broken is None or a < broken):
+                    broken = a
+                if last is None or a >= last:
+                    last, last_output = a, output
+        state.update((good, broken, last, good_output, last_output))
+        if last is None:
+            return
+        if good is not None and (broken is None or good < broken):
+            row = (200, good, good_output)
+        elif broken is not None:
+            row = (502, broken, None)
+        else:
+            row = (422, last, last_output[:2000] if last_output is not None else None)
+        yield pd.DataFrame([(*name, *row)], columns=[key, "status", "n_attempts", "output"])
+
+    kind = attempts.schema[key].dataType.simpleString()
+    changed = attempts.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {_STATUS}", _STATE, "update", "NoTimeout")
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{sink}/attempts/batch={number}")
-        seen = spark.read.parquet(f"{sink}/attempts").drop("batch")
-        attempt_status(seen, key=key).write.mode("overwrite").parquet(f"{sink}/status")
+        batch.write.mode("overwrite").parquet(f"{sink}/status/batch={number}")
+
+    return changed.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return attempts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def statuses(spark: SparkSession, sink: str, key: str = "request_id") -> DataFrame:
+    """The last status of every request that status_stream() has written."""
+    seen = spark.read.parquet(f"{sink}/status")
+    last = F.max_by(F.struct("status", "n_attempts", "output"), "batch").alias("s")
+    return seen.groupBy(key).agg(last).select(key, "s.*")
