@@ -71,12 +71,16 @@ def length_histogram(spark, sf):
 
 
 def length_filter(spark, sf):
-    return profile.kept_report(profile.filter_lengths(_len(spark, sf), "n_chars", 4096), "doc_id").select("total", "kept", "dropped", F.array_join("dropped_ids", ",").alias("dropped_ids"))
+    return profile.kept_report(profile.filter_lengths(_len(spark, sf), "n_chars", 4096))
+
+
+def length_dropped(spark, sf):
+    return profile.dropped_keys(profile.filter_lengths(_len(spark, sf), "n_chars", 4096), "doc_id")
 
 
 def prepare_stats(spark, sf):
     d = profile.filter_lengths(_len(spark, sf).withColumn("split", _split(F.col("doc_id"))), "n_chars", 8192)
-    return d.groupBy("split").agg(F.count("*").alias("total"), F.count_if(~F.col("kept")).alias("excluded"), F.least(F.count_if("kept"), F.lit(100)).cast("bigint").alias("kept"))
+    return profile.prepare_stats(d, "split", 100)
 
 
 def select_shortest(spark, sf):
@@ -91,6 +95,13 @@ def char_vocabulary(spark, sf):
     return profile.char_vocabulary(t(spark, sf, "benchmark"), "text")
 
 
+def char_round_trip(spark, sf):
+    b = t(spark, sf, "benchmark").select("item_id", "text")
+    v = profile.char_vocabulary(b, "text")
+    d = profile.char_text(profile.char_codes(b, "text", v), "codes", v)
+    return d.select("item_id", F.md5(F.array_join(F.col("codes").cast("array<string>"), ",")).alias("codes_md5"), (F.col("decoded") == F.col("text")).alias("same"))
+
+
 def context_windows(spark, sf):
     return profile.context_windows(t(spark, sf, "benchmark"), "text").select("item_id", F.col("start").cast("bigint").alias("start"), "window", "next")
 
@@ -112,23 +123,14 @@ def few_shot_messages(spark, sf):
     return b.select("item_id", F.size(m).cast("bigint").alias("n_messages"), F.md5(text.chatml(m)).alias("prompt_md5"))
 
 
-def _training_messages(spark, sf, instruction):
+def training_messages(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("context"))
-    m = prep.messages(instruction, F.col("context"), F.concat(F.lit('{"n":'), F.col("doc_id"), F.lit("}")), system="be brief")
+    m = prep.messages(F.col("text"), F.col("context"), F.concat(F.lit('{"n":'), F.col("doc_id"), F.lit("}")), system="be brief")
     return d.select("doc_id", F.md5(text.chatml(m)).alias("messages_md5"))
 
 
-def training_messages(spark, sf):
-    return _training_messages(spark, sf, F.substring("text", 1, 100))
-
-
-def training_messages_whole(spark, sf):
-    """As training_messages, the whole text as instruction."""
-    return _training_messages(spark, sf, F.col("text"))
-
-
-def _assistant_mask(spark, sf, ask, answer):
-    d = t(spark, sf, "benchmark").select("item_id", ask.alias("ask"), answer.alias("answer"))
+def assistant_mask(spark, sf):
+    d = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("ask"), F.col("text").alias("answer"))
     m = [text.message("system", F.lit("be brief")), text.message("user", F.col("ask"))]
     p = F.concat(text.chatml(F.array(*m)), F.lit("<|im_start|>assistant\n"))
     ids, labels = prep.example(prep.regex_tokens(text.chatml(F.array(*m, text.message("assistant", F.col("answer"))))), prep.regex_tokens(p))
@@ -137,13 +139,9 @@ def _assistant_mask(spark, sf, ask, answer):
     return d.select("item_id", n("ids").alias("n_tokens"), n(F.filter("labels", lambda x: x != "-100")).alias("n_trained"), (prep.unmasked(F.col("ids"), F.col("labels")) == F.concat("answer", F.lit("<|im_end|>"))).alias("verified"))
 
 
-def assistant_mask(spark, sf):
-    return _assistant_mask(spark, sf, F.substring("text", 1, 60), F.substring("text", 30, 90))
-
-
-def assistant_mask_whole(spark, sf):
-    """As assistant_mask, the whole text as question and as answer."""
-    return _assistant_mask(spark, sf, F.col("text"), F.col("text"))
+def caller_tokens(spark, sf):
+    """Token counts by a tokenizer that the caller brings."""
+    return t(spark, sf, "documents").select("doc_id", F.size(prep.tokens_by(F.col("text"), str.split)).cast("bigint").alias("n_tokens"))
 
 
 def adapter_parameters(spark, sf):
@@ -151,6 +149,11 @@ def adapter_parameters(spark, sf):
     return prep.parameter_count(p, 16, 28).select("p_partkey", "adapter_params")
 
 
+def adapter_memory(spark, sf):
+    p = t(spark, sf, "part").select("p_partkey", F.col("p_size").alias("d_in"), (F.col("p_size") * 2).alias("d_out"), (F.col("p_partkey") * 1000).alias("params"))
+    return prep.memory_bytes(p, "params").select("p_partkey", "full_bytes", "adapter_bytes")
+
+
 def length_recommendation(spark, sf):
     return t(spark, sf, "part").select("p_partkey", prep.recommended_length(F.col("p_size").cast("double"), F.col("p_size") % 10).cast("bigint").alias("max_seq_length"))
 
@@ -158,8 +161,8 @@ def length_recommendation(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        length_profile, length_stats_total, length_nearest_index, truncation_report, length_report, domain_counts, domain_split_pivot, top10_longest, top10_of_splits, length_histogram, length_filter,
-        prepare_stats, select_shortest, select_first, char_vocabulary, context_windows, chatml_render, token_lengths, few_shot_messages, training_messages, training_messages_whole, assistant_mask, assistant_mask_whole, adapter_parameters, length_recommendation,
+        length_profile, length_stats_total, length_nearest_index, truncation_report, length_report, domain_counts, domain_split_pivot, top10_longest, top10_of_splits, length_histogram, length_filter, length_dropped, char_round_trip, caller_tokens, adapter_memory,
+        prepare_stats, select_shortest, select_first, char_vocabulary, context_windows, chatml_render, token_lengths, few_shot_messages, training_messages, assistant_mask, adapter_parameters, length_recommendation,
     )
 }
 
@@ -189,7 +192,11 @@ ORACLE_SQL = {
       SELECT split, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT doc_id, n_chars, {_SPLIT} AS split FROM documents))
       WHERE r <= 10 ORDER BY n_chars DESC, CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, doc_id LIMIT 10""",
     "length_histogram": "SELECT CAST(CASE WHEN x = 6 THEN 24 ELSE floor((x - 0.0) / 0.25) + 1 END AS BIGINT) AS bin, count(*) AS n FROM (SELECT log10(CAST(n_chars AS DOUBLE)) AS x FROM documents WHERE n_chars > 0) WHERE x BETWEEN 0 AND 6 GROUP BY 1",
-    "length_filter": "SELECT count(*) AS total, count(*) FILTER (WHERE n_chars <= 4096) AS kept, count(*) FILTER (WHERE n_chars > 4096) AS dropped, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (WHERE n_chars > 4096), '') AS dropped_ids FROM documents",
+    "length_filter": "SELECT count(*) AS total, count(*) FILTER (WHERE n_chars <= 4096) AS kept, count(*) FILTER (WHERE n_chars > 4096) AS dropped FROM documents",
+    "length_dropped": "SELECT doc_id FROM documents WHERE n_chars > 4096",
+    "char_round_trip": "WITH v AS (SELECT char, row_number() OVER (ORDER BY char) - 1 AS idx FROM (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM benchmark) WHERE char <> ''), c AS (SELECT item_id, i, substr(text, i, 1) AS char FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark)) SELECT item_id, md5(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY i)) AS codes_md5, true AS same FROM c JOIN v ON c.char = v.char GROUP BY item_id",
+    "caller_tokens": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS BIGINT) AS n_tokens FROM documents",
+    "adapter_memory": "SELECT p_partkey, CAST(p_partkey AS DOUBLE) * 1000 * 12 AS full_bytes, CAST(p_partkey AS DOUBLE) * 1000 * 0.5::DOUBLE + 16 * (p_size + p_size * 2) * 28 * 4.0::DOUBLE AS adapter_bytes FROM part",
     "prepare_stats": f"SELECT split, count(*) AS total, count(*) FILTER (WHERE n_chars > 8192) AS excluded, least(count(*) FILTER (WHERE n_chars <= 8192), 100) AS kept FROM (SELECT n_chars, {_SPLIT} AS split FROM documents) GROUP BY split",
     "select_shortest": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 50",
     "select_first": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50",
@@ -198,14 +205,11 @@ ORACLE_SQL = {
     "chatml_render": f"SELECT conv_id, md5(s) AS rendered_md5, length(s) AS n_chars FROM (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS s FROM conversations GROUP BY conv_id)",
     "token_lengths": "SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)",
     "few_shot_messages": "SELECT item_id, CAST(8 AS BIGINT) AS n_messages, md5(" + " || ".join([_im("system", "'be brief'"), *(x for k in ("first", "second", "third") for x in (_im("user", f"'{k} ask'"), _im("assistant", "'{}'"))), _im("user", "text")]) + ") AS prompt_md5 FROM benchmark",
-    "training_messages": "SELECT doc_id, md5(" + " || ".join([_im("system", "'be brief'"), _im("user", "substr(text, 1, 100) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || '<context>' || chr(10) || source || chr(10) || '</context>' ELSE '' END"), _im("assistant", "'{\"n\":' || doc_id || '}'")]) + ") AS messages_md5 FROM documents",
+    "training_messages": "SELECT doc_id, md5(" + " || ".join([_im("system", "'be brief'"), _im("user", "text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || '<context>' || chr(10) || source || chr(10) || '</context>' ELSE '' END"), _im("assistant", "'{\"n\":' || doc_id || '}'")]) + ") AS messages_md5 FROM documents",
     "assistant_mask": r"""
-      WITH p AS (SELECT item_id, substr(text, 30, 90) AS answer, '<|im_start|>system' || chr(10) || 'be brief<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || substr(text, 1, 60) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS p FROM benchmark),
+      WITH p AS (SELECT item_id, text AS answer, '<|im_start|>system' || chr(10) || 'be brief<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS p FROM benchmark),
       k AS (SELECT item_id, answer, len(regexp_extract_all(p, '<\|im_start\|>|<\|im_end\|>|[A-Za-z0-9_]+|\s+|[^A-Za-z0-9_\s]')) AS a, len(regexp_extract_all(p || answer || '<|im_end|>', '<\|im_start\|>|<\|im_end\|>|[A-Za-z0-9_]+|\s+|[^A-Za-z0-9_\s]')) AS b FROM p)
       SELECT item_id, CASE WHEN NOT regexp_matches(answer, '^\s') THEN CAST(b AS BIGINT) ELSE -1 END AS n_tokens, CASE WHEN NOT regexp_matches(answer, '^\s') THEN CAST(b - a AS BIGINT) ELSE -1 END AS n_trained, CASE WHEN NOT regexp_matches(answer, '^\s') THEN true END AS verified FROM k""",
     "adapter_parameters": "SELECT p_partkey, CAST(16 * (p_size + p_size * 2) * 28 AS BIGINT) AS adapter_params FROM part",
     "length_recommendation": "SELECT p_partkey, CAST(CASE WHEN p_size < 16 OR p_size % 10 < 7 THEN 2048 ELSE 8192 END AS BIGINT) AS max_seq_length FROM part",
 }
-# The same over whole texts.
-ORACLE_SQL["training_messages_whole"] = ORACLE_SQL["training_messages"].replace("substr(text, 1, 100)", "text")
-ORACLE_SQL["assistant_mask_whole"] = ORACLE_SQL["assistant_mask"].replace("substr(text, 30, 90)", "text").replace("substr(text, 1, 60)", "text")

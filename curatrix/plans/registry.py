@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import profile_queries, score_queries, select_queries
+from . import profile_queries, score_queries, select_queries, source_queries
 
 
 def _modules():
-    return (profile_queries, select_queries, score_queries)
+    return (profile_queries, select_queries, score_queries, source_queries)
 
 
 def queries() -> dict:

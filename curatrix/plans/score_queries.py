@@ -148,25 +148,41 @@ def bootstrap_ci(spark, sf):
     return stats.bootstrap_ci(_pairs(spark, sf), "a", "b")
 
 
+def _options(spark, sf):
+    """Embeddings as scores of as many options as they have places."""
+    return t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("s"), F.reverse("embedding").alias("back"), (F.col("label") % F.size("embedding")).alias("answer"))
+
+
 def mcq_argmax(spark, sf):
-    e = t(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("s"), (F.col("label") % 4).alias("answer"))
-    return e.select("vec_id", assemble.best_option(F.col("s")).cast("bigint").alias("predicted"), (assemble.best_option(F.col("s")) == F.col("answer")).alias("correct"))
+    e = _options(spark, sf)
+    return e.select(F.col("id").alias("vec_id"), assemble.best_option(F.col("s")).cast("bigint").alias("predicted"), (assemble.best_option(F.col("s")) == F.col("answer")).alias("correct"))
 
 
 def mcq_accuracy(spark, sf):
-    e = t(spark, sf, "embeddings").select(F.slice("embedding", 1, 4).alias("s"), (F.col("label") % 4).alias("answer"))
-    return assemble.accuracy(e, "s", "answer").select("n", F.round("accuracy", 6).alias("accuracy"))
+    return assemble.accuracy(_options(spark, sf), "s", "answer").select("n", F.round("accuracy", 6).alias("accuracy"))
 
 
 def repair_loop_status(spark, sf):
-    e = t(spark, sf, "events").select((F.col("event_id") % 1000).alias("request_id"), (F.floor(F.col("event_id") / 1000) + 1).cast("bigint").alias("attempt"), F.col("props").alias("output"), (F.col("event_type") == "purchase").alias("valid"), (F.col("event_type") == "error").alias("failed"))
+    """Four attempts a request, so requests grow with the table and every fourth attempt is over the limit of three."""
+    e = t(spark, sf, "events").select(F.floor(F.col("event_id") / 4).cast("bigint").alias("request_id"), (F.col("event_id") % 4 + 1).alias("attempt"), F.col("props").alias("output"), (F.col("event_type") == "purchase").alias("valid"), (F.col("event_type") == "error").alias("failed"))
     return assemble.attempt_status(e)
 
 
-def repair_loop_requests(spark, sf):
-    """As repair_loop_status over all events: four attempts a request, so requests grow with the table and every fourth attempt is over the limit."""
-    e = t(spark, sf, "events").select(F.floor(F.col("event_id") / 4).cast("bigint").alias("request_id"), (F.col("event_id") % 4 + 1).alias("attempt"), F.col("props").alias("output"), (F.col("event_type") == "purchase").alias("valid"), (F.col("event_type") == "error").alias("failed"))
-    return assemble.attempt_status(e)
+def batch_counts(spark, sf):
+    e = t(spark, sf, "events").select(F.col("event_type").alias("status"), F.when(F.col("user_id") % 3 == 0, "mit").when(F.col("user_id") % 3 == 1, "bsd").alias("license"))
+    return assemble.batch_counts(e)
+
+
+def generated_outputs(spark, sf):
+    """Outputs of a model that the caller brings, here one that turns the prompt round; and of canned ones."""
+    e = t(spark, sf, "events").select("event_id", F.concat("event_type", F.lit(" "), "props").alias("prompt"), assemble.canned(["first", "second"], (F.col("event_id") % 3 + 1).cast("int")).alias("canned"))
+    return assemble.generated(e, lambda prompts: [p[::-1] for p in prompts], "prompt").select("event_id", "output", "canned")
+
+
+def compare_bundle(spark, sf):
+    """Counts, rates with their intervals, the difference and the exact test of two runs."""
+    c = compare.compare_runs(*_ab(spark, sf), "l2_valid", reps=200)
+    return c.select("n", "both_pass", "only_a", "only_b", "both_fail", *(F.round(x, 9).alias(x) for x in ("rate_a", "lo_a", "hi_a", "rate_b", "lo_b", "hi_b", "diff", "p_value")))
 
 
 def repair_prompt(spark, sf):
@@ -201,12 +217,17 @@ def input_guard(spark, sf):
 
 
 def run_drop(spark, sf):
-    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", (F.col("label") % 4).alias("answer"))
-    side = lambda a: e.select("id", assemble.best_option(F.slice("embedding", a, 4)).alias("predicted"), (assemble.best_option(F.slice("embedding", a, 4)) == F.col("answer")).alias("correct"))
-    d = compare.run_drop(side(1), side(5))
+    e = _options(spark, sf)
+    side = lambda c: e.select("id", assemble.best_option(F.col(c)).alias("predicted"), (assemble.best_option(F.col(c)) == F.col("answer")).alias("correct"))
+    d = compare.run_drop(side("s"), side("back"))
     return d.select("n", F.round("accuracy_a", 6).alias("accuracy_a"), F.round("accuracy_b", 6).alias("accuracy_b"), "n_changed", F.round("drop_points", 6).alias("drop_points"))
 
 
+def judge_payloads(spark, sf):
+    e = t(spark, sf, "events").select("event_id", F.concat(F.lit('{"k": "'), F.repeat(F.col("event_type"), 1200), F.lit('"}')).alias("output"))
+    return e.select("event_id", F.md5(score.judge_payload(jsonx.parsed(F.col("output")))).alias("payload_md5"))
+
+
 def judge_replies(spark, sf):
     e = t(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Scores: "), F.col("props"), F.lit(" done"))).when(F.col("event_id") % 3 == 1, F.lit("no braces")).otherwise(F.lit('{"other": 1}')).alias("reply"))
     e = e.withColumn("l4", score.judge_reply(F.col("reply"), ("k",)))
@@ -217,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_parse_rate, schema_errors, field_scores, materialise_check, composite_score, failure_taxonomy, item_failures, blueprint_stats, files_histogram, files_mode, paired_counts, mcnemar_exact, mcnemar_table, wilson_ci,
-        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, repair_loop_requests, repair_prompt, config_diff, key_difference, missing_cases, degraded_output, input_guard, run_drop, judge_replies,
+        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, batch_counts, generated_outputs, compare_bundle, judge_payloads, repair_prompt, config_diff, key_difference, missing_cases, degraded_output, input_guard, run_drop, judge_replies,
     )
 }
 
@@ -238,6 +259,7 @@ _I = f"{_D}, i AS (SELECT *, {_OK} AS ok, {_L2} AS l2, {_L5} AS l5, {_EM} AS em,
 _CODES = "CASE WHEN NOT ok THEN 'E10' WHEN k = 2 THEN 'E2' WHEN k IN (3, 17) THEN 'E4' WHEN k IN (5, 7, 13, 14) THEN 'E5' WHEN k IN (6, 12, 15) THEN 'E3' WHEN k = 9 THEN 'E1' WHEN k = 11 THEN 'E8' ELSE '' END"
 _P = "p AS (SELECT doc_id AS id, quality = 1 AS a, toxic = 0 AS b FROM labels)"
 _MC = "CASE WHEN n = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0))) FROM (SELECT unnest(range(0, CAST(kk + 1 AS BIGINT))) AS i))), 9) END AS p_value"
+_W = "round({c}({e}, ({p} + z * z / (2 * n) {s} z * sqrt({p} * (1 - {p}) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 9)"
 ORACLE_SQL = {
     "json_parse_rate": f"WITH {_D} SELECT id, {_L1} AS l1_parse FROM d",
     "schema_errors": f"WITH {_I} SELECT id, CASE WHEN ok THEN l2 END AS l2_errors FROM i",
@@ -259,15 +281,17 @@ ORACLE_SQL = {
     "new_passes": f"WITH {_P} SELECT id FROM p WHERE NOT a AND b",
     "new_failures": f"WITH {_P} SELECT id FROM p WHERE a AND NOT b AND id % 3 <> 0",
     "acceptance_gate": f"WITH {_P} SELECT avg(b::INT) * 100 >= avg(a::INT) * 100 + 2 AND count(*) FILTER (WHERE a AND NOT b) = 0 AS accepted FROM p",
-    "mcq_argmax": "SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS BIGINT) AS predicted, list_position(s, list_max(s)) - 1 = label % 4 AS correct FROM (SELECT vec_id, label, embedding[1:4] AS s FROM embeddings)",
-    "mcq_accuracy": "SELECT count(*) AS n, round(avg((list_position(s, list_max(s)) - 1 = label % 4)::INT), 6) AS accuracy FROM (SELECT label, embedding[1:4] AS s FROM embeddings)",
+    "mcq_argmax": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS predicted, list_position(embedding, list_max(embedding)) - 1 = label % len(embedding) AS correct FROM embeddings",
+    "mcq_accuracy": "SELECT count(*) AS n, round(avg((list_position(embedding, list_max(embedding)) - 1 = label % len(embedding))::INT), 6) AS accuracy FROM embeddings",
+    "batch_counts": "SELECT 'status' AS kind, event_type AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'license', CASE user_id % 3 WHEN 0 THEN 'mit' WHEN 1 THEN 'bsd' ELSE 'unknown' END, count(*) FROM events GROUP BY 2",
+    "generated_outputs": "SELECT event_id, reverse(event_type || ' ' || props) AS output, CASE event_id % 3 WHEN 0 THEN 'first' ELSE 'second' END AS canned FROM events",
+    "judge_payloads": "SELECT event_id, md5(left('{\"k\":\"' || repeat(event_type, 1200) || '\"}', 6000)) AS payload_md5 FROM events",
+    "compare_bundle": f"""WITH {_P}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a AND b) AS both_pass, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE NOT a AND b) AS only_b, count(*) FILTER (WHERE NOT a AND NOT b) AS both_fail FROM p),
+      z AS (SELECT *, (both_pass + only_a) / n AS rate_a, (both_pass + only_b) / n AS rate_b, CAST(1.96 AS DOUBLE) AS z FROM c),
+      m AS (SELECT only_a + only_b AS n, least(only_a, only_b) AS kk FROM c)
+      SELECT n, both_pass, only_a, only_b, both_fail, round(rate_a, 9) AS rate_a, {_W.format(p='rate_a', s='-', c='greatest', e='0.0')} AS lo_a, {_W.format(p='rate_a', s='+', c='least', e='1.0')} AS hi_a,
+        round(rate_b, 9) AS rate_b, {_W.format(p='rate_b', s='-', c='greatest', e='0.0')} AS lo_b, {_W.format(p='rate_b', s='+', c='least', e='1.0')} AS hi_b, round(rate_b - rate_a, 9) AS diff, (SELECT {_MC} FROM m) AS p_value FROM z""",
     "repair_loop_status": """
-      WITH e AS (SELECT event_id % 1000 AS r, event_id // 1000 + 1 AS a, props, event_type FROM events), s AS (SELECT * FROM e WHERE a <= 3),
-      g AS (SELECT r, min(CASE WHEN event_type = 'purchase' THEN a END) AS g, min(CASE WHEN event_type = 'error' THEN a END) AS b, max(a) AS n FROM s GROUP BY r),
-      f AS (SELECT *, CASE WHEN g IS NOT NULL AND (b IS NULL OR g < b) THEN 200 WHEN b IS NOT NULL THEN 502 ELSE 422 END AS status FROM g)
-      SELECT f.r AS request_id, status, CAST(CASE status WHEN 200 THEN g WHEN 502 THEN b ELSE n END AS BIGINT) AS n_attempts, CASE status WHEN 502 THEN NULL ELSE left(s.props, 2000) END AS output
-      FROM f JOIN s ON s.r = f.r AND s.a = CASE status WHEN 200 THEN g ELSE n END""",
-    "repair_loop_requests": """
       WITH e AS (SELECT event_id // 4 AS r, event_id % 4 + 1 AS a, props, event_type FROM events), s AS (SELECT * FROM e WHERE a <= 3),
       g AS (SELECT r, min(CASE WHEN event_type = 'purchase' THEN a END) AS g, min(CASE WHEN event_type = 'error' THEN a END) AS b, max(a) AS n FROM s GROUP BY r),
       f AS (SELECT *, CASE WHEN g IS NOT NULL AND (b IS NULL OR g < b) THEN 200 WHEN b IS NOT NULL THEN 502 ELSE 422 END AS status FROM g)
@@ -279,7 +303,7 @@ ORACLE_SQL = {
     "missing_cases": "SELECT 'E' || lpad(CAST(i AS VARCHAR), 3, '0') AS id FROM (SELECT unnest(range(1, 21)) AS i) WHERE i % 3 <> 0",
     "degraded_output": "SELECT doc_id, md5(left(text, 200)) AS cut_md5, md5(CASE WHEN length(text) > 1000 THEN left(text, 1000) || chr(10) || '…[truncated]' ELSE text END) AS capped_md5 FROM documents",
     "input_guard": "SELECT doc_id, length(text) BETWEEN 1 AND 32000 AS accepted FROM documents",
-    "run_drop": """WITH a AS (SELECT list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS x, list_position(embedding[5:8], list_max(embedding[5:8])) - 1 AS y, label % 4 AS t FROM embeddings)
+    "run_drop": """WITH a AS (SELECT list_position(embedding, list_max(embedding)) - 1 AS x, list_position(list_reverse(embedding), list_max(embedding)) - 1 AS y, label % len(embedding) AS t FROM embeddings)
       SELECT count(*) AS n, round(avg((x = t)::INT), 6) AS accuracy_a, round(avg((y = t)::INT), 6) AS accuracy_b, count(*) FILTER (WHERE x <> y) AS n_changed, round((avg((x = t)::INT) - avg((y = t)::INT)) * 100, 6) AS drop_points FROM a""",
     "judge_replies": "SELECT count(*) AS n, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS k FROM events WHERE event_id % 3 = 0 AND json_exists(props, '$.k')",
 }

@@ -87,47 +87,40 @@ def domain_classify(spark, sf):
     return p.select("p_partkey", select.domain(F.col("repo"), F.col("rel"), name, repo_domains={"Brand#21": "sales", "Brand#3": "sales"}, category_repos=brands).alias("domain"))
 
 
-def _front_matter_sections(spark, sf, content):
-    d = t(spark, sf, "documents").select("doc_id", content.alias("x"))
+def front_matter_sections(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.col("text").alias("x"))
     main = F.concat(F.lit("---\nname: doc-"), F.col("doc_id"), F.lit("\ndescription: one two\n---\n# Title\n\n"), F.col("x"), F.lit("\n\n## When to use\n- first\n* second\n1. third\nplain\n\n## When not to use\n- never\n"))
     d = d.withColumn("main", main).withColumn("b", text.body(main))
     return d.select("doc_id", text.front_matter_field(F.col("main"), "name").alias("name"), F.array_join(text.section_items(F.col("b"), text.WHEN_USE), "|").alias("use"), F.array_join(text.section_items(F.col("b"), text.WHEN_NOT), "|").alias("not_use"), F.md5(text.first_paragraph(F.col("b"))).alias("paragraph_md5"))
 
 
-def front_matter_sections(spark, sf):
-    return _front_matter_sections(spark, sf, F.regexp_replace(F.substring("text", 1, 200), "[\\s#*-]+", " "))
-
-
-def front_matter_sections_whole(spark, sf):
-    """As front_matter_sections, the whole text with its own lines as the body."""
-    return _front_matter_sections(spark, sf, F.col("text"))
-
-
-def _assemble_errors(spark, sf, instruction, description):
+def assemble_errors(spark, sf):
+    """Whole texts as instructions, and all of each from the fifth character on as description."""
     d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("_pos"), F.col("lang").alias("domain"), F.col("source").alias("repo"), "text")
-    ins = d.where("id % 11 <> 0").select("id", instruction.alias("instruction"))
-    bps = d.where("id % 7 <> 0").select("id", description.alias("description"), F.lit("{}").alias("blueprint"))
+    ins = d.where("id % 11 <> 0").select("id", F.col("text").alias("instruction"))
+    bps = d.where("id % 7 <> 0").select("id", F.expr("substring(text, 5)").alias("description"), F.lit("{}").alias("blueprint"))
     return assemble.assemble(d.drop("text"), ins, bps)[1].select("id", "error")
 
 
-def assemble_errors(spark, sf):
-    return _assemble_errors(spark, sf, F.substring("text", 1, 60), F.substring("text", 5, 25))
-
-
-def assemble_errors_whole(spark, sf):
-    """As assemble_errors, the whole text as instruction and all of it from the fifth character on as description."""
-    return _assemble_errors(spark, sf, F.col("text"), F.expr("substring(text, 5)"))
-
-
-def dataset_errors(spark, sf):
-    """All checks of a dataset over whole benchmark texts and shifted copies of them, with faults in blueprints by id."""
+def _dataset(spark, sf):
     b = t(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
     d = b.union(b.select(F.col("id") + 100000, F.concat(F.expr("substring(text, 4)"), F.lit("zz")))).withColumn("_pos", F.col("id"))
     when = lambda k, bad, good: F.when(F.col("id") % 5 == k, bad).otherwise(F.lit(good))
     blueprint = F.concat(F.lit('{"name":"'), when(1, "Item_", "item-"), F.col("id"), F.lit('","description":"d","files":'), when(2, "[]", '[{"path":"SKILL.md"}]'), F.lit("}"))
     bps = d.select("id", F.lit("d").alias("description"), blueprint.alias("blueprint"), F.concat(F.lit('{"validation_errors":'), when(3, '["x"]', "[]"), F.lit("}")).alias("provenance"))
     sel = d.select("id", "_pos", F.lit("d").alias("domain"), F.lit("r").alias("repo"))
-    return assemble.build(sel, d.select("id", F.col("text").alias("instruction")), bps)[1].select("id", "error")
+    return assemble.build(sel, d.select("id", F.col("text").alias("instruction")), bps)
+
+
+def dataset_errors(spark, sf):
+    """All checks of a dataset over whole benchmark texts and shifted copies of them, with faults in blueprints by id."""
+    return _dataset(spark, sf)[1].select("id", "error")
+
+
+def dataset_records(spark, sf):
+    """The training rows of the same dataset, as they are written."""
+    r = _dataset(spark, sf)[0]
+    return r.select(F.col("metadata.id").alias("id"), F.md5("instruction").alias("instruction_md5"), F.md5("expected_blueprint").alias("blueprint_md5"), "metadata.domain", "metadata.repo", "metadata.provenance")
 
 
 def near_dup_pairs(spark, sf):
@@ -182,6 +175,13 @@ def exemplar_band(spark, sf):
     return d.select("doc_id", F.col("_size").between(5000, 10000).alias("in_band"))
 
 
+def exemplar_lookup(spark, sf):
+    """Fixed ids in their order, each in the size band; here three of the documents whose length is inside."""
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("n_chars").alias("_size"))
+    ids = [r[0] for r in d.where("_size BETWEEN 5000 AND 10000").orderBy(F.desc("id")).limit(3).collect()]
+    return splits.exemplars(d, ids).select("id", "lang", F.col("_size").alias("n_chars"))
+
+
 def sequence_matcher_near_dup(spark, sf):
     b = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("x"))
     more = b.select((F.col("item_id") + 100000).alias("item_id"), F.concat(F.expr("substring(x, 4)"), F.lit("zz")).alias("x"))
@@ -200,8 +200,8 @@ def cache_filter(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_dedup, stratified_quota_sample, quota_shortfall, exclusion_antijoin, licence_classify, document_licence, name_normalise, name_validity, path_safety, repo_slugs, domain_classify, front_matter_sections, front_matter_sections_whole,
-        assemble_errors, assemble_errors_whole, dataset_errors, near_dup_pairs, near_dup_clusters, exact_dup_collapse, majority_domain, proportional_split, capacity_deal, balanced_shards, split_manifest_hash, leakage_check, exemplar_band, sequence_matcher_near_dup, skip_counters, cache_filter,
+        canonical_dedup, stratified_quota_sample, quota_shortfall, exclusion_antijoin, licence_classify, document_licence, name_normalise, name_validity, path_safety, repo_slugs, domain_classify, front_matter_sections,
+        assemble_errors, dataset_errors, dataset_records, exemplar_lookup, near_dup_pairs, near_dup_clusters, exact_dup_collapse, majority_domain, proportional_split, capacity_deal, balanced_shards, split_manifest_hash, leakage_check, exemplar_band, sequence_matcher_near_dup, skip_counters, cache_filter,
     )
 }
 
@@ -242,25 +242,53 @@ ORACLE_SQL = {
       q AS (SELECT p_partkey, repo, split_part(rel, '/', 1) AS cat, split_part(rel, '/', 2) AS n FROM p),
       r AS (SELECT p_partkey, CASE WHEN repo IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#1', 'Brand#2') THEN CASE WHEN cat = 'design' AND contains(n, 'copy') THEN 'writing' {_CATS} END END AS c, CASE WHEN repo IN ('Brand#21', 'Brand#3') THEN 'sales' END AS m, CASE {_HINTS} ELSE 'business' END AS h FROM q)
       SELECT p_partkey, coalesce(c, m, h) AS domain FROM r""",
-    "front_matter_sections": "SELECT doc_id, 'doc-' || doc_id AS name, 'first|second|third|plain' AS use, 'never' AS not_use, md5(CASE WHEN x = '' THEN '' ELSE x END) AS paragraph_md5 FROM (SELECT doc_id, left(trim(regexp_replace(left(text, 200), '[\\s#*-]+', ' ', 'g')), 500) AS x FROM documents)",
+    "front_matter_sections": r"""
+      WITH d AS (SELECT doc_id, '# Title' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## When to use' || chr(10) || '- first' || chr(10) || '* second' || chr(10) || '1. third' || chr(10) || 'plain' || chr(10) || chr(10) || '## When not to use' || chr(10) || '- never' || chr(10) AS b FROM documents),
+      l AS (SELECT doc_id, b, list_transform(string_split(b, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')) AS ls FROM d),
+      h AS (SELECT doc_id, b, ls, list_filter(range(1, len(ls) + 1), lambda i: starts_with(ls[i], '#')) AS heads FROM l),
+      t AS (SELECT *, list_filter(heads, lambda i: regexp_matches(lower(regexp_replace(ls[i], '^#+', '')), 'when to use|use cases?|triggers?|activat'))[1] AS u,
+                      list_filter(heads, lambda i: regexp_matches(lower(regexp_replace(ls[i], '^#+', '')), 'when not to use|don''?t use|limitations?|out of scope|not suitable|avoid when'))[1] AS n FROM h),
+      p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(b, '\n\s*\n'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '---'))[1] AS par FROM d)
+      SELECT t.doc_id, 'doc-' || t.doc_id AS name,
+        array_to_string(list_filter(list_transform(ls[u + 1:coalesce(list_filter(heads, lambda i: i > u)[1] - 1, len(ls))], lambda x: regexp_replace(regexp_replace(x, '^([-*]\s+|\d+[.)]\s+)', ''), '\s+$', '')), lambda x: x <> ''), '|') AS use,
+        array_to_string(list_filter(list_transform(ls[n + 1:coalesce(list_filter(heads, lambda i: i > n)[1] - 1, len(ls))], lambda x: regexp_replace(regexp_replace(x, '^([-*]\s+|\d+[.)]\s+)', ''), '\s+$', '')), lambda x: x <> ''), '|') AS not_use,
+        md5(left(regexp_replace(coalesce(par, ''), '\s+', ' ', 'g'), 500)) AS paragraph_md5
+      FROM t JOIN p ON t.doc_id = p.doc_id""",
     "assemble_errors": r"""
-      WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN regexp_replace(regexp_replace(substr(text, 1, 60), '^\s+', ''), '\s+$', '') END AS ins, CASE WHEN doc_id % 7 <> 0 THEN substr(text, 5, 25) END AS descr FROM documents),
+      WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') END AS ins, CASE WHEN doc_id % 7 <> 0 THEN substr(text, 5) END AS descr FROM documents),
       w AS (SELECT *, row_number() OVER (PARTITION BY ins ORDER BY id) AS r FROM d WHERE ins IS NOT NULL AND descr IS NOT NULL)
       SELECT id, 'missing blueprint' AS error FROM d WHERE descr IS NULL UNION ALL SELECT id, 'missing instruction' FROM d WHERE descr IS NOT NULL AND ins IS NULL
       UNION ALL SELECT id, 'instruction too short' FROM w WHERE length(ins) < 40 UNION ALL SELECT id, 'duplicate instruction' FROM w WHERE r > 1
       UNION ALL SELECT id, 'instruction copies description' FROM w WHERE length(descr) > 20 AND contains(ins, descr)""",
+    "dataset_records": """
+      WITH d AS (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT item_id + 100000, substr(text, 4) || 'zz' FROM benchmark)
+      SELECT id, md5(trim(text)) AS instruction_md5, md5('{"name":"' || CASE id % 5 WHEN 1 THEN 'Item_' ELSE 'item-' END || id || '","description":"d","files":' || CASE id % 5 WHEN 2 THEN '[]' ELSE '[{"path":"SKILL.md"}]' END || '}') AS blueprint_md5,
+             'd' AS domain, 'r' AS repo, '{"validation_errors":' || CASE id % 5 WHEN 3 THEN '["x"]' ELSE '[]' END || '}' AS provenance FROM d""",
+    "exemplar_lookup": "SELECT doc_id AS id, lang, n_chars FROM documents WHERE n_chars BETWEEN 5000 AND 10000 ORDER BY doc_id DESC LIMIT 3",
     "near_dup_pairs": _PAIRS + "SELECT a, b FROM pairs",
     "near_dup_clusters": _PAIRS + ", e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a) SELECT x AS doc_id, min(y) AS cluster FROM reach GROUP BY x",
     "exact_dup_collapse": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) AS r FROM documents) WHERE r = 1",
     "majority_domain": "SELECT cluster, dom AS domain, CAST(size AS BIGINT) AS size FROM (SELECT source AS cluster, lang AS dom, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id)) AS r, sum(count(*)) OVER (PARTITION BY source) AS size FROM documents GROUP BY source, lang) WHERE r = 1",
     "proportional_split": "SELECT doc_id, CASE WHEN rank % 10 < 8 THEN 'train' WHEN rank % 10 = 8 THEN 'val' ELSE 'test' END AS split, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY lang, md5('7:' || doc_id), doc_id) - 1 AS rank FROM documents)",
     "balanced_shards": "SELECT doc_id, (row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1) % (SELECT CASE WHEN count(*) > 100 THEN (count(*) + 99) // 100 ELSE 1 END FROM documents) AS shard FROM documents",
-    "split_manifest_hash": "SELECT lang, count(*) AS n_records, sha256(string_agg(sha256(text), chr(10) ORDER BY sha256(text))) AS sha256 FROM documents GROUP BY lang",
+    "split_manifest_hash": """
+      WITH h AS (SELECT lang, sha256(text) AS h FROM documents), leaf AS (SELECT lang, left(h, 4) AS d, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY lang, d)
+      SELECT lang, CAST(sum(n) AS BIGINT) AS n_records, sha256(string_agg(d || ':' || h, chr(10) ORDER BY d || ':' || h)) AS sha256 FROM leaf GROUP BY lang""",
+    "capacity_deal": _PAIRS.rstrip() + """,
+      e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a),
+      g AS (SELECT x AS doc_id, min(y) AS grp FROM reach GROUP BY x), gd AS (SELECT g.doc_id, grp, lang FROM g JOIN documents d ON g.doc_id = d.doc_id),
+      m AS (SELECT grp, lang, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, min(doc_id)) AS r, sum(count(*)) OVER (PARTITION BY grp) AS size FROM gd GROUP BY grp, lang),
+      o AS (SELECT grp, CAST(size AS BIGINT) AS size, row_number() OVER (ORDER BY lang, md5('7:' || grp), grp) AS rn FROM m WHERE r = 1),
+      tot AS (SELECT count(*) AS n FROM documents), pat AS (SELECT n * 8 // 10 AS a, n // 10 AS b, list_concat(list_transform(range(0, (n * 8 // 10) // (n // 10)), lambda x: 1), [2, 3]) AS p FROM tot),
+      f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seat, a AS r1, b AS r2, b AS r3, CAST(0 AS BIGINT) AS s FROM pat
+            UNION ALL
+            SELECT rn, CASE WHEN j IS NULL THEN seat ELSE (seat + j + 1) % len(p) END, r1 - CASE WHEN s = 1 THEN size ELSE 0 END, r2 - CASE WHEN s = 2 THEN size ELSE 0 END, r3 - CASE WHEN s = 3 THEN size ELSE 0 END, s
+            FROM (SELECT *, CAST(CASE WHEN j IS NULL THEN list_position([r1, r2, r3], greatest(r1, r2, r3)) ELSE p[CAST((seat + j) % len(p) + 1 AS INT)] END AS BIGINT) AS s
+                  FROM (SELECT o.rn, f.seat, f.r1, f.r2, f.r3, o.size, pat.p, list_filter(range(0, len(pat.p)), lambda j: [f.r1, f.r2, f.r3][pat.p[CAST((f.seat + j) % len(pat.p) + 1 AS INT)]] >= o.size)[1] AS j FROM f JOIN o ON o.rn = f.rn + 1 CROSS JOIN pat)))
+      SELECT gd.doc_id, gd.grp, CASE f.s WHEN 1 THEN 'train' WHEN 2 THEN 'val' ELSE 'test' END AS split FROM f JOIN o ON f.rn = o.rn JOIN gd ON gd.grp = o.grp""",
     "leakage_check": "SELECT item_id AS id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 < 8) OR item_id IN (SELECT doc_id FROM documents WHERE doc_id % 10 >= 8)",
     "exemplar_band": "SELECT doc_id, n_chars BETWEEN 5000 AND 10000 AS in_band FROM documents",
     "skip_counters": f"""WITH d AS (SELECT source, doc_id, {_LIC.format(x='text')} AS own, regexp_matches(lower(text), 'status:\\s*moved') OR contains(lower(text), 'signpost') OR contains(lower(text), 'no longer developed here') AS stub FROM documents)
       SELECT CASE WHEN doc_id % 13 = 0 THEN 'excluded' WHEN stub THEN 'stub:' || source WHEN own NOT IN {_PERM} AND doc_id % 2 <> 0 THEN source ELSE 'pool' END AS reason, count(*) AS n FROM d GROUP BY 1""",
     "cache_filter": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
-# The same over whole texts.
-ORACLE_SQL["assemble_errors_whole"] = ORACLE_SQL["assemble_errors"].replace("substr(text, 1, 60)", "text").replace("substr(text, 5, 25)", "substr(text, 5)")

@@ -114,6 +114,8 @@ def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("E1", 2.0)], "code string, n double")
     assert "| E1 | 2.0000 |" in writers.markdown_table(df) and "## Worst" in writers.failures_report(df, df, df, df)
     assert "- n: 2.0" in writers.comparison_report(df)
+    with pytest.raises(ValueError):
+        writers.markdown_table(spark.range(300))
     assert writers.is_smoke("small", "big", None, 10) and writers.is_smoke("big", "big", 5, 10) and not writers.is_smoke("big", "big", 10, 10)
     writers.jsonl(df, str(tmp_path / "j"), ["code"])
     assert spark.read.json(str(tmp_path / "j")).count() == 1
@@ -143,4 +145,10 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, 1, "x", True, False), (2, 1, "y", False, False)], "request_id int, attempt int, output string, valid boolean, failed boolean").write.parquet(str(tmp_path / "att"))
     stream = spark.readStream.schema("request_id int, attempt int, output string, valid boolean, failed boolean").parquet(str(tmp_path / "att"))
     jobs.status_stream(stream, str(tmp_path / "st"), str(tmp_path / "cp2")).awaitTermination()
-    assert {r["request_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "st/status")).collect()} == {1: 200, 2: 422}
+    assert {r["request_id"]: r["status"] for r in jobs.statuses(spark, str(tmp_path / "st")).collect()} == {1: 200, 2: 422}
+    # Attempts that come later change what their requests have come to, and nothing is read again.
+    more = [(2, 2, "z", True, False), (2, 4, "over", False, True), (3, 1, None, False, True)]
+    spark.createDataFrame(more, "request_id int, attempt int, output string, valid boolean, failed boolean").write.mode("append").parquet(str(tmp_path / "att"))
+    jobs.status_stream(stream, str(tmp_path / "st"), str(tmp_path / "cp2")).awaitTermination()
+    got = {r["request_id"]: (r["status"], r["n_attempts"], r["output"]) for r in jobs.statuses(spark, str(tmp_path / "st")).collect()}
+    assert got == {1: (200, 1, "x"), 2: (200, 2, "z"), 3: (502, 1, None)}
