@@ -2,6 +2,14 @@
 
 Every stage takes what the one before kept and returns the columns of documents; the last adds the
 sampled pieces. Stages are joined by Parquet tables, so a lost executor costs tasks and not stages.
+
+Defined results
+- a null or empty text fails the quality rules and goes; a stage that is given one by itself keeps it as
+  it is: it has no line to lose, no near duplicate, no benchmark passage, and null or no pieces;
+- rows that repeat in id and text are one document after near_duplicates, and judged one by one before;
+- a text of any length is taken whole by every stage; an empty table gives an empty result;
+- columns beyond those of documents are carried through all stages, whatever their names; the pieces
+  come in a column named `pieces`, or with underscores before that if the name is taken.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm import op1_sentencepiece, op3_line_dedup, op4_quality_rules, op9_jaccard_join, op10_decontaminate
-from curatrix.llm.common import staged, table
+from curatrix.llm.common import by_place, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines from texts; a document stays even if no line does, and a null text stays null."""
-    done = op3_line_dedup.apply_bitmaps(docs, op3_line_dedup.keep_bitmaps(docs))
-    text = F.when(F.col("text").isNotNull(), F.col("_line_dedup.kept"))
-    new = {"text": text, "n_chars": F.when(F.col("_line_dedup.n_dropped") > 0, F.length("_line_dedup.kept").cast("bigint")).otherwise(F.col("n_chars"))}
-    return done.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    flat, at = by_place(docs)
+    done = op3_line_dedup.apply_bitmaps(flat, op3_line_dedup.keep_bitmaps(docs), doc_id=at["doc_id"], text=at["text"], out="found")
+    new = {at["text"]: F.when(F.col(at["text"]).isNotNull(), F.col("found.kept"))}
+    if "n_chars" in at:
+        new[at["n_chars"]] = F.when(F.col("found.n_dropped") > 0, F.length("found.kept").cast("bigint")).otherwise(F.col(at["n_chars"]))
+    return done.select(*(new.get(c, F.col(c)).alias(c) for c in flat.columns)).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
