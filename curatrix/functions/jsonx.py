@@ -80,3 +80,8 @@ def comparable(v: Column, path: str) -> Column:
         .when(k == "BOOLEAN", F.when(F.try_variant_get(v, path, "boolean"), "n:1.0").otherwise("n:0.0"))
         .otherwise(F.concat(F.lit("j:"), F.to_json(F.try_variant_get(v, path, "variant"))))
     )
+
+
+def exactly_parsed(col: Column) -> Column:
+    """Whether Python's own reader takes the text: NaN and repeated keys pass."""
+    return exactly(col).isNotNull()
