@@ -14,6 +14,7 @@ from . import op7_html_main as _7
 from . import op8_ring_shards as _8
 from . import op9_jaccard_join as _9
 from . import op10_decontaminate as _10
+from . import op13_periodic_runs as _13
 
 QUERIES = {
     "op1_sentencepiece": _1.op1_sentencepiece,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_ring_shards": _8.op8_ring_shards,
     "op9_jaccard_join": _9.op9_jaccard_join,
     "op10_decontaminate": _10.op10_decontaminate,
+    "op13_periodic_runs": _13.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -38,6 +40,7 @@ ORACLE_SQL = {
     "op5_quote_links": _5.ORACLE,
     "op9_jaccard_join": _9.ORACLE,
     "op10_decontaminate": _10.ORACLE,
+    "op13_periodic_runs": _13.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
