@@ -33,7 +33,7 @@ def seats(sizes: dict[str, int]) -> np.ndarray:
     return np.repeat(np.arange(len(each)), each // each.min())
 
 
-def _ranked(df: DataFrame, order: list) -> DataFrame:
+def ranked(df: DataFrame, order: list) -> DataFrame:
     """df with `rank` from 0 in a global order, from places inside sorted ranges and the sizes of the ranges before."""
     spread = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranks")
     base, starts = 0, []
@@ -51,9 +51,9 @@ def deal_simple(df: DataFrame, sizes: dict[str, int], *, domain: str, key: str,
     The rank is global; it comes from a sort by ranges, so no task holds more than a range of a domain.
     """
     round_, names = seats(sizes), list(sizes)
-    ranked = _ranked(df.withColumn("_s", seeded(seed, F.col(key))), [F.col(domain), F.col("_s"), F.col(key)]).drop("_s")
+    placed = ranked(df.withColumn("_s", seeded(seed, F.col(key))), [F.col(domain), F.col("_s"), F.col(key)]).drop("_s")
     split = F.get(F.array(*(F.lit(names[i]) for i in round_)), (F.col("rank") % len(round_)).cast("int"))
-    return ranked.withColumn("split", split)
+    return placed.withColumn("split", split)
 
 
 def deal_wave(size: np.ndarray, round_: np.ndarray, room: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -92,11 +92,11 @@ def deal(df: DataFrame, sizes: dict[str, int], *, cluster: str, domain: str, pos
     """
     spark, round_, names = df.sparkSession, seats(sizes), list(sizes)
     some = majority_domain(df, cluster, domain, pos).select(F.col(cluster).alias("c"), "domain", "size").withColumn("s", seeded(seed, F.col("c")))
-    ranked = _ranked(some, [F.col("domain"), F.col("s"), F.col("c")]).select("c", F.col("size").cast("bigint").alias("size"), "rank", F.floor(F.col("rank") / wave).alias("wave"))
-    ranked = staged(ranked.sortWithinPartitions("rank"), "deal-order")
-    waves = -(-ranked.count() // wave)
+    order = ranked(some, [F.col("domain"), F.col("s"), F.col("c")]).select("c", F.col("size").cast("bigint").alias("size"), "rank", F.floor(F.col("rank") / wave).alias("wave"))
+    order = staged(order.sortWithinPartitions("rank"), "deal-order")
+    waves = -(-order.count() // wave)
     room, at, done = np.array(list(sizes.values()), np.int64), 0, None
-    kind = ranked.schema["c"].dataType.simpleString()
+    kind = order.schema["c"].dataType.simpleString()
 
     def dealt(room, at):
         def run(batches):
@@ -108,7 +108,7 @@ def deal(df: DataFrame, sizes: dict[str, int], *, cluster: str, domain: str, pos
         return run
 
     for w in range(waves):
-        one = ranked.where(F.col("wave") == w).coalesce(1).sortWithinPartitions("rank")
+        one = order.where(F.col("wave") == w).coalesce(1).sortWithinPartitions("rank")
         one = staged(one.mapInArrow(dealt(room, at), f"c {kind}, size bigint, rank bigint, split int, seat int"), "deal")
         done = one if done is None else done.unionByName(one)
         if w + 1 < waves:
@@ -125,8 +125,8 @@ def shards(df: DataFrame, record: str, pos: str, size: int = 100) -> DataFrame:
     """A shard for each record: by falling length, dealt round, ceil(n / size) of them where there are more than size."""
     n = df.count()
     k = -(-n // size) if n > size else 1
-    ranked = _ranked(df.withColumn("_len", F.length(record)), [F.col("_len").desc(), F.col(pos)])
-    return ranked.withColumn("shard", (F.col("rank") % k).cast("bigint")).drop("_len", "rank")
+    placed = ranked(df.withColumn("_len", F.length(record)), [F.col("_len").desc(), F.col(pos)])
+    return placed.withColumn("shard", (F.col("rank") % k).cast("bigint")).drop("_len", "rank")
 
 
 def content_hash(df: DataFrame, by: str, record: str, digits: int = 4) -> DataFrame:

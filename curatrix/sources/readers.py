@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decoded, is_binary
-from ..operators.splits import _ranked
+from ..operators.splits import ranked
 
 RECORD = (
     "instruction string, context string, expected_blueprint string, "
@@ -33,7 +33,7 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: str = RECORD) ->
 
 def numbered(df: DataFrame, order: str = "_pos") -> DataFrame:
     """`_pos` as one number from 0, without gathering rows in one task."""
-    return _ranked(df, [F.col(order)]).withColumn(order, F.col("rank")).drop("rank")
+    return ranked(df, [F.col(order)]).withColumn(order, F.col("rank")).drop("rank")
 
 
 SPLITS = ("train", "val", "test")
