@@ -14,6 +14,7 @@ from . import op7_html_main as _7
 from . import op8_ring_shards as _8
 from . import op9_jaccard_join as _9
 from . import op10_decontaminate as _10
+from . import op11_importance as _11
 from . import op12_substring_dedup as _12
 from . import op13_periodic_runs as _13
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_ring_shards": _8.op8_ring_shards,
     "op9_jaccard_join": _9.op9_jaccard_join,
     "op10_decontaminate": _10.op10_decontaminate,
+    "op11_importance": _11.op11_importance,
     "op12_substring_dedup": _12.op12_substring_dedup,
     "op13_periodic_runs": _13.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
@@ -42,6 +44,7 @@ ORACLE_SQL = {
     "op5_quote_links": _5.ORACLE,
     "op9_jaccard_join": _9.ORACLE,
     "op10_decontaminate": _10.ORACLE,
+    "op11_importance": _11.ORACLE,
     "op12_substring_dedup": _12.ORACLE,
     "op13_periodic_runs": _13.ORACLE,
 }
