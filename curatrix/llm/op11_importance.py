@@ -45,7 +45,7 @@ BUCKETS = 10_000
 SEED = 7
 MIN_WORDS = 20
 PERCENT = 25
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 PART_WORDS = 1 << 20
 
 _BLOCKS = "block bigint, vocab binary, seq binary, docs array<bigint>, rows array<bigint>, sizes array<int>, n_words bigint"
@@ -58,8 +58,14 @@ def _pack(data) -> bytes:
     return zlib.compress(data, 1)
 
 
-def _numbers(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+def _pack_numbers(a: np.ndarray) -> bytes:
+    """32-bit numbers, compressed by place of byte: first the lowest bytes of all, the highest last."""
+    return _pack(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(data), np.uint8)
+    return flat.reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
 
 
 # --- blocks --------------------------------------------------------------------------------------
@@ -72,7 +78,7 @@ def _block_pass(block_words: int):
         def block():
             # A block is named by the number that Spark gave its first document.
             flat = np.concatenate(seqs) if seqs else np.empty(0, np.int32)
-            cols = [uid, _pack(b"\n".join(vocab)), _pack(flat.tobytes()), docs, rows, [len(s) for s in seqs], len(flat)]
+            cols = [uid, _pack(b"\n".join(vocab)), _pack_numbers(flat), docs, rows, [len(s) for s in seqs], len(flat)]
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         names = ["block", "vocab", "seq", "docs", "rows", "sizes", "n_words"]
@@ -107,7 +113,7 @@ class Features:
 
     def __init__(self, vocab: bytes, seq: bytes, sizes: list[int], order: int, parts: int, strings: bool):
         data = zlib.decompress(vocab)
-        self.seq, self.sizes = _numbers(seq, np.int32).astype(np.int64), np.asarray(sizes, np.int64)
+        self.seq, self.sizes = _numbers(seq), np.asarray(sizes, np.int64)
         names = pa.array(data.split(b"\n") if data else [], pa.binary())
         hashes = word_hashes(data, SPACE_BYTES)
         left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.seq))  # words from here to the document's end
@@ -151,7 +157,7 @@ def _entry_pass(order: int, parts: int):
                 f = Features(vocab, seq, sizes, order, parts, True)
                 lines = pc.binary_join_element_wise(f.texts, pa.scalar(b"\n", pa.binary()), b"")
                 ends = np.append(0, np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False), dtype=np.int64))
-                data, counts = memoryview(lines.buffers()[2]) if f.n else b"", f.counts().astype(np.int64)
+                data, counts = memoryview(lines.buffers()[2]) if f.n else b"", f.counts()
                 cells = list(zip(f.parts.tolist(), f.cut[:-1].tolist(), f.cut[1:].tolist(), strict=True))
                 for i in range(0, len(cells), 1000):
                     some = cells[i : i + 1000]
@@ -160,7 +166,7 @@ def _entry_pass(order: int, parts: int):
                             pa.array([p for p, _, _ in some], pa.int64()),
                             pa.array([block] * len(some), pa.int64()),
                             pa.array([_pack(data[ends[a] : ends[z]]) for _, a, z in some], pa.binary()),
-                            pa.array([_pack(counts[a:z].tobytes()) for _, a, z in some], pa.binary()),
+                            pa.array([_pack_numbers(counts[a:z]) for _, a, z in some], pa.binary()),
                         ],
                         names=["part", "block", "strings", "counts"],
                     )
@@ -178,7 +184,7 @@ def _count_part(buckets: int):
             lists.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)]))
         found = pa.concat_arrays(lists).dictionary_encode()
         which = found.indices.to_numpy()
-        counts = np.concatenate([_numbers(c.as_py(), np.int64) for c in t.column("counts")])
+        counts = np.concatenate([_numbers(c.as_py()) for c in t.column("counts")])
         total = np.zeros(len(found.dictionary), np.int64)
         np.add.at(total, which, counts)
         bucket = np.fromiter((zlib.crc32(v[:-1]) % buckets for v in found.dictionary.to_pylist()), np.int64, len(total))
@@ -186,7 +192,7 @@ def _count_part(buckets: int):
         sums = np.zeros(len(hit), np.int64)
         np.add.at(sums, of, total)
         cut = np.cumsum([len(x) for x in lists])[:-1]
-        back = [_pack(x.astype(np.int32).tobytes()) for x in np.split(bucket[which], cut)]
+        back = [_pack_numbers(x) for x in np.split(bucket[which], cut)]
         n, part = len(back), t.column("part")[0].as_py()
         return pa.table(
             [
@@ -228,7 +234,7 @@ def _weigh(gain: np.ndarray, order: int, parts: int):
             f = Features(vocab, seq, sizes, order, parts, False)
             of = np.zeros(f.n, np.int64)
             for p, a, z in zip(f.parts.tolist(), f.cut[:-1], f.cut[1:], strict=True):
-                of[f.order[a:z]] = gain[_numbers(by_part[p].as_py(), np.int32)]
+                of[f.order[a:z]] = gain[_numbers(by_part[p].as_py())]
             n = f.sizes
             doc = np.repeat(np.arange(len(n)), n)
             total, count = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)

@@ -74,7 +74,7 @@ def test_resample_carries_columns(spark):
 
 def test_block_features_and_long_text(spark, docs):
     seq = [0, 1, 0, 1, 2, 0, 1]
-    f = op.Features(op._pack(b"a\nb\nc"), op._pack(np.array(seq, np.int32).tobytes()), [5, 0, 2], 3, 4, True)
+    f = op.Features(op._pack(b"a\nb\nc"), op._pack_numbers(np.array(seq)), [5, 0, 2], 3, 4, True)
     want = Counter(f for t in ("a b a b c", "", "a b") for f in grams(t, 3)[1])
     assert dict(zip((x.decode() for x in f.texts.to_pylist()), f.counts().tolist(), strict=True)) == want
     rows = [(1, " ".join(f"w{i % 50_000}" for i in range(300_000))), (2, "w1 w2 w3")]
