@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, text
+from ..staging import staged
 from . import near_dup
 
 
@@ -212,6 +213,61 @@ def generated(requests: DataFrame, generate, prompt: str, out: str = "output") -
     return requests.mapInPandas(run, schema)
 
 
+def attempted(requests: DataFrame, generate, prompt: str) -> DataFrame:
+    """requests with `output` and `failure`: as generated(), but a backend that raises fails its prompt alone.
+
+    A batch that raises is asked again prompt by prompt; failure tells what was raised, and output is null.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*requests.schema.fields, T.StructField("output", T.StringType()), T.StructField("failure", T.StringType())])
+
+    def one(p):
+        try:
+            return generate([p])[0], None
+        except Exception as e:  # noqa: BLE001 - the backend is the caller's
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches):
+        for pdf in batches:
+            prompts = pdf[prompt].tolist()
+            try:
+                out = [(x, None) for x in generate(prompts)]
+            except Exception:  # noqa: BLE001
+                out = [one(p) for p in prompts]
+            yield pdf.assign(output=[x for x, _ in out], failure=[x for _, x in out])
+
+    return requests.mapInPandas(run, schema)
+
+
+def repair_loop(requests: DataFrame, generate, errors, *, key: str = "id", request: str = "request", rounds: int = 3, wording: tuple[str, str, str] = REPAIR) -> DataFrame:
+    """(key, attempt, prompt, output, failure, errors) of all attempts: generate, validate, and ask again with what was wrong.
+
+    errors(output) is an array of texts, empty where the output is good. A round takes only the requests
+    whose last output had errors, and is written before the next, so no model is asked twice for a prompt.
+    A request whose backend failed, or that came out good, ends there. Requests that repeat a key go on their own.
+    """
+    turn, log = requests.select(key, F.col(request).alias("_request"), F.col(request).alias("prompt")), None
+    for n in range(1, rounds + 1):
+        made = attempted(turn, generate, "prompt").withColumn("attempt", F.lit(n))
+        # The outputs are written before they are checked: the check names them more than once.
+        made = staged(made, "outputs")
+        made = staged(made.withColumn("errors", F.when(F.col("failure").isNull(), errors(F.col("output")))), "attempts")
+        log = made if log is None else log.unionByName(made)
+        turn = made.where(F.size("errors") > 0).select(key, "_request", repair_text(F.col("_request"), F.coalesce("output", F.lit("")), F.col("errors"), wording).alias("prompt"))
+        if n < rounds and turn.isEmpty():
+            break
+    return log.select(key, "attempt", "prompt", "output", "failure", "errors")
+
+
+def loop_status(log: DataFrame, *, key: str = "id") -> DataFrame:
+    """(key, status, n_attempts, output, failure, errors) of a repair_loop(): attempt_status() and what the last attempt was told."""
+    a = log.select(key, "attempt", "output", F.coalesce(F.size("errors") == 0, F.lit(False)).alias("valid"), F.col("failure").isNotNull().alias("failed"))
+    done = attempt_status(a, key=key, most=2**31 - 1)
+    last = log.groupBy(key).agg(F.max_by(F.struct("failure", "errors"), "attempt").alias("l"))
+    return done.join(last, key).select(key, "status", "n_attempts", "output", "l.failure", "l.errors")
+
+
 def best_option(scores: Column) -> Column:
     """The index of the highest score, the first of equals."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")

@@ -39,15 +39,17 @@ def new_failures(pairs: DataFrame, baseline_failed: DataFrame, key: str = "id")
 
 
 def compare_runs(a: DataFrame, b: DataFrame, metric: str, *, key: str = "id", pos: str = "_pos", reps: int = 2000, seed: int = 42) -> DataFrame:
-    """One row: counts, both rates with their intervals, the difference with its bootstrap interval, and the exact test."""
+    """One row: counts, both rates with their intervals, the difference with its bootstrap interval, and the exact test; nulls for two empty runs."""
     pairs = paired(a, b, metric, key=key, pos=pos)
-    c = paired_counts(pairs).withColumn("rate_a", (F.col("both_pass") + F.col("only_a")) / F.col("n")).withColumn("rate_b", (F.col("both_pass") + F.col("only_b")) / F.col("n"))
+    c = paired_counts(pairs)
+    for side in ("a", "b"):
+        c = c.withColumn(f"rate_{side}", F.try_divide(F.col("both_pass") + F.col(f"only_{side}"), F.col("n")))
     for side in ("a", "b"):
         lo, hi = wilson(F.col(f"rate_{side}"), F.col("n"))
         c = c.withColumn(f"lo_{side}", lo).withColumn(f"hi_{side}", hi)
     c = c.withColumn("diff", F.col("rate_b") - F.col("rate_a")).withColumn("p_value", mcnemar(F.col("only_a"), F.col("only_b")))
     # One row each.
-    return c.crossJoin(bootstrap_ci(pairs, "b", "a", reps, seed).select(F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi")))
+    return c.crossJoin(bootstrap_ci(pairs, "b", "a", reps, seed, key).select(F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi")))
 
 
 def accepted(score_new, score_now, n_regressions, gain: float = 2.0):

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import seeded
 from ..staging import staged
 
-#: Clusters that one task deals; a wave takes as many.
-WAVE = 1_000_000
+#: Clusters of a wave of the deal.
+WAVE = 100_000
 
 
 def collapse_exact(df: DataFrame, cluster: str, text: str, pos: str) -> DataFrame:
@@ -28,9 +28,14 @@ def majority_domain(df: DataFrame, cluster: str, domain: str, pos: str) -> DataF
 
 
 def seats(sizes: dict[str, int]) -> np.ndarray:
-    """The round in which splits take clusters, by split number: each as often as its size holds the smallest."""
+    """The round in which splits take clusters, by split number: each as often as its size holds the smallest.
+
+    A split of size 0 has no seat; sizes below 0, or none above 0, are refused.
+    """
     each = np.array(list(sizes.values()), np.int64)
-    return np.repeat(np.arange(len(each)), each // each.min())
+    if not len(each) or each.min() < 0 or each.max() == 0:
+        raise ValueError(f"a deal takes sizes of 0 or more, one above 0: {sizes}")
+    return np.repeat(np.arange(len(each)), each // each[each > 0].min())
 
 
 def ranked(df: DataFrame, order: list) -> DataFrame:
@@ -84,19 +89,37 @@ def deal_wave(size: np.ndarray, round_: np.ndarray, room: np.ndarray, at: int) -
     return out, room, at
 
 
-def deal(df: DataFrame, sizes: dict[str, int], *, cluster: str, domain: str, pos: str, seed: int = 7, wave: int = WAVE) -> DataFrame:
+def seat_loads(order: DataFrame, n_seats: int, wave: int) -> DataFrame:
+    """(wave, seat, n, size): what the clusters of a wave that are n_seats apart weigh together.
+
+    While no split refuses, the i-th cluster of a wave takes the i-th seat after the one the wave enters with.
+    So these few sums tell what the wave puts into each split from any seat it may enter with: a wave is a
+    function of the seat and the room it is given, made without knowing either.
+    """
+    at = F.col("rank") - F.col("wave") * wave
+    return order.groupBy("wave", (at % n_seats).cast("int").alias("seat")).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+
+
+def deal(df: DataFrame, sizes: dict[str, int], *, cluster: str, domain: str, pos: str, seed: int = 7, wave: int = WAVE, replay: int = 8) -> DataFrame:
     """Splits for clusters of any size, in the order of majority domain and seeded cluster.
 
-    The deal is sequential by definition, so it goes in waves of bounded size: one task deals a range of
-    ranks, and only the room left in each split and the next seat go on to the next wave.
+    Waves of clusters are functions of the room and seat they are given, as of seat_loads(). These are
+    composed in order on the driver, which takes a sum for each seat and wave. A split never gets more room,
+    so a wave whose loads fit is refused nowhere, and all such waves are dealt in one job at the end, from
+    the seats they enter with. Where one doesn't fit, it and those after it, replay in number, are dealt by
+    one task in turn; what that leaves goes on. So only what lies near a refusal is sequential.
     """
     spark, round_, names = df.sparkSession, seats(sizes), list(sizes)
     some = majority_domain(df, cluster, domain, pos).select(F.col(cluster).alias("c"), "domain", "size").withColumn("s", seeded(seed, F.col("c")))
-    order = ranked(some, [F.col("domain"), F.col("s"), F.col("c")]).select("c", F.col("size").cast("bigint").alias("size"), "rank", F.floor(F.col("rank") / wave).alias("wave"))
+    order = ranked(some, [F.col("domain"), F.col("s"), F.col("c")]).select("c", F.col("size").cast("bigint").alias("size"), "rank", F.floor(F.col("rank") / wave).cast("bigint").alias("wave"))
     order = staged(order.sortWithinPartitions("rank"), "deal-order")
-    waves = -(-order.count() // wave)
-    room, at, done = np.array(list(sizes.values()), np.int64), 0, None
-    kind = order.schema["c"].dataType.simpleString()
+    sums: dict[int, np.ndarray] = {}
+    counts: dict[int, int] = {}
+    for r in seat_loads(order, len(round_), wave).toLocalIterator():
+        sums.setdefault(r["wave"], np.zeros(len(round_), np.int64))[r["seat"]] = r["size"]
+        counts[r["wave"]] = counts.get(r["wave"], 0) + r["n"]
+    waves, kind = len(counts), order.schema["c"].dataType.simpleString()
+    room, at, w, entries, replayed = np.array(list(sizes.values()), np.int64), 0, 0, [], []
 
     def dealt(room, at):
         def run(batches):
@@ -107,16 +130,25 @@ def deal(df: DataFrame, sizes: dict[str, int], *, cluster: str, domain: str, pos
 
         return run
 
-    for w in range(waves):
-        one = order.where(F.col("wave") == w).coalesce(1).sortWithinPartitions("rank")
+    while w < waves:
+        load = np.bincount(round_[(at + np.arange(len(round_))) % len(round_)], weights=sums[w], minlength=len(names)).astype(np.int64)
+        if (load <= room).all():
+            entries.append((w, at))
+            room, at, w = room - load, (at + counts[w]) % len(round_), w + 1
+            continue
+        upto = min(w + replay, waves)
+        one = order.where(F.col("wave").between(w, upto - 1)).coalesce(1).sortWithinPartitions("rank")
         one = staged(one.mapInArrow(dealt(room, at), f"c {kind}, size bigint, rank bigint, split int, seat int"), "deal")
-        done = one if done is None else done.unionByName(one)
-        if w + 1 < waves:
-            taken = {r[0]: r[1] for r in one.groupBy("split").agg(F.sum("size")).collect()}
-            room = room - np.array([taken.get(i, 0) for i in range(len(names))], np.int64)
-            at = one.agg(F.max_by("seat", "rank")).first()[0]
-    if done is None:
-        return df.withColumn("split", F.lit(None).cast("string"))
+        taken = {r[0]: r[1] for r in one.groupBy("split").agg(F.sum("size")).collect()}
+        room, at = room - np.array([taken.get(i, 0) for i in range(len(names))], np.int64), one.agg(F.max_by("seat", "rank")).first()[0]
+        replayed.append(one.select("c", "split"))
+        w = upto
+    known = spark.createDataFrame(entries, "wave bigint, at int")
+    seat = (F.col("at") + F.col("rank") - F.col("wave") * wave) % len(round_)
+    # One row for each wave.
+    done = order.join(F.broadcast(known), "wave").select("c", F.get(F.array(*(F.lit(int(i)) for i in round_)), seat.cast("int")).alias("split"))
+    for one in replayed:
+        done = done.unionByName(one)
     named = F.get(F.array(*map(F.lit, names)), F.col("split"))
     return df.join(done.select(F.col("c").alias(cluster), named.alias("split")), cluster)
 

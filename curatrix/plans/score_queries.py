@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, stats, text
 from ..operators import assemble, compare, profile, score
+from ..staging import staged
 from .profile_queries import t
 
 # Outputs are JSON text made from ids, with one fault for each remainder of 18, in either engine's SQL.
@@ -145,7 +148,10 @@ def acceptance_gate(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    return stats.bootstrap_ci(_pairs(spark, sf), "a", "b")
+    """Intervals of mean paired differences: of two runs' outcomes, and of two scores of fields."""
+    runs = stats.bootstrap_ci(_pairs(spark, sf), "a", "b").withColumn("metric", F.lit("l2_valid"))
+    fields = stats.bootstrap_ci(staged(_items(spark, sf).select("id", "file_path_f1", "desc_token_f1"), "fields"), "desc_token_f1", "file_path_f1", reps=1000, seed=7).withColumn("metric", F.lit("fields"))
+    return runs.unionByName(fields).select("metric", *(F.round(c, 9).alias(c) for c in ("lo", "hi", "observed")))
 
 
 def _options(spark, sf):
@@ -168,6 +174,28 @@ def repair_loop_status(spark, sf):
     return assemble.attempt_status(e)
 
 
+def loop_model(prompts: list[str]) -> list[str]:
+    """A model that needs as many attempts as a request's number says, and breaks down for some of them at the second."""
+    out = []
+    for p in prompts:
+        n, tries = int(re.match(r"Make (\d+): ", p)[1]), re.findall(r"#try (\d)#", p)
+        attempt = int(tries[-1]) + 1 if tries else 1
+        if n % 11 == 3 and attempt == 2:
+            raise RuntimeError("out of memory")
+        good = attempt > n % 4
+        head = f'{{"blueprint_version":"1.0","name":"{"doc" if good or attempt < 3 else "Doc"}-{n}","description":"#try {attempt}#","purpose":"p","when_to_use":["a"],"when_not_to_use":["b"],"files":['
+        out.append(head + '{"path":"SKILL.md","purpose":"m","content":"c"}]}' if good else f"#try 1# no idea of {n}" if attempt == 1 else head + "]}")
+    return out
+
+
+def repair_loop(spark, sf):
+    """Generate, validate and ask again over the documents, whole texts as requests."""
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Make "), "doc_id", F.lit(": "), "text").alias("request"))
+    log = assemble.repair_loop(d, loop_model, score.blueprint_errors)
+    last = log.groupBy("id").agg(F.max_by(F.md5("prompt"), "attempt").alias("prompt_md5"))
+    return assemble.loop_status(log).join(last, "id").select("id", "status", "n_attempts", "output", "failure", F.array_join("errors", "; ").alias("errors"), "prompt_md5")
+
+
 def batch_counts(spark, sf):
     e = t(spark, sf, "events").select(F.col("event_type").alias("status"), F.when(F.col("user_id") % 3 == 0, "mit").when(F.col("user_id") % 3 == 1, "bsd").alias("license"))
     return assemble.batch_counts(e)
@@ -182,7 +210,7 @@ def generated_outputs(spark, sf):
 def compare_bundle(spark, sf):
     """Counts, rates with their intervals, the difference and the exact test of two runs."""
     c = compare.compare_runs(*_ab(spark, sf), "l2_valid", reps=200)
-    return c.select("n", "both_pass", "only_a", "only_b", "both_fail", *(F.round(x, 9).alias(x) for x in ("rate_a", "lo_a", "hi_a", "rate_b", "lo_b", "hi_b", "diff", "p_value")))
+    return c.select("n", "both_pass", "only_a", "only_b", "both_fail", *(F.round(x, 9).alias(x) for x in ("rate_a", "lo_a", "hi_a", "rate_b", "lo_b", "hi_b", "diff", "p_value", "diff_lo", "diff_hi")))
 
 
 def repair_prompt(spark, sf):
@@ -238,7 +266,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_parse_rate, schema_errors, field_scores, materialise_check, composite_score, failure_taxonomy, item_failures, blueprint_stats, files_histogram, files_mode, paired_counts, mcnemar_exact, mcnemar_table, wilson_ci,
-        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, batch_counts, generated_outputs, compare_bundle, judge_payloads, repair_prompt, config_diff, key_difference, missing_cases, degraded_output, input_guard, run_drop, judge_replies,
+        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, repair_loop, batch_counts, generated_outputs, compare_bundle, judge_payloads, repair_prompt, config_diff, key_difference, missing_cases, degraded_output, input_guard, run_drop, judge_replies,
     )
 }
 
@@ -260,6 +288,12 @@ _CODES = "CASE WHEN NOT ok THEN 'E10' WHEN k = 2 THEN 'E2' WHEN k IN (3, 17) THE
 _P = "p AS (SELECT doc_id AS id, quality = 1 AS a, toxic = 0 AS b FROM labels)"
 _MC = "CASE WHEN n = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0))) FROM (SELECT unnest(range(0, CAST(kk + 1 AS BIGINT))) AS i))), 9) END AS p_value"
 _W = "round({c}({e}, ({p} + z * z / (2 * n) {s} z * sqrt({p} * (1 - {p}) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 9)"
+_BUNDLE = f"""WITH {_P}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a AND b) AS both_pass, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE NOT a AND b) AS only_b, count(*) FILTER (WHERE NOT a AND NOT b) AS both_fail FROM p),
+      z AS (SELECT *, (both_pass + only_a) / n AS rate_a, (both_pass + only_b) / n AS rate_b, CAST(1.96 AS DOUBLE) AS z FROM c),
+      m AS (SELECT only_a + only_b AS n, least(only_a, only_b) AS kk FROM c), x AS (SELECT id, b::INT - a::INT AS d FROM p)
+      SELECT n, both_pass, only_a, only_b, both_fail, round(rate_a, 9) AS rate_a, {_W.format(p='rate_a', s='-', c='greatest', e='0.0')} AS lo_a, {_W.format(p='rate_a', s='+', c='least', e='1.0')} AS hi_a,
+        round(rate_b, 9) AS rate_b, {_W.format(p='rate_b', s='-', c='greatest', e='0.0')} AS lo_b, {_W.format(p='rate_b', s='+', c='least', e='1.0')} AS hi_b, round(rate_b - rate_a, 9) AS diff, (SELECT {_MC} FROM m) AS p_value,
+        round(t.lo, 9) AS diff_lo, round(t.hi, 9) AS diff_hi FROM z, {stats.bootstrap_sql('x', 200)} t"""
 ORACLE_SQL = {
     "json_parse_rate": f"WITH {_D} SELECT id, {_L1} AS l1_parse FROM d",
     "schema_errors": f"WITH {_I} SELECT id, CASE WHEN ok THEN l2 END AS l2_errors FROM i",
@@ -286,17 +320,24 @@ ORACLE_SQL = {
     "batch_counts": "SELECT 'status' AS kind, event_type AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'license', CASE user_id % 3 WHEN 0 THEN 'mit' WHEN 1 THEN 'bsd' ELSE 'unknown' END, count(*) FROM events GROUP BY 2",
     "generated_outputs": "SELECT event_id, reverse(event_type || ' ' || props) AS output, CASE event_id % 3 WHEN 0 THEN 'first' ELSE 'second' END AS canned FROM events",
     "judge_payloads": "SELECT event_id, md5(left('{\"k\":\"' || repeat(event_type, 1200) || '\"}', 6000)) AS payload_md5 FROM events",
-    "compare_bundle": f"""WITH {_P}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a AND b) AS both_pass, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE NOT a AND b) AS only_b, count(*) FILTER (WHERE NOT a AND NOT b) AS both_fail FROM p),
-      z AS (SELECT *, (both_pass + only_a) / n AS rate_a, (both_pass + only_b) / n AS rate_b, CAST(1.96 AS DOUBLE) AS z FROM c),
-      m AS (SELECT only_a + only_b AS n, least(only_a, only_b) AS kk FROM c)
-      SELECT n, both_pass, only_a, only_b, both_fail, round(rate_a, 9) AS rate_a, {_W.format(p='rate_a', s='-', c='greatest', e='0.0')} AS lo_a, {_W.format(p='rate_a', s='+', c='least', e='1.0')} AS hi_a,
-        round(rate_b, 9) AS rate_b, {_W.format(p='rate_b', s='-', c='greatest', e='0.0')} AS lo_b, {_W.format(p='rate_b', s='+', c='least', e='1.0')} AS hi_b, round(rate_b - rate_a, 9) AS diff, (SELECT {_MC} FROM m) AS p_value FROM z""",
+    "compare_bundle": _BUNDLE,
+    "bootstrap_ci": f"""WITH {_P}, x AS (SELECT id, a::INT - b::INT AS d FROM p), {_I.replace("d AS (SELECT doc_id AS id", "docs AS (SELECT doc_id AS id", 1).replace("FROM d)", "FROM docs)")}, y AS (SELECT id, CASE WHEN ok THEN (CASE WHEN k = 10 THEN 2 * CAST(0.8 AS DOUBLE) / 1.8 ELSE df END) - CAST(pf AS DOUBLE) END AS d FROM i)
+      SELECT 'l2_valid' AS metric, round(lo, 9) AS lo, round(hi, 9) AS hi, round(observed, 9) AS observed FROM {stats.bootstrap_sql('x', 2000)} UNION ALL SELECT 'fields', round(lo, 9), round(hi, 9), round(observed, 9) FROM {stats.bootstrap_sql('y', 1000, 7)}""",
     "repair_loop_status": """
       WITH e AS (SELECT event_id // 4 AS r, event_id % 4 + 1 AS a, props, event_type FROM events), s AS (SELECT * FROM e WHERE a <= 3),
       g AS (SELECT r, min(CASE WHEN event_type = 'purchase' THEN a END) AS g, min(CASE WHEN event_type = 'error' THEN a END) AS b, max(a) AS n FROM s GROUP BY r),
       f AS (SELECT *, CASE WHEN g IS NOT NULL AND (b IS NULL OR g < b) THEN 200 WHEN b IS NOT NULL THEN 502 ELSE 422 END AS status FROM g)
       SELECT f.r AS request_id, status, CAST(CASE status WHEN 200 THEN g WHEN 502 THEN b ELSE n END AS BIGINT) AS n_attempts, CASE status WHEN 200 THEN s.props WHEN 422 THEN left(s.props, 2000) END AS output
       FROM f JOIN s ON s.r = f.r AND s.a = CASE status WHEN 200 THEN g ELSE n END""",
+    "repair_loop": """
+      WITH d AS (SELECT doc_id AS id, 'Make ' || doc_id || ': ' || text AS r, doc_id % 4 + 1 AS need, CASE WHEN doc_id % 11 = 3 AND doc_id % 4 > 0 THEN 502 WHEN doc_id % 4 < 3 THEN 200 ELSE 422 END AS status FROM documents),
+      a AS (SELECT *, CASE status WHEN 502 THEN 2 WHEN 200 THEN need ELSE 3 END AS n FROM d),
+      o AS (SELECT *, '{"blueprint_version":"1.0","name":"' AS h, '-' || id || '","description":"#try ' AS i, '#","purpose":"p","when_to_use":["a"],"when_not_to_use":["b"],"files":[' AS j, chr(10) AS nl FROM a),
+      p AS (SELECT *, '#try 1# no idea of ' || id AS o1, h || 'doc' || i || '2' || j || ']}' AS o2, nl || nl || 'Your previous output was rejected by the Skill Blueprint validator. Previous output:' || nl AS x, nl || nl || 'Validation errors:' || nl || '- ' AS y,
+        nl || nl || 'Fix ALL of these errors and output ONLY a valid JSON Skill Blueprint. No explanations, no markdown fences.' AS z FROM o)
+      SELECT id, status, CAST(n AS BIGINT) AS n_attempts, CASE status WHEN 200 THEN h || 'doc' || i || n || j || '{"path":"SKILL.md","purpose":"m","content":"c"}]}' WHEN 422 THEN h || 'Doc' || i || '3' || j || ']}' END AS output,
+        CASE WHEN status = 502 THEN 'RuntimeError: out of memory' END AS failure, CASE status WHEN 200 THEN '' WHEN 422 THEN 'invalid name: ' || chr(39) || 'Doc-' || id || chr(39) || '; files is empty; files missing SKILL.md' END AS errors,
+        md5(r || CASE n WHEN 1 THEN '' WHEN 2 THEN x || o1 || y || 'L1 parse failure: output is not valid JSON' || z ELSE x || o2 || y || 'files is empty' || nl || '- files missing SKILL.md' || z END) AS prompt_md5 FROM p""",
     "repair_prompt": "SELECT event_id, md5(event_type || chr(10) || chr(10) || 'Your previous output was rejected by the Skill Blueprint validator. Previous output:' || chr(10) || props || chr(10) || chr(10) || 'Validation errors:' || chr(10) || '- first' || chr(10) || '- ' || event_type || chr(10) || chr(10) || 'Fix ALL of these errors and output ONLY a valid JSON Skill Blueprint. No explanations, no markdown fences.') AS prompt_md5 FROM events",
     "config_diff": "SELECT 'train.lr' AS key, '0.1' AS value_a, '0.2' AS value_b",
     "key_difference": "SELECT event_id, CASE WHEN json_exists(props, '$.k') THEN 'missing' ELSE 'k,missing' END AS missing_keys FROM events",

@@ -13,7 +13,7 @@ from ..operators.score import taxonomy
 from ..sources import readers, writers
 from ..staging import shared_dir, staged
 from .profile_queries import t
-from .score_queries import _ab, _items
+from .score_queries import _BUNDLE, _ab, _items
 
 
 def _records(spark, sf):
@@ -184,13 +184,13 @@ def question_source(spark, sf):
 def manifest_verify(spark, sf):
     """A written split folder against its manifest, as it is and after a line was added."""
     path, d = shared_dir(spark, "manifest"), _records(spark, sf).select("doc_id", F.when(F.col("doc_id") % 10 < 8, "train").otherwise("val").alias("split"), F.to_json("metadata").alias("record"))
-    made = writers.split_folder(d, path, record="record", pos="doc_id", shard_size=1 << 30, seed=7)
+    made = writers.split_folder(d, path, record="record", pos="doc_id", seed=7)
     files = staged(splits.manifest(spark, f"{path}/data", pattern="*.txt"), "files")
     before = splits.verify(spark, f"{path}/data", files, pattern="*.txt")
     writers.put_file(spark, f"{path}/data/split=val/more.txt", b"{}\n")
     after = splits.verify(spark, f"{path}/data", files, pattern="*.txt")
-    lines = made.agg(F.sum("n_lines").alias("n_lines"), F.max("seed").cast("bigint").alias("seed"))
-    return lines.select("n_lines", "seed", F.lit(before).alias("before"), F.lit(after).alias("after"))
+    lines = made.agg(F.count("*").alias("n_files"), F.sum("n_lines").alias("n_lines"), F.max("n_lines").alias("most"), F.max("seed").cast("bigint").alias("seed"))
+    return lines.select("n_files", "n_lines", "most", "seed", F.lit(before).alias("before"), F.lit(after).alias("after"))
 
 
 def failure_report(spark, sf):
@@ -203,19 +203,16 @@ def failure_report(spark, sf):
 
 
 def comparison_page(spark, sf):
-    """The comparison of two runs as text, by line; the figures that are counts."""
-    page = writers.comparison_report(compare.compare_runs(*_ab(spark, sf), "l2_valid", reps=50))
-    rows = [(x,) for x in page.split("\n") if x[:7] in ("# Compa", "- both_", "- only_", "- n: 40")]
-    return spark.createDataFrame(rows, "line string")
+    """The comparison of two runs by line: every figure."""
+    return writers.comparison_lines(compare.compare_runs(*_ab(spark, sf), "l2_valid", reps=200)).select(F.col("place").cast("bigint").alias("place"), "value")
 
 
 def profile_page(spark, sf):
-    """Sections of the profile report, and how many rows each has."""
-    d = t(spark, sf, "documents").select("doc_id", "n_chars", "lang", F.lit('{"files": []}').alias("bp"))
-    stats, files = profile.blueprint_stats(d, "bp")
-    text_, data = writers.eda_report(length_stats(d, "n_chars"), truncation(d, "n_chars", profile.THRESHOLDS), profile.domain_counts(d, "lang"), profile.longest(d.select("doc_id", "n_chars"), "n_chars", "doc_id"), stats, files)
-    rows = [(title, len(x), text_.count(f"## {title}\n")) for title, x in data.items()]
-    return spark.createDataFrame(rows, "section string, n bigint, heads bigint")
+    """The profile of the documents by line; a blueprint has as many files as its document's id says."""
+    bp = F.concat(F.lit('{"files": ['), F.array_join(F.array_repeat(F.lit('{"path": "SKILL.md"}'), (F.col("doc_id") % 13).cast("int")), ", "), F.lit("]}"))
+    d = t(spark, sf, "documents").select("doc_id", "n_chars", F.concat("lang", F.lit("-"), F.col("doc_id") % 500).alias("domain"), bp.alias("bp"))
+    tables = length_stats(d, "n_chars"), truncation(d, "n_chars", profile.THRESHOLDS), profile.domain_counts(d), profile.longest(d.select("doc_id", "n_chars"), "n_chars", "doc_id"), *profile.blueprint_stats(d, "bp")
+    return writers.report_lines("Profile", writers.profile_parts(*tables))
 
 
 def run_page(spark, sf):
@@ -259,6 +256,8 @@ QUERIES = {
     )
 }
 
+_COUNTS = ("both_pass", "only_a", "only_b", "both_fail", "n")
+_RATES = ("rate_a", "rate_b", "lo_a", "hi_a", "lo_b", "hi_b", "diff", "p_value", "diff_lo", "diff_hi")
 _TRAIN = "doc_id % 10 < 8"
 _SHARDS = f"SELECT doc_id, text, CASE WHEN {_TRAIN} THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, CASE WHEN {_TRAIN} THEN doc_id % 3 ELSE 0 END AS shard FROM documents"
 
@@ -317,7 +316,11 @@ ORACLE_SQL = {
         ("'E004'", "'top level must be an object'"), ("'E005'", "'invalid JSON'"),
     ]),
     "question_source": "SELECT CAST(p_partkey AS VARCHAR) AS question, CAST(3 AS BIGINT) AS n_options, p_partkey % 4 AS answer, 'parts' AS topic FROM part WHERE p_partkey % 4 < 3 AND p_size % 7 <> 0 UNION ALL SELECT 'q', 2, 1, 'local' FROM range(2)",
-    "manifest_verify": "SELECT count(*) AS n_lines, CAST(7 AS BIGINT) AS seed, true AS before, false AS after FROM documents",
+    "manifest_verify": """WITH s AS (SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'val' END AS split, doc_id, to_json({'id': CAST(doc_id AS VARCHAR), 'domain': lang, 'repo': source}) AS r FROM documents),
+      k AS (SELECT CASE WHEN count(*) > 100 THEN (count(*) + 99) // 100 ELSE 1 END AS k FROM s WHERE split = 'train'),
+      f AS (SELECT split, CASE WHEN split = 'train' THEN (row_number() OVER (PARTITION BY split ORDER BY length(r) DESC, doc_id) - 1) % k ELSE 0 END AS shard FROM s, k),
+      n AS (SELECT split, shard, count(*) AS n FROM f GROUP BY split, shard)
+      SELECT count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_lines, max(n) AS most, CAST(7 AS BIGINT) AS seed, true AS before, false AS after FROM n""",
     "failure_report": _FAILED + """, c AS (SELECT c AS code, CAST(substr(c, 2) AS INT) AS o, count(id) AS n FROM (SELECT 'E' || unnest(range(1, 11)) AS c) LEFT JOIN i ON code = c GROUP BY 1, 2),
       heads AS (SELECT * FROM (VALUES (1, 'Best'), (2, 'Worst'), (3, 'Regressions'), (4, 'New failures')) h(section, title))
       SELECT 0 AS section, 0 AS place, '' AS key, '## Counts' AS value UNION ALL SELECT 0, 1, '', '' UNION ALL SELECT 0, 2, '', '| code | n_items |' UNION ALL SELECT 0, 3, '', '| --- | --- |'
@@ -325,8 +328,23 @@ ORACLE_SQL = {
       UNION ALL SELECT section, 3, '', 'No comparison run provided.' FROM heads WHERE section > 2 UNION ALL SELECT section, 4, '', '' FROM heads WHERE section < 3
       UNION ALL SELECT 1, 3, '', 'Count: ' || count(*) FILTER (WHERE code = '') FROM i UNION ALL SELECT 2, 3, '', 'Count: ' || count(*) FILTER (WHERE code <> '') FROM i
       UNION ALL SELECT 1, 5, CAST(id AS VARCHAR), '- `' || id || '`' FROM i WHERE code = '' UNION ALL SELECT 2, 5, CAST(id AS VARCHAR), '- `' || id || '` — ' || code FROM i WHERE code <> ''""",
-    "comparison_page": "WITH p AS (SELECT quality = 1 AS a, toxic = 0 AS b FROM labels) SELECT '# Comparison' AS line UNION ALL SELECT '- both_pass: ' || count(*) FILTER (WHERE a AND b) FROM p UNION ALL SELECT '- only_a: ' || count(*) FILTER (WHERE a AND NOT b) FROM p UNION ALL SELECT '- only_b: ' || count(*) FILTER (WHERE NOT a AND b) FROM p UNION ALL SELECT '- both_fail: ' || count(*) FILTER (WHERE NOT a AND NOT b) FROM p",
-    "profile_page": "SELECT * FROM (SELECT 'Lengths' AS section, CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS heads UNION ALL SELECT 'Over the limit', 5, 1 UNION ALL SELECT 'Domains', count(DISTINCT lang), 1 FROM documents UNION ALL SELECT 'Longest', least(count(*), 10), 1 FROM documents UNION ALL SELECT 'Blueprints', 1, 1 UNION ALL SELECT 'Files a blueprint', 1, 1)",
+    "comparison_page": f"""WITH b AS ({_BUNDLE}), l AS (SELECT unnest([{{'p': 0, 'v': '# Comparison'}}, {{'p': 1, 'v': ''}}, {', '.join("{'p': " + str(i) + ", 'v': '- " + c + ": ' || " + (c if c in _COUNTS else f"printf('%.4f', {c})") + "}" for i, c in enumerate((*_COUNTS, *_RATES), 2))}]) AS l FROM b)
+      SELECT CAST(l.p AS BIGINT) AS place, l.v AS value FROM l""",
+    "profile_page": """WITH d AS (SELECT doc_id, n_chars, lang || '-' || doc_id % 500 AS domain, doc_id % 13 AS files FROM documents),
+      q AS (SELECT count(*) AS n, avg(n_chars) AS m, quantile_cont(n_chars, 0.5) AS a, quantile_cont(n_chars, 0.9) AS b, quantile_cont(n_chars, 0.95) AS c, quantile_cont(n_chars, 0.99) AS e, max(n_chars) AS x FROM d),
+      dom AS (SELECT domain, count(*) AS n FROM d GROUP BY domain), top AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM d),
+      lim AS (SELECT unnest([1024, 2048, 4096, 8192, 16384]) AS x), over AS (SELECT x, count(*) FILTER (WHERE n_chars > x) AS n, 100.0 * count(*) FILTER (WHERE n_chars > x) / count(*) AS pct FROM d, lim GROUP BY x),
+      heads AS (SELECT * FROM (VALUES (1, 'Lengths', '| n_records | mean | p50 | p90 | p95 | p99 | max_len |', 7), (2, 'Over the limit', '| threshold | n_over | pct_over |', 3), (3, 'Domains', '| domain | n |', 2),
+        (4, 'Longest', '| doc_id | n_chars |', 2), (5, 'Blueprints', '| total | parse_failures | missing_skill_md |', 3), (6, 'Files a blueprint', '| n_files | n |', 2)) h(section, title, head, n))
+      SELECT CAST(section AS INT) AS section, CAST(place AS BIGINT) AS place, value FROM (
+        SELECT 0 AS section, 0 AS place, '# Profile' AS value UNION ALL SELECT section, 0, '' FROM heads UNION ALL SELECT section, 1, '## ' || title FROM heads UNION ALL SELECT section, 2, '' FROM heads
+        UNION ALL SELECT section, 3, head FROM heads UNION ALL SELECT section, 4, '| ' || array_to_string(list_transform(range(n), lambda i: '---'), ' | ') || ' |' FROM heads
+        UNION ALL SELECT 1, 5, printf('| %d | %.4f | %.4f | %.4f | %.4f | %.4f | %d |', n, round(m, 6), round(a, 6), round(b, 6), round(c, 6), round(e, 6), x) FROM q
+        UNION ALL SELECT 2, 4 + row_number() OVER (ORDER BY x), printf('| %d | %d | %.4f |', x, n, round(pct, 6)) FROM over
+        UNION ALL SELECT 3, 4 + row_number() OVER (ORDER BY n DESC, domain), printf('| %s | %d |', domain, n) FROM dom
+        UNION ALL SELECT 4, 5 + r, printf('| %d | %d |', doc_id, n_chars) FROM top WHERE r < 10
+        UNION ALL SELECT 5, 5, printf('| %d | 0 | %d |', count(*), count(*) FILTER (WHERE files = 0)) FROM d
+        UNION ALL SELECT 6, 4 + row_number() OVER (ORDER BY files), printf('| %d | %d |', files, n) FROM (SELECT files, count(*) AS n FROM d GROUP BY files))""",
     "run_page": "SELECT * FROM (VALUES ('base', CAST(NULL AS BIGINT), false, false), ('base', 10, true, true), ('other', NULL, true, true)) v(model, top, smoke, said)",
     "setting_resolution": "SELECT * FROM (VALUES ('a', 'b', 'a'), (NULL, 'b', 'b'), (NULL, NULL, 'c'), ('z', NULL, 'refused')) v(argument, environment, value)",
     "dataset_gate": "SELECT * FROM (VALUES ('clean', CAST(2 AS BIGINT), ''), ('faulty', 0, 'a: no files' || chr(10) || 'b: instruction too short')) v(name, n, said)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import splits as _splits
@@ -35,13 +35,69 @@ def blueprints(df: DataFrame, path: str) -> None:
     df.select("id", F.to_json(F.struct("blueprint", "provenance"), {"pretty": "true"}).alias("value")).write.partitionBy("id").mode("errorifexists").text(path)
 
 
-def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small result of aggregates as a Markdown table; one of more rows is refused, as lists of items are for failure_lines()."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a table of more than {most} rows is no report of aggregates")
-    cells = [df.columns, ["---"] * len(df.columns), *([f"{x:.4f}" if isinstance(x, float) else str(x) for x in r] for r in rows)]
-    return "\n".join("| " + " | ".join(c) + " |" for c in cells)
+def _cell(c: str, kind: str) -> Column:
+    """A value as reports show it."""
+    if kind.startswith("array"):
+        shown = F.array_join(F.col(c).cast("array<string>"), ", ")
+    elif kind in ("float", "double"):
+        shown = F.format_string("%.4f", F.col(c).cast("double"))
+    else:
+        shown = F.col(c).cast("string")
+    return F.coalesce(F.when(F.col(c).isNotNull(), shown), F.lit("None"))
+
+
+def _table_head(df: DataFrame) -> list[str]:
+    return [f"| {' | '.join(x)} |" for x in (df.columns, ["---"] * len(df.columns))]
+
+
+def _table_row(df: DataFrame) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(_cell(*x) for x in df.dtypes)), F.lit(" |"))
+
+
+def markdown_table(df: DataFrame) -> str:
+    """A Markdown table as one text, whole: for results of aggregates. report_lines() takes any number of rows."""
+    rows = df.select(_table_row(df).alias("line")).toLocalIterator()
+    return "\n".join([*_table_head(df), *(r[0] for r in rows)])
+
+
+#: A part of a report: its rows, and the order they come in (None where there is one row).
+Part = tuple[DataFrame, list | None]
+
+
+def _placed(df: DataFrame, order: list | None) -> tuple[DataFrame, Column]:
+    return (df, F.lit(0).cast("bigint")) if order is None else (_splits.ranked(df, order), F.col("rank"))
+
+
+def report_lines(title: str, parts: dict[str, Part]) -> DataFrame:
+    """(section, place, value): a report of Markdown tables by line, in the order of section and place.
+
+    Rows are formatted where they are and ranked by ranges, so a table may have any number of them.
+    """
+    heads, out = [(0, 0, f"# {title}")], None
+    for k, (name, (df, order)) in enumerate(parts.items(), 1):
+        heads += [(k, i, x) for i, x in enumerate(["", f"## {name}", "", *_table_head(df)])]
+        rows, place = _placed(df, order)
+        lines = rows.select(F.lit(k).alias("section"), (place + 5).cast("bigint").alias("place"), _table_row(df).alias("value"))
+        out = lines if out is None else out.unionByName(lines)
+    first = df.sparkSession.createDataFrame(heads, "section int, place bigint, value string")
+    return first.unionByName(out)
+
+
+def report_rows(parts: dict[str, Part]) -> DataFrame:
+    """(section, place, row): the same tables as JSON, an object for each row."""
+    out = None
+    for name, (df, order) in parts.items():
+        rows, place = _placed(df, order)
+        json = rows.select(F.lit(name).alias("section"), place.alias("place"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+        out = json if out is None else out.unionByName(json)
+    return out
+
+
+def write_report(path: str, title: str, parts: dict[str, Part]) -> None:
+    """A report in a folder: `page`, text files whose order is that of its lines, and `rows`, its JSON by section."""
+    order = ("section", "place")
+    report_lines(title, parts).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("errorifexists").text(f"{path}/page")
+    report_rows(parts).repartitionByRange(*order).sortWithinPartitions(*order).select("section", F.col("row").alias("value")).write.partitionBy("section").mode("errorifexists").text(f"{path}/rows")
 
 
 def failure_lines(counts: DataFrame, worst: DataFrame, regressions: DataFrame | None = None, new_failures: DataFrame | None = None, best: DataFrame | None = None) -> DataFrame:
@@ -62,8 +118,7 @@ def failure_lines(counts: DataFrame, worst: DataFrame, regressions: DataFrame |
         if df is None:
             heads.append((k, 3, "", "No comparison run provided."))
             continue
-        told = lambda c, kind: F.array_join(F.col(c).cast("array<string>"), ", ") if kind.startswith("array") else F.format_string("%.4f", c) if kind in ("float", "double") else F.col(c).cast("string")
-        first, *rest = (F.coalesce(told(*x), F.lit("None")) for x in df.dtypes)
+        first, *rest = (_cell(*x) for x in df.dtypes)
         line = F.concat(F.lit("- `"), first, F.lit("`"), *([F.lit(" — "), F.concat_ws(", ", *rest)] if rest else []))
         rows = df.select(F.lit(k).alias("section"), F.lit(5).alias("place"), first.alias("key"), line.alias("value"))
         count = df.agg(F.count("*").alias("n")).select(F.lit(k).alias("section"), F.lit(3).alias("place"), F.lit("").alias("key"), F.concat(F.lit("Count: "), "n").alias("value"))
@@ -88,12 +143,26 @@ def write_failures(path: str, counts: DataFrame, worst: DataFrame, regressions:
     lines.repartitionByRange(*_REPORT_ORDER).sortWithinPartitions(*_REPORT_ORDER).select("value").write.mode("errorifexists").text(path)
 
 
-def eda_report(lengths: DataFrame, limits: DataFrame, domains: DataFrame, longest: DataFrame, stats: DataFrame, files: DataFrame) -> tuple[str, dict]:
-    """The profile of a record set as Markdown and as a dictionary for JSON: length statistics, records over limits,
-    domains by split, the longest records, blueprint statistics and the histogram of their files. All are small aggregates."""
-    parts = {"Lengths": lengths, "Over the limit": limits, "Domains": domains, "Longest": longest, "Blueprints": stats, "Files a blueprint": files}
-    text = "# Profile\n\n" + "\n\n".join(f"## {title}\n\n{markdown_table(df)}" for title, df in parts.items()) + "\n"
-    return text, {title: [r.asDict(True) for r in df.collect()] for title, df in parts.items()}
+def profile_parts(lengths: DataFrame, limits: DataFrame, domains: DataFrame, longest: DataFrame, stats: DataFrame, files: DataFrame) -> dict[str, Part]:
+    """The parts of a record set's profile: length statistics, records over limits, domains by size, the longest records,
+    blueprint statistics and the histogram of their files. Domains and file counts may be any number."""
+    size = F.col(domains.columns[1]).desc()
+    return {
+        "Lengths": (lengths, None), "Over the limit": (limits, [F.col("threshold")]), "Domains": (domains, [size, F.col(domains.columns[0])]),
+        "Longest": (longest, [F.col(longest.columns[1]).desc(), F.col(longest.columns[0])]), "Blueprints": (stats, None), "Files a blueprint": (files, [F.col(files.columns[0])]),
+    }
+
+
+def eda_report(*tables: DataFrame) -> tuple[str, dict]:
+    """The profile of profile_parts()'s tables as one Markdown text and as a dictionary for JSON, both whole; write_report() takes any number of rows."""
+    import json
+
+    parts = profile_parts(*tables)
+    lines, data = report_lines("Profile", parts).orderBy("section", "place").select("value").toLocalIterator(), {name: [] for name in parts}
+    text = "\n".join(r[0] for r in lines) + "\n"
+    for r in report_rows(parts).orderBy("section", "place").toLocalIterator():
+        data[r["section"]].append(json.loads(r["row"]))
+    return text, data
 
 
 def run_readme(summary: DataFrame, *, model: str, default: str, split: str, mode: str, limit: int | None, full: int) -> tuple[str, dict]:
@@ -114,10 +183,15 @@ def put_file(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def comparison_lines(result: DataFrame) -> DataFrame:
+    """(place, value): the comparison of two runs as a list of its figures, by line; result has one row."""
+    figures = F.array(F.lit("# Comparison"), F.lit(""), *(F.concat(F.lit(f"- {c}: "), _cell(c, kind)) for c, kind in result.dtypes))
+    return result.select(F.posexplode(figures).alias("place", "value"))
+
+
 def comparison_report(result: DataFrame) -> str:
-    """The comparison of two runs as a list of its figures."""
-    row = result.first().asDict()
-    return "# Comparison\n\n" + "\n".join(f"- {k}: {v}" for k, v in row.items()) + "\n"
+    """The comparison of two runs as one text."""
+    return "\n".join(r["value"] for r in comparison_lines(result).orderBy("place").collect()) + "\n"
 
 
 def is_smoke(model: str, default: str, limit: int | None, full: int) -> bool:

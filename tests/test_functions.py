@@ -1,8 +1,11 @@
 """Scalar functions against hand-computed values and plain Python."""
 
+import hashlib
 import json
 import math
+import random
 import re
+from fractions import Fraction
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -43,6 +46,21 @@ def test_length_stats_and_truncation(spark):
     assert stats.truncation(df.limit(0), "n", (10,)).first()["pct_over"] == 0.0
 
 
+def test_percentiles_selected_by_ranges(spark):
+    import numpy as np
+
+    r = random.Random(2)
+    rows = [("a" if r.random() < 0.9 else r.choice(["b", None]), r.choice([r.randrange(50), r.random() * 100, None])) for _ in range(4000)] + [("one", 3.5), ("none", None)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "`my group` string, v double").repartition(5)
+    few, many = ({x[0]: tuple(x)[1:] for x in stats.length_stats(df, "v", ["my group"], most=m).collect()} for m in (1 << 20, 1))
+    assert few == many and few["none"] == (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)
+    for g in ("a", "b", None, "one"):
+        v = [x for k, x in rows if k == g and x is not None]
+        assert many[g][0] == len(v) and np.allclose(many[g][2:6], np.percentile(v, [50, 90, 95, 99]), atol=1e-6)
+    assert tuple(stats.length_stats(df, "v", most=1).first()) == tuple(stats.length_stats(df, "v").first())
+    assert stats.length_stats(df.limit(0), "v", most=-1).first()["n_records"] == 0
+
+
 def test_exact_test_and_interval(spark):
     df = spark.createDataFrame([(9, 1), (1, 9), (0, 0), (5, 5), (3000, 0)], "a bigint, b bigint")
     got = [r[0] for r in df.select(stats.mcnemar(F.col("a"), F.col("b"))).collect()]
@@ -53,11 +71,40 @@ def test_exact_test_and_interval(spark):
     assert rows[2][0] == 0.0 and math.isclose(rows[3][1], 1.0)
 
 
+def test_exact_test_for_any_count(spark):
+    r = random.Random(1)
+    some = [(r.randrange(0, 300), r.randrange(0, 300)) for _ in range(150)] + [(4900, 5100), (1, 9999), (5000, 4990), (20, 21), (21, 22), (1, 0), (0, 40), (1, 2000)]
+    got = [x[0] for x in spark.createDataFrame(some, "a bigint, b bigint").select(stats.mcnemar(F.col("a"), F.col("b"))).collect()]
+    for (a, b), p in zip(some, got, strict=True):
+        n, k = a + b, min(a, b)
+        want = min(Fraction(1), Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n))
+        assert math.isclose(p, float(want), rel_tol=1e-9, abs_tol=1e-12), (a, b)
+    big = spark.createDataFrame([(10**9, 10**9 + 50_000), (10**9, 10**9)], "a bigint, b bigint").select(stats.mcnemar(F.col("a"), F.col("b"))).collect()
+    # The normal limit, with a step's correction.
+    assert math.isclose(big[0][0], math.erfc(49_999 / math.sqrt(2 * (2 * 10**9 + 50_000))), rel_tol=1e-6) and big[1][0] == 1.0
+
+
+def weight(seed, rep, key):
+    h = int(hashlib.md5(f"{seed}:{rep // 4}:{key}".encode()).hexdigest()[8 * (rep % 4) :][:8], 16)
+    return sum(h >= int(x, 16) for x in stats.poisson_limits())
+
+
 def test_bootstrap(spark):
-    same = spark.createDataFrame([(True, True)] * 5 + [(False, False)] * 3, "a boolean, b boolean")
+    same = spark.createDataFrame([(i, i < 5, i < 5) for i in range(8)], "id int, a boolean, b boolean")
     assert tuple(stats.bootstrap_ci(same, "a", "b").first()) == (0.0, 0.0, 0.0)
-    other = spark.createDataFrame([(True, False)] * 6 + [(False, True)] * 2 + [(True, True)] * 9, "a boolean, b boolean")
-    assert stats.bootstrap_ci(other, "a", "b").first() == stats.bootstrap_ci(other, "a", "b").first()
+    assert tuple(stats.bootstrap_ci(same.limit(0), "a", "b").first()) == (None, None, None)
+    r = random.Random(3)
+    rows = [(i, r.random(), r.random() if i % 9 else None) for i in range(60)]
+    got = stats.bootstrap_ci(spark.createDataFrame(rows, "id int, a double, b double").repartition(7), "a", "b", reps=203, seed=5).first()
+    d = {i: a - b for i, a, b in rows if b is not None}
+    means = sorted(sum(weight(5, k, i) * x for i, x in d.items()) / sum(weight(5, k, i) for i in d) for k in range(203))
+    assert all(map(math.isclose, got, (means[int(0.025 * 203)], means[int(0.975 * 203)], sum(d.values()) / len(d))))
+
+
+def test_poisson_weights_have_mean_and_variance_one():
+    w = [weight(1, k, i) for k in range(40) for i in range(500)]
+    mean = sum(w) / len(w)
+    assert abs(mean - 1) < 0.03 and abs(sum((x - mean) ** 2 for x in w) / len(w) - 1) < 0.05
 
 
 def test_names(spark):

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,6 +161,30 @@ def run(spark, outcomes):
     return spark.createDataFrame([(str(i), i, o) for i, o in enumerate(outcomes)], "id string, _pos bigint, l2_valid boolean")
 
 
+def test_repair_loop_asks_again_for_what_failed_alone(spark):
+    from curatrix.plans.score_queries import loop_model
+
+    df = spark.createDataFrame([(i, f"Make {i}: text {i}") for i in range(44)] + [(3, "Make 3: again")], "id bigint, request string")
+    log = assemble.repair_loop(df, loop_model, score.blueprint_errors).collect()
+    need = {i: i % 4 + 1 for i in range(44)}
+    boom = {i for i in need if i % 11 == 3 and need[i] > 1}
+    assert Counter(r["attempt"] for r in log) == {1: 45, 2: sum(n > 1 for n in need.values()) + 1, 3: sum(n > 2 and i not in boom for i, n in need.items())}
+    status = {r["id"]: r for r in assemble.loop_status(assemble.repair_loop(df.where("id <> 3"), loop_model, score.blueprint_errors)).collect()}
+    assert {i: r["status"] for i, r in status.items()} == {i: 502 if i in boom else 200 if n < 4 else 422 for i, n in need.items() if i != 3}
+    assert status[14]["failure"] == "RuntimeError: out of memory" and status[14]["n_attempts"] == 2 and status[7]["errors"] == ["invalid name: 'Doc-7'", "files is empty", "files missing SKILL.md"]
+    second = next(r for r in log if r["id"] == 5 and r["attempt"] == 2)
+    assert second["prompt"].startswith("Make 5: text 5\n\nYour previous output was rejected") and "- L1 parse failure" in second["prompt"]
+    assert assemble.repair_loop(df.limit(0), loop_model, score.blueprint_errors).isEmpty()
+
+
+def test_deal_with_a_split_of_no_size(spark):
+    df = spark.createDataFrame([(i, i, "d") for i in range(20)], "id bigint, c bigint, dom string")
+    got = Counter(r["split"] for r in splits.deal_simple(df, {"train": 2, "val": 0, "test": 1}, domain="dom", key="id").collect())
+    assert got == {"train": 14, "test": 6}
+    with pytest.raises(ValueError, match="a deal takes"):
+        splits.deal_simple(df, {"train": 0}, domain="dom", key="id")
+
+
 def test_paired_runs(spark):
     p = compare.paired(run(spark, [True, True, False, None]), run(spark, [True, False, True, False]), "l2_valid")
     assert tuple(compare.paired_counts(p).first()) == (1, 1, 1, 1, 4)
@@ -167,6 +192,8 @@ def test_paired_runs(spark):
     assert compare.new_failures(p, spark.createDataFrame([("1",)], "id string")).isEmpty()
     out = compare.compare_runs(run(spark, [True] * 8), run(spark, [True] * 8), "l2_valid").first()
     assert out["diff"] == 0 and out["p_value"] == 1.0
+    empty = compare.compare_runs(run(spark, []), run(spark, []), "l2_valid").first()
+    assert empty["n"] == 0 and empty["rate_a"] is None and empty["diff_lo"] is None
     with pytest.raises(Exception, match="different items"):
         compare.paired(run(spark, [True]), run(spark, [True, False]), "l2_valid").collect()
 
@@ -197,6 +224,33 @@ def test_near_duplicates_match_brute_force(spark):
     assert dict(tuple(x) for x in near_dup.near_dup_clusters(df, "id", "text").collect()) == label
 
 
+def test_clusters_of_a_large_family_without_all_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if r.random() > 0.04 else f"x{r.randrange(10**6)}" for w in base)) for i in range(1500)]
+    rows += [(2000 + i, " ".join(f"y{i}z{k}" for k in range(10))) for i in range(50)]
+    counted = []
+    real = near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, classes: (counted.append(pairs.count()), real(pairs, classes))[1])
+    got = dict(tuple(x) for x in near_dup.near_dup_clusters(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect())
+    want = brute_pairs(rows)
+    label = {i: i for i, _ in rows}
+    while True:
+        old = dict(label)
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+        if old == label:
+            break
+    assert got == label and len(want) > 500_000 and sum(counted) < 30 * 1500
+
+
+def test_keys_that_repeat_or_are_null(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "c b a"), (None, "a b c"), (None, "q r"), (3, "q r"), (4, ""), (5, "m n"), (6, "m n"), (6, "u v"), (7, "v u"), (8, None), (2, "k l"), (9, "l k")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    assert sorted(map(str, (tuple(x) for x in near_dup.near_dup_clusters(df, "id", "text").collect()))) == sorted(map(str, [(1, 1), (1, 1), (2, 1), (None, None), (None, None), (3, 3), (4, 4), (5, 5), (6, 5), (6, 5), (7, 5), (8, 8), (2, 1), (9, 1)]))
+    assert sorted(tuple(x) for x in near_dup.near_dup_pairs(df, "id", "text").collect()) == [(1, 2), (2, 9), (5, 6), (6, 7)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 500), (7, 3)]
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
@@ -213,6 +267,24 @@ def test_sequence_ratio_pairs(spark):
     assert {(r["a"], r["b"]) for r in near_dup.sequence_near_dups(df, "id", "t").collect()} == want
 
 
+def test_metric_index_of_letter_counts_loses_no_pair(spark):
+    import difflib
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(x) for x in d.collect()]
+    facts = near_dup.letter_facts(d, "doc_id", "text")
+    met = {(x["id"], x["id2"]) for x in near_dup.letter_candidates(facts, 0.8).select("id", "id2").collect()}
+    # A ratio of over 0.8 takes common letters, so only such pairs are tried by brute force.
+    close = lambda x, y: 2 * sum((Counter(x) & Counter(y)).values()) > 0.8 * (len(x) + len(y))
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and close(x, y) and difflib.SequenceMatcher(None, x, y).ratio() > 0.8}
+    assert want <= met and len(met) < len(rows) ** 2 / 8
+    assert {(x["a"], x["b"]) for x in near_dup.sequence_near_dups(d, "doc_id", "text").collect()} == want
+    assert near_dup.sequence_near_dups(d.limit(0), "doc_id", "text").isEmpty()
+    other = spark.createDataFrame([(i, "абвг дежз " * 20 + str(i)) for i in range(30)] + [(100 + i, "some words " * 20 + str(i)) for i in range(30)], "id int, t string")
+    pairs = near_dup.letter_candidates(near_dup.letter_facts(other, "id", "t"), 0.8).select("id", "id2").collect()
+    assert len(pairs) == 30 * 29 and all((x["id"] < 100) == (x["id2"] < 100) for x in pairs)
+
+
 def test_sequence_ratio_of_long_texts(spark):
     import difflib
 
