@@ -151,6 +151,32 @@ def _yaml_values(block):
     return pd.DataFrame([one(x) for x in block], columns=["name", "description"])
 
 
+def flat_settings(config: dict, above: str = "") -> dict[str, object]:
+    """Dotted keys; lists stay whole."""
+    out: dict[str, object] = {}
+    for k, v in config.items():
+        out |= flat_settings(v, f"{above}{k}.") if isinstance(v, dict) else {f"{above}{k}": v}
+    return out
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def yaml_settings(texts):
+    """A YAML mapping's settings by dotted key, as text; null for what is no mapping or no YAML."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading settings takes the yaml library") from e
+
+    def one(x):
+        try:
+            found = yaml.safe_load(x or "")
+        except (yaml.YAMLError, ValueError):
+            return None
+        return {k: str(v) for k, v in flat_settings(found).items()} if isinstance(found, dict) else None
+
+    return texts.map(one)
+
+
 def front_matter_values(col: Column) -> Column:
     """A struct of name and description as YAML has them, as text without white space around; empty where the block,
     the mapping or the key is absent. A block that is no YAML counts as absent."""

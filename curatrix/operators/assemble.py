@@ -60,7 +60,7 @@ def build(selection: DataFrame, instructions: DataFrame, blueprints: DataFrame,
 
 
 def gate(records: DataFrame, errors: DataFrame, show: int = 30) -> DataFrame:
-    """The records, or a failure with the first errors: all or nothing. A dataset passes with both as of build()."""
+    """The records, or a failure that shows the first errors of all: all or nothing. A dataset passes with both as of build()."""
     first = [f"{r['id']}: {r['error']}" for r in errors.orderBy("_pos", "error").limit(show).collect()]
     if first:
         raise ValueError("\n".join(first))
@@ -278,15 +278,13 @@ def accuracy(answers: DataFrame, scores: str, answer: str) -> DataFrame:
     return answers.agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"))
 
 
-def flatten_config(config: dict, above: str = "") -> dict[str, object]:
+def flatten_config(config: dict) -> dict[str, object]:
     """Dotted keys; lists stay whole."""
-    out: dict[str, object] = {}
-    for k, v in config.items():
-        out |= flatten_config(v, f"{above}{k}.") if isinstance(v, dict) else {f"{above}{k}": v}
-    return out
+    return text.flat_settings(config)
 
 
-def config_diff(a: DataFrame, b: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """(key, value_a, value_b) where two flat configs differ."""
-    both = a.select("key", F.col("value").alias("value_a")).join(b.select("key", F.col("value").alias("value_b")), "key", "full_outer")
-    return both.where(~F.col("value_a").eqNullSafe(F.col("value_b")) & ~F.col("key").isin(*ignored)) if ignored else both.where(~F.col("value_a").eqNullSafe(F.col("value_b")))
+def config_diff(a: DataFrame, b: DataFrame, ignored: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, key, value_a, value_b) where two flat configs differ, or those of each group that `by` names."""
+    both = a.select(*by, "key", F.col("value").alias("value_a")).join(b.select(*by, "key", F.col("value").alias("value_b")), [*by, "key"], "full_outer")
+    differs = ~F.col("value_a").eqNullSafe(F.col("value_b"))
+    return both.where(differs & ~F.col("key").isin(*ignored)) if ignored else both.where(differs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import message, strip, user_content
+from ..functions.text import message, quoted, strip, user_content
 
 DEFAULT_SYSTEM = "You design reusable bundles. Given the user request, output ONLY a valid JSON blueprint. No explanations, no markdown fences."
 IGNORED = -100
@@ -75,6 +75,14 @@ def resolved(argument: str | None, environment: str | None, default: str, allowe
     return value
 
 
+def resolved_setting(argument: Column, environment: Column, default: str, allowed: tuple[str, ...] = ()) -> Column:
+    """resolved() for columns: a struct of the value and of why it is refused, one of them null."""
+    value = F.coalesce(F.nullif(argument, F.lit("")), F.nullif(environment, F.lit("")), F.lit(default))
+    good = value.isin(*allowed) if allowed else F.lit(True)
+    why = F.concat(quoted(value), F.lit(f" is none of {', '.join(allowed)}"))
+    return F.struct(F.when(good, value).alias("value"), F.when(~good, why).alias("refused"))
+
+
 def tokens_by(text: Column, tokenizer) -> Column:
     """Tokens by a function of the caller's, text to list of strings, over Arrow batches; regex_tokens() is the default stand-in."""
     from pyspark.sql import types as T

@@ -174,23 +174,53 @@ def content_hash(df: DataFrame, by: str, record: str, digits: int = 4) -> DataFr
     return leaves.groupBy(by).agg(F.sum("n").alias("n_records"), root.alias("sha256"))
 
 
-def manifest(spark: SparkSession, folder: str, *, pattern: str = "*.json*", **facts) -> DataFrame:
-    """(file, sha256, n_lines) of the files below a folder, by their paths from there, with the run's facts as columns."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+#: Files up to this size are hashed in one piece; lines of a leaf of the tree that hashes larger ones.
+WHOLE_FILE = 256 << 20
+LEAF_LINES = 4096
+
+
+def tree_hashes(lines: DataFrame, leaf: int = LEAF_LINES) -> DataFrame:
+    """(file, sha256, n_lines) from (file, _at, value), the lines of files and an order that is theirs.
+
+    A line's hash, then that of each run of leaf lines by their hashes, then the file's by its leaves': no
+    task holds more than a leaf or a file's leaves, and line numbers come from sorted ranges.
+    """
+    each = ranked(lines.select("file", "_at", F.sha2(F.col("value").cast("binary"), 256).alias("h"), (F.trim("value") != "").alias("full")), [F.col("file"), F.col("_at")])
+    first = each.groupBy("file").agg(F.min("rank").alias("first"))
+    numbered = each.join(first, "file").withColumn("no", F.col("rank") - F.col("first"))
+    rolled = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), "\n"), 256)
+    leaves = numbered.groupBy("file", F.floor(F.col("no") / leaf).alias("no")).agg(F.count_if("full").alias("n"), rolled(F.struct("no", "h")).alias("h"))
+    return leaves.groupBy("file").agg(rolled(F.struct("no", "h")).alias("sha256"), F.sum("n").alias("n_lines"))
+
+
+def manifest(spark: SparkSession, folder: str, *, pattern: str = "*.json*", whole: int = WHOLE_FILE, **facts) -> DataFrame:
+    """(file, sha256, n_lines) of the files below a folder, by their paths from there, with the run's facts as columns.
+
+    Files over `whole` bytes are read by line in as many tasks as they have blocks, and hashed as a tree of
+    lines (tree_hashes(); a last line feed makes no difference). Others have the hash of their bytes.
+    """
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
-    name = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*', '/'), {len(base) + 2})")
-    out = files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), F.size(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x) != "")).cast("bigint").alias("n_lines"))
+    named = lambda c: F.expr(f"substring(regexp_replace({c}, '^[a-z]+:/*', '/'), {len(base) + 2})").alias("file")
+    where = {"recursiveFileLookup": "true", "pathGlobFilter": pattern}
+    small = spark.read.format("binaryFile").options(**where).load(folder).where(F.col("length") <= whole)
+    out = small.select(named("path"), F.sha2("content", 256).alias("sha256"), F.size(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x) != "")).cast("bigint").alias("n_lines"))
+    large = spark.read.format("binaryFile").options(**where).load(folder).where(F.col("length") > whole).select("path")
+    if not large.isEmpty():
+        # A line feed alone ends a line, so all other bytes are hashed.
+        lines = spark.read.options(**where, lineSep="\n").text(folder).where(F.col("_metadata.file_size") > whole)
+        at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+        out = out.unionByName(tree_hashes(lines.select(named("_metadata.file_path"), at.alias("_at"), "value")))
     for k, v in facts.items():
         out = out.withColumn(k, F.lit(v))
     return out
 
 
-def verify(spark: SparkSession, folder: str, expected: DataFrame, *, pattern: str = "*.json*") -> bool:
+def verify(spark: SparkSession, folder: str, expected: DataFrame, *, pattern: str = "*.json*", whole: int = WHOLE_FILE) -> bool:
     """Whether every file of the manifest is there with the same hash and number of lines, and no other.
 
     expected is a table that was written; a manifest() of the same folder that isn't is the folder as it is now.
     """
-    now = manifest(spark, folder, pattern=pattern).select("file", F.col("sha256").alias("_h"), F.col("n_lines").alias("_n"))
+    now = manifest(spark, folder, pattern=pattern, whole=whole).select("file", F.col("sha256").alias("_h"), F.col("n_lines").alias("_n"))
     both = expected.join(now, "file", "full_outer")
     return both.where(~(F.col("sha256").eqNullSafe(F.col("_h")) & F.col("n_lines").eqNullSafe(F.col("_n")))).isEmpty()
 

@@ -218,13 +218,6 @@ def repair_prompt(spark, sf):
     return e.select("event_id", F.md5("x").alias("prompt_md5"))
 
 
-def config_diff(spark, sf):
-    base = {"train": {"lr": "0.1", "seed": "42", "data": {"limit": "8192"}}, "name": "a"}
-    a, b = assemble.flatten_config(base), assemble.flatten_config(base | {"name": "b", "train": base["train"] | {"lr": "0.2"}})
-    df = lambda c: spark.createDataFrame([(k, str(v)) for k, v in c.items()], "key string, value string")
-    return assemble.config_diff(df(a), df(b), ("name",))
-
-
 def key_difference(spark, sf):
     e = t(spark, sf, "events").select("event_id", jsonx.parsed(F.col("props")).alias("v"))
     keys = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))
@@ -266,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_parse_rate, schema_errors, field_scores, materialise_check, composite_score, failure_taxonomy, item_failures, blueprint_stats, files_histogram, files_mode, paired_counts, mcnemar_exact, mcnemar_table, wilson_ci,
-        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, repair_loop, batch_counts, generated_outputs, compare_bundle, judge_payloads, repair_prompt, config_diff, key_difference, missing_cases, degraded_output, input_guard, run_drop, judge_replies,
+        regressions, new_passes, new_failures, acceptance_gate, bootstrap_ci, mcq_argmax, mcq_accuracy, repair_loop_status, repair_loop, batch_counts, generated_outputs, compare_bundle, judge_payloads, repair_prompt, key_difference, missing_cases, degraded_output, input_guard, run_drop, judge_replies,
     )
 }
 
@@ -339,7 +332,6 @@ ORACLE_SQL = {
         CASE WHEN status = 502 THEN 'RuntimeError: out of memory' END AS failure, CASE status WHEN 200 THEN '' WHEN 422 THEN 'invalid name: ' || chr(39) || 'Doc-' || id || chr(39) || '; files is empty; files missing SKILL.md' END AS errors,
         md5(r || CASE n WHEN 1 THEN '' WHEN 2 THEN x || o1 || y || 'L1 parse failure: output is not valid JSON' || z ELSE x || o2 || y || 'files is empty' || nl || '- files missing SKILL.md' || z END) AS prompt_md5 FROM p""",
     "repair_prompt": "SELECT event_id, md5(event_type || chr(10) || chr(10) || 'Your previous output was rejected by the Skill Blueprint validator. Previous output:' || chr(10) || props || chr(10) || chr(10) || 'Validation errors:' || chr(10) || '- first' || chr(10) || '- ' || event_type || chr(10) || chr(10) || 'Fix ALL of these errors and output ONLY a valid JSON Skill Blueprint. No explanations, no markdown fences.') AS prompt_md5 FROM events",
-    "config_diff": "SELECT 'train.lr' AS key, '0.1' AS value_a, '0.2' AS value_b",
     "key_difference": "SELECT event_id, CASE WHEN json_exists(props, '$.k') THEN 'missing' ELSE 'k,missing' END AS missing_keys FROM events",
     "missing_cases": "SELECT 'E' || lpad(CAST(i AS VARCHAR), 3, '0') AS id FROM (SELECT unnest(range(1, 21)) AS i) WHERE i % 3 <> 0",
     "degraded_output": "SELECT doc_id, md5(left(text, 200)) AS cut_md5, md5(CASE WHEN length(text) > 1000 THEN left(text, 1000) || chr(10) || '…[truncated]' ELSE text END) AS capped_md5 FROM documents",

@@ -94,12 +94,16 @@ def front_matter_sections(spark, sf):
     return d.select("doc_id", text.front_matter_field(F.col("main"), "name").alias("name"), F.array_join(text.section_items(F.col("b"), text.WHEN_USE), "|").alias("use"), F.array_join(text.section_items(F.col("b"), text.WHEN_NOT), "|").alias("not_use"), F.md5(text.first_paragraph(F.col("b"))).alias("paragraph_md5"))
 
 
-def assemble_errors(spark, sf):
-    """Whole texts as instructions, and all of each from the fifth character on as description."""
+def _assembled(spark, sf):
+    """Records and errors: whole texts as instructions, and all of each from the fifth character on as description."""
     d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("_pos"), F.col("lang").alias("domain"), F.col("source").alias("repo"), "text")
     ins = d.where("id % 11 <> 0").select("id", F.col("text").alias("instruction"))
     bps = d.where("id % 7 <> 0").select("id", F.expr("substring(text, 5)").alias("description"), F.lit("{}").alias("blueprint"))
-    return assemble.assemble(d.drop("text"), ins, bps)[1].select("id", "error")
+    return assemble.assemble(d.drop("text"), ins, bps)
+
+
+def assemble_errors(spark, sf):
+    return _assembled(spark, sf)[1].select("id", "error")
 
 
 def _dataset(spark, sf):

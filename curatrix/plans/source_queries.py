@@ -13,7 +13,11 @@ from ..operators.score import taxonomy
 from ..sources import readers, writers
 from ..staging import shared_dir, staged
 from .profile_queries import t
+from ..streaming import jobs
 from .score_queries import _BUNDLE, _ab, _items
+from .score_queries import ORACLE_SQL as _SCORE_SQL
+from .select_queries import ORACLE_SQL as _SELECT_SQL
+from .select_queries import _assembled
 
 
 def _records(spark, sf):
@@ -66,63 +70,63 @@ def manifest_scan(spark, sf):
     return val.unionByName(test).withColumn("refused", F.lit(refused))
 
 
-def _put_map(spark, path, df, key, value):
-    rows = df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value)))))).first()
-    writers.put_file(spark, path, rows[0].encode())
-
-
 def json_map_merge(spark, sf):
-    """Two maps of benchmark items; the second says some anew. A map file is one JSON object, read whole."""
+    """Two maps of benchmark items, written as JSON objects of bounded size; the second says some anew."""
     path, b = shared_dir(spark, "maps"), t(spark, sf, "benchmark").select("item_id", "text")
-    _put_map(spark, f"{path}/a.json", b, "item_id", "text")
-    _put_map(spark, f"{path}/b.json", b.where("item_id % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text")), "item_id", "text")
-    out = readers.json_map(spark, [f"{path}/a.json", f"{path}/b.json"])
+    writers.json_map(b, f"{path}/a", "item_id", "text", 50)
+    writers.json_map(b.where("item_id % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text")), f"{path}/b", "item_id", "text", 50)
+    out = readers.json_map(spark, [f"{path}/a", f"{path}/b"])
     return out.select(F.col("id").cast("bigint").alias("item_id"), F.md5("instruction").alias("text_md5"))
 
 
 def report_items(spark, sf):
-    """Items of a report at the top of a file, and of one under `items`."""
+    """Items of reports with a list at the top, and of some with it under `items`."""
     path, out = shared_dir(spark, "items"), None
-    listed = t(spark, sf, "benchmark").agg(F.to_json(F.collect_list(F.struct("item_id", (F.col("item_id") % 2 == 0).alias("ok"))))).first()[0]
-    for name, content in (("list", listed), ("object", f'{{"items": {listed}, "n": 1}}')):
-        writers.put_file(spark, f"{path}/{name}.json", content.encode())
-        v = readers.items(spark, f"{path}/{name}.json").select(F.lit(name).alias("form"), F.try_variant_get("item", "$.item_id", "bigint").alias("item_id"), F.try_variant_get("item", "$.ok", "boolean").alias("ok"))
+    rows = t(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 2 == 0).alias("ok"))
+    for name, under in (("list", None), ("object", "items")):
+        writers.json_items(rows, f"{path}/{name}", "item_id", under, 50)
+        v = readers.items(spark, f"{path}/{name}").select(F.lit(name).alias("form"), F.try_variant_get("item", "$.item_id", "bigint").alias("item_id"), F.try_variant_get("item", "$.ok", "boolean").alias("ok"))
         out = v if out is None else out.unionByName(v)
     return out
 
 
-#: Bundles of every kind: folded YAML, a licence of their own, of their repository or none, wrong names, binary and broken files.
-_BUNDLES = {
-    "acme_tools/LICENSE": b"Apache License\nVersion 2.0, January 2004",
-    "acme_tools/skills/mail-merge/SKILL.md": b"---\nname: mail-merge\ndescription: >\n  Merges letters\n  with addresses.\n---\n# Mail merge\n\nMerges letters\nwith  addresses.\n\n## When to use\n- many letters\n* 2 lists\n1. one list\n\n## Limitations\nno faxes\n\n## Else\n- x\n",
-    "acme_tools/skills/mail-merge/scripts/run.py": b"print(1)\r\n",
-    "acme_tools/skills/mail-merge/assets/logo.png": b"\x89PNG\x00\x01",
-    "acme_tools/skills/mail-merge/.git/config": b"[core]",
-    "acme_tools/skills/own/SKILL.md": b"---\nname: 'own'\ndescription: \"It's \\\"own\\\"\"\n---\nText.",
-    "acme_tools/skills/own/COPYING": b"Permission is hereby granted under the MIT license",
-    "acme_tools/skills/Bad_Name/SKILL.md": b"---\nname: Bad_Name\n---\n## Use cases\nplain\n",
-    "acme_tools/skills/numbers/SKILL.md": b"---\nname: 12\ndescription: null\n---\n\n",
-    "other/docs/claude/SKILL.md": b"no front matter, a\xffb",
-    "other/docs/claude/references/deep/a.md": b"caf\xc3\xa9",
-    "other/docs/broken/SKILL.md": b"---\nname: [\n---\nbody\n",
+# Bundles are made from documents, a folder a row, with one fault for each remainder of 12, in either engine's SQL.
+_K = "doc_id % 12"
+_NL, _Q, _DQ, _BS = "chr(10)", "chr(39)", "chr(34)", "chr(92)"
+_HEAD = f"'---', {_NL}, 'name: "
+_PLAIN = f"concat({_HEAD}item-', doc_id, {_NL}, 'description: d ', lang, {_NL}, '---', {_NL}, 'Body of ', lang, '.')"
+_MAIN = {
+    0: f"concat({_HEAD}item-', doc_id, {_NL}, 'description: >', {_NL}, '  Folds ', lang, {_NL}, '  lines.', {_NL}, '---', {_NL}, '# Item', {_NL}, {_NL}, 'First of ', lang, ',', {_NL}, 'second.', {_NL}, {_NL}, '## When to use', {_NL}, '- many', {_NL}, '* 2 more', {_NL}, '1. one', {_NL}, {_NL}, '## Limitations', {_NL}, 'no faxes', {_NL}, {_NL}, '## Else', {_NL}, '- x', {_NL})",
+    1: f"concat({_HEAD}', {_Q}, 'item-', doc_id, {_Q}, {_NL}, 'description: ', {_DQ}, 'It', {_Q}, 's ', {_BS}, {_DQ}, lang, {_BS}, {_DQ}, {_DQ}, {_NL}, '---', {_NL}, 'Text of ', lang, '.')",
+    2: f"concat({_HEAD}Item_', doc_id, {_NL}, '---', {_NL}, '## Use cases', {_NL}, 'plain', {_NL})",
+    3: f"concat({_HEAD}12', {_NL}, 'description: null', {_NL}, '---', {_NL}, {_NL})",
+    4: "concat('no front matter, a', '\ufffd', ' b')",
+    5: f"concat({_HEAD}[', {_NL}, '---', {_NL}, 'body', {_NL})",
+    6: f"concat({_HEAD}claude', {_NL}, 'description: d ', lang, {_NL}, '---', {_NL}, 'Body of ', lang, '.')",
 }
+_MAIN_SQL = f"CASE {_K} {' '.join(f'WHEN {k} THEN {e}' for k, e in _MAIN.items())} ELSE {_PLAIN} END"
 
 
-def _bundles(spark):
-    path = shared_dir(spark, "bundles")
-    for name, content in _BUNDLES.items():
-        writers.put_file(spark, f"{path}/{name}", content)
-    return path
+def _files(spark, sf):
+    """(rel, content): the files of the bundles: whole texts, folded and quoted YAML, licences, wrong names, binary and broken files."""
+    d = t(spark, sf, "documents").select("doc_id", "lang", "source", "text").withColumn("dir", F.concat("source", F.lit("_kit/skills/item-"), "doc_id"))
+    main = F.when(F.col("doc_id") % 12 == 4, F.concat(F.lit("no front matter, a").cast("binary"), F.unhex(F.lit("FF")), F.lit(" b").cast("binary"))).otherwise(F.expr(_MAIN_SQL).cast("binary"))
+    png = F.unhex(F.lit("89504E470001"))
+    more = ((None, "data/text.md", F.col("text")), (0, "scripts/run.py", F.lit("print(1)\r\n")), (0, "assets/logo.png", png), (8, "references/deep/a.md", F.lit("café")), (9, "assets/logo.png", png), (10, ".git/config", F.lit("[core]")), (11, "COPYING", F.lit("Permission is hereby granted under the MIT license")))
+    each = F.array(F.struct(F.when(F.col("doc_id") % 12 != 7, "SKILL.md").alias("p"), main.alias("c")), *(F.struct((F.lit(p) if k is None else F.when(F.col("doc_id") % 12 == k, p)).alias("p"), c.cast("binary").alias("c")) for k, p, c in more))
+    files = d.select("dir", F.explode(each).alias("f")).where("f.p IS NOT NULL").select(F.concat("dir", F.lit("/"), "f.p").alias("rel"), F.col("f.c").alias("content"))
+    top = d.where("CAST(substring(source, 4) AS INT) % 2 = 0").select("source").distinct()
+    return files.unionByName(top.select(F.concat("source", F.lit("_kit/LICENSE")).alias("rel"), F.lit("Apache License\nVersion 2.0, January 2004").cast("binary").alias("content")))
 
 
-def _converted(spark):
-    path = _bundles(spark)
-    return assemble.convert(readers.bundles(spark, path), readers.licences(spark, path, text.CONVERTER_LICENCE_FILES))
+def _converted(spark, sf):
+    files = _files(spark, sf)
+    return assemble.convert(readers.bundles_of(files), readers.licences_of(files, text.CONVERTER_LICENCE_FILES))
 
 
 def bundle_scan(spark, sf):
-    b = readers.bundles(spark, _bundles(spark))
-    return b.select("repo", "relpath", "name", F.explode("files").alias("f")).select("repo", "relpath", "name", "f.path", F.hex(F.encode("f.content", "UTF-8")).alias("content"))
+    b = readers.bundles_of(_files(spark, sf))
+    return b.select("repo", "relpath", "name", F.explode("files").alias("f")).select("repo", "relpath", "name", "f.path", F.md5("f.content").alias("content_md5"))
 
 
 def _flat(df):
@@ -135,11 +139,11 @@ def _flat(df):
 
 
 def convert_bundles(spark, sf):
-    return _flat(_converted(spark))
+    return _flat(_converted(spark, sf))
 
 
 def name_repair(spark, sf):
-    r = assemble.repair_names(_converted(spark))
+    r = assemble.repair_names(_converted(spark, sf))
     main = F.get(F.filter("blueprint.files", lambda f: f["path"] == "SKILL.md"), 0)["content"]
     return r.select("id", "blueprint.name", F.size("provenance.validation_errors").cast("bigint").alias("n_errors"), "provenance.original_name", "provenance.name_normalized", F.regexp_extract(main, "(?m)^name:.*$", 0).alias("name_line"))
 
@@ -147,26 +151,28 @@ def name_repair(spark, sf):
 def blueprint_files(spark, sf):
     """Blueprints written one folder each and read again."""
     path = shared_dir(spark, "blueprints")
-    writers.blueprints(_converted(spark), path)
+    writers.blueprints(_converted(spark, sf).withColumn("folder", F.col("id")).repartition("folder").drop("folder"), path)
     v = spark.read.text(path, wholetext=True).select("id", F.parse_json("value").alias("v"))
     return v.select("id", F.try_variant_get("v", "$.blueprint.name", "string").alias("name"), F.try_variant_get("v", "$.provenance.license", "string").alias("license"))
 
 
-_CASES = {
-    "E001": {"id": "E001", "instruction": "do", "source": "s", "source_skill": None, "difficulty": "hard", "trap_type": "ambiguity", "curation_notes": "n", "author": "me", "created": "2026"},
-    "E002": {"id": "E003", "instruction": " ", "source": "s", "source_skill": 1, "difficulty": "hard", "trap_type": "other", "curation_notes": "n", "author": "you", "created": "2026", "more": 1},
-    "E004": [1],
-}
+# Expert cases made from documents, with one fault for each remainder of 11, in either engine's SQL.
+_STEM = "concat('E', lpad(CAST(doc_id % 1000 AS {s}), 3, '0'))"
+_CASE = """concat('{"id":"', {stem}, '","instruction":"do ', lang, '","source":"', source, '","source_skill":null,"difficulty":"hard","trap_type":"ambiguity","curation_notes":"n","author":"me","created":"2026"}')"""
+_CASE_FAULTS = {
+    1: ("replace({c}, concat('\"id\":\"', {stem}), '\"id\":\"case-')", "id must match E###"), 2: ("replace({c}, {stem}, concat('E', lpad(CAST((doc_id + 1) % 1000 AS {s}), 3, '0')))", "id differs from the file name"),
+    3: ("replace({c}, '\"source_skill\":null', '\"source_skill\":1')", "field 'source_skill' has wrong type"), 4: ("replace({c}, 'ambiguity', 'other')", "unknown trap_type"),
+    5: ("replace({c}, concat('do ', lang), ' ')", "blank instruction"), 6: ("replace({c}, '\"me\"', '\"you\"')", "wrong author"), 7: ("replace({c}, '2026\"', '2026\",\"more\":1')", "unexpected fields more"),
+    8: ("'[1]'", "top level must be an object"), 9: ("'{{broken'", "invalid JSON"), 10: ("replace({c}, ',\"created\":\"2026\"', '')", "missing field 'created'"),
+}
 
 
 def expert_case_errors(spark, sf):
-    path = shared_dir(spark, "cases")
-    for name, case in _CASES.items():
-        writers.put_file(spark, f"{path}/{name}.json", json.dumps(case).encode())
-    writers.put_file(spark, f"{path}/E005.json", b"{broken")
-    writers.put_file(spark, f"{path}/_template.json", b"{}")
-    c = readers.expert_cases(spark, path)
-    return c.select("stem", F.explode_outer(assemble.case_errors(F.col("case"), F.col("stem"), "me")).alias("error"))
+    stem = _STEM.replace("{s}", "STRING")
+    cases = " ".join(f"WHEN {k} THEN {f.replace('{c}', 'good').replace('{stem}', 'stem').replace('{s}', 'STRING').replace('{{', '{')}" for k, (f, _) in _CASE_FAULTS.items())
+    d = t(spark, sf, "documents").select("doc_id", "lang", "source").withColumn("stem", F.expr(stem)).withColumn("good", F.expr(_CASE.replace("{stem}", "stem")))
+    c = d.withColumn("case", F.expr(f"CASE doc_id % 11 {cases} ELSE good END"))
+    return c.select("doc_id", "stem", F.explode_outer(assemble.case_errors(F.col("case"), F.col("stem"), "me")).alias("error"))
 
 
 def question_source(spark, sf):
@@ -226,33 +232,57 @@ def run_page(spark, sf):
 
 
 def setting_resolution(spark, sf):
-    rows = []
-    for argument, environment in (("a", "b"), (None, "b"), (None, None), ("z", None)):
-        try:
-            rows.append((argument, environment, prep.resolved(argument, environment, "c", ("a", "b", "c"))))
-        except ValueError:
-            rows.append((argument, environment, "refused"))
-    return spark.createDataFrame(rows, "argument string, environment string, value string")
+    """Settings by argument, environment and default over the documents, with what isn't allowed refused."""
+    d = t(spark, sf, "documents")
+    argument = F.when(F.col("doc_id") % 4 == 0, F.col("lang")).when(F.col("doc_id") % 4 == 1, "")
+    r = prep.resolved_setting(argument, F.when(F.col("doc_id") % 3 == 0, F.col("source")), "c", ("en", "de", "src1", "c"))
+    return d.select("doc_id", r.alias("r")).select("doc_id", "r.value", "r.refused")
 
 
 def dataset_gate(spark, sf):
-    """The gate over records with and without errors."""
-    records = spark.createDataFrame([("a", 0), ("b", 1)], "id string, _pos int")
-    errors = spark.createDataFrame([("b", 1, "instruction too short"), ("a", 0, "no files")], "id string, _pos int, error string")
+    """The gate over assembled documents, with their errors and without the records that have any."""
+    records, errors = _assembled(spark, sf)
+    records, errors = staged(records, "records"), staged(errors, "errors")
+    good = records.withColumn("id", F.col("metadata.id")).join(errors.select("id"), "id", "left_anti")
     rows = []
-    for name, e in (("clean", errors.limit(0)), ("faulty", errors)):
+    for name, r, e in (("clean", good, errors.limit(0)), ("faulty", records, errors)):
         try:
-            rows.append((name, assemble.gate(records, e).count(), ""))
+            rows.append((name, assemble.gate(r, e).count(), ""))
         except ValueError as x:
             rows.append((name, 0, str(x)))
     return spark.createDataFrame(rows, "name string, n bigint, said string")
 
 
+_YAML = f"concat('train:', {_NL}, '  lr: ', {{lr}}, {_NL}, '  seed: ', {{seed}}, {_NL}, '  tags: [', lang, ', x]', {_NL}, '  flag: yes', {_NL}, {{rest}})"
+
+
+def config_diff(spark, sf):
+    """YAML settings of two runs for each document, flattened and compared; names don't count."""
+    lr, name = "concat('0.', doc_id % 7)", f"concat('name: ', source, {_NL})"
+    d = t(spark, sf, "documents").select("doc_id", "lang", "source")
+    side = lambda x: d.select("doc_id", F.explode(text.yaml_settings(F.expr(x))).alias("key", "value"))
+    one = side(_YAML.format(lr=lr, seed="doc_id", rest=name))
+    other = side(_YAML.format(lr=f"CASE WHEN doc_id % 5 = 0 THEN '1e-4' ELSE {lr} END", seed="doc_id + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END", rest="CASE doc_id % 3 WHEN 1 THEN 'more: null' WHEN 2 THEN 'name: other' ELSE 'name: ' || source END"))
+    return assemble.config_diff(one, other, ("name",), ("doc_id",))
+
+
+def repair_loop_stream(spark, sf):
+    """The status of every request from a stream of attempts, which come as files in the order of their time."""
+    e = t(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / 4).cast("bigint").alias("request_id"), (F.col("event_id") % 4 + 1).alias("attempt"), F.col("props").alias("output"), (F.col("event_type") == "purchase").alias("valid"), (F.col("event_type") == "error").alias("failed"), F.col("ts").cast("timestamp").alias("ts"))
+    base, last = shared_dir(spark, "stream"), e.agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0]
+    cuts = [-1, *((last * j) // 4 + 1 for j in range(1, 4)), last]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        e.where((F.col("event_id") > low) & (F.col("event_id") <= high)).drop("event_id").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(e.drop("event_id").schema).parquet(f"{base}/in")
+        jobs.status_stream(stream, f"{base}/out", f"{base}/state", time="ts", wait="12 hours").awaitTermination()
+    return jobs.statuses(spark, f"{base}/out")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         jsonl_scan, split_scan, split_limit, manifest_scan, json_map_merge, report_items, bundle_scan, convert_bundles, name_repair, blueprint_files, expert_case_errors, question_source, manifest_verify,
-        failure_report, comparison_page, profile_page, run_page, setting_resolution, dataset_gate,
+        failure_report, comparison_page, profile_page, run_page, setting_resolution, dataset_gate, config_diff, repair_loop_stream,
     )
 }
 
@@ -262,38 +292,11 @@ _TRAIN = "doc_id % 10 < 8"
 _SHARDS = f"SELECT doc_id, text, CASE WHEN {_TRAIN} THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, CASE WHEN {_TRAIN} THEN doc_id % 3 ELSE 0 END AS shard FROM documents"
 
 
-def _q(x) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
-def _values(columns: str, rows: list[tuple]) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(r) + ')' for r in rows)}) v({columns})"
-
-
-def _converted_rows():
-    """What the bundles above become, written out by hand."""
-    s, u = "skills.sh", "https://skills.sh/"
-    return [
-        ("acme_tools__mail-merge", "mail-merge", "Merges letters with addresses.", "Merges letters with addresses.", "many letters|2 lists|one list", "no faxes", "SKILL.md:212|assets/logo.png:0|scripts/run.py:10", s, "acme/tools", u + "acme/tools/mail-merge", "apache-2.0", ""),
-        ("acme_tools__own", "own", "It's \"own\"", "Text.", "It's \"own\"", "", "COPYING:50|SKILL.md:53", s, "acme/tools", u + "acme/tools/own", "mit", ""),
-        ("acme_tools__Bad_Name", "Bad_Name", "", "", "plain", "", "SKILL.md:42", s, "acme/tools", u + "acme/tools/Bad_Name", "apache-2.0", "invalid name: 'Bad_Name'|description must be 1-1024 chars"),
-        ("acme_tools__numbers", "12", "None", "None", "None", "", "SKILL.md:36", s, "acme/tools", u + "acme/tools/12", "apache-2.0", "name '12' != directory 'numbers'"),
-        ("other__claude", "", "", "no front matter, a�b", "", "", "SKILL.md:20|references/deep/a.md:4", s, "other", u + "other/", "unknown", "invalid name: ''|name '' != directory 'claude'|description must be 1-1024 chars"),
-        ("other__broken", "", "", "body", "", "", "SKILL.md:21", s, "other", u + "other/", "unknown", "invalid name: ''|name '' != directory 'broken'|description must be 1-1024 chars"),
-    ]
-
-
-def _scanned_rows():
-    out = []
-    for path, content in _BUNDLES.items():
-        parts = path.split("/")
-        if len(parts) < 4 or ".git" in parts:
-            continue
-        shown = None if b"\x00" in content else content.decode("utf-8", "replace").encode().hex().upper()
-        out.append((parts[0], "/".join(parts[1:3]), parts[2], "/".join(parts[3:]), shown))
-    return out
-
-
+_ERRORS_SQL = _SELECT_SQL["assemble_errors"]
+_BUNDLE_ROWS = f"""b AS (SELECT doc_id, lang, text, source || '_kit' AS repo, source || '/kit' AS slug, 'item-' || doc_id AS dir, {_K} AS k, {_MAIN_SQL} AS main, CAST(substr(source, 4) AS INT) % 2 = 0 AS licensed FROM documents WHERE {_K} <> 7),
+      n AS (SELECT *, CASE k WHEN 2 THEN 'Item_' || doc_id WHEN 3 THEN '12' WHEN 4 THEN '' WHEN 5 THEN '' WHEN 6 THEN 'claude' ELSE dir END AS name,
+        CASE k WHEN 0 THEN 'Folds ' || lang || ' lines.' WHEN 1 THEN concat('It', {_Q}, 's ', {_DQ}, lang, {_DQ}) WHEN 2 THEN '' WHEN 3 THEN 'None' WHEN 4 THEN '' WHEN 5 THEN '' ELSE 'd ' || lang END AS des FROM b)"""
+_SHOWN = f"concat({_Q}, name, {_Q})"
 _CODES = "CASE WHEN NOT ok THEN 'E10' WHEN k = 2 THEN 'E2' WHEN k IN (3, 17) THEN 'E4' WHEN k IN (5, 7, 13, 14) THEN 'E5' WHEN k IN (6, 12, 15) THEN 'E3' WHEN k = 9 THEN 'E1' WHEN k = 11 THEN 'E8' ELSE '' END"
 _FAILED = f"WITH i AS (SELECT doc_id AS id, {_CODES} AS code FROM (SELECT doc_id, doc_id % 18 AS k, doc_id % 17 <> 0 AND doc_id % 18 NOT IN (1, 8) AS ok FROM documents))"
 ORACLE_SQL = {
@@ -303,18 +306,19 @@ ORACLE_SQL = {
     "manifest_scan": f"SELECT doc_id, md5(text) AS text_md5, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS pos, split, true AS refused FROM ({_SHARDS}) WHERE split <> 'train'",
     "json_map_merge": "SELECT item_id, md5(CASE WHEN item_id % 3 = 0 THEN 'new ' || text ELSE text END) AS text_md5 FROM benchmark",
     "report_items": "SELECT form, item_id, item_id % 2 = 0 AS ok FROM benchmark, (VALUES ('list'), ('object')) f(form)",
-    "bundle_scan": _values("repo, relpath, name, path, content", [tuple(map(_q, r)) for r in _scanned_rows()]),
-    "convert_bundles": _values("id, name, description, purpose, when_to_use, when_not_to_use, files, source, repo, skill_url, license, errors", [tuple(map(_q, r)) for r in _converted_rows()]),
-    "name_repair": _values("id, name, n_errors, original_name, name_normalized, name_line", [
-        ("'acme_tools__mail-merge'", "'mail-merge'", "CAST(0 AS BIGINT)", "NULL", "false", "'name: mail-merge'"), ("'acme_tools__own'", "'own'", "CAST(0 AS BIGINT)", "NULL", "false", "'name: ''own'''"),
-        ("'acme_tools__Bad_Name'", "'bad-name'", "CAST(0 AS BIGINT)", "'Bad_Name'", "true", "'name: bad-name'"), ("'acme_tools__numbers'", "'numbers'", "CAST(0 AS BIGINT)", "'12'", "true", "'name: numbers'"),
-        ("'other__claude'", "'claude'", "CAST(0 AS BIGINT)", "''", "true", "''"), ("'other__broken'", "'broken'", "CAST(0 AS BIGINT)", "''", "true", "'name: broken'"),
-    ]),
-    "blueprint_files": _values("id, name, license", [(_q(r[0]), _q(r[1]), _q(r[10])) for r in _converted_rows()]),
-    "expert_case_errors": _values("stem, error", [
-        ("'E001'", "NULL"), *(("'E002'", _q(e)) for e in ("field 'source_skill' has wrong type", "unexpected fields more", "id differs from the file name", "unknown trap_type", "blank instruction", "wrong author")),
-        ("'E004'", "'top level must be an object'"), ("'E005'", "'invalid JSON'"),
-    ]),
+    "bundle_scan": f"""WITH {_BUNDLE_ROWS}, f AS (SELECT *, unnest([{{'k': -1, 'p': 'SKILL.md', 'c': main}}, {{'k': -1, 'p': 'data/text.md', 'c': text}}, {{'k': 0, 'p': 'scripts/run.py', 'c': 'print(1)' || chr(13) || chr(10)}}, {{'k': 0, 'p': 'assets/logo.png', 'c': NULL}},
+        {{'k': 8, 'p': 'references/deep/a.md', 'c': 'café'}}, {{'k': 9, 'p': 'assets/logo.png', 'c': NULL}}, {{'k': 11, 'p': 'COPYING', 'c': 'Permission is hereby granted under the MIT license'}}]) AS e FROM b)
+      SELECT repo, 'skills/' || dir AS relpath, dir AS name, e.p AS path, md5(e.c) AS content_md5 FROM f WHERE e.k IN (-1, f.k)""",
+    "convert_bundles": f"""WITH {_BUNDLE_ROWS}
+      SELECT repo || '__' || dir AS id, name, des AS description, CASE k WHEN 0 THEN 'First of ' || lang || ', second.' WHEN 1 THEN 'Text of ' || lang || '.' WHEN 2 THEN '' WHEN 3 THEN 'None' WHEN 4 THEN main WHEN 5 THEN 'body' ELSE 'Body of ' || lang || '.' END AS purpose,
+        CASE k WHEN 0 THEN 'many|2 more|one' WHEN 2 THEN 'plain' ELSE des END AS when_to_use, CASE k WHEN 0 THEN 'no faxes' ELSE '' END AS when_not_to_use,
+        concat(CASE WHEN k = 11 THEN 'COPYING:50|' ELSE '' END, 'SKILL.md:', length(main), CASE WHEN k IN (0, 9) THEN '|assets/logo.png:0' ELSE '' END, '|data/text.md:', length(text), CASE k WHEN 0 THEN '|scripts/run.py:10' WHEN 8 THEN '|references/deep/a.md:4' ELSE '' END) AS files,
+        'skills.sh' AS source, slug AS repo, 'https://skills.sh/' || slug || '/' || name AS skill_url, CASE WHEN k = 11 THEN 'mit' WHEN licensed THEN 'apache-2.0' ELSE 'unknown' END AS license,
+        array_to_string(list_filter([CASE WHEN k IN (2, 4, 5) THEN 'invalid name: ' || {_SHOWN} END, CASE WHEN k = 6 THEN 'reserved name: ' || {_SHOWN} END, CASE WHEN name <> dir THEN concat('name ', {_SHOWN}, ' != directory ', {_Q}, dir, {_Q}) END, CASE WHEN des = '' THEN 'description must be 1-1024 chars' END], lambda x: x IS NOT NULL), '|') AS errors FROM n""",
+    "name_repair": f"""WITH {_BUNDLE_ROWS} SELECT repo || '__' || dir AS id, dir AS name, CAST(0 AS BIGINT) AS n_errors, CASE WHEN name <> dir THEN name END AS original_name, name <> dir AS name_normalized,
+        CASE k WHEN 1 THEN concat('name: ', {_Q}, dir, {_Q}) WHEN 4 THEN '' ELSE 'name: ' || dir END AS name_line FROM n""",
+    "blueprint_files": f"WITH {_BUNDLE_ROWS} SELECT repo || '__' || dir AS id, name, CASE WHEN k = 11 THEN 'mit' WHEN licensed THEN 'apache-2.0' ELSE 'unknown' END AS license FROM n",
+    "expert_case_errors": f"""SELECT doc_id, {_STEM.replace('{s}', 'VARCHAR')} AS stem, CASE doc_id % 11 {' '.join(f"WHEN {k} THEN '{e.replace(chr(39), chr(39) * 2)}'" for k, (_, e) in _CASE_FAULTS.items())} END AS error FROM documents""",
     "question_source": "SELECT CAST(p_partkey AS VARCHAR) AS question, CAST(3 AS BIGINT) AS n_options, p_partkey % 4 AS answer, 'parts' AS topic FROM part WHERE p_partkey % 4 < 3 AND p_size % 7 <> 0 UNION ALL SELECT 'q', 2, 1, 'local' FROM range(2)",
     "manifest_verify": """WITH s AS (SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'val' END AS split, doc_id, to_json({'id': CAST(doc_id AS VARCHAR), 'domain': lang, 'repo': source}) AS r FROM documents),
       k AS (SELECT CASE WHEN count(*) > 100 THEN (count(*) + 99) // 100 ELSE 1 END AS k FROM s WHERE split = 'train'),
@@ -346,6 +350,11 @@ ORACLE_SQL = {
         UNION ALL SELECT 5, 5, printf('| %d | 0 | %d |', count(*), count(*) FILTER (WHERE files = 0)) FROM d
         UNION ALL SELECT 6, 4 + row_number() OVER (ORDER BY files), printf('| %d | %d |', files, n) FROM (SELECT files, count(*) AS n FROM d GROUP BY files))""",
     "run_page": "SELECT * FROM (VALUES ('base', CAST(NULL AS BIGINT), false, false), ('base', 10, true, true), ('other', NULL, true, true)) v(model, top, smoke, said)",
-    "setting_resolution": "SELECT * FROM (VALUES ('a', 'b', 'a'), (NULL, 'b', 'b'), (NULL, NULL, 'c'), ('z', NULL, 'refused')) v(argument, environment, value)",
-    "dataset_gate": "SELECT * FROM (VALUES ('clean', CAST(2 AS BIGINT), ''), ('faulty', 0, 'a: no files' || chr(10) || 'b: instruction too short')) v(name, n, said)",
+    "setting_resolution": """WITH r AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN lang END, CASE WHEN doc_id % 3 = 0 THEN source END, 'c') AS v FROM documents)
+      SELECT doc_id, CASE WHEN v IN ('en', 'de', 'src1', 'c') THEN v END AS value, CASE WHEN v NOT IN ('en', 'de', 'src1', 'c') THEN chr(39) || v || chr(39) || ' is none of en, de, src1, c' END AS refused FROM r""",
+    "dataset_gate": f"""WITH e AS ({_ERRORS_SQL}), w AS (SELECT doc_id AS id FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0)
+      SELECT 'clean' AS name, count(*) AS n, '' AS said FROM w WHERE id NOT IN (SELECT id FROM e) UNION ALL SELECT 'faulty', 0, string_agg(id || ': ' || error, chr(10) ORDER BY id, error) FROM (SELECT * FROM e ORDER BY id, error LIMIT 30)""",
+    "config_diff": """SELECT doc_id, 'train.seed' AS key, CAST(doc_id AS VARCHAR) AS value_a, CAST(doc_id + 1 AS VARCHAR) AS value_b FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'more', NULL, 'None' FROM documents WHERE doc_id % 3 = 1
+      UNION ALL SELECT doc_id, 'train.lr', '0.' || doc_id % 7, '1e-4' FROM documents WHERE doc_id % 5 = 0""",
+    "repair_loop_stream": _SCORE_SQL["repair_loop_status"],
 }

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decoded, is_binary
 from ..operators.splits import ranked
+from ..staging import small_side, staged
 
 RECORD = (
     "instruction string, context string, expected_blueprint string, "
@@ -72,54 +73,73 @@ def all_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_map(spark: SparkSession, paths: list[str], key: str = "id", value: str = "instruction") -> DataFrame:
-    """(key, value) of JSON objects in files; for keys in several files the last file counts."""
+    """(key, value) of JSON objects, one a file, in files or folders; for keys in several paths the last path counts."""
     out = None
     for i, p in enumerate(paths):
-        text = spark.read.text(p, wholetext=True)
+        text = spark.read.option("recursiveFileLookup", "true").text(p, wholetext=True)
         df = text.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value)).withColumn("_file", F.lit(i))
         out = df if out is None else out.unionByName(df)
     return out.groupBy(key).agg(F.max_by(value, "_file").alias(value))
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a report, as VARIANT: a list at the top, or an object's `items`."""
-    v = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    """Items of a report's file, or of a folder's in the order of their names, as VARIANT: a list at the top, or an object's `items`."""
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    v = text.select(F.col("_metadata.file_path").alias("_file"), F.parse_json("value").alias("v"))
     listed = F.coalesce(F.try_variant_get("v", "$.items", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    return v.select(F.posexplode(listed).alias("_pos", "item"))
+    return v.select("_file", F.posexplode(listed).alias("_at", "item")).select(F.struct("_file", "_at").alias("_pos"), "item")
+
+
+def files_below(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(rel, content) of the files below a folder, by their paths from there."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    return raw.select(F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*', '/'), {len(base) + 2})").alias("rel"), "content")
+
+
+def _placed(folder: str) -> list:
+    """repo, relpath and name of a folder repo/.../name."""
+    p = F.split(folder, "/")
+    return [F.get(p, 0).alias("repo"), F.array_join(F.slice(p, 2, F.size(p)), "/").alias("relpath"), F.element_at(p, -1).alias("name")]
 
 
 def bundles(spark: SparkSession, root: str, marker: str = "SKILL.md") -> DataFrame:
+    """bundles_of() the files below root, which lie as root/repo/.../name/SKILL.md."""
+    return bundles_of(files_below(spark, root), marker)
+
+
+def bundles_of(files: DataFrame, marker: str = "SKILL.md") -> DataFrame:
     """(repo, relpath, name, main, files) of every folder that holds the marker, files below it in path order.
 
-    root/repo/.../name/SKILL.md; folders of version control are passed over. Binary files have null content.
+    files are (rel, content): a path from the top and its bytes. Folders of version control are passed over;
+    binary files have null content. A file belongs to every marked folder above it, which is found out from
+    paths alone: contents join what is known to belong somewhere, and no other file's bytes are shuffled.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(~F.col("path").contains("/.git/"))
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    raw = raw.select(F.regexp_replace("path", r"^[a-z]+:/*", "/").alias("path"), F.when(~is_binary(F.col("content")), decoded(F.col("content"))).alias("content"))
-    rel = F.expr(f"substring(path, {len(base) + 2})")
-    files = raw.withColumn("rel", rel)
-    dirs = files.where((F.col("rel") == marker) | F.col("rel").endswith("/" + marker)).select(F.regexp_replace("rel", "/?[^/]*$", "").alias("dir"), F.col("content").alias("main"))
-    # A file belongs to every marked folder above it: its ancestors are at most its depth.
+    files = files.where(~F.concat(F.lit("/"), "rel").contains("/.git/"))
+    paths = files.select("rel")
+    dirs = paths.where((F.col("rel") == marker) | F.col("rel").endswith("/" + marker)).select(F.regexp_replace("rel", "/?[^/]*$", "").alias("dir"))
     parts = F.split("rel", "/")
-    up = files.withColumn("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))))
-    inside = up.join(dirs, "dir")
-    entry = F.struct(F.expr("substring(rel, length(dir) + 2)").alias("path"), "content")
-    grouped = inside.groupBy("dir").agg(F.any_value("main").alias("main"), F.array_sort(F.collect_list(entry)).alias("files"))
-    p = F.split("dir", "/")
-    return grouped.select(F.get(p, 0).alias("repo"), F.array_join(F.slice(p, 2, F.size(p)), "/").alias("relpath"), F.element_at(p, -1).alias("name"), "main", "files")
+    up = paths.select("rel", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir"))
+    belongs = staged(up.join(dirs, "dir"), "bundle-paths")
+    inside = files.join(small_side(belongs, size="length(rel) + length(dir)"), "rel")
+    shown = F.when(~is_binary(F.col("content")), decoded(F.col("content")))
+    entry = F.struct(F.expr("substring(rel, length(dir) + if(dir = '', 1, 2))").alias("path"), shown.alias("content"))
+    grouped = inside.select("dir", entry.alias("f")).groupBy("dir").agg(F.max(F.when(F.col("f.path") == marker, F.col("f.content"))).alias("main"), F.array_sort(F.collect_list("f")).alias("files"))
+    return grouped.select(*_placed("dir"), "main", "files")
 
 
 def licences(spark: SparkSession, root: str, names: tuple[str, ...]) -> DataFrame:
-    """(dir, repo, relpath, text) of the first licence file of each folder, by the order of names; relpath is empty for root/repo itself."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.element_at(F.split("path", "/"), -1)
+    """licences_of() the files below root; no other file is read."""
+    return licences_of(files_below(spark, root, "{" + ",".join(names) + "}"), names)
+
+
+def licences_of(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(dir, repo, relpath, text) of the first licence file of each folder, by the order of names; relpath is empty for a repository itself."""
+    name = F.element_at(F.split("rel", "/"), -1)
     rank = F.array_position(F.array(*map(F.lit, names)), name)
-    found = raw.where(name.isin(*names)).select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), decoded(F.col("content")).alias("text"), rank.alias("rank"))
-    first = found.withColumn("rn", F.row_number().over(Window.partitionBy("dir").orderBy("rank"))).where("rn = 1")
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    rel = F.expr(f"substring(regexp_replace(dir, '^[a-z]+:/*', '/'), {len(base) + 2})")
-    p = F.split(rel, "/")
-    return first.select("dir", F.get(p, 0).alias("repo"), F.array_join(F.slice(p, 2, F.size(p)), "/").alias("relpath"), "text")
+    found = files.where(name.isin(*names)).select(F.regexp_replace("rel", "/?[^/]*$", "").alias("dir"), decoded(F.col("content")).alias("text"), rank.alias("rank"))
+    first = found.groupBy("dir").agg(F.min_by("text", "rank").alias("text"))
+    return first.select("dir", *_placed("dir")[:2], "text")
 
 
 def expert_cases(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,14 +166,13 @@ def questions(spark: SparkSession, path: str | None, local: DataFrame, limit: in
     return local
 
 
-def config(path: str) -> dict:
-    """A YAML mapping; anything else at the top is refused."""
+def config(spark: SparkSession, path: str) -> dict:
+    """A YAML mapping in one small file, by whatever file system holds it; anything else at the top is refused."""
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("reading YAML takes the yaml library") from e
-    with open(path) as f:
-        out = yaml.safe_load(f)
+    out = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
     if not isinstance(out, dict):
         raise ValueError(f"{path} is not a mapping")
     return out

@@ -14,22 +14,39 @@ def jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
 
 
 def split_folder(df: DataFrame, path: str, *, record: str, pos: str, split: str = "split", shard_size: int = 100, **facts) -> DataFrame:
-    """Writes path/split=../shard=../ as text lines, train in balanced shards; returns the manifest, also written there."""
+    """Writes path/split=../shard=../ as text lines, train in balanced shards; returns the manifest, also written there.
+
+    Every split but train is one shard, as readers expect one file of it: a task holds one open file and sorts
+    its records, spilling where they are many.
+    """
     train = _splits.shards(df.where(F.col(split) == "train"), record, pos, shard_size)
     rest = df.where(F.col(split) != "train").withColumn("shard", F.lit(0).cast("bigint"))
     rows = train.unionByName(rest).select(split, "shard", pos, record)
     rows.repartition(split, "shard").sortWithinPartitions(split, "shard", pos).select(split, "shard", F.col(record).alias("value")).write.partitionBy(split, "shard").mode("errorifexists").text(f"{path}/data")
     spark = df.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/data")
-    name = F.regexp_extract("path", r"(split=[^/]*/shard=[^/]*)/", 1)
-    lines = F.size(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x) != "")).cast("bigint")
-    out = files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), lines.alias("n_lines"))
-    for k, v in facts.items():
-        out = out.withColumn(k, F.lit(v))
+    out = _splits.manifest(spark, f"{path}/data", pattern="*.txt", **facts).withColumn("file", F.regexp_extract("file", r"(split=[^/]*/shard=[^/]*)/", 1))
     out.write.mode("errorifexists").json(f"{path}/manifest")
     return spark.read.schema(out.schema).json(f"{path}/manifest")
 
 
+def _by_part(df: DataFrame, path: str, key: str, entries: int, text: Column) -> None:
+    """One file for about so many rows, dealt by hash: what text makes of all of them."""
+    parts = max(1, -(-df.count() // entries))
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")
+    df.groupBy(part).agg(text.alias("value")).write.partitionBy("part").mode("errorifexists").text(path)
+
+
+def json_map(df: DataFrame, path: str, key: str, value: str, entries: int = 1000) -> None:
+    """JSON objects of keys and values in a folder, about so many entries a file."""
+    _by_part(df, path, key, entries, F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value))))))
+
+
+def json_items(df: DataFrame, path: str, key: str, under: str | None = None, entries: int = 1000) -> None:
+    """Rows as items of JSON lists in a folder, at the top of each file or under a name, about so many items a file."""
+    listed = F.collect_list(F.struct(*df.columns))
+    _by_part(df, path, key, entries, F.to_json(listed if under is None else F.struct(listed.alias(under))))
+
+
 def blueprints(df: DataFrame, path: str) -> None:
     """{blueprint, provenance} of each record as JSON, in a folder by id."""
     df.select("id", F.to_json(F.struct("blueprint", "provenance"), {"pretty": "true"}).alias("value")).write.partitionBy("id").mode("errorifexists").text(path)

@@ -10,6 +10,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL = "file:///tmp/curatrix-shared"
 #: Scratch folders made so far inside open scratch blocks, the innermost block last.
@@ -71,3 +72,12 @@ def scratch(spark: SparkSession):
     finally:
         for path in _OPEN.pop():
             remove_tree(spark, path)
+
+
+def small_side(df: DataFrame, most_bytes: int = 32 << 20, size: str = "0") -> DataFrame:
+    """df as the side to broadcast if it has been measured to be small, as it is otherwise: a shuffle then joins it.
+
+    The measure is 16 bytes a row and what size, an SQL expression, says of each. df should be cheap to read.
+    """
+    n = df.agg(F.coalesce(F.sum(F.expr(f"16 + {size}").cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most_bytes else df

@@ -21,22 +21,34 @@ def score_stream(predictions: DataFrame, refs: DataFrame, sink: str, checkpoint:
     return predictions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_STATE = "good int, broken int, most int, good_output string, last_output string"
+_STATE = "good int, broken int, most int, good_output string, last_output string, seen bigint"
 _STATUS = "status int, n_attempts bigint, output string"
 
 
-def status_stream(attempts: DataFrame, sink: str, checkpoint: str, key: str = "request_id", most: int = 3) -> StreamingQuery:
+def status_stream(attempts: DataFrame, sink: str, checkpoint: str, key: str = "request_id", most: int = 3, *, time: str | None = None, wait: str = "1 hour") -> StreamingQuery:
     """The status of every request as its attempts arrive; statuses(sink) has the last one of each.
 
     What a request needs of its attempts (the first valid and the first broken one, the last output) is
     state of the stream, so no attempt is read again. Each micro-batch writes the requests that it changed
     to a folder of its own; one that runs again after a failure replaces its folder.
+
+    time names the attempts' event time. The watermark follows it at a distance of `wait`; a request whose
+    last attempt the watermark has passed by as much again leaves the state, by a timer, and its status
+    stays as written. Attempts older than the watermark are late and don't count. So the state holds the
+    requests of two waits, however long the stream runs; without a time it holds all that ever were.
     """
     import pandas as pd
 
+    distance = int(pd.Timedelta(wait).total_seconds() * 1000)
+
     def update(name, frames, state):
-        good, broken, last, good_output, last_output = state.get if state.exists else (None, None, None, None, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        good, broken, last, good_output, last_output, seen = state.get if state.exists else (None, None, None, None, None, 0)
         for pdf in frames:
+            if time is not None:
+                seen = max(seen, int(pdf["_ms"].max()))
             for a, output, valid, failed in zip(pdf["attempt"], pdf["output"], pdf["valid"], pdf["failed"], strict=True):
                 a = int(a)
                 if a > most:
@@ -47,7 +59,9 @@ def status_stream(attempts: DataFrame, sink: str, checkpoint: str, key: str = "r
                     broken = a
                 if last is None or a >= last:
                     last, last_output = a, output
-        state.update((good, broken, last, good_output, last_output))
+        state.update((good, broken, last, good_output, last_output, seen))
+        if time is not None:
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + distance)
         if last is None:
             return
         if good is not None and (broken is None or good < broken):
@@ -59,7 +73,8 @@ def status_stream(attempts: DataFrame, sink: str, checkpoint: str, key: str = "r
         yield pd.DataFrame([(*name, *row)], columns=[key, "status", "n_attempts", "output"])
 
     kind = attempts.schema[key].dataType.simpleString()
-    changed = attempts.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {_STATUS}", _STATE, "update", "NoTimeout")
+    timed = attempts if time is None else attempts.withColumn("_ms", F.unix_millis(F.col(time))).withWatermark(time, wait)
+    changed = timed.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {_STATUS}", _STATE, "update", "NoTimeout" if time is None else "EventTimeTimeout")
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/status/batch={number}")

@@ -1,5 +1,6 @@
 """Operators against hand-computed cases and brute force in plain Python."""
 
+import hashlib
 import itertools
 import json
 import random
@@ -334,6 +335,25 @@ def test_deals(spark):
     assert a == b and len(a) == 12 and set(a.values()) == {"train", "val", "test"}
     for wave in (1, 3, 1000):
         assert {r["id"]: r["split"] for r in splits.deal(df, sizes, cluster="grp", domain="dom", pos="pos", wave=wave).collect()} == a
+    r = random.Random(4)
+    some, k = [], 0
+    for c in range(150):
+        for _ in range(r.choice([1, 1, 1, 2, 5])):
+            some.append((k, c, "d"))
+            k += 1
+    df, sizes = spark.createDataFrame(some, "id bigint, grp bigint, dom string").withColumn("pos", F.col("id")), {"train": k * 8 // 10, "val": k // 10, "test": k // 10}
+    size = Counter(c for _, c, _ in some)
+    order = sorted(size, key=lambda c: hashlib.md5(f"7:{c}".encode()).hexdigest())
+    split, room, at, round_ = {}, dict(sizes), 0, ["train"] * 8 + ["val", "test"]
+    for c in order:
+        ahead = [(at + j) % 10 for j in range(10)]
+        fits = next((j for j in ahead if room[round_[j]] >= size[c]), None)
+        split[c] = round_[fits] if fits is not None else max(sizes, key=lambda s: room[s])
+        at = (fits + 1) % 10 if fits is not None else at
+        room[split[c]] -= size[c]
+    for wave, replay in ((1, 1), (7, 2), (40, 1), (1000, 8)):
+        got = splits.deal(df, sizes, cluster="grp", domain="dom", pos="pos", wave=wave, replay=replay).select("grp", "split").distinct().collect()
+        assert {x["grp"]: x["split"] for x in got} == split
     m = splits.majority_domain(spark.createDataFrame([(1, "b", 0), (1, "a", 1), (2, "z", 2)], "c int, d string, p int"), "c", "d", "p")
     assert {r["c"]: r["domain"] for r in m.collect()} == {1: "b", 2: "z"}
 

@@ -1,12 +1,14 @@
 """Readers, writers and streams on small folders."""
 
+import datetime
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import stats, text
-from curatrix.operators import profile, splits
+from curatrix.operators import assemble, profile, splits
 from curatrix.sources import readers, writers
 from curatrix.streaming import jobs
 
@@ -63,6 +65,41 @@ def test_maps_and_items(spark, tmp_path):
     assert readers.items(spark, str(tmp_path / "o.json")).count() == 1
 
 
+def test_maps_and_items_in_many_files(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").alias("k"), F.concat(F.lit("v\n"), "id").alias("v"))
+    writers.json_map(df, f"{tmp_path}/m", "k", "v", 40)
+    assert len(list((tmp_path / "m").glob("part=*/part-*"))) == 8
+    got = readers.json_map(spark, [f"{tmp_path}/m"])
+    assert {tuple(r) for r in got.collect()} == {(str(i), f"v\n{i}") for i in range(300)}
+    for under in (None, "items"):
+        writers.json_items(df, f"{tmp_path}/i{under}", "k", under, 70)
+        found = readers.items(spark, f"{tmp_path}/i{under}")
+        assert {r[0] for r in found.select(F.try_variant_get("item", "$.k", "bigint")).collect()} == set(range(300)) and found.select("_pos").distinct().count() == 300
+    writers.json_map(df.limit(0), f"{tmp_path}/none", "k", "v")
+    assert readers.json_map(spark, [f"{tmp_path}/m", f"{tmp_path}/m"]).count() == 300
+
+
+def test_config_is_a_mapping(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("a: 1\nb:\n  c: [x, y]\n  d: null\n")
+    found = readers.config(spark, str(tmp_path / "c.yaml"))
+    assert found == {"a": 1, "b": {"c": ["x", "y"], "d": None}} and assemble.flatten_config(found) == {"a": 1, "b.c": ["x", "y"], "b.d": None}
+    (tmp_path / "l.yaml").write_text("- a\n")
+    with pytest.raises(ValueError, match="not a mapping"):
+        readers.config(spark, str(tmp_path / "l.yaml"))
+    texts = ["a: 1\nb:\n  c: [x]\n  d: yes", "- a", "a: [", "", None, "1: x\n2.5: y"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").coalesce(1).select(text.yaml_settings("x")).collect()]
+    assert got == [{"a": "1", "b.c": "['x']", "b.d": "True"}, None, None, None, None, {"1": "x", "2.5": "y"}]
+
+
+def test_bundles_move_only_what_belongs_to_one(spark):
+    files = [("r/a/SKILL.md", b"main"), ("r/a/x/y.md", b"deep"), ("r/a/sub/SKILL.md", b"inner"), ("r/a/sub/z", b"\x00"), ("r/none/big.bin", b"z" * 100_000), ("SKILL.md", b"top"), ("r/.git/SKILL.md", b"no")]
+    df = spark.createDataFrame(files, "rel string, content binary")
+    got = {r["name"]: (r["main"], [tuple(f) for f in r["files"]]) for r in readers.bundles_of(df.where("rel <> 'SKILL.md'")).collect()}
+    assert got == {"a": ("main", [("SKILL.md", "main"), ("sub/SKILL.md", "inner"), ("sub/z", None), ("x/y.md", "deep")]), "sub": ("inner", [("SKILL.md", "inner"), ("z", None)])}
+    top = next(r for r in readers.bundles_of(df).collect() if r["main"] == "top")
+    assert top["name"] == "" and len(top["files"]) == 6 and readers.bundles_of(df.limit(0)).isEmpty()
+
+
 def test_bundles_and_licences(spark, tmp_path):
     for p, content in {
         "own_repo/skills/a/SKILL.md": b"---\nname: a\n---\nx", "own_repo/skills/a/scripts/run.py": b"print()", "own_repo/skills/a/assets/i.png": b"\x89\x00", "own_repo/.git/skills/z/SKILL.md": b"no",
@@ -113,6 +150,27 @@ def test_split_folder_and_manifest(spark, tmp_path):
     assert sizes == [76, 77, 77]
 
 
+def test_large_files_are_hashed_as_trees(spark, tmp_path):
+    lines = [f"line {i}" * (i % 5) for i in range(20_000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines))
+    (tmp_path / "small.jsonl").write_text("{}\n")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    hashes = [sha(x) for x in lines]
+    want = sha("\n".join(sha("\n".join(hashes[i : i + splits.LEAF_LINES])) for i in range(0, len(hashes), splits.LEAF_LINES)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = []
+    for size in ("20k", "1g"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got.append({r["file"]: (r["sha256"], r["n_lines"]) for r in splits.manifest(spark, str(tmp_path), whole=1000).collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got[0] == got[1] == {"big.jsonl": (want, 16_000), "small.jsonl": (sha("{}\n"), 1)}
+    kept = spark.createDataFrame([(f, *x) for f, x in got[0].items()], "file string, sha256 string, n_lines bigint")
+    assert splits.verify(spark, str(tmp_path), kept, whole=1000)
+    lines[15_000], lines[15_001] = lines[15_001], lines[15_000]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines))
+    assert not splits.verify(spark, str(tmp_path), kept, whole=1000)
+
+
 def test_manifest_verification(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("{}\n{}\n")
     (tmp_path / "b.jsonl").write_text("{}\n")
@@ -132,6 +190,28 @@ def test_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 1
 
 
+def test_stream_lets_old_requests_go(spark, tmp_path):
+    start, schema = 1_700_000_000, "request_id bigint, attempt int, output string, valid boolean, failed boolean, ts timestamp"
+    rows = [(i // 2, i % 2 + 1, f"o{i}", i % 7 == 3, i % 11 == 5, start + 600 * i) for i in range(400)]
+    held = []
+    for part in range(4):
+        some = [(*r[:5], datetime.datetime.fromtimestamp(r[5], datetime.UTC)) for r in rows[part * 100 + (part > 0) : part * 100 + 101]]
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = jobs.status_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", time="ts", wait="1 hour")
+        query.awaitTermination()
+        held.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    want = assemble.attempt_status(spark.createDataFrame(rows, "request_id bigint, attempt int, output string, valid boolean, failed boolean, ts bigint"))
+    key = lambda df: sorted(tuple(r[c] for c in ("request_id", "status", "n_attempts", "output")) for r in df.collect())
+    assert key(jobs.statuses(spark, f"{tmp_path}/out")) == key(want)
+    # 200 requests came; the state holds those of the last two waits, 12 attempts and what the last batch brought.
+    assert max(held) <= 60 and held[-1] < 60
+    # What comes after the watermark is late.
+    late = [(0, 3, "late", True, False, datetime.datetime.fromtimestamp(start, datetime.UTC))]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    jobs.status_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", time="ts", wait="1 hour").awaitTermination()
+    assert key(jobs.statuses(spark, f"{tmp_path}/out")) == key(want)
+
+
 def test_failures_are_listed_whole(spark, tmp_path):
     counts = spark.createDataFrame([("E1", 300), ("E2", 0)], "code string, n bigint")
     ids = lambda n: spark.range(n).select(F.format_string("i%04d", F.col("id")).alias("id"))
