@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, by_place, shared_dir, small_side, staged, table
 
 MIN_REVISIT_BYTES = 0
-BATCH_BYTES = 16 << 20
+#: Bytes of an archive, and the blocks it is written in.
+FILE_BYTES = 128 << 20
+BLOCKS = 16
 
 #: The profile of WARC/1.1 for identical payloads, and a gzip member that holds nothing.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,13 +81,15 @@ def _member(head: list[str], block: bytes = b"") -> bytes:
     return z.compress(text.encode("utf-8", "surrogatepass")) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def _writer(path: str, kind: str):
-    """Records of a task's rows; the first is a warcinfo record. A task that has no rows writes none."""
+def _writer(path: str, kind: str, block_bytes: int):
+    """Records of a task's rows, in blocks that end with the record that fills them; the first is a warcinfo record. A task that has no rows writes none."""
+
+    def block_of(records):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(records)], pa.binary())], names=["records"])
 
     def run(batches):
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, out, size = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
-            out, size = [], 0
             if b.num_rows and not n:
                 info = b"software: curatrix\r\nformat: WARC File Format 1.1\r\n"
                 out.append(_member(["WARC-Type: warcinfo", f"WARC-Record-ID: {_urn(path, kind, part)}", f"WARC-Date: {WRITTEN}", "Content-Type: application/warc-fields"], info))
@@ -104,18 +108,22 @@ def _writer(path: str, kind: str):
                     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode() + payload
                 out.append(_member([*head, "Content-Type: application/http;msgtype=response"], block))
                 size += len(out[-1])
-                if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                if size > block_bytes:
+                    yield block_of(out)
                     out, size = [], 0
             n += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        if out:
+            yield block_of(out)
 
     return run
 
 
-def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT_BYTES, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT_BYTES, broadcast_bytes: int = 32 << 20, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes de-duplicated archives below path; returns the header ledger (id, url, sha1, n_bytes, refers_to, refers_url, tied).
 
+    A task goes on to another file after BLOCKS blocks of records, so a file holds file_bytes and, for each
+    block, the record that filled it at most; readers take a file whole.
+
     tied tells that several rows are the original: those get record ids of their own, and revisits name its address only.
     """
     source = _payloads(pages, page_id, url, html).withColumn("sha1", F.sha1("payload"))
@@ -141,8 +149,8 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     responses = with_ties(responses, "id").select("id", "url", "sha1", F.length("payload").cast("bigint").alias("n_bytes"), null("bigint").alias("refers_to"), null("string").alias("refers_url"), "tied", "payload")
     again = with_ties(revisits, "refers_to").select("id", "url", "sha1", "n_bytes", "refers_to", "refers_url", "tied", null("binary").alias("payload"))
     for kind, rows in (("response", responses), ("revisit", again)):
-        members = rows.mapInArrow(_writer(path, kind), "record binary").select(F.col("record").cast("string"))
-        members.write.options(lineSep=EMPTY_MEMBER, encoding="ISO-8859-1").text(f"{path}/{kind}")
+        blocks = rows.mapInArrow(_writer(path, kind, file_bytes // BLOCKS), "records binary").select(F.col("records").cast("string"))
+        blocks.write.options(lineSep=EMPTY_MEMBER, encoding="ISO-8859-1", maxRecordsPerFile=BLOCKS).text(f"{path}/{kind}")
     return with_ties(ledger, "id")
 
 

@@ -124,8 +124,10 @@ def store(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
 
     Policies are applied, changed and ablated on this table; no text is read again.
     """
-    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return staged(ledger(slim).select(F.col("key").alias(key), "_ledger.*"), "quality-ledger")
+    flat, at = by_place(docs)
+    slim = flat.select(F.col(at[key]).alias("_key"), F.col(at[text]).alias("text"))
+    led = staged(ledger(slim).select("_key", "_ledger.*"), "quality-ledger")
+    return led.toDF(key, *led.columns[1:])
 
 
 def passes(bits: Column, policy: str = PRODUCTION) -> Column:

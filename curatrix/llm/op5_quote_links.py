@@ -18,7 +18,7 @@ Defined results
   texts and places; rows equal in everything take neighbouring places;
 - null ids and turns come first and stay null; a quote of something nobody said, or said only later,
   stays unlinked, and is still taken out of the text;
-- an empty table gives an empty result; other columns play no part.
+- an empty table gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, NULL_ID, staged, table
+from .common import ASCII_SPACE, NULL_ID, by_place, staged, table
 
 MIN_LINE_CHARS = 20
 MAX_DOUBLINGS = 64
@@ -42,11 +42,12 @@ def _hash(col):
 
 def parsed(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, turn, role, said, quotes): the text without quotes, and the quoted passages as (level, text)."""
-    m = messages.select(
-        F.coalesce(F.col(conv_id).cast("bigint"), F.lit(NULL_ID)).alias("conv"),
-        F.coalesce(F.col(turn).cast("bigint"), F.lit(NULL_ID)).alias("turn"),
-        F.col(role).alias("role"),
-        F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("raw"),
+    flat, place = by_place(messages)
+    m = flat.select(
+        F.coalesce(F.col(place[conv_id]).cast("bigint"), F.lit(NULL_ID)).alias("conv"),
+        F.coalesce(F.col(place[turn]).cast("bigint"), F.lit(NULL_ID)).alias("turn"),
+        F.col(place[role]).alias("role"),
+        F.split(F.coalesce(F.col(place[text]), F.lit("")), "\n", -1).alias("raw"),
     )
     mark = lambda x: F.regexp_extract(x, r"^(?:[ \t]*>)+", 0)
     m = m.withColumn("at", F.transform("raw", lambda x: F.length(mark(x))))
@@ -156,8 +157,10 @@ u AS (SELECT conv_id, min(turn) AS source, unit FROM (
 qn AS (SELECT *, trim(lower(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS unit FROM q),
 w AS (SELECT qn.*, source FROM qn LEFT JOIN u ON qn.conv_id = u.conv_id AND qn.unit = u.unit AND u.source < qn.turn WHERE qn.unit <> ''),
 ql AS (SELECT conv_id, turn, run, level, trim(lower(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS unit FROM (SELECT *, unnest(string_split(t, chr(10))) AS x FROM w WHERE source IS NULL)),
+lf AS (SELECT ql.conv_id, ql.turn, run, level, u.source, length(ql.unit) AS chars FROM ql LEFT JOIN u ON ql.conv_id = u.conv_id AND ql.unit = u.unit AND u.source < ql.turn WHERE ql.unit <> ''),
 hits AS (SELECT conv_id, turn, run, level, source, length(unit) AS chars FROM w WHERE source IS NOT NULL
-         UNION ALL SELECT ql.conv_id, ql.turn, run, level, u.source, length(ql.unit) FROM ql JOIN u ON ql.conv_id = u.conv_id AND ql.unit = u.unit AND u.source < ql.turn WHERE length(ql.unit) >= 20),
+         UNION ALL SELECT conv_id, turn, run, level, source, chars FROM lf WHERE source IS NOT NULL AND chars >= 20
+         UNION ALL SELECT conv_id, turn, run, level, min(source), sum(chars) FILTER (WHERE chars < 20) FROM lf GROUP BY conv_id, turn, run, level HAVING bool_and(source IS NOT NULL) AND min(source) = max(source) AND min(chars) < 20),
 src AS (SELECT conv_id, turn, source, min(level) AS level, sum(chars) AS chars FROM hits GROUP BY 1, 2, 3),
 best AS (SELECT conv_id, turn, source AS reply_to FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, source DESC) AS r FROM src) WHERE r = 1),
 walk AS (SELECT conv_id, turn, reply_to AS thread, CAST(1 AS BIGINT) AS depth FROM best

@@ -49,7 +49,7 @@ WORDS = 5
 THRESHOLD = 75  # percent
 SKETCH_BITS = 20
 _CHUNKS = 16
-_SALTS = 64
+_FAN = 200  # partial counts that one group adds
 LEVELS = (1, 2, 4, 8, 16)
 CANDIDATE_COST = 4.0  # of one expected candidate, in postings
 STAR_SHARE = 0.25  # of the shorter prefix that a hub pair must share to be verified early
@@ -96,9 +96,9 @@ def _sketch_part(words: int):
                     held, size = [], 0
         if held:
             counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        salt = TaskContext.get().partitionId() % _SALTS
+        task = TaskContext.get().partitionId()
         parts = [zlib.compress(c.astype(np.int64).tobytes(), 1) for c in np.split(counts, _CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([salt] * _CHUNKS, pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "salt", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([task] * _CHUNKS, pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "task", "counts"])
 
     return run
 
@@ -109,11 +109,15 @@ def _add(pdf):
 
 
 def sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """How many shingles fall in each of 2^SKETCH_BITS cells, over all documents; its size is fixed."""
-    kind = "chunk int, salt int, counts binary"
-    parts = docs.select("text").mapInArrow(_sketch_part(words), kind)
-    some = parts.groupBy("chunk", "salt").applyInPandas(_add, kind)
-    rows = some.groupBy("chunk").applyInPandas(_add, kind).collect()
+    """How many shingles fall in each of 2^SKETCH_BITS cells, over all documents; its size is fixed.
+
+    Partial counts are added up level by level, so what a group adds doesn't grow with the number of tasks.
+    """
+    kind = "chunk int, task int, counts binary"
+    some = docs.select("text").mapInArrow(_sketch_part(words), kind)
+    for level in (_FAN, _FAN**2, _FAN**4):
+        some = some.groupBy("chunk", F.floor(F.col("task") / level).alias("g")).applyInPandas(_add, kind)
+    rows = some.collect()
     out = np.zeros((_CHUNKS, (1 << SKETCH_BITS) // _CHUNKS), np.int64)
     for r in rows:
         out[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)

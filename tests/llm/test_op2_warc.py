@@ -65,6 +65,20 @@ def test_clashing_columns_and_names_with_dots(spark):
     assert sorted(r["record_type"] for r in op.read_archives(spark, path).collect()) == ["response", "revisit"]
 
 
+def test_archives_are_bounded(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, f"http://p/{i}", "".join(r.choice("abcdefghij0123456789") for _ in range(2000)), i) for i in range(1500)]
+    path = shared_dir(spark, "warc-test")
+    op.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), path, file_bytes=160_000)
+    sizes = [f["length"] for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("length").collect()]
+    # A block is over its share by a record at most, and there is a separator after each.
+    assert len(sizes) > 8 and max(sizes) <= 160_000 + op.BLOCKS * 2200
+    got = op.read_archives(spark, path)
+    assert sorted((tuple(x) for x in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == brute(rows)
+
+
 def test_members_that_are_cut_off():
     whole = op._member(["WARC-Type: response"], b"block")
     assert [len(list(op.parse_records(m))) for m in op.members(whole + op.EMPTY_MEMBER.encode("latin-1") + whole)] == [1, 0, 1]

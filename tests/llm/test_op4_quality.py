@@ -66,6 +66,10 @@ def test_clashing_columns_and_names_with_dots(spark):
     df = df.union(spark.createDataFrame([(2, " ".join(f"word{i}" for i in range(60)), 7, 8, 9, 10)], df.schema))
     kept = op.apply_policy(df)
     assert kept.columns == df.columns and [tuple(r)[2:] for r in kept.collect()] == [(7, 8, 9, 10)]
+    clash = spark.createDataFrame([(1, "w w", "q", 5)], "n_words int, text string, TEXT string, N_Words int")
+    assert op.store(clash.toDF("key", "text", "TEXT", "Key"), "key").columns[:3] == ["key", "n_words", "word_chars"]
+    led = op.store(clash, "n_words")
+    assert led.columns[:2] == ["n_words", "n_words"] and tuple(led.first())[:2] == (1, 2)
     dotted = df.select("_ledger", "text", "doc_id").toDF("a.b", "x.text", "k.id")
     assert op.apply_policy(dotted, text="x.text").count() == 1 and op.store(dotted, "k.id", text="x.text").count() == 2
 

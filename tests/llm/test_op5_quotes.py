@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 from curatrix.llm import op5_quote_links as op
 
@@ -14,8 +15,22 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA)
 
 
-def test_against_sql(spark):
-    df = frame(spark, ROWS)
+SHORT = [
+    (1, 0, "u", "Sounds good.\nI will bring tea.\nSee you at 5."), (1, 1, "u", "Fine.\nAnd a line that is long enough to link."), (1, 2, "u", "> Sounds good.\n> See you at 5.\nyes"),
+    (1, 3, "u", "> Sounds good.\n> Fine.\ntwo sources"), (1, 4, "u", "> Sounds good.\n> Nobody said so.\nno"), (1, 5, "u", "> See you at 5.\n\n> Sounds good.\n> And a line that is long enough to link.\nmixed"),
+    (1, 6, "u", ">> Sounds good.\n>>\n>> See you at 5.\ndeeper"), (2, 0, "u", "> Later one.\n> Later two."), (2, 1, "u", "Later one.\nBetween.\nLater two."),
+]
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(*r, "x", 1) for r in ROWS], "conv_id bigint, turn bigint, role string, `the.text` string, Text string, TURN int")
+    out = op.link_quotes(df, text="the.text")
+    assert sorted(map(str, out.collect())) == sorted(map(str, op.link_quotes(frame(spark, ROWS)).collect()))
+
+
+@pytest.mark.parametrize("rows", [ROWS, SHORT])
+def test_against_sql(spark, rows):
+    df = frame(spark, rows)
     out = op.link_quotes(df)
     con = duckdb.connect()
     con.register("conversations", df.toPandas())
