@@ -7,7 +7,7 @@ from tests_llm_brute import decontaminated, line_deduped, near_deduped
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES if q not in ("pipeline", "quality_ablations")) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES if q not in ("pipeline", "quality_ablations")) == list(range(1, 14))
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "decontamination", "sentencepiece"]
 
 
