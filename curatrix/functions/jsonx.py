@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,13 @@ def exactly(col: Column) -> Column:
     return F.coalesce(v, F.try_parse_json(_strict(F.when(v.isNull(), col))))
 
 
+def with_exactly(df: DataFrame, col: Column, out: str) -> DataFrame:
+    """df with `out` = exactly(col). Rows that parsed() takes, and nulls, pass a branch without Python; the rest go through the other."""
+    v = parsed(col)
+    odd = col.isNotNull() & v.isNull()
+    return df.where(~odd).withColumn(out, v).unionByName(df.where(odd).withColumn(out, F.try_parse_json(_strict(col))))
+
+
 def none(v: Column, path: str) -> Column:
     """Whether nothing, or JSON null, is at a path."""
     k = kind(v, path)

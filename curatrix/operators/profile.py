@@ -67,7 +67,7 @@ def prepare_stats(df: DataFrame, split: str, limit: int | None = None) -> DataFr
 
 def blueprint_stats(df: DataFrame, blueprint: str) -> tuple[DataFrame, DataFrame]:
     """(total, parse_failures, missing_skill_md), and the histogram of files by blueprint."""
-    v = df.select(jsonx.exactly(F.col(blueprint)).alias("v"))
+    v = jsonx.with_exactly(df.select(F.col(blueprint).alias("_text")), F.col("_text"), "v")
     v = v.select(F.when(jsonx.is_object(F.col("v")), F.col("v")).alias("v"))
     paths = F.transform(jsonx.elements(F.col("v"), "$.files"), lambda f: F.try_variant_get(f, "$.path", "string"))
     v = v.select(F.col("v").isNull().alias("bad"), F.size(paths).cast("bigint").alias("n_files"), F.exists(paths, lambda p: F.coalesce((p == "SKILL.md") | p.endswith("/SKILL.md"), F.lit(False))).alias("has_main"))

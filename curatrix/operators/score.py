@@ -168,9 +168,11 @@ def score_items(preds: DataFrame, refs: DataFrame, *, key: str = "id", output: s
 
     exact: outputs that only Python's own JSON reader takes (NaN, repeated keys) parse, too; without it no row leaves the JVM.
     """
-    parse = jsonx.exactly if exact else jsonx.parsed
-    last = refs.groupBy(key).agg(F.max_by(ref, pos).alias("_ref"))
-    df = preds.join(last, key, "left").withColumn("_v", parse(strip_fences(F.col(output)))).withColumn("_r", parse(F.col("_ref")))
+    parse = jsonx.with_exactly if exact else lambda df, col, out: df.withColumn(out, jsonx.parsed(col))
+    # Texts are parsed before they meet, so each side alone is read by both branches of the parser.
+    last = parse(refs.select(key, pos, F.col(ref).alias("_ref")), F.col("_ref"), "_r")
+    last = last.groupBy(key).agg(F.max_by(F.struct("_ref", "_r"), pos).alias("_last")).select(key, "_last.*")
+    df = parse(preds, strip_fences(F.col(output)), "_v").join(last, key, "left")
     known = F.col("_ref").isNotNull()
     ok = known & F.col("_v").isNotNull()
     em, pf, df1 = field_scores(F.col("_v"), F.col("_r"))

@@ -60,8 +60,7 @@ def _items(spark, sf):
 
 def json_parse_rate(spark, sf):
     p = _runs(spark, sf)[0]
-    ok = jsonx.exactly(text.strip_fences(F.col("output"))).isNotNull()
-    return p.select("id", ok.alias("l1_parse"))
+    return jsonx.with_exactly(p, text.strip_fences(F.col("output")), "v").select("id", F.col("v").isNotNull().alias("l1_parse"))
 
 
 def schema_errors(spark, sf):

@@ -163,3 +163,13 @@ def test_prompts(spark):
     df = spark.createDataFrame([("ask", None), ("ask", "ctx")], "i string, c string")
     assert [r[0] for r in df.select(text.user_content(F.col("i"), F.col("c"))).collect()] == ["ask", "ask\n\n<context>\nctx\n</context>"]
     assert df.select(text.chatml(F.array(text.message("user", F.col("i"))))).first()[0] == "<|im_start|>user\nask<|im_end|>\n"
+
+
+def test_json_of_refused_rows_alone_goes_to_python(spark):
+    rows = [(1, '{"a": 1}'), (2, '{"a": NaN}'), (3, '{"a": 1, "a": 2}'), (4, "{"), (5, None), (6, '{"a": 1} x')]
+    df = spark.createDataFrame(rows, "id int, s string")
+    whole = {r["id"]: r["v"] for r in df.select("id", F.to_json(jsonx.exactly(F.col("s"))).alias("v")).collect()}
+    split = {r["id"]: r["v"] for r in jsonx.with_exactly(df, F.col("s"), "o").select("id", F.to_json("o").alias("v")).collect()}
+    assert split == whole and whole[2] and whole[3] == '{"a":2}' and whole[4] is whole[5] is whole[6] is None
+    plan = jsonx.with_exactly(df, F.col("s"), "o")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" in plan
