@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import length_stats, truncation
-from ..operators import assemble, compare, prep, profile, score, splits
+from ..operators import assemble, compare, contracts, prep, profile, score, splits
 from ..operators.score import taxonomy
 from ..sources import readers, writers
 from ..staging import shared_dir, staged
@@ -278,11 +278,31 @@ def repair_loop_stream(spark, sf):
     return jobs.statuses(spark, f"{base}/out")
 
 
+_LINT_COUNTS = ("n_statements", "n_unlabelled", "n_overlabelled", "n_user", "n_designer", "n_assumed", "n_open")
+
+
+def contract_lint(spark, sf):
+    """Contracts made of documents: each line of the text is a statement of section 5, with a fault by the remainder of the id."""
+    fault, left_out = F.col("doc_id") % 7, F.col("doc_id") % 17
+    label = F.when(fault == 2, "").when(fault == 3, " [USER] [OPEN]").when(fault == 6, " [ASSUMED]").otherwise(" [USER]")
+    own = F.concat(F.lit("- "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.concat(label, F.lit("\n- "))), label)
+    other = F.when(fault == 5, "> What is to be said here.\n\n-").otherwise("### Stated\n1. It is stated. [DESIGNER]\n   - Done when: it is.")
+    parts = []
+    for i, title in enumerate(contracts.SECTIONS):
+        part = F.concat(F.lit(f"## {i + 1}. {title}\n\n"), own if i == 4 else other, F.lit("\n\n"))
+        gone = (fault == 1) & (left_out == i)
+        parts.append(F.when(~(gone | (fault == 6) if title in contracts.OPTIONAL else gone), part).otherwise(""))
+    again = F.when(fault == 4, parts[0]).otherwise("")
+    made = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("# Contract\n\n"), *parts, again).alias("contract"))
+    lists = (F.array_join(f"lint.{c}", "|").alias(c) for c in ("missing", "repeated", "empty"))
+    return contracts.lint(made, "contract").select("doc_id", *lists, *(F.col(f"lint.{c}").cast("bigint").alias(c) for c in _LINT_COUNTS), "lint.finished")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         jsonl_scan, split_scan, split_limit, manifest_scan, json_map_merge, report_items, bundle_scan, convert_bundles, name_repair, blueprint_files, expert_case_errors, question_source, manifest_verify,
-        failure_report, comparison_page, profile_page, run_page, setting_resolution, dataset_gate, config_diff, repair_loop_stream,
+        failure_report, comparison_page, profile_page, run_page, setting_resolution, dataset_gate, config_diff, repair_loop_stream, contract_lint,
     )
 }
 
@@ -299,7 +319,20 @@ _BUNDLE_ROWS = f"""b AS (SELECT doc_id, lang, text, source || '_kit' AS repo, so
 _SHOWN = f"concat({_Q}, name, {_Q})"
 _CODES = "CASE WHEN NOT ok THEN 'E10' WHEN k = 2 THEN 'E2' WHEN k IN (3, 17) THEN 'E4' WHEN k IN (5, 7, 13, 14) THEN 'E5' WHEN k IN (6, 12, 15) THEN 'E3' WHEN k = 9 THEN 'E1' WHEN k = 11 THEN 'E8' ELSE '' END"
 _FAILED = f"WITH i AS (SELECT doc_id AS id, {_CODES} AS code FROM (SELECT doc_id, doc_id % 18 AS k, doc_id % 17 <> 0 AND doc_id % 18 NOT IN (1, 8) AS ok FROM documents))"
+_TITLES = "[" + ", ".join(f"'{x.lower()}'" for x in contracts.SECTIONS) + "]"
+
 ORACLE_SQL = {
+    # What each fault must give, told from the lines of the texts alone.
+    "contract_lint": f"""
+      WITH d AS (SELECT doc_id, doc_id % 7 AS f, doc_id % 17 AS o, string_split(coalesce(text, ''), chr(10)) AS l, {_TITLES} AS t FROM documents),
+      n AS (SELECT *, len(l) AS whole, len(list_filter(l, lambda x: regexp_matches(x, '[^ \\t\\x0B\\f\\r]'))) AS filled, CASE WHEN f = 5 THEN 0 WHEN f = 1 AND o <> 4 OR f = 6 THEN 15 WHEN f = 4 THEN 17 ELSE 16 END AS others FROM d),
+      c AS (SELECT *, CASE WHEN f = 1 AND o = 4 THEN 0 WHEN f = 2 THEN filled ELSE whole END AS own FROM n)
+      SELECT doc_id, CASE WHEN f = 1 AND o <> 15 THEN t[CAST(o + 1 AS INT)] ELSE '' END AS missing, CASE WHEN f = 4 THEN t[1] ELSE '' END AS repeated,
+        CASE WHEN f = 5 THEN array_to_string(list_filter(t, lambda x: x <> t[5]), '|') WHEN f = 2 AND filled = 0 THEN t[5] ELSE '' END AS empty,
+        CAST(own + others AS BIGINT) AS n_statements, CAST(CASE WHEN f = 2 THEN own ELSE 0 END AS BIGINT) AS n_unlabelled, CAST(CASE WHEN f = 3 THEN own ELSE 0 END AS BIGINT) AS n_overlabelled,
+        CAST(CASE WHEN f IN (0, 1, 4, 5) THEN own ELSE 0 END AS BIGINT) AS n_user, CAST(others AS BIGINT) AS n_designer, CAST(CASE WHEN f = 6 THEN own ELSE 0 END AS BIGINT) AS n_assumed,
+        CAST(0 AS BIGINT) AS n_open, f IN (0, 6) OR f = 1 AND o = 15 AS finished
+      FROM c""",
     "jsonl_scan": "SELECT doc_id, md5(text) AS text_md5, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents",
     "split_scan": f"SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY shard, doc_id) - 1 AS pos FROM ({_SHARDS})",
     "split_limit": f"SELECT doc_id, md5(text) AS text_md5, row_number() OVER (ORDER BY shard, doc_id) - 1 AS pos FROM ({_SHARDS}) WHERE split = 'train' ORDER BY shard, doc_id LIMIT 100",

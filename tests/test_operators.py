@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.operators import assemble, compare, near_dup, prep, profile, score, select, splits
+from curatrix.operators import assemble, compare, contracts, near_dup, prep, profile, score, select, splits
 from curatrix.operators.components import connected_components
 
 GOOD = {
@@ -562,3 +562,28 @@ def test_configs(spark):
     kv = lambda d: spark.createDataFrame(list(d.items()), "key string, value string")
     got = assemble.config_diff(kv({"x": "1", "y": "2"}), kv({"x": "1", "y": "3", "z": "4"})).collect()
     assert {r["key"] for r in got} == {"y", "z"}
+
+
+def test_contract_lint(spark):
+    full = "".join(f"## {i + 1}. {t}\n\n> guidance\n\n- said [USER]\n" for i, t in enumerate(contracts.SECTIONS))
+    cases = {
+        "full": full,
+        "windows": full.replace("\n", "\r\n"),
+        "no_number": full.replace("## 3. Negative triggers", "## NEGATIVE triggers. "),
+        "no_crazy": full.replace("## 16. Crazy Thing\n\n> guidance\n\n- said [USER]\n", ""),
+        "two": full.replace("- said [USER]", "- said [USER] [OPEN]", 1),
+        "paragraphs": full.replace("- said [USER]", "A line\ngoes on [OPEN]\n\n   and on\n\nAnother\n### deeper\nThird [ASSUMED]\n\n-\n1.\n", 1),
+        "renamed": full.replace("## 11. Stopping conditions", "## 11. Stops"),
+        "empty": "",
+        "null": None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "id string, x string")
+    got = {r["id"]: r["lint"] for r in contracts.lint(df, "x").collect()}
+    assert [k for k, v in got.items() if v["finished"]] == ["full", "windows", "no_number", "no_crazy"]
+    assert got["full"]["n_statements"] == got["full"]["n_user"] == 17 and got["no_crazy"]["n_user"] == 16
+    assert (got["two"]["n_overlabelled"], got["two"]["n_user"]) == (1, 16)
+    p = got["paragraphs"]
+    assert (p["n_statements"], p["n_open"], p["n_unlabelled"], p["n_assumed"]) == (19, 1, 1, 1)
+    assert got["renamed"]["missing"] == ["stopping conditions"] and got["renamed"]["n_statements"] == 17
+    assert len(got["empty"]["missing"]) == 16 and got["empty"] == got["null"]
+    assert contracts.lint(df.limit(0), "x").count() == 0
