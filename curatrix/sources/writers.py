@@ -47,8 +47,13 @@ def json_items(df: DataFrame, path: str, key: str, under: str | None = None, ent
     _by_part(df, path, key, entries, F.to_json(listed if under is None else F.struct(listed.alias(under))))
 
 
+def blueprint_lines(df: DataFrame, path: str) -> None:
+    """{id, blueprint, provenance} of each record as a line of JSON, in as many files as df has partitions: for any number of records."""
+    df.select("id", "blueprint", "provenance").write.mode("errorifexists").json(path)
+
+
 def blueprints(df: DataFrame, path: str) -> None:
-    """{blueprint, provenance} of each record as JSON, in a folder by id."""
+    """{blueprint, provenance} of each record as JSON, in a folder by id: for as many as a file system may have as folders."""
     df.select("id", F.to_json(F.struct("blueprint", "provenance"), {"pretty": "true"}).alias("value")).write.partitionBy("id").mode("errorifexists").text(path)
 
 

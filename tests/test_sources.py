@@ -190,6 +190,19 @@ def test_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 1
 
 
+def test_blueprints_are_written_to_few_files(spark, tmp_path, monkeypatch):
+    from curatrix.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "shared_dir", lambda spark, name: f"{tmp_path}/{name}")
+    got = source_queries.blueprint_files(spark, "/root/testdata/sf0.001")
+    assert got.count() > 100 and len(list((tmp_path / "blueprints").rglob("part-*"))) <= 20
+    df = spark.createDataFrame([("a", ("x\ny\u2028z",), (None,)), ("b", (None,), ("mit",))], "id string, blueprint struct<name string>, provenance struct<license string>")
+    writers.blueprint_lines(df, str(tmp_path / "lines"))
+    back = spark.read.schema(df.schema).json(str(tmp_path / "lines"))
+    assert [r["blueprint"] and r["blueprint"]["name"] for r in back.orderBy("id").collect()] == ["x\ny\u2028z", None]
+    assert spark.read.text(str(tmp_path / "lines")).count() == 2
+
+
 def test_stream_lets_old_requests_go(spark, tmp_path):
     start, schema = 1_700_000_000, "request_id bigint, attempt int, output string, valid boolean, failed boolean, ts timestamp"
     rows = [(i // 2, i % 2 + 1, f"o{i}", i % 7 == 3, i % 11 == 5, start + 600 * i) for i in range(400)]
