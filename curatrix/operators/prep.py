@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,13 +84,30 @@ def resolved_setting(argument: Column, environment: Column, default: str, allowe
     return F.struct(F.when(good, value).alias("value"), F.when(~good, why).alias("refused"))
 
 
+#: Texts whose tokens are Python objects at a time, and their characters.
+TOKEN_ROWS, TOKEN_CHARS = 64, 1 << 20
+
+
+def token_lists(texts, tokenizer):
+    """Lists of tokens as an Arrow array, from an Arrow array of texts; Python's objects are those of a few texts at a time."""
+    kind, out, held, chars = pa.list_(pa.string()), [], [], 0
+    for t in texts:
+        t = t.as_py()
+        held.append(None if t is None else list(tokenizer(t)))
+        chars += len(t or "")
+        if len(held) >= TOKEN_ROWS or chars >= TOKEN_CHARS:
+            out.append(pa.array(held, kind))
+            held, chars = [], 0
+    return pa.concat_arrays([*out, pa.array(held, kind)])
+
+
 def tokens_by(text: Column, tokenizer) -> Column:
     """Tokens by a function of the caller's, text to list of strings, over Arrow batches; regex_tokens() is the default stand-in."""
     from pyspark.sql import types as T
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts):
-        return texts.map(lambda t: None if t is None else list(tokenizer(t)))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return token_lists(texts, tokenizer)
 
     return run(text)
 
