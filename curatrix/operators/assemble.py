@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,31 +214,28 @@ def generated(requests: DataFrame, generate, prompt: str, out: str = "output") -
     return requests.mapInPandas(run, schema)
 
 
-def attempted(requests: DataFrame, generate, prompt: str) -> DataFrame:
+def attempted(requests: DataFrame, generate, prompt: Column) -> DataFrame:
     """requests with `output` and `failure`: as generated(), but a backend that raises fails its prompt alone.
 
-    A batch that raises is asked again prompt by prompt; failure tells what was raised, and output is null.
+    A batch that raises is asked again prompt by prompt; failure tells what was raised, and output is null. Only
+    prompts go to Python, and outputs come back. A prompt is sent once, however often the outputs are used.
     """
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*requests.schema.fields, T.StructField("output", T.StringType()), T.StructField("failure", T.StringType())])
-
     def one(p):
         try:
             return generate([p])[0], None
         except Exception as e:  # noqa: BLE001 - the backend is the caller's
             return None, f"{type(e).__name__}: {e}"
 
-    def run(batches):
-        for pdf in batches:
-            prompts = pdf[prompt].tolist()
-            try:
-                out = [(x, None) for x in generate(prompts)]
-            except Exception:  # noqa: BLE001
-                out = [one(p) for p in prompts]
-            yield pdf.assign(output=[x for x, _ in out], failure=[x for _, x in out])
+    @F.pandas_udf("output string, failure string")
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        asked = prompts.tolist()
+        try:
+            out = [(x, None) for x in generate(asked)]
+        except Exception:  # noqa: BLE001
+            out = [one(p) for p in asked]
+        return pd.DataFrame(out, columns=["output", "failure"], dtype=object)
 
-    return requests.mapInPandas(run, schema)
+    return requests.withColumn("_made", run.asNondeterministic()(prompt)).select(*requests.columns, "_made.output", "_made.failure")
 
 
 def repair_loop(requests: DataFrame, generate, errors, *, key: str = "id", request: str = "request", rounds: int = 3, wording: tuple[str, str, str] = REPAIR) -> DataFrame:
@@ -246,18 +244,18 @@ def repair_loop(requests: DataFrame, generate, errors, *, key: str = "id", reque
     errors(output) is an array of texts, empty where the output is good. A round takes only the requests
     whose last output had errors, and is written before the next, so no model is asked twice for a prompt.
     A request whose backend failed, or that came out good, ends there. Requests that repeat a key go on their own.
+    A round writes a request once, and beside it what its prompt adds to it.
     """
-    turn, log = requests.select(key, F.col(request).alias("_request"), F.col(request).alias("prompt")), None
+    turn, log = requests.select(key, F.col(request).alias("_request"), F.lit("").alias("_added")), None
+    prompt = F.concat("_request", "_added")
     for n in range(1, rounds + 1):
-        made = attempted(turn, generate, "prompt").withColumn("attempt", F.lit(n))
-        # The outputs are written before they are checked: the check names them more than once.
-        made = staged(made, "outputs")
+        made = attempted(turn, generate, prompt).withColumn("attempt", F.lit(n))
         made = staged(made.withColumn("errors", F.when(F.col("failure").isNull(), errors(F.col("output")))), "attempts")
         log = made if log is None else log.unionByName(made)
-        turn = made.where(F.size("errors") > 0).select(key, "_request", repair_text(F.col("_request"), F.coalesce("output", F.lit("")), F.col("errors"), wording).alias("prompt"))
+        turn = made.where(F.size("errors") > 0).select(key, "_request", repair_text(F.lit(""), F.coalesce("output", F.lit("")), F.col("errors"), wording).alias("_added"))
         if n < rounds and turn.isEmpty():
             break
-    return log.select(key, "attempt", "prompt", "output", "failure", "errors")
+    return log.select(key, "attempt", prompt.alias("prompt"), "output", "failure", "errors")
 
 
 def loop_status(log: DataFrame, *, key: str = "id") -> DataFrame:

@@ -208,6 +208,43 @@ def brute_pairs(rows):
     return {(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[k + 1 :] if a and b and 5 * len(a & b) > 4 * max(len(a), len(b))}
 
 
+def test_repair_loop_writes_a_request_once_a_round(spark, monkeypatch):
+    from curatrix.plans.score_queries import loop_model
+
+    written, real = [], assemble.staged
+    monkeypatch.setattr(assemble, "staged", lambda df, name: (written.append(df.columns), real(df, name))[1])
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        asked.add(len(prompts))
+        return loop_model(prompts)
+
+    df = spark.createDataFrame([(i, f"Make {i}: text {i}") for i in range(40) if i % 11 != 3], "id bigint, request string")
+    log = assemble.repair_loop(df, model, score.blueprint_errors)
+    assert len(written) == 3 and all("_request" in c and "prompt" not in c for c in written)
+    assert asked.value == log.count()
+
+
+def test_tokens_of_a_few_texts_at_a_time():
+    import pyarrow as pa
+
+    alive = [0, 0]
+
+    class Token(str):
+        def __new__(cls, x):
+            alive[0] += 1
+            alive[1] = max(alive)
+            return super().__new__(cls, x)
+
+        def __del__(self):
+            alive[0] -= 1
+
+    texts = pa.array([None, "", *["a b c d e"] * 5000])
+    got = prep.token_lists(texts, lambda t: [Token(x) for x in t.split()])
+    assert got.to_pylist() == [None, [], *[["a", "b", "c", "d", "e"]] * 5000] and alive[1] <= 5 * prep.TOKEN_ROWS + 10
+    assert prep.token_lists(texts.slice(0, 0), str.split).to_pylist() == []
+
+
 def test_near_duplicates_match_brute_force(spark):
     r = random.Random(3)
     rows = [(0, "a b c d e"), (1, "a b c d f"), (2, "a b c d e f"), (3, ""), (4, "漢字"), (5, "漢字"), (6, "a b c d e")]
