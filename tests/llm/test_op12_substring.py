@@ -127,3 +127,31 @@ def test_query_long_text_empty_table_and_clashing_names(spark, tmp_path):
     out, name = op.dedup(wide, doc_id="k.id", text="x.text")
     assert out.columns == [*wide.columns, "__repeats"] and sorted((r[0], len(r[-1]["kept"])) for r in out.collect()) == [(5, len(rows[1][1])), (6, 0)]
     assert op.dedup(wide.limit(0), doc_id="k.id", text="x.text")[0].collect() == []
+
+
+def test_no_batch_of_texts_is_large(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def counted(make):
+        def passes(*a):
+            run = make(*a)
+
+            def out(batches):
+                for b in batches:
+                    (seen / f"{make.__name__}-{b.num_rows}").touch()
+                    yield from run(iter([b]))
+
+            return out
+
+        return passes
+
+    for name in ("_sketch_pass", "_edge_pass", "_cut_pass"):
+        monkeypatch.setattr(op, name, counted(getattr(op, name)))
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"{text} own{i}") for i in range(1300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in op.op12_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (31, 30 if i else 0) for i in range(1300)}
+    names = [p.name.rsplit("-", 1) for p in seen.iterdir()]
+    assert {n for n, _ in names} == {"_sketch_pass", "_edge_pass", "_cut_pass"} and max(int(k) for _, k in names) <= 500
