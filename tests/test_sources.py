@@ -235,6 +235,29 @@ def test_stream_loses_no_request_where_ids_dont_follow_time(spark, tmp_path):
     assert len(want) == 40 and sorted(tuple(r.asDict().items()) for r in got) == sorted(tuple(r.asDict().items()) for r in want)
 
 
+def test_stream_keeps_its_state_without_python(spark, tmp_path):
+    schema = "request_id bigint, attempt int, output string, valid boolean, failed boolean, ts timestamp"
+    day = lambda n: datetime.datetime.fromtimestamp(1_700_000_000 + 86_400 * n, datetime.UTC)
+    # Request 1 comes again when its first attempt has long left the state; 2 has an attempt without a time.
+    parts = [[(1, 1, "a", True, False, day(0)), (2, 1, "b", False, False, None)], [(3, 1, "c", False, True, day(3))], [(1, 2, "d", False, True, day(5)), (2, 2, "e" * 2001, False, False, None)]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = jobs.status_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", time="ts", wait="1 hour")
+        query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].operatorName == "stateStoreSave" and query.lastProgress.stateOperators[0].numRowsTotal <= 3
+    got = {r["request_id"]: tuple(r)[1:] for r in jobs.statuses(spark, f"{tmp_path}/out").collect()}
+    assert got == {1: (200, 1, "a"), 2: (422, 2, "e" * 2000), 3: (502, 1, None)}
+    assert got == {r["request_id"]: tuple(r)[1:] for r in assemble.attempt_status(spark.createDataFrame(sum(parts, []), schema)).collect()}
+
+
+def test_stream_of_repeated_attempts_takes_the_first_valid_and_the_last_output(spark, tmp_path):
+    schema = "request_id int, attempt int, output string, valid boolean, failed boolean"
+    for rows in ([(1, 1, "z", True, False), (2, 1, "z", False, False)], [(1, 1, "a", True, False), (2, 1, "a", False, False), (2, 4, "over", True, False), (3, 4, "over", True, False)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.status_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert {tuple(r) for r in jobs.statuses(spark, f"{tmp_path}/out").collect()} == {(1, 200, 1, "z"), (2, 422, 1, "a")}
+
+
 def test_failures_are_listed_whole(spark, tmp_path):
     counts = spark.createDataFrame([("E1", 300), ("E2", 0)], "code string, n bigint")
     ids = lambda n: spark.range(n).select(F.format_string("i%04d", F.col("id")).alias("id"))
