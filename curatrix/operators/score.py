@@ -91,8 +91,8 @@ def error_text(e: Column) -> Column:
 
 def blueprint_errors(output: Column) -> Column:
     """What is wrong with an output's text, in words; empty if it is a valid blueprint."""
-    v = jsonx.exactly(strip_fences(output))
-    return F.when(v.isNull(), F.array(F.lit("L1 parse failure: output is not valid JSON"))).otherwise(F.transform(schema_errors(v), error_text))
+    wrong = lambda v: F.when(v.isNull(), F.array(F.lit("L1 parse failure: output is not valid JSON"))).otherwise(F.transform(schema_errors(v), error_text))
+    return once(jsonx.exactly(strip_fences(output)), wrong)
 
 
 def f1(a: Column, b: Column) -> Column:

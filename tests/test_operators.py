@@ -225,6 +225,18 @@ def test_repair_loop_writes_a_request_once_a_round(spark, monkeypatch):
     assert asked.value == log.count()
 
 
+def test_repair_loop_parses_an_output_once(spark):
+    df = spark.createDataFrame([(1, json.dumps(GOOD)), (2, "no"), (3, None), (4, "[]"), (5, "```json\n" + variant(name="A b", files=[]) + "\n```"), (6, '{"name":"a","name":NaN}')], "id bigint, output string")
+    checked = df.withColumn("errors", score.blueprint_errors(F.col("output")))
+    # Whether it parses, its value, and the same again of what Python is asked for; each check of the schema parsed it again.
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 10
+    got = {r["id"]: r["errors"] for r in checked.collect()}
+    failed = ["L1 parse failure: output is not valid JSON"]
+    assert got[1] == [] and got[2] == got[3] == failed and got[4] == ["blueprint is not an object"]
+    assert got[5] == ["invalid name: 'A b'", "files is empty", "files missing SKILL.md"]
+    assert got[6][0] == "missing field: blueprint_version" and "field name has wrong type" in got[6]
+
+
 def test_tokens_of_a_few_texts_at_a_time():
     import pyarrow as pa
 
