@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import once
+
 
 def parsed(col: Column) -> Column:
     """The value, or null for anything but one whole JSON text: `{"a":1} x` and `{},{}` don't pass."""
@@ -57,10 +59,16 @@ def _strict(s):
     return s.map(one)
 
 
+#: How a text begins that either reader takes; most prose doesn't, and a parser that refuses it takes longer than this look.
+_BEGINS = r"\A[ \t\r\n]*(?:[\[{\"0-9-]|true|false|null|NaN|Infinity)"
+
+
 def exactly(col: Column) -> Column:
-    """As parsed(), and also what only Python's own reader takes: NaN, infinities, repeated keys. Only what parsed() refuses goes to Python."""
-    v = parsed(col)
-    return F.coalesce(v, F.try_parse_json(_strict(F.when(v.isNull(), col))))
+    """As parsed(), and also what only Python's own reader takes: NaN, infinities, repeated keys. Only what parsed() refuses, and begins as JSON does, goes to Python."""
+    # What col is made by is worked out once before Python and once after it, not for each use.
+    taken = once(col, lambda x: F.when(x.rlike(_BEGINS), parsed(x)))
+    refused = once(col, lambda x: F.when(x.rlike(_BEGINS) & parsed(x).isNull(), x))
+    return F.coalesce(taken, F.try_parse_json(_strict(refused)))
 
 
 def with_exactly(df: DataFrame, col: Column, out: str) -> DataFrame:

@@ -64,7 +64,8 @@ def quoted(col: Column) -> Column:
 
 def strip_fences(col: Column) -> Column:
     """Code fences off, wherever a line begins or ends with one, then white space off the ends."""
-    return strip(F.regexp_replace(col, f"(?md)^```(?:json)?{SPACE}*|{SPACE}*```$", ""))
+    bare = F.regexp_replace(col, f"(?md)^```(?:json)?{SPACE}*|{SPACE}*```$", "")
+    return strip(F.when(col.contains("```"), bare).otherwise(col))
 
 
 def weak_unfence(col: Column) -> Column:

@@ -30,9 +30,9 @@ def _if(cond: Column, error: Column) -> Column:
     return F.when(F.coalesce(cond, F.lit(False)), error)
 
 
-def schema_errors(v: Column) -> Column:
-    """Ordered errors of a parsed value against the blueprint schema."""
-    kind = lambda k: jsonx.kind(v, f"$.{k}")
+def schema_errors(v: Column, kinds: Column | None = None) -> Column:
+    """Ordered errors of a parsed value against the blueprint schema; kinds holds the fields' types where they are known."""
+    kind = lambda k: jsonx.kind(v, f"$.{k}") if kinds is None else kinds[k]
     errors = []
     for k in (*STRINGS, *LISTS):
         errors.append(_if(kind(k).isNull(), _error("missing", k)))
@@ -91,7 +91,8 @@ def error_text(e: Column) -> Column:
 
 def blueprint_errors(output: Column) -> Column:
     """What is wrong with an output's text, in words; empty if it is a valid blueprint."""
-    wrong = lambda v: F.when(v.isNull(), F.array(F.lit("L1 parse failure: output is not valid JSON"))).otherwise(F.transform(schema_errors(v), error_text))
+    kinds = lambda v: F.struct(*(jsonx.kind(v, f"$.{k}").alias(k) for k in (*STRINGS, *LISTS)))
+    wrong = lambda v: F.when(v.isNull(), F.array(F.lit("L1 parse failure: output is not valid JSON"))).otherwise(once(kinds(v), lambda k: F.transform(schema_errors(v, k), error_text)))
     return once(jsonx.exactly(strip_fences(output)), wrong)
 
 

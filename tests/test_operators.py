@@ -237,6 +237,23 @@ def test_repair_loop_parses_an_output_once(spark):
     assert got[6][0] == "missing field: blueprint_version" and "field name has wrong type" in got[6]
 
 
+def test_only_what_begins_as_json_goes_to_python(spark):
+    from curatrix.functions import jsonx, text
+
+    takes = ['{"a":NaN}', ' \n[1,{"b":1,"b":2}]', "NaN", "-Infinity", "Infinity", "null", "true", "false", "-1", "0", '"x"', "```json\n{\"a\":NaN}\n```", "\u00a0{}\u2003"]
+    refuses = ["Here it is: {}", "nothing", "#try", "", " ", "trust", "+1", ".5", "{} {}", "\ufeff{}", "```\nno\n```", None]
+    rows = [(x, True) for x in takes] + [(x, False) for x in refuses]
+    df = spark.createDataFrame(rows, "x string, good boolean").withColumn("stripped", text.strip_fences(F.col("x")))
+    got = df.withColumn("got", jsonx.exactly_parsed(F.col("stripped"))).collect()
+    assert [(r["x"], r["got"]) for r in got] == rows
+    for r in got:
+        try:
+            json.loads(r["stripped"] or "")
+            assert r["good"], r["x"]
+        except ValueError:
+            assert not r["good"], r["x"]
+
+
 def test_tokens_of_a_few_texts_at_a_time():
     import pyarrow as pa
 
