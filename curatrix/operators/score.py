@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions.stats import composite
-from ..functions.text import once, quoted, strip_fences, token_set, unsafe_path, valid_name
+from ..functions.text import once, quoted, strip, strip_fences, token_set, unsafe_path, valid_name
 from ..staging import staged
 
 #: Required fields in the order they are checked, and their types.
@@ -93,7 +93,8 @@ def blueprint_errors(output: Column) -> Column:
     """What is wrong with an output's text, in words; empty if it is a valid blueprint."""
     kinds = lambda v: F.struct(*(jsonx.kind(v, f"$.{k}").alias(k) for k in (*STRINGS, *LISTS)))
     wrong = lambda v: F.when(v.isNull(), F.array(F.lit("L1 parse failure: output is not valid JSON"))).otherwise(once(kinds(v), lambda k: F.transform(schema_errors(v, k), error_text)))
-    return once(jsonx.exactly(strip_fences(output)), wrong)
+    bare = F.when(output.contains("```"), strip_fences(output)).otherwise(strip(output))
+    return once(jsonx.exactly(bare), wrong)
 
 
 def f1(a: Column, b: Column) -> Column:
